@@ -9,6 +9,7 @@ import importlib
 
 MODULES = (
     "decontaminate",
+    "quality",
     "toxicity",
 )
 
