@@ -26,7 +26,7 @@ from skytally.llm.labelled import held_out, logistic, sample, sigmoid
 from skytally.session import ship_package
 
 #: Labelled documents of each class that the model learns from at most, and the tokens that the CRF is trained on at most.
-SAMPLE_PER_CLASS, TRAIN_TOKENS = 2500, 400_000
+SAMPLE_PER_CLASS, TRAIN_TOKENS = 1500, 300_000
 #: Hash buckets of the features; lengths in bytes of the prefixes.
 BITS, PREFIXES = 22, (4, 5, 6)
 BUCKETS = 1 << BITS
@@ -52,9 +52,9 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     kinds = [C.ranges_hash(sums, start, end)]
     for n in PREFIXES:
         kinds.append(np.where(end - start > n, C.ranges_hash(sums, start, np.minimum(start + n, end)) + np.uint64(n), np.uint64(0)))
-    features = np.empty((len(start), len(kinds)), np.int64)
+    features = np.empty((len(start), len(kinds)), np.int32)
     for i, h in enumerate(kinds):
-        features[:, i] = (C.mix(h + np.uint64(i)) >> np.uint64(64 - BITS)).astype(np.int64)
+        features[:, i] = (C.mix(h + np.uint64(i)) >> np.uint64(64 - BITS)).astype(np.int32)
         if i:
             features[end - start <= PREFIXES[i - 1], i] = -1
     return start, end, row, features
@@ -144,7 +144,7 @@ def marked_features(features: np.ndarray, row: np.ndarray, toxic: np.ndarray) ->
     before = np.where(_first(row), -1, np.roll(features[:, 0], 1)).astype(np.uint64)
     counts = []
     for side in (toxic[row], ~toxic[row]):
-        n = np.zeros(BUCKETS)
+        n = np.zeros(BUCKETS, np.float32)
         for i in range(features.shape[1]):
             pick = side & (features[:, i] >= 0)
             f = features[pick, i]
@@ -162,19 +162,26 @@ def marked_features(features: np.ndarray, row: np.ndarray, toxic: np.ndarray) ->
 
 def train(texts: list[str], labels: np.ndarray, steps: int = 50) -> Model:
     """Fits the model to documents and their labels (1: toxic)."""
-    data, at = C.flat(pa.array([t or "" for t in texts], pa.string()))
-    _, _, row, features = tokens(data, at)
+    rows, kinds, done = [np.zeros(0, np.int64)], [np.zeros((0, 1 + len(PREFIXES)), np.int32)], 0
+    for part in C.pieces(pa.RecordBatch.from_pydict({"text": pa.array([t or "" for t in texts], pa.string())}), "text"):
+        _, _, row, features = tokens(*C.flat(part.column("text")))
+        rows.append(row + done)
+        kinds.append(features)
+        done += part.num_rows
+    row, features = np.concatenate(rows), np.concatenate(kinds)
+    del rows, kinds
     toxic = labels.astype(bool)
     weights, bias, start, trans = np.zeros(BUCKETS + 1, np.float32), 0.0, np.zeros(2), np.zeros((2, 2))
     if len(row) and toxic.any() and not toxic.all():
         known = features.copy()
         # A prefix tells more than its words only where several share it, none with most of its occurrences.
         for i in range(1, known.shape[1]):
-            pairs, n = np.unique((known[:, i] << BITS | known[:, 0])[known[:, i] >= 0], return_counts=True)
-            prefix, most = pairs >> BITS, np.zeros(BUCKETS)
-            np.maximum.at(most, prefix, n)
-            shared = (np.bincount(prefix, minlength=BUCKETS) >= MIN_WORDS) & (2 * most <= np.bincount(prefix, weights=n, minlength=BUCKETS))
-            known[~np.append(shared, False)[known[:, i]], i] = -1
+            pairs, n = np.unique((known[:, i].astype(np.int64) << BITS | known[:, 0])[known[:, i] >= 0], return_counts=True)
+            prefix, begins = np.unique(pairs >> BITS, return_index=True)
+            most, total, words = np.maximum.reduceat(n, begins), np.add.reduceat(n, begins), np.diff(np.append(begins, len(n)))
+            shared = np.zeros(BUCKETS + 1, bool)
+            shared[prefix[(words >= MIN_WORDS) & (2 * most <= total)]] = True
+            known[~shared[known[:, i]], i] = -1
         hot = np.append(marked_features(known, row, toxic), False)
         y_all = hot[known].any(axis=1) & toxic[row]
         # Documents in turns of both classes, until the bound on tokens.
@@ -216,7 +223,11 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 50) -> Model:
             start -= 0.3 * gs / np.sqrt(g2s)
         weights[used] = w[:-1]
     blank = Model(weights, bias, start, trans, np.zeros(3))
-    total, top, _ = document_values(blank, row, features, len(texts))
+    total, top = np.zeros(len(texts)), np.zeros(len(texts))
+    for lo in range(0, len(texts), 100):  # a few at a time, for memory
+        a, b = np.searchsorted(row, [lo, lo + 100])
+        n = min(100, len(texts) - lo)
+        total[lo : lo + n], top[lo : lo + n], _ = document_values(blank, row[a:b] - lo, features[a:b], n)
     return Model(weights, bias, start, trans, logistic(np.column_stack([np.log1p(total), top]), labels.astype(float)))
 
 
