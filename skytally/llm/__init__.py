@@ -9,6 +9,7 @@ import importlib
 
 MODULES = (
     "decontaminate",
+    "mixing",
     "quality",
     "toxicity",
 )
