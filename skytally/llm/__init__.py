@@ -9,6 +9,8 @@ import importlib
 
 MODULES = (
     "decontaminate",
+    "chat",
+    "media",
     "mixing",
     "quality",
     "toxicity",
