@@ -13,6 +13,7 @@ MODULES = (
     "media",
     "mixing",
     "quality",
+    "simhash",
     "toxicity",
 )
 
