@@ -12,6 +12,7 @@ MODULES = (
     "chat",
     "media",
     "mixing",
+    "pii",
     "quality",
     "simhash",
     "toxicity",
