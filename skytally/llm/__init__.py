@@ -15,6 +15,7 @@ MODULES = (
     "pii",
     "quality",
     "simhash",
+    "suffix",
     "toxicity",
 )
 

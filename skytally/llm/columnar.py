@@ -38,7 +38,7 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE) -> Iterator[p
         row = end
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(base, -1, 1 << 64)
     out = []
@@ -64,17 +64,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
+def prefix_sums(data: np.ndarray, base: int = BYTE_BASE) -> np.ndarray:
     """S with S[b] - S[a] = sum of (data[j] + 1) * base^j over a <= j < b."""
-    p, _ = powers(len(data))
+    p, _ = powers(len(data), base)
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=out[1:])
     return out
 
 
-def ranges_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def ranges_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BYTE_BASE) -> np.ndarray:
     """Hash of each byte range; equal bytes have equal hashes wherever they are."""
-    _, inverse = powers(len(sums) - 1)
+    _, inverse = powers(len(sums) - 1, base)
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 

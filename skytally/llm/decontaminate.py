@@ -168,10 +168,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with their columns as they were."""
-    bad = contamination(spark, documents.select("doc_id", "text"), benchmark).where("contaminated").select("doc_id", F.col("copy").alias("_copy")).distinct()
+    """The documents that are not contaminated, with their columns as they were. Rows of an id stay or go together."""
+    bad = contamination(spark, documents.select("doc_id", "text"), benchmark).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
     bad = materialize(spark, bad, "contaminated")
-    return documents.join(bad.select(F.col("doc_id").alias("_bad")).distinct(), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    return documents.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
 
 
 QUERIES = {"op7_decontaminate": op7_decontaminate}

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skytally.llm import columnar as C
 from skytally.llm.labelled import held_out, logistic, sample, sigmoid
@@ -249,16 +250,15 @@ def fit(spark: SparkSession, documents: DataFrame, labels: DataFrame, per_class:
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
-    """All columns, with score (0 to 1) and spans (array of start and end, in code points) appended."""
-    from pyspark.sql import functions as F
-
-    names = {c.lower() for c in documents.columns}
-    text = "text" if "text" in names else documents.columns[0]
+    """All columns, with score (0 to 1), spans (array of start and end, in code points) and predicted appended; columns of
+    those names become _in_score, _in_spans, _in_predicted.
+    """
+    documents = documents.withColumnsRenamed({c: f"_in_{c}" for c in documents.columns if c.lower() in ("score", "spans", "predicted")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in C.pieces(batch, text):
-                data, at = C.flat(part.column(text))
+            for part in C.pieces(batch, "text"):
+                data, at = C.flat(part.column("text"))
                 start, end, row, features = tokens(data, at)
                 total, top, p = document_values(model, row, features, part.num_rows)
                 value = sigmoid(np.column_stack([np.log1p(total), top, np.ones(part.num_rows)]) @ model.calibration)
@@ -271,9 +271,6 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
                 offsets = np.concatenate(([0], np.cumsum(np.bincount(row[opens], minlength=part.num_rows)))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value), pa.ListArray.from_arrays(pa.array(offsets), spans)], [*part.schema.names, "score", "spans"])
 
-    schema = documents.schema
-    clash = [c for c in ("score", "spans") if c in names]
-    documents = documents.withColumnsRenamed({c: f"_in_{c}" for c in clash})
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema), "score double", "spans array<struct<start:int,end:int>>"])
     return documents.mapInArrow(run, schema).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int"))
 
@@ -284,6 +281,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(documents.select("doc_id", "text"), model).select("doc_id", held_out(MODULUS, REMAINDER).alias("held_out"), "score", "predicted", "spans")
 
 
+def clean(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that a model fitted to these labels doesn't call toxic, with their columns as they were."""
+    scored = score(documents, fit(spark, documents, labels))
+    names = {c: (f"_in_{c}" if c.lower() in ("score", "spans", "predicted") else c) for c in documents.columns}
+    return scored.where("predicted = 0").select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
 QUERIES = {"op10_toxicity": op10_toxicity}
 
 ORACLE_SQL: dict[str, str] = {}
