@@ -9,6 +9,7 @@ import importlib
 
 MODULES = (
     "decontaminate",
+    "html_text",
     "chat",
     "media",
     "mixing",
