@@ -1,19 +1,547 @@
-"""The registered queries over the driver's tables, with the SQL that gives the same rows."""
+"""The registered queries over the driver's tables, with the SQL that gives the same rows.
+
+Measurements come from the event table, commands from orders, frames from events; the adapters are SQL expressions that
+Spark and the oracle share.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skytally.codec import hk, mavlink
+from skytally.functions import binary, scalars
+from skytally.operators import ops, telemetry, windows
+from skytally.plans.routing import route
+from skytally.rules.batch import alerts
+from skytally.rules.model import Rule, Threshold
+from skytally.sources import binary as sources
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+TENANT, DEVICE, METRIC = "tenant-0", "link-5/sys0", "purchase"
+T0, T1 = datetime(2024, 1, 1), datetime(2024, 1, 31)
+VIEW = ["ts AS time", "'tenant-' || (user_id % 3) AS tenant_id", "'link-' || (user_id % 10) || '/sys' || (user_id % 3) AS device_id", "event_type AS metric", "value"]
+TELEMETRY = f"(SELECT {', '.join(VIEW)}, event_id FROM events)"
+#: Orders as commands.
+COMMAND = [
+    "o_orderkey AS id",
+    "'tenant-' || (o_custkey % 3) AS tenant_id",
+    "'link-' || (o_custkey % 40) || '/sys1' AS device_id",
+    "'key-' || (o_orderkey % 14000) AS idempotency_key",
+    "CASE o_orderkey % 5 WHEN 0 THEN 'ARM' WHEN 1 THEN 'DISARM' WHEN 2 THEN 'TAKEOFF' WHEN 3 THEN 'LAND' ELSE 'RETURN_TO_LAUNCH' END AS command_type",
+    "CASE WHEN o_orderstatus = 'O' THEN 'PENDING' WHEN o_orderstatus = 'P' THEN 'SENT' ELSE 'ACKED' END AS state",
+    "CASE WHEN o_orderstatus = 'F' THEN 0 ELSE -1 END AS ack_result",
+    "o_orderdate AS created_at",
+    "o_orderdate + INTERVAL 30 DAY AS expires_at",
+    "CASE o_orderkey % 5 WHEN 0 THEN 400 WHEN 1 THEN 400 WHEN 2 THEN 22 WHEN 3 THEN 21 ELSE 20 END AS mav_command_id",
+]
+COMMANDS = f"(SELECT {', '.join(COMMAND)} FROM orders)"
+#: Events as frames of endpoints: dropped rows leave gaps in the sequence numbers.
+FRAME = ["event_id", "ts", "'link-' || (user_id % 4) AS link_id", "(user_id % 2) AS system_id", "(event_id % 256) AS sequence", "value"]
+FRAMES = f"(SELECT {', '.join(FRAME)} FROM events WHERE value < 80)"
+#: Events as records with a message id and a pressure.
+RECORD = ["event_id", "'tenant-' || (user_id % 3) AS tenant_id", "'link-' || (user_id % 10) AS device_id", "CASE event_type WHEN 'signup' THEN 0 WHEN 'error' THEN 253 WHEN 'click' THEN 33 WHEN 'view' THEN 27 ELSE 42 END AS message_id", "(event_id % 100) / 100.0 AS pressure", "floor(value / 100) AS body", "ts"]
+RECORDS = f"(SELECT {', '.join(RECORD)} FROM events)"
+PRIORITY_SQL = "CASE WHEN message_id IN (0, 1, 77, 253) THEN 'CRITICAL' WHEN message_id IN (24, 30, 32, 33, 74, 147) THEN 'HIGH' WHEN message_id IN (26, 27, 35, 36, 65, 125, 152, 163, 164, 165, 178, 241) THEN 'BULK' ELSE 'NORMAL' END"
+SHED_SQL = "CASE WHEN priority = 'HIGH' THEN pressure >= 0.95 WHEN priority = 'NORMAL' THEN pressure >= 0.85 WHEN priority = 'BULK' THEN pressure >= 0.75 ELSE false END"
+
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            out = f(spark, sf_dir)
+            # Times go out without a zone, as the tables have them.
+            return out.select(*(F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in out.dtypes))
+
+        QUERIES[name] = run
+        if oracle:
+            ORACLE[name] = oracle
+        return f
+
+    return add
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/events.parquet")
+
+
+def _telemetry(spark: SparkSession, d: str) -> DataFrame:
+    return _events(spark, d).selectExpr(*VIEW, "event_id").withColumn("time", F.col("time").cast("timestamp"))
+
+
+def _commands(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/orders.parquet").selectExpr(*COMMAND)
+
+
+def _frames(spark: SparkSession, d: str) -> DataFrame:
+    return _events(spark, d).where("value < 80").selectExpr(*FRAME)
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return _events(spark, d).selectExpr(*RECORD)
+
+
+def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return QUERIES["series_raw"](spark, d)
+
+
+# Scans, projections, rollups, series.
+
+
+@query("telemetry_view", f"SELECT time, tenant_id, device_id, metric, value FROM {TELEMETRY}")
+def telemetry_view(spark: SparkSession, d: str) -> DataFrame:
+    return telemetry.from_events(_events(spark, d))
+
+
+ROLLUP_1M = f"(SELECT time_bucket(INTERVAL '60 seconds', time) AS bucket, tenant_id, device_id, metric, avg(value) AS avg_value, min(value) AS min_value, max(value) AS max_value, count(*) AS samples, sum(value) AS sum_value FROM {TELEMETRY} GROUP BY ALL)"
+ROLLUP_1H = f"(SELECT time_bucket(INTERVAL '3600 seconds', bucket) AS bucket, tenant_id, device_id, metric, avg(avg_value) AS avg_value, min(min_value) AS min_value, max(max_value) AS max_value, sum(samples)::BIGINT AS samples, sum(sum_value) AS sum_value FROM {ROLLUP_1M} GROUP BY ALL)"
+ROUNDED = "bucket, tenant_id, device_id, metric, round(avg_value, 6) AS avg_value, min_value, max_value, samples, round(sum_value, 6) AS sum_value"
+
+
+@query("rollup_1m", f"SELECT {ROUNDED} FROM {ROLLUP_1M}")
+def rollup_1m(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(telemetry.rollup(_telemetry(spark, d)), "avg_value", "sum_value")
+
+
+@query("rollup_1h", f"SELECT {ROUNDED} FROM {ROLLUP_1H}")
+def rollup_1h(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(telemetry.rollup_up(telemetry.rollup(_telemetry(spark, d))), "avg_value", "sum_value")
+
+
+@query("rollup_1h_exact", f"SELECT time_bucket(INTERVAL '3600 seconds', time) AS bucket, tenant_id, device_id, metric, round(sum(value) / count(*), 6) AS mean, count(*) AS samples FROM {TELEMETRY} GROUP BY ALL")
+def rollup_1h_exact(spark: SparkSession, d: str) -> DataFrame:
+    rolled = telemetry.rollup_up(telemetry.rollup(_telemetry(spark, d)))
+    return rolled.select("bucket", "tenant_id", "device_id", "metric", F.round(F.col("sum_value") / F.col("samples"), 6).alias("mean"), "samples")
+
+
+def _series(name: str, start: datetime, end: datetime, points: int) -> None:
+    r = route(start, end, points)
+    scope = f"tenant_id = '{TENANT}' AND device_id = '{DEVICE}' AND metric = '{METRIC}'"
+    span = f">= TIMESTAMP '{start}' AND {{t}} < TIMESTAMP '{end}'"
+    if r.source == "RAW":
+        sql = f"SELECT time_bucket(INTERVAL '{r.bucket_s} seconds', time) AS bucket, round(avg(value), 6) AS avg_value, min(value) AS min_value, max(value) AS max_value, count(*) AS samples FROM {TELEMETRY} WHERE {scope} AND time {span.format(t='time')} GROUP BY 1"
+    else:
+        table = ROLLUP_1M if r.source == "MINUTE" else ROLLUP_1H
+        sql = f"SELECT time_bucket(INTERVAL '{r.bucket_s} seconds', bucket) AS bucket, round(sum(avg_value * samples) / nullif(sum(samples), 0), 6) AS avg_value, min(min_value) AS min_value, max(max_value) AS max_value, sum(samples)::BIGINT AS samples FROM (SELECT bucket, avg_value, min_value, max_value, samples FROM {table} WHERE {scope} AND bucket {span.format(t='bucket')}) GROUP BY 1"
+
+    @query(name, sql)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        raw = _telemetry(spark, d)
+        minute = telemetry.rollup(telemetry.scoped(raw, TENANT, DEVICE, METRIC))
+        relations = {"RAW": raw, "MINUTE": minute, "HOUR": telemetry.rollup_up(minute)}
+        return _rounded(telemetry.series(relations, TENANT, DEVICE, METRIC, start, end, points)[1], "avg_value")
+
+
+_series("series_raw", datetime(2024, 1, 3), datetime(2024, 1, 3, 8), 500)
+_series("series_minute", datetime(2024, 1, 5), datetime(2024, 1, 6), 500)
+_series("series_hour", T0, T1, 500)
+_series("series_5m_raw", datetime(2024, 1, 2), datetime(2024, 1, 2, 4, 48), 300)
+
+
+def _buckets(name: str, level: str, width: int) -> None:
+    table, column = {"RAW": (TELEMETRY, "time"), "MINUTE": (ROLLUP_1M, "bucket"), "HOUR": (ROLLUP_1H, "bucket")}[level]
+
+    @query(name, f"SELECT count(*) AS buckets FROM (SELECT DISTINCT time_bucket(INTERVAL '{width} seconds', {column}) FROM {table} WHERE tenant_id = '{TENANT}' AND device_id = '{DEVICE}' AND metric = '{METRIC}')")
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = telemetry.scoped(_telemetry(spark, d), TENANT, DEVICE, METRIC)
+        if level != "RAW":
+            rows = telemetry.rollup(rows)
+            rows = telemetry.rollup_up(rows) if level == "HOUR" else rows
+        return rows.select(scalars.time_bucket(width, column).alias("b")).distinct().agg(F.count("*").alias("buckets"))
+
+
+_buckets("buckets_5m_raw", "RAW", 300)
+_buckets("series_5m_from_1m", "MINUTE", 300)
+_buckets("series_6h_from_1h", "HOUR", 21600)
+
+
+@query("point_query_count", f"SELECT count(*) AS n FROM {TELEMETRY} WHERE tenant_id = '{TENANT}' AND device_id = '{DEVICE}' AND metric = '{METRIC}' AND time >= TIMESTAMP '2024-01-10' AND time < TIMESTAMP '2024-01-11'")
+def point_query_count(spark: SparkSession, d: str) -> DataFrame:
+    rows = telemetry.between(telemetry.scoped(_telemetry(spark, d), TENANT, DEVICE, METRIC), "2024-01-10", "2024-01-11")
+    return rows.agg(F.count("*").alias("n"))
+
+
+@query("latest_per_metric", f"SELECT DISTINCT ON (metric) metric, time, value FROM {TELEMETRY} WHERE tenant_id = '{TENANT}' AND device_id = '{DEVICE}' AND time >= TIMESTAMP '2024-01-10' ORDER BY metric, time DESC, value DESC")
+def latest_per_metric(spark: SparkSession, d: str) -> DataFrame:
+    return telemetry.latest(_telemetry(spark, d), TENANT, DEVICE, "2024-01-10")
+
+
+@query("devices_seen", f"SELECT DISTINCT device_id FROM {TELEMETRY} WHERE tenant_id = '{TENANT}' AND time >= TIMESTAMP '2024-01-29'")
+def devices_seen(spark: SparkSession, d: str) -> DataFrame:
+    return telemetry.devices_seen(_telemetry(spark, d), TENANT, "2024-01-29")
+
+
+@query("metrics_seen", f"SELECT DISTINCT metric FROM {TELEMETRY} WHERE tenant_id = '{TENANT}' AND device_id = '{DEVICE}' AND time >= TIMESTAMP '2024-01-25'")
+def metrics_seen(spark: SparkSession, d: str) -> DataFrame:
+    return telemetry.metrics_seen(_telemetry(spark, d), TENANT, DEVICE, "2024-01-25")
+
+
+@query("fleet_max_by_device", f"SELECT device_id, max(max_value) AS max_value FROM {ROLLUP_1H} WHERE tenant_id = '{TENANT}' AND metric = '{METRIC}' GROUP BY 1")
+def fleet_max_by_device(spark: SparkSession, d: str) -> DataFrame:
+    return telemetry.fleet_max(telemetry.rollup_up(telemetry.rollup(_telemetry(spark, d))), TENANT, METRIC)
+
+
+@query("retention_cutoff", f"SELECT count(*) AS kept FROM {TELEMETRY} WHERE time >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY")
+def retention_cutoff(spark: SparkSession, d: str) -> DataFrame:
+    return telemetry.retained(_telemetry(spark, d), T1, telemetry.RETENTION["RAW"]).agg(F.count("*").alias("kept"))
+
+
+@query("refresh_horizon", f"SELECT {ROUNDED} FROM {ROLLUP_1H} WHERE bucket >= TIMESTAMP '2024-01-22 12:00:00' AND bucket < TIMESTAMP '2024-01-25 11:00:00'")
+def refresh_horizon(spark: SparkSession, d: str) -> DataFrame:
+    start, end = telemetry.refresh_range("HOUR", datetime(2024, 1, 25, 12))
+    rolled = telemetry.rollup_up(telemetry.rollup(telemetry.between(_telemetry(spark, d), start, end)))
+    return _rounded(rolled, "avg_value", "sum_value")
+
+
+# Windows.
+
+ROLLING = f"""(SELECT time, tenant_id, device_id, metric, value, count(*) OVER w AS n, min(value) OVER w AS min, max(value) OVER w AS max, avg(value) OVER w AS mean, stddev_pop(value) OVER w AS stddev,
+ CASE WHEN count(*) OVER w >= 2 THEN coalesce(CASE WHEN isnan(regr_slope(value, epoch(time)) OVER w) THEN 0 ELSE regr_slope(value, epoch(time)) OVER w END, 0) * 60 END AS slope_per_min
+ FROM (SELECT DISTINCT ON (tenant_id, device_id, metric, time) * FROM {TELEMETRY} ORDER BY tenant_id, device_id, metric, time, value) WINDOW w AS (PARTITION BY tenant_id, device_id, metric ORDER BY time RANGE BETWEEN INTERVAL 86400 SECOND PRECEDING AND CURRENT ROW))"""
+
+
+def _rolling(spark: SparkSession, d: str) -> DataFrame:
+    once = _telemetry(spark, d).groupBy("tenant_id", "device_id", "metric", "time").agg(F.min("value").alias("value"))
+    return windows.rolling(once, 86400, capacity=512, min_samples=2)
+
+
+@query("rolling_stats", f"SELECT time, tenant_id, device_id, metric, n::INT AS n, min, max, round(mean, 7) AS mean, round(stddev, 7) AS stddev FROM {ROLLING}")
+def rolling_stats(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_rolling(spark, d), "mean", "stddev", digits=7).select("time", "tenant_id", "device_id", "metric", "n", "min", "max", "mean", "stddev")
+
+
+@query("trend_slope", f"SELECT time, tenant_id, device_id, metric, n::INT AS n, round(slope_per_min, 4) AS slope_per_min FROM {ROLLING}")
+def trend_slope(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_rolling(spark, d), "slope_per_min", digits=4).select("time", "tenant_id", "device_id", "metric", "n", "slope_per_min")
+
+
+@query(
+    "derived_metrics_long",
+    f"""SELECT time, tenant_id, device_id, metric || '#' || s AS metric, v AS value FROM (
+ SELECT time, tenant_id, device_id, metric, unnest(['count', 'mean', 'stddev', 'min', 'max', 'slope_per_min']) AS s, unnest([n::DOUBLE, round(mean, 7), round(stddev, 7), min, max, round(slope_per_min, 4)]) AS v FROM {ROLLING}) WHERE v IS NOT NULL""",
+)
+def derived_metrics_long(spark: SparkSession, d: str) -> DataFrame:
+    long = windows.derived_long(_rolling(spark, d))
+    return long.withColumn("value", F.when(F.col("metric").endswith("#slope_per_min"), F.round("value", 4)).otherwise(F.round("value", 7)))
+
+
+KINDS = ["signup", "error", "click", "view", "purchase"]
+
+
+@query(
+    "observation_state",
+    "SELECT event_id, tenant_id, device_id, max(time) OVER w AS last_seen, " + ", ".join(f"last_value(CASE WHEN metric = '{k}' THEN value END IGNORE NULLS) OVER w AS {k}" for k in KINDS) + f" FROM {TELEMETRY} WINDOW w AS (PARTITION BY tenant_id, device_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
+)
+def observation_state(spark: SparkSession, d: str) -> DataFrame:
+    return windows.observation_state(_telemetry(spark, d), KINDS, "event_id")
+
+
+HYSTERESIS = f"(SELECT *, coalesce(last_value(CASE WHEN isnan(value) THEN 0 WHEN value < 20 THEN 1 WHEN NOT value < 40 THEN 0 END IGNORE NULLS) OVER (PARTITION BY tenant_id, device_id, metric ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) = 1 AS active FROM {TELEMETRY})"
+
+
+@query("hysteresis_flag", f"SELECT event_id, tenant_id, device_id, metric, active FROM {HYSTERESIS}")
+def hysteresis_flag(spark: SparkSession, d: str) -> DataFrame:
+    return windows.hysteresis(_telemetry(spark, d), "BELOW", 20, 40, "event_id").select("event_id", "tenant_id", "device_id", "metric", "active")
+
+
+@query("threshold_edges", f"SELECT event_id, tenant_id, device_id, metric, CASE WHEN active THEN 'FIRED' ELSE 'RESOLVED' END AS kind FROM (SELECT *, coalesce(lag(active) OVER (PARTITION BY tenant_id, device_id, metric ORDER BY event_id), false) AS was FROM {HYSTERESIS}) WHERE active <> was")
+def threshold_edges(spark: SparkSession, d: str) -> DataFrame:
+    return windows.edges(windows.hysteresis(_telemetry(spark, d), "BELOW", 20, 40, "event_id"), "event_id").select("event_id", "tenant_id", "device_id", "metric", "kind")
+
+
+HOUR_NS = 3600 * 10**9
+RULES = [Rule("low-click", "Low click value", f"tenant-{i}", "*", "WARNING", Threshold("click", "BELOW", 20.0, 40.0), 6 * HOUR_NS, 12 * HOUR_NS) for i in range(3)]
+
+
+@query(
+    "alerts_debounced",
+    f"""WITH RECURSIVE s AS (SELECT tenant_id, device_id, epoch_us(time) * 1000 AS t, event_id, last_value(CASE WHEN metric = 'click' THEN value END IGNORE NULLS) OVER (PARTITION BY tenant_id, device_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v, row_number() OVER (PARTITION BY tenant_id, device_id ORDER BY event_id) AS rn FROM {TELEMETRY}),
+f AS (SELECT tenant_id, device_id, 0::BIGINT AS rn, 'INACTIVE' AS phase, 0::BIGINT AS since, 0::BIGINT AS onset, NULL::VARCHAR AS kind, 0::BIGINT AS start, 0::BIGINT AS t, NULL::DOUBLE AS v FROM s WHERE rn = 1
+UNION ALL
+SELECT tenant_id, device_id, rn, CASE WHEN h THEN CASE WHEN phase IN ('FIRING', 'RESOLVING') THEN 'FIRING' WHEN t - o >= {6 * HOUR_NS} THEN 'FIRING' ELSE 'PENDING' END ELSE CASE WHEN phase IN ('INACTIVE', 'PENDING') THEN 'INACTIVE' WHEN t - c >= {12 * HOUR_NS} THEN 'INACTIVE' ELSE 'RESOLVING' END END,
+ CASE WHEN h THEN CASE WHEN phase = 'FIRING' THEN since WHEN phase = 'PENDING' AND t - o < {6 * HOUR_NS} THEN since ELSE t END ELSE CASE WHEN phase = 'INACTIVE' THEN since WHEN phase IN ('FIRING', 'RESOLVING') AND t - c < {12 * HOUR_NS} THEN c ELSE t END END,
+ CASE WHEN h THEN CASE WHEN phase IN ('FIRING', 'RESOLVING') THEN onset ELSE o END ELSE CASE WHEN phase IN ('FIRING', 'RESOLVING') AND t - c < {12 * HOUR_NS} THEN onset WHEN phase = 'INACTIVE' THEN onset ELSE t END END,
+ CASE WHEN h AND phase IN ('INACTIVE', 'PENDING') AND t - o >= {6 * HOUR_NS} THEN 'FIRED' WHEN NOT h AND phase IN ('FIRING', 'RESOLVING') AND t - c >= {12 * HOUR_NS} THEN 'RESOLVED' END, CASE WHEN h THEN o ELSE c END, t, v
+FROM (SELECT s.tenant_id, s.device_id, s.rn, s.t, s.v, f.phase, f.since, f.onset, coalesce(s.v < CASE WHEN f.phase IN ('FIRING', 'RESOLVING') THEN 40 ELSE 20 END, false) AS h, CASE WHEN f.phase = 'PENDING' THEN f.onset ELSE s.t END AS o, CASE WHEN f.phase = 'RESOLVING' THEN f.since ELSE s.t END AS c FROM f JOIN s ON s.tenant_id = f.tenant_id AND s.device_id = f.device_id AND s.rn = f.rn + 1))
+SELECT tenant_id, device_id, kind, start AS condition_since_ns, t AS at_ns, printf('click %.3f (threshold < 20.000)', v) AS detail FROM f WHERE kind IS NOT NULL""",
+)
+def alerts_debounced(spark: SparkSession, d: str) -> DataFrame:
+    rows = _telemetry(spark, d).withColumn("time_ns", F.unix_micros("time") * 1000)
+    return alerts(spark, rows, RULES, "event_id").select("tenant_id", "device_id", "kind", "condition_since_ns", "at_ns", "detail")
+
+
+@query("alert_latency", "SELECT tenant_id, kind, count(*) AS n, max(at_ns - condition_since_ns) AS worst_ns, max(greatest(0, at_ns - condition_since_ns - CASE kind WHEN 'FIRED' THEN " + f"{6 * HOUR_NS} ELSE {12 * HOUR_NS} END)) AS worst_incidental_ns FROM (" + ORACLE["alerts_debounced"] + ") GROUP BY 1, 2")
+def alert_latency(spark: SparkSession, d: str) -> DataFrame:
+    rows = _telemetry(spark, d).withColumn("time_ns", F.unix_micros("time") * 1000)
+    late = F.col("at_ns") - F.col("condition_since_ns")
+    found = alerts(spark, rows, RULES, "event_id")
+    return found.groupBy("tenant_id", "kind").agg(F.count("*").alias("n"), F.max(late).alias("worst_ns"), F.max(F.greatest(F.lit(0), late - F.col("debounce_ns"))).alias("worst_incidental_ns"))
+
+
+DISTANCE = "2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(lat - 39.8917) / 2), 2) + cos(radians(39.8917)) * cos(radians(lat)) * pow(sin(radians(lon - 32.7833) / 2), 2))))"
+PLACES = "(SELECT event_id, tenant_id, device_id, 39.8917 + value / 100000 AS lat, 32.7833 + (event_id % 97) / 10000.0 AS lon FROM " + TELEMETRY + ")"
+
+
+def _places(spark: SparkSession, d: str) -> DataFrame:
+    p = _telemetry(spark, d).selectExpr("event_id", "tenant_id", "device_id", "39.8917D + value / 100000 AS lat", "32.7833D + (event_id % 97) / 10000.0D AS lon")
+    return p.withColumn("distance_m", scalars.haversine_m(F.lit(39.8917), F.lit(32.7833), F.col("lat"), F.col("lon")))
+
 
+@query("geofence_distance", f"SELECT event_id, tenant_id, device_id, round({DISTANCE}, 4) AS distance_m FROM {PLACES}")
+def geofence_distance(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_places(spark, d), "distance_m", digits=4).select("event_id", "tenant_id", "device_id", "distance_m")
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
 
+@query("geofence_breach", f"SELECT tenant_id, device_id, count(*) AS breaches FROM {PLACES} WHERE {DISTANCE} > 500 GROUP BY 1, 2")
+def geofence_breach(spark: SparkSession, d: str) -> DataFrame:
+    return _places(spark, d).where(scalars.breaches("distance_m", "ABOVE", 500)).groupBy("tenant_id", "device_id").agg(F.count("*").alias("breaches"))
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+SILENCES = f"(SELECT tenant_id, device_id, time AS last_seen, resumed, (epoch_us(resumed) - epoch_us(time)) / 1e6 AS silence_s FROM (SELECT tenant_id, device_id, time, lead(time) OVER (PARTITION BY tenant_id, device_id ORDER BY time) AS resumed FROM (SELECT DISTINCT tenant_id, device_id, time FROM {TELEMETRY})) WHERE (epoch_us(resumed) - epoch_us(time)) / 1e6 > 21600)"
+
+
+@query("silence_gaps", f"SELECT * FROM {SILENCES}")
+def silence_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return windows.silences(_telemetry(spark, d), 21600)
+
+
+@query("silence_alerts", f"SELECT tenant_id, device_id, 'FIRED' AS kind, last_seen + INTERVAL 21600 SECOND AS at FROM {SILENCES} UNION ALL SELECT tenant_id, device_id, 'RESOLVED', resumed FROM {SILENCES}")
+def silence_alerts(spark: SparkSession, d: str) -> DataFrame:
+    return windows.silence_alerts(_telemetry(spark, d), 21600)
+
+
+RULE_ROWS = [("r1", "tenant-0", "*"), ("r2", "tenant-1", "link-1/sys1"), ("r3", "tenant-2", "*"), ("r4", "tenant-9", "*")]
+
+
+@query("rule_applicability_join", "SELECT rule_id, t.tenant_id, t.device_id, count(*) AS observations FROM " + TELEMETRY + " t JOIN (VALUES " + ", ".join(map(str, RULE_ROWS)) + ") r(rule_id, rule_tenant, rule_device) ON t.tenant_id = rule_tenant AND rule_device IN ('*', t.device_id) GROUP BY ALL")
+def rule_applicability_join(spark: SparkSession, d: str) -> DataFrame:
+    rules = spark.createDataFrame(RULE_ROWS, "rule_id string, rule_tenant string, rule_device string")  # a fixed list
+    seen = _telemetry(spark, d)
+    joined = seen.join(F.broadcast(rules), (F.col("tenant_id") == F.col("rule_tenant")) & ((F.col("rule_device") == "*") | (F.col("rule_device") == F.col("device_id"))))
+    return joined.groupBy("rule_id", "tenant_id", "device_id").agg(F.count("*").alias("observations"))
+
+
+# Links, duplicates, admission.
+
+GAPS = f"(SELECT *, coalesce((sequence - lag(sequence) OVER (PARTITION BY link_id, system_id ORDER BY event_id) - 1) & 255, 0)::INT AS lost FROM {FRAMES})"
+
+
+@query("seq_gaps", f"SELECT event_id, link_id, system_id, sequence, lost FROM {GAPS}")
+def seq_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return windows.sequence_gaps(_frames(spark, d), ["link_id", "system_id"], "sequence", "event_id").select("event_id", "link_id", "system_id", "sequence", "lost")
+
+
+@query("link_loss", f"SELECT link_id, system_id, count(*) AS decoded, sum(lost)::BIGINT AS lost, sum(lost) / (count(*) + sum(lost)) AS loss_ratio FROM {GAPS} GROUP BY 1, 2")
+def link_loss(spark: SparkSession, d: str) -> DataFrame:
+    return windows.link_loss(windows.sequence_gaps(_frames(spark, d), ["link_id", "system_id"], "sequence", "event_id"), ["link_id", "system_id"])
+
+
+DEDUP = f"""WITH RECURSIVE r AS (SELECT *, {PRIORITY_SQL} AS priority, epoch_us(ts) * 1000 AS ns FROM {RECORDS}),
+n AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, device_id, message_id, body ORDER BY ns, event_id) AS rn FROM r WHERE priority <> 'CRITICAL'),
+f AS (SELECT tenant_id, device_id, message_id, body, rn, event_id, ns AS opened, false AS suppressed FROM n WHERE rn = 1
+UNION ALL SELECT n.tenant_id, n.device_id, n.message_id, n.body, n.rn, n.event_id, CASE WHEN n.ns - f.opened < {HOUR_NS * 6} THEN f.opened ELSE n.ns END, n.ns - f.opened < {HOUR_NS * 6} FROM f JOIN n ON n.tenant_id = f.tenant_id AND n.device_id = f.device_id AND n.message_id = f.message_id AND n.body = f.body AND n.rn = f.rn + 1),
+a AS (SELECT event_id, priority, coalesce(f.suppressed, false) AS suppressed FROM r LEFT JOIN f USING (event_id)) """
+
+
+def _deduped(spark: SparkSession, d: str) -> DataFrame:
+    records = _records(spark, d).withColumn("priority", scalars.priority("message_id")).withColumn("ns", F.unix_micros(F.col("ts").cast("timestamp")) * 1000)
+    return ops.dedup(records, ["tenant_id", "device_id", "message_id", "body"], "ns", 6 * HOUR_NS, F.col("priority") == "CRITICAL")
+
+
+@query("dedup_window", DEDUP + "SELECT event_id, priority, suppressed FROM a")
+def dedup_window(spark: SparkSession, d: str) -> DataFrame:
+    return _deduped(spark, d).select("event_id", "priority", "suppressed")
+
+
+@query("dedup_stats", DEDUP + "SELECT count(*) FILTER (priority <> 'CRITICAL' AND NOT suppressed) AS passed, count(*) FILTER (suppressed) AS suppressed, count(*) FILTER (priority = 'CRITICAL') AS exempt, count(*) FILTER (suppressed) / count(*) FILTER (priority <> 'CRITICAL') AS suppressed_ratio FROM a")
+def dedup_stats(spark: SparkSession, d: str) -> DataFrame:
+    return ops.dedup_stats(_deduped(spark, d), F.col("priority") == "CRITICAL")
+
+
+@query("priority_classify", f"SELECT event_id, message_id, {PRIORITY_SQL} AS priority FROM {RECORDS}")
+def priority_classify(spark: SparkSession, d: str) -> DataFrame:
+    return _records(spark, d).select("event_id", "message_id", scalars.priority("message_id").alias("priority"))
+
+
+def _admitted(spark: SparkSession, d: str) -> DataFrame:
+    return ops.admission(_records(spark, d).withColumn("priority", scalars.priority("message_id")).withColumn("pressure", F.col("pressure").cast("double")), "priority", "pressure")
+
+
+ADMITTED = f"(SELECT *, {SHED_SQL} AS is_shed FROM (SELECT *, {PRIORITY_SQL} AS priority FROM {RECORDS}))"
+
+
+@query("shed_policy", f"SELECT event_id, priority, is_shed FROM {ADMITTED}")
+def shed_policy(spark: SparkSession, d: str) -> DataFrame:
+    return _admitted(spark, d).select("event_id", "priority", "is_shed")
+
+
+@query("shed_stats", f"SELECT priority, count(*) FILTER (NOT is_shed) AS accepted, count(*) FILTER (is_shed) AS shed, count(*) FILTER (is_shed) / count(*) AS shed_ratio FROM {ADMITTED} GROUP BY 1")
+def shed_stats(spark: SparkSession, d: str) -> DataFrame:
+    return ops.shed_stats(_admitted(spark, d), "priority")
+
+
+REGISTRY = [("link-0", "tenant-a"), ("link-1", "tenant-b"), ("link-2", "tenant-a")]
+REGISTRY_SQL = "(VALUES " + ", ".join(map(str, REGISTRY)) + ") r(link_id, tenant_id)"
+
+
+@query("link_registry_join", f"SELECT 'open' AS mode, coalesce(r.tenant_id, 'default') AS tenant_id, count(*) AS frames FROM {FRAMES} f LEFT JOIN {REGISTRY_SQL} USING (link_id) GROUP BY 2 UNION ALL SELECT 'closed', r.tenant_id, count(*) FROM {FRAMES} f JOIN {REGISTRY_SQL} USING (link_id) GROUP BY 2")
+def link_registry_join(spark: SparkSession, d: str) -> DataFrame:
+    registry = spark.createDataFrame(REGISTRY, "link_id string, tenant_id string")
+    parts = [ops.link_registry(_frames(spark, d), registry, mode).groupBy("tenant_id").agg(F.count("*").alias("frames")).select(F.lit(mode).alias("mode"), "tenant_id", "frames") for mode in ("open", "closed")]
+    return parts[0].unionByName(parts[1])
+
+
+# Commands.
+
+ACKS = "(SELECT event_id AS ack_id, 'tenant-' || (user_id % 3) AS tenant_id, 'link-' || (user_id % 40) || '/sys1' AS device_id, CASE event_id % 4 WHEN 0 THEN 400 WHEN 1 THEN 22 WHEN 2 THEN 21 ELSE 20 END AS mav_command_id, (event_id % 3) AS result, ts AS \"at\" FROM events)"
+
+
+def _acks(spark: SparkSession, d: str) -> DataFrame:
+    return _events(spark, d).selectExpr("event_id AS ack_id", "'tenant-' || (user_id % 3) AS tenant_id", "'link-' || (user_id % 40) || '/sys1' AS device_id", "CASE event_id % 4 WHEN 0 THEN 400 WHEN 1 THEN 22 WHEN 2 THEN 21 ELSE 20 END AS mav_command_id", "(event_id % 3) AS result", "ts AS at")
+
+
+@query("ack_match", f"SELECT ack_id, tenant_id, device_id, mav_command_id, command_id, CASE WHEN result = 0 THEN 'ACKED' ELSE 'REJECTED' END AS new_state, \"at\" FROM (SELECT a.*, c.id AS command_id, row_number() OVER (PARTITION BY ack_id ORDER BY c.created_at, c.id) AS rn FROM {ACKS} a JOIN {COMMANDS} c USING (tenant_id, device_id, mav_command_id) WHERE c.state IN ('PENDING', 'SENT') AND a.\"at\" >= c.created_at) WHERE rn = 1")
+def ack_match(spark: SparkSession, d: str) -> DataFrame:
+    return ops.ack_match(_acks(spark, d), _commands(spark, d))
+
+
+@query("outbox_claim", f"SELECT o.id, o.command_id, c.tenant_id, c.device_id FROM (SELECT o_orderkey * 2 AS id, o_orderkey AS command_id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate END AS published_at FROM orders) o JOIN {COMMANDS} c ON c.id = o.command_id WHERE published_at IS NULL ORDER BY o.id LIMIT 100")
+def outbox_claim(spark: SparkSession, d: str) -> DataFrame:
+    outbox = spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey * 2 AS id", "o_orderkey AS command_id", "CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate END AS published_at")
+    return ops.outbox_claim(outbox, _commands(spark, d), 100).drop("published_at")
+
+
+@query("recent_commands", f"SELECT id, device_id, state, created_at FROM {COMMANDS} WHERE tenant_id = 'tenant-1' ORDER BY created_at DESC, id DESC LIMIT 50")
+def recent_commands(spark: SparkSession, d: str) -> DataFrame:
+    return ops.recent_commands(_commands(spark, d), "tenant-1", None, 50).select("id", "device_id", "state", "created_at")
+
+
+@query("expired_commands", f"SELECT id, 'EXPIRED' AS state, expires_at FROM {COMMANDS} WHERE state IN ('PENDING', 'SENT') AND expires_at < TIMESTAMP '1996-06-01'")
+def expired_commands(spark: SparkSession, d: str) -> DataFrame:
+    return ops.expired_commands(_commands(spark, d), F.lit("1996-06-01").cast("timestamp_ntz")).select("id", "state", "expires_at")
+
+
+@query("open_command_conflicts", f"SELECT tenant_id, device_id, mav_command_id, count(*) AS open_commands FROM {COMMANDS} WHERE state IN ('PENDING', 'SENT') GROUP BY 1, 2, 3 HAVING count(*) > 1")
+def open_command_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    return ops.open_command_conflicts(_commands(spark, d))
+
+
+@query("command_states", f"SELECT command_type, mav_command_id, state, count(*) AS n, count(nullif(ack_result, -1)) AS answered FROM {COMMANDS} GROUP BY 1, 2, 3")
+def command_states(spark: SparkSession, d: str) -> DataFrame:
+    view = ops.command_view(_commands(spark, d)).withColumn("mav_command_id", scalars.command_number("command_type"))
+    return view.groupBy("command_type", "mav_command_id", "state").agg(F.count("*").alias("n"), F.count("ack_result").alias("answered"))
+
+
+@query("idempotency_duplicates", f"SELECT tenant_id, idempotency_key, count(*) AS n FROM {COMMANDS} GROUP BY 1, 2 HAVING count(*) > 1")
+def idempotency_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return ops.duplicate_keys(_commands(spark, d))
+
+
+@query("conflict_insert", f"SELECT tenant_id, idempotency_key, min(id) AS id FROM {COMMANDS} WHERE id % 2 = 1 AND (tenant_id, idempotency_key) NOT IN (SELECT (tenant_id, idempotency_key) FROM {COMMANDS} WHERE id % 2 = 0) GROUP BY 1, 2")
+def conflict_insert(spark: SparkSession, d: str) -> DataFrame:
+    c = _commands(spark, d).select("tenant_id", "idempotency_key", "id")
+    return ops.insert_ignore(c.where("id % 2 = 0"), c.where("id % 2 = 1"), ["tenant_id", "idempotency_key"], ["id"])
+
+
+@query("orphan_orders", "SELECT count(*) AS orphans FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+def orphan_orders(spark: SparkSession, d: str) -> DataFrame:
+    parents = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"))
+    return ops.orphans(spark.read.parquet(f"{d}/orders.parquet"), parents, ["o_custkey"]).agg(F.count("*").alias("orphans"))
+
+
+@query("props_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def props_json(spark: SparkSession, d: str) -> DataFrame:
+    return _events(spark, d).select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("latency_percentiles", "SELECT event_type, list_sort(list(value))[ceil(0.5 * count(*))::INT] AS p50, list_sort(list(value))[ceil(0.95 * count(*))::INT] AS p95, list_sort(list(value))[ceil(0.99 * count(*))::INT] AS p99, max(value) AS max FROM events GROUP BY 1")
+def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest rank: percentile_disc takes the first value whose cumulative share reaches the level."""
+    rank = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)").alias(n) for q, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))]
+    return _events(spark, d).groupBy("event_type").agg(*rank, F.max("value").alias("max"))
+
+
+# Binary codecs, over fixed bytes.
+
+GPI = "fd1c0000070101210000d20400002227cc1756ff961350f80c00d43000009600b5ff14007869bcc6"
+SYS = "fd1f000007010101000000000000000000000000000000007030f40100000000000000000000000012c9bf"
+HUD = "fd1300000701014a000000004841000030410080f7420000c0bf5a004b91cd"
+ATT = "fd0800000701011e0000000000000000803e77cc"
+HEARTBEAT = "fd01000007010100000000dbb0"
+HK_LOG = "0a0a496e69742063617073756c65206275696c6420303230300a484b0101080000000000020301ee61484b010229dc0500000280e6c5470000c03f0000c8410000c441000020420000d04100002842cdcc3c416666663feabc484b01484b010324400600000ad7233c0ad7a3bcc3f51c416f12833a6f1203bba69b443b0000a03f000000bfa694484b010229dc050000fd80e6c5470000c03f0000c8410000c441000020420000d04100002842cdcc3c416666663feabc484b010423a4060000342f87dd77f6434098f90e7ee26e4040008054440000604000a087430b0301cbdb00ff00ff484b0105083408000002030000ed89484b010324400600000ad7233c0ad7a3bcc3f51c"
+EXPECTED = [
+    ("position.latitude_deg", 39.925533), ("position.longitude_deg", 32.866287), ("position.altitude_msl_m", 850.0), ("position.altitude_rel_m", 12.5), ("velocity.north_ms", 1.5), ("velocity.east_ms", -0.75), ("velocity.down_ms", 0.2), ("attitude.heading_deg", 270.0),
+    ("power.load_pct", 0.0), ("power.battery_v", 12.4), ("power.current_a", 5.0), ("power.battery_remaining_pct", 18.0), ("link.drop_rate_pct", 0.0),
+    ("speed.airspeed_ms", 12.5), ("speed.groundspeed_ms", 11.0), ("position.altitude_hud_m", 123.75), ("speed.climb_ms", -1.5), ("attitude.heading_hud_deg", 90.0), ("power.throttle_pct", 75.0),
+    ("attitude.roll_rad", 0.25), ("attitude.pitch_rad", 0.0), ("attitude.yaw_rad", 0.0), ("attitude.rollspeed_rads", 0.0), ("attitude.pitchspeed_rads", 0.0), ("attitude.yawspeed_rads", 0.0),
+]
+
+
+def _captures(spark: SparkSession, hexes: list[tuple[str, str]]) -> DataFrame:
+    return spark.createDataFrame(hexes, "path string, h string").select("path", F.unhex("h").alias("content"))
+
+
+@query("mavlink_decode", "SELECT * FROM (VALUES (0, 7, 1, 1, 2), (33, 7, 1, 1, 2), (1, 7, 1, 1, 2), (74, 7, 1, 1, 2), (30, 7, 1, 1, 2)) v(message_id, sequence, system_id, component_id, version)")
+def mavlink_decode(spark: SparkSession, d: str) -> DataFrame:
+    frames = sources.mavlink_frames(spark, _captures(spark, [("a", "00ff" + HEARTBEAT + GPI + SYS + HUD + ATT)]))
+    return frames.select("message_id", "sequence", "system_id", "component_id", "version")
+
+
+@query("metric_extract", "SELECT metric, value FROM (VALUES " + ", ".join(f"('{m}', {v}::DOUBLE)" for m, v in EXPECTED) + ") v(metric, value)")
+def metric_extract(spark: SparkSession, d: str) -> DataFrame:
+    frames = sources.mavlink_frames(spark, _captures(spark, [("a", HEARTBEAT + GPI + SYS + HUD + ATT)]))
+    return _rounded(binary.metrics(frames), "value").select("metric", "value")
+
+
+@query("hk_decode", "SELECT * FROM (VALUES (0, 1, 8), (1, 2, 41), (2, 3, 36), (3, 4, 35), (4, 5, 8)) v(seq, record_type, size)")
+def hk_decode(spark: SparkSession, d: str) -> DataFrame:
+    return sources.hk_records(spark, _captures(spark, [("a", HK_LOG)])).select("seq", "record_type", F.octet_length("payload").alias("size"))
+
+
+@query("hk_stats", "SELECT 5::BIGINT AS frames, 2::BIGINT AS crc_errors, 93::BIGINT AS resync_bytes, 6::BIGINT AS tail_bytes")
+def hk_stats(spark: SparkSession, d: str) -> DataFrame:
+    return sources.hk_stats(spark, _captures(spark, [("a", HK_LOG)])).drop("path")
+
+
+@query("hk_gps", "SELECT 1700::BIGINT AS time_ms, 39.925533::DOUBLE AS latitude, 32.866287::DOUBLE AS longitude, 850.0::DOUBLE AS altitude_m, 11::BIGINT AS satellites, true AS valid")
+def hk_gps(spark: SparkSession, d: str) -> DataFrame:
+    gps = binary.hk_fields(sources.hk_records(spark, _captures(spark, [("a", HK_LOG)])), 4)
+    return gps.select("time_ms", F.round("latitude", 9).alias("latitude"), F.round("longitude", 9).alias("longitude"), "altitude_m", "satellites", "valid")
+
+
+@query("f32_fields", "SELECT * FROM (VALUES ('0000803e', 0.25::DOUBLE), ('0000c0bf', -1.5), ('00000000', 0.0), ('01000000', 1.401298464324817e-45), ('ffff7f7f', 3.4028234663852886e38)) v(h, value)")
+def f32_fields(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(h,) for h in ("0000803e", "0000c0bf", "00000000", "01000000", "ffff7f7f")], "h string")
+    return rows.select("h", binary.read(F.unhex("h"), "f32", 0).cast("double").alias("value"))
+
+
+@query("crc_check", "SELECT 28561::INT AS mcrf4xx, 10673::INT AS ccitt_false")
+def crc_check(spark: SparkSession, d: str) -> DataFrame:
+    from skytally.codec.crc import crc16_ccitt_false, crc16_mcrf4xx
+    from skytally.session import ship_package
+
+    ship_package(spark)
+    row = spark.range(1).select(F.lit("123456789").cast("binary").alias("b"))
+    return row.select(crc16_mcrf4xx("b").alias("mcrf4xx"), crc16_ccitt_false("b").alias("ccitt_false"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
+
+
+__all__ = ["flagship", "hk", "mavlink", "oracle_sql", "queries"]
