@@ -11,8 +11,10 @@ earlier start) is removed. A window is one such string. The corpus is dealt by c
    block a suffix array gives the Burrows-Wheeler transform, and breadth-first backward extension of intervals derives the
    common prefixes of neighbouring suffixes by increasing value. It stops at LENGTH: suffixes whose value was not derived
    by then share LENGTH bytes or more, and are classes of equal windows.
-4. An anchor with more than ``GROUP`` different runs (a common line in many surroundings) is not brought together: its
-   windows are hashed (128 bits), counted with pre-aggregation, and joined back, row by row.
+4. An anchor with more than ``GROUP`` different runs (a common line in many surroundings) is not brought together. Its
+   runs are cut into spans of neighbouring windows, aligned to the anchor, 32 windows wide at first. Equal spans (by 128
+   bits of hash, pre-aggregated) are settled as a whole; a span whose bytes common to all its windows occur once can hold
+   no repeat; of what is left, one span of each kind is halved, down to single windows.
 
 Matches never cross documents. Null text is empty; texts shorter than LENGTH lose nothing. doc_id identifies a document:
 rows that repeat id and text are one document and get the same result each; a row with a null doc_id is kept as it is and
@@ -140,9 +142,9 @@ def _anchors(documents: DataFrame, length: int, k: int, full: bool) -> DataFrame
 
 
 def _contexts(documents: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of the wanted runs: h, large, doc_id, first, windows, bytes."""
+    """The bytes of the wanted runs: h, large, doc_id, first, offset, windows, bytes."""
     kind = documents.schema["doc_id"].dataType.simpleString()
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h", "large", "first", "windows")).alias("runs")).withColumnRenamed("doc_id", "_id")
+    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h", "large", "first", "offset", "windows")).alias("runs")).withColumnRenamed("doc_id", "_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,11 +155,11 @@ def _contexts(documents: DataFrame, wanted: DataFrame, length: int) -> DataFrame
                 first, windows = np.asarray(inner.field("first")).astype(np.int64), np.asarray(inner.field("windows")).astype(np.int64)
                 start = at[owner] + first
                 cuts = [raw[a:b] for a, b in zip(start.tolist(), (start + windows + length - 1).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([inner.field("h"), inner.field("large"), part.column("doc_id").take(pa.array(owner)), inner.field("first"), inner.field("windows"), pa.array(cuts, pa.binary())], ["h", "large", "doc_id", "first", "windows", "bytes"])
+                yield pa.RecordBatch.from_arrays([inner.field("h"), inner.field("large"), part.column("doc_id").take(pa.array(owner)), inner.field("first"), inner.field("offset"), inner.field("windows"), pa.array(cuts, pa.binary())], ["h", "large", "doc_id", "first", "offset", "windows", "bytes"])
 
     # Rows that repeat an id and text would give their windows twice.
     found = documents.join(per_doc, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "runs")
-    return found.mapInArrow(cut, f"h bigint, large boolean, doc_id {kind}, first int, windows smallint, bytes binary")
+    return found.mapInArrow(cut, f"h bigint, large boolean, doc_id {kind}, first int, offset smallint, windows smallint, bytes binary")
 
 
 def _repeats_in_blocks(contexts: DataFrame, length: int, block: int) -> DataFrame:
@@ -204,26 +206,58 @@ def _repeats_in_blocks(contexts: DataFrame, length: int, block: int) -> DataFram
     return rows.mapInArrow(run, f"doc_id {kind}, start int, end int")
 
 
-def _repeats_by_hash(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with too many runs for a block: windows are counted by 128 bits of hash."""
-    kind = contexts.schema["doc_id"].dataType.simpleString()
+def _spans(runs_: DataFrame, width: int, length: int) -> DataFrame:
+    """Cuts the windows ``low`` to ``high`` (offsets of the anchor from them) of each run into spans of ``width``, aligned
+    to the anchor: the run's columns with the span's range, its number, hash (f1, f2), and the hash of its common bytes."""
+    kind = runs_.schema["doc_id"].dataType.simpleString()
+    same = ["h", "doc_id", "first", "offset", "bytes"]
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in C.pieces(batch, "bytes"):
                 data, at = C.flat(part.column("bytes"))
-                windows = np.asarray(part.column("windows")).astype(np.int64)
-                owner = np.repeat(np.arange(len(windows)), windows)
-                inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-                a = at[owner] + inside
-                keys = [C.ranges_hash(C.prefix_sums(data, base), a, a + length, base).view(np.int64) for base in (C.BYTE_BASE, C.WORD_BASE)]
-                start = np.asarray(part.column("first")).astype(np.int64)[owner] + inside
-                yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), part.column("doc_id").take(pa.array(owner)), pa.array(start.astype(np.int32))], ["w1", "w2", "doc_id", "start"])
-
-    windows = contexts.select("doc_id", "first", "windows", "bytes").mapInArrow(spread, f"w1 bigint, w2 bigint, doc_id {kind}, start int")
-    earliest = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("e"), F.count("*").alias("n")).where("n > 1").select(F.col("w1").alias("_1"), F.col("w2").alias("_2"), "e")
-    again = windows.join(earliest, (F.col("w1") == F.col("_1")) & (F.col("w2") == F.col("_2"))).where((F.col("doc_id") != F.col("e.doc_id")) | (F.col("start") != F.col("e.start")))
-    return again.select("doc_id", "start", (F.col("start") + length).alias("end"))
+                low, high, offset = (np.asarray(part.column(c)).astype(np.int64) for c in ("low", "high", "offset"))
+                count = high // width - low // width + 1
+                owner = np.repeat(np.arange(len(count)), count)
+                span = (low // width)[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+                a, b = np.maximum(low[owner], span * width), np.minimum(high[owner], span * width + width - 1)
+                anchor = at[owner] + offset[owner]
+                sums = [C.prefix_sums(data, base) for base in (C.BYTE_BASE, C.WORD_BASE)]
+                ends = (anchor - b, anchor - a + length)
+                full = [C.mix(C.ranges_hash(x, *ends, base) + a.astype(np.uint64) * np.uint64(C.WORD_BASE)) for x, base in zip(sums, (C.BYTE_BASE, C.WORD_BASE), strict=True)]
+                core = C.ranges_hash(sums[0], anchor - span * width, anchor - (span * width + width - 1) + length)
+                rows = pa.array(owner)
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c).take(rows) for c in same), pa.array(a.astype(np.int16)), pa.array(b.astype(np.int16)), pa.array(span.astype(np.int16)), *(pa.array(x.view(np.int64)) for x in (*full, core))],
+                    [*same, "low", "high", "span", "f1", "f2", "core"],
+                )
+
+    return runs_.select(*same, "low", "high").mapInArrow(cut, f"h bigint, doc_id {kind}, first int, offset smallint, bytes binary, low smallint, high smallint, span smallint, f1 bigint, f2 bigint, core bigint")
+
+
+def _repeats_in_spans(spark: SparkSession, contexts: DataFrame, length: int) -> DataFrame | None:
+    """The same for anchors with too many runs for a block."""
+    rest = contexts.select("h", "doc_id", "first", "offset", "bytes", (F.col("offset") - F.col("windows") + 1).cast("smallint").alias("low"), F.col("offset").alias("high"))
+    found, width = None, 32
+    while width:
+        if not rest.head(1):
+            return found
+        spans = _spans(rest, width, length)
+        kinds = spans.groupBy("h", "span", "f1", "f2").agg(F.min(F.struct("doc_id", "first", "offset", "bytes", "low", "high")).alias("e"), F.first("core").alias("core"), F.count("*").alias("n"))
+        kinds = materialize(spark, kinds, "kinds-of-spans")
+        several = kinds.where("n > 1").select(F.col("h").alias("_h"), F.col("span").alias("_s"), F.col("f1").alias("_1"), F.col("f2").alias("_2"), F.col("e.doc_id").alias("_doc"), F.col("e.first").alias("_first"))
+        same = (F.col("h") == F.col("_h")) & (F.col("span") == F.col("_s")) & (F.col("f1") == F.col("_1")) & (F.col("f2") == F.col("_2"))
+        later = spans.drop("bytes", "core").join(several, same).where((F.col("doc_id") != F.col("_doc")) | (F.col("first") != F.col("_first")))
+        start = F.col("first") + F.col("offset")
+        later = later.select("doc_id", (start - F.col("high")).cast("int").alias("start"), (start - F.col("low") + length).cast("int").alias("end"))
+        later = materialize(spark, later, "later-spans")
+        found = later if found is None else found.unionByName(later)
+        mixed = kinds.groupBy("h", "span", "core").count().where("count > 1").select(F.col("h").alias("_h"), F.col("span").alias("_s"), F.col("core").alias("_c"))
+        alive = kinds.join(mixed, (F.col("h") == F.col("_h")) & (F.col("span") == F.col("_s")) & (F.col("core") == F.col("_c")), "left_semi")
+        width //= 2
+        if width:
+            rest = materialize(spark, alive.select("h", "e.*"), "open-spans")
+    return found
 
 
 def repeats(spark: SparkSession, documents: DataFrame, length: int = LENGTH, k: int = K, block: int = BLOCK, group: int = GROUP) -> DataFrame:
@@ -233,14 +267,16 @@ def repeats(spark: SparkSession, documents: DataFrame, length: int = LENGTH, k:
     shared = _anchors(texts, length, k, full=False).groupBy("h").count().where("count > 1").select(F.col("h").alias("_h"))
     dup = materialize(spark, _anchors(texts, length, k, full=True).join(shared, F.col("h") == F.col("_h"), "left_semi"), "shared-runs")
     kinds = dup.groupBy("h", "run").agg(F.min(F.struct("doc_id", "first", "offset", "windows")).alias("e"))
-    kinds = materialize(spark, kinds.select("h", "run", F.col("e.doc_id").alias("_doc"), F.col("e.first").alias("_first"), F.col("e.windows").alias("_windows")), "different-runs")
+    kinds = materialize(spark, kinds.select("h", "run", F.col("e.doc_id").alias("_doc"), F.col("e.first").alias("_first"), F.col("e.offset").alias("_offset"), F.col("e.windows").alias("_windows")), "different-runs")
     earliest = kinds.select(F.col("h").alias("_h"), F.col("run").alias("_run"), "_doc", "_first")
     later = dup.join(earliest, (F.col("h") == F.col("_h")) & (F.col("run") == F.col("_run"))).where((F.col("doc_id") != F.col("_doc")) | (F.col("first") != F.col("_first")))
     found = later.select("doc_id", F.col("first").alias("start"), (F.col("first") + F.col("windows") + (length - 1)).alias("end"))
     several = kinds.groupBy("h").count().where("count > 1").select(F.col("h").alias("_h"), (F.col("count") > group).alias("large"))
-    wanted = kinds.join(several, F.col("h") == F.col("_h")).select("h", "large", F.col("_doc").alias("doc_id"), F.col("_first").alias("first"), F.col("_windows").alias("windows"))
+    wanted = kinds.join(several, F.col("h") == F.col("_h")).select("h", "large", F.col("_doc").alias("doc_id"), F.col("_first").alias("first"), F.col("_offset").alias("offset"), F.col("_windows").alias("windows"))
     contexts = materialize(spark, _contexts(texts, wanted, length), "contexts")
-    found = found.unionByName(_repeats_in_blocks(contexts.where("NOT large"), length, block)).unionByName(_repeats_by_hash(contexts.where("large"), length))
+    found = found.unionByName(_repeats_in_blocks(contexts.where("NOT large"), length, block))
+    spread = _repeats_in_spans(spark, contexts.where("large"), length)
+    found = found if spread is None else found.unionByName(spread)
     return materialize(spark, found, "repeats")
 
 
