@@ -35,9 +35,10 @@ def rolling(telemetry: DataFrame, span_s: int, capacity: int = 64, min_samples:
 def derived_long(rolled: DataFrame) -> DataFrame:
     """Rolling statistics as metrics of their own, named metric#statistic; absent ones give no row."""
     names = ("count", "mean", "stddev", "min", "max", "slope_per_min")
-    pairs = F.array(*(F.struct(F.lit(s).alias("s"), F.col("n" if s == "count" else s).cast("double").alias("v")) for s in names))
-    rows = rolled.select("time", *SERIES_KEY, F.explode(F.filter(pairs, lambda x: x["v"].isNotNull())).alias("_p"))
-    return rows.select("time", "tenant_id", "device_id", F.concat("metric", F.lit("#"), F.col("_p.s")).alias("metric"), F.col("_p.v").alias("value"))
+    wide = rolled.select("time", *SERIES_KEY, *(F.col("n" if s == "count" else s).cast("double").alias(s) for s in names))
+    # Unpivoted, not exploded: a filter inferred from an array of these columns would be pushed down with all their terms in it.
+    long = wide.unpivot(["time", *SERIES_KEY], list(names), "_s", "value").where("value IS NOT NULL")
+    return long.select("time", "tenant_id", "device_id", F.concat("metric", F.lit("#"), F.col("_s")).alias("metric"), "value")
 
 
 def observation_state(telemetry: DataFrame, metrics: list[str], arrival: str) -> DataFrame:

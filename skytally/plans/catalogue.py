@@ -221,19 +221,19 @@ def rolling_stats(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_rolling(spark, d), "mean", "stddev", digits=7).select("time", "tenant_id", "device_id", "metric", "n", "min", "max", "mean", "stddev")
 
 
-@query("trend_slope", f"SELECT time, tenant_id, device_id, metric, n::INT AS n, round(slope_per_min, 4) AS slope_per_min FROM {ROLLING}")
+@query("trend_slope", f"SELECT time, tenant_id, device_id, metric, n::INT AS n, round(slope_per_min, 4) + 0 AS slope_per_min FROM {ROLLING}")
 def trend_slope(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(_rolling(spark, d), "slope_per_min", digits=4).select("time", "tenant_id", "device_id", "metric", "n", "slope_per_min")
+    return _rolling(spark, d).withColumn("slope_per_min", F.round("slope_per_min", 4) + F.lit(0.0)).select("time", "tenant_id", "device_id", "metric", "n", "slope_per_min")
 
 
 @query(
     "derived_metrics_long",
     f"""SELECT time, tenant_id, device_id, metric || '#' || s AS metric, v AS value FROM (
- SELECT time, tenant_id, device_id, metric, unnest(['count', 'mean', 'stddev', 'min', 'max', 'slope_per_min']) AS s, unnest([n::DOUBLE, round(mean, 7), round(stddev, 7), min, max, round(slope_per_min, 4)]) AS v FROM {ROLLING}) WHERE v IS NOT NULL""",
+ SELECT time, tenant_id, device_id, metric, unnest(['count', 'mean', 'stddev', 'min', 'max', 'slope_per_min']) AS s, unnest([n::DOUBLE, round(mean, 7), round(stddev, 7), min, max, round(slope_per_min, 4) + 0]) AS v FROM {ROLLING}) WHERE v IS NOT NULL""",
 )
 def derived_metrics_long(spark: SparkSession, d: str) -> DataFrame:
     long = windows.derived_long(_rolling(spark, d))
-    return long.withColumn("value", F.when(F.col("metric").endswith("#slope_per_min"), F.round("value", 4)).otherwise(F.round("value", 7)))
+    return long.withColumn("value", F.when(F.col("metric").endswith("#slope_per_min"), F.round("value", 4) + F.lit(0.0)).otherwise(F.round("value", 7)))
 
 
 KINDS = ["signup", "error", "click", "view", "purchase"]
