@@ -1,0 +1,71 @@
+"""Pseudonyms keep their formats, validate, and stay linked."""
+
+from __future__ import annotations
+
+import re
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from skytally.llm import pii
+
+
+def luhn(digits: str) -> bool:
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def iban_valid(v: str) -> bool:
+    return int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+
+
+def replaced(spark, values: list[str | None]) -> list[str | None]:
+    df = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+    return [r.text for r in pii.pseudonymised(df).orderBy("doc_id").collect()]
+
+
+def test_formats_are_kept_and_valid(spark):
+    card, iban = "4111 1111 1111 1111", "GB82WEST12345698765432"
+    values = [card, iban, "+1 (415) 555-0132", "192.168.1.77", "123-45-6789", "1987-06-05", "05/06/1987"]
+    new = replaced(spark, values)
+    assert all(a != b for a, b in zip(values, new, strict=True))
+    shape = lambda v: re.sub("[0-9]", "0", v)
+    for i in (0, 1, 2, 4, 5, 6):
+        assert shape(values[i]) == shape(new[i])
+    assert luhn(new[0].replace(" ", "")) and new[0][0] == "4"
+    assert iban_valid(new[1]) and new[1][:2] == "GB" and new[1][4:8] == "WEST"
+    assert all(0 <= int(x) <= 255 for x in new[3].split("."))
+    datetime.strptime(new[5], "%Y-%m-%d")
+    datetime.strptime(new[6], "%d/%m/%Y")
+
+
+def test_equal_values_are_linked_and_invalid_ones_stay(spark):
+    values = ["pay 4111111111111111 now 4111111111111111", "x 4111111111111111", "4111111111111112", "999.1.1.1", "000-12-3456", "2023-02-31", None, "", "no data"]
+    new = replaced(spark, values)
+    first = re.findall("[0-9]{16}", new[0])
+    assert first[0] == first[1] == re.findall("[0-9]{16}", new[1])[0]
+    assert new[2:] == values[2:]
+
+
+def test_mail_and_secrets(spark):
+    new = replaced(spark, ["Mail Bob@Example.com or bob@example.com.", "password = hunter2hunter2", "api_key: abcdef123456"])
+    assert "xample" not in new[0] and len(set(re.findall(r"user-\w+@host-\w+\.invalid", new[0]))) == 1
+    assert new[1].startswith("password = SECRET-") and "hunter" not in new[1]
+    assert "abcdef" not in new[2]
+
+
+def test_feistel_permutes_its_domain(spark):
+    pairs = spark.range(7 * 11).select((F.col("id") % 7).alias("a"), F.floor(F.col("id") / 7).alias("b"))
+    a, b = pii.feistel("k", "t", F.col("a"), F.col("b"), 7, 11)
+    got = {(r.x, r.y) for r in pairs.select(a.alias("x"), b.alias("y")).collect()}
+    assert got == {(i, j) for i in range(7) for j in range(11)}
+
+
+def test_columns_and_long_texts(spark):
+    long = "filler words " * 40_000 + "card 4111111111111111"
+    df = spark.createDataFrame([(1, long, 7), (None, long, 7)], "doc_id long, text string, n_private int")
+    rows = pii.pseudonymised(df).collect()
+    assert [r.n_private for r in rows] == [1, 1] and rows[0].text == rows[1].text != long
+    assert rows[0].text[:500_000] == long[:500_000] and rows[0]["_in_n_private"] == 7
+    assert pii.pseudonymised(df.limit(0)).count() == 0
+    plan = pii.pseudonymised(df)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "MapIn" not in plan and "Exchange" not in plan
