@@ -33,9 +33,9 @@ def envelopes(records: DataFrame) -> DataFrame:
         _header("device").alias("device_id"),
         F.coalesce(_header("source"), F.lit("MAVLINK")).alias("source"),
         _header("msgId").try_cast("int").alias("message_id"),
-        number("sequence", -1).alias("sequence"),
-        number("systemId", -1).alias("system_id"),
-        number("componentId", -1).alias("component_id"),
+        number("seq", -1).alias("sequence"),
+        number("sysId", -1).alias("system_id"),
+        number("compId", -1).alias("component_id"),
         nanos.alias("received_at_nanos"),
         F.col("value").alias("payload"),
     ).withColumn("undecodable", F.col("tenant_id").isNull() | F.col("device_id").isNull() | F.col("message_id").isNull())
