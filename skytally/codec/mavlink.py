@@ -36,7 +36,7 @@ class Stats:
 
 @dataclass
 class Decoder:
-    """Feed bytes in any chunks; frames come out in order. A checksum error counts as such, not as resync bytes."""
+    """Feed bytes in any chunks; frames come out in order. Whatever fails to validate gives up one byte, counted as such."""
 
     dialect: dict[int, Message] = field(default_factory=lambda: CORE_DIALECT)
     rest: bytes = b""
@@ -67,8 +67,6 @@ class Decoder:
                     at += size
                     continue
                 self.stats.crc_errors += 1
-                at += 1
-                continue
             at += 1
             self.stats.resync_bytes += 1
         self.rest = data[at:]
