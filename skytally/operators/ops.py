@@ -64,9 +64,10 @@ def ack_match(acks: DataFrame, commands: DataFrame) -> DataFrame:
     """
     keys = ["tenant_id", "device_id", "mav_command_id"]
     open_ = commands.where(F.col("state").isin(*OPEN_STATES)).select(*keys, F.col("id").alias("command_id"), "created_at")
-    hits = acks.join(open_, keys).where(F.col("at") >= F.col("created_at"))
-    oldest = hits.groupBy("ack_id", *keys, "result", "at").agg(F.min(F.struct("created_at", "command_id")).alias("m"))
-    return oldest.select("ack_id", *keys, F.col("m.command_id").alias("command_id"), ack_state("result").alias("new_state"), "at")
+    # The oldest one issued before an acknowledgement is the oldest of all, if that was issued before it: one row per key.
+    oldest = open_.groupBy(*keys).agg(F.min(F.struct("created_at", "command_id")).alias("m"))
+    hits = acks.join(oldest, keys).where(F.col("at") >= F.col("m.created_at"))
+    return hits.select("ack_id", *keys, F.col("m.command_id").alias("command_id"), ack_state("result").alias("new_state"), "at")
 
 
 def first_acks(acks: DataFrame) -> DataFrame:
