@@ -63,7 +63,8 @@ def test_edge_rows_and_columns(spark, module):
 def test_toxic_spans_point_at_the_words(spark):
     bad = ["you vile wretch go away", "what a vile wretch é", "vile wretch they said"]
     clean = ["a fine day for a walk", "the market opens at nine", "rivers run to the sea"]
-    texts = [f"{t} number {i}" for i in range(40) for t in bad + clean]
+    # A feature counts once for each word it follows, so the marked word needs surroundings that vary.
+    texts = [t.replace("vile", f"near{i} vile") + f" number {i}" for i in range(40) for t in bad + clean]
     model = toxicity.train(texts, np.array([float("vile" in t) for t in texts]))
     docs = spark.createDataFrame([(1, "é such a vile wretch today"), (2, "a fine day by the river")], "doc_id long, text string")
     rows = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
