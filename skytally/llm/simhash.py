@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skytally.llm import columnar as C
+from skytally.llm import copies
 from skytally.llm.components import stars
 from skytally.session import materialize, ship_package
 
@@ -242,8 +243,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """The documents without those of whose component a document with a smaller id exists."""
-    found = near_duplicates(spark, documents.select("doc_id", "text"))
+    """The documents without those of whose component a document with a smaller id exists.
+
+    op5's parameters (three words, three bits) leave most edited copies apart, so the stage takes the near copies of
+    ``copies``: five-word shingles, similarity 0.8 or more, each link checked on the texts.
+    """
+    found = copies.components(spark, documents)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
     gone = materialize(spark, gone, "near-duplicates")
     return documents.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
