@@ -167,11 +167,29 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def _with_copy(documents: DataFrame) -> DataFrame:
+    """All columns, with _copy: the hash of the text that ``contamination`` tells copies by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in C.pieces(batch, "text"):
+                data, at = C.flat(part.column("text"))
+                copy = C.ranges_hash(C.prefix_sums(data), at[:-1], at[1:]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(copy)], [*part.schema.names, "_copy"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema), "_copy bigint"])
+    return documents.mapInArrow(run, schema)
+
+
 def decontaminated(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with their columns as they were. Rows of an id stay or go together."""
-    bad = contamination(spark, documents.select("doc_id", "text"), benchmark).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    """The documents that are not contaminated, with their columns as they were. Rows of an id stay or go together; rows
+    without an id are judged by their own text.
+    """
+    bad = contamination(spark, documents.select("doc_id", "text"), benchmark).where("contaminated").select(F.col("doc_id").alias("_bad"), F.col("copy").alias("_bad_copy")).distinct()
     bad = materialize(spark, bad, "contaminated")
-    return documents.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    named = documents.where("doc_id IS NOT NULL").join(bad.select("_bad").distinct(), F.col("doc_id") == F.col("_bad"), "left_anti")
+    rest = _with_copy(documents.where("doc_id IS NULL")).join(bad.where("_bad IS NULL").select("_bad_copy"), F.col("_copy") == F.col("_bad_copy"), "left_anti")
+    return named.unionByName(rest.select(*(F.col(f"`{c}`") for c in documents.columns)))
 
 
 QUERIES = {"op7_decontaminate": op7_decontaminate}

@@ -15,7 +15,8 @@ it as a spanning star, never as pairs.
 Equal fingerprints are one entry, so a third of all rows being copies is one entry as well. Nothing is collected but counts.
 
 Null and empty texts have fingerprint zero and link like any other. Rows with a null doc_id get a component like others
-(null if no member has an id). Rows that repeat an id are one document to the stage: all of them stay or go. Other columns
+(null if no member has an id); the stage keeps one row of a component without ids, and otherwise none that lacks an id. Rows
+that repeat an id are one document to the stage: all of them stay or go. Other columns
 are ignored by the operator and kept by the stage.
 """
 
@@ -28,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skytally.llm import columnar as C
 from skytally.llm import copies
@@ -247,11 +249,21 @@ def deduplicated(spark: SparkSession, documents: DataFrame) -> DataFrame:
 
     op5's parameters (three words, three bits) leave most edited copies apart, so the stage takes the near copies of
     ``copies``: five-word shingles, similarity 0.8 or more, each link checked on the texts.
+
+    Rows without an id go if their component has a row with one. Of a component without any id one row stays: the first by
+    text, then by the other columns of atomic types.
     """
     found = copies.components(spark, documents)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
     gone = materialize(spark, gone, "near-duplicates")
-    return documents.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    named = documents.where("doc_id IS NOT NULL").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    # Rows without an id are known by what their texts hold.
+    alone = found.where("doc_id IS NULL AND component_id IS NULL").select(F.col("code").alias("_set"), F.col("root").alias("_root")).distinct()
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    order = [F.col("text"), *(F.col(f"`{f.name}`") for f in documents.schema if isinstance(f.dataType, T.AtomicType))]
+    rows = copies.coded(documents.where("doc_id IS NULL")).join(alone, F.col("_code") == F.col("_set"))
+    kept = rows.groupBy("_root").agg(F.min_by(F.struct(*columns), F.struct(*(c.alias(f"_{i}") for i, c in enumerate(order)))).alias("_row"))
+    return named.unionByName(kept.select(*(F.col(f"_row.`{c}`").alias(c) for c in documents.columns)))
 
 
 QUERIES = {"op5_simhash": op5_simhash}

@@ -72,3 +72,13 @@ def test_minima_agree_as_often_as_sets_are_similar():
     h, at = copies.shingles(data, np.array([0, len(text[0].encode()), len(data)]))
     _, _, brief = copies.signatures(h, at)
     assert abs((brief[0] == brief[1]).mean() - 0.8) < 0.15
+
+
+def test_rows_without_an_id(spark):
+    base = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, base, "a"), (7, base + " end", "b"), (None, "other text of six words here", "d"), (None, "Other  text of six words here", "c"), (None, "other text of six words here", "e"), (None, None, "f"), (None, "", "g"), (8, "something else", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = simhash.deduplicated(spark, docs)
+    assert out.columns == docs.columns
+    # One of f and g (null comes first), and the first text by bytes of c, d and e.
+    assert sorted(r.source for r in out.collect()) == ["b", "c", "f", "h"]

@@ -65,3 +65,10 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     assert decontaminate.contamination(spark, docs, none).where("n_hit > 0 OR contaminated").count() == 0
     assert decontaminate.contamination(spark, docs.limit(0), spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
+
+
+def test_rows_without_an_id_are_judged_by_their_text(spark):
+    docs = spark.createDataFrame([(None, ITEM, "a"), (None, ITEM + " end", "b"), (None, FILL, "c"), (None, FILL, "d"), (None, None, "e"), (1, ITEM, "f"), (2, FILL, "g")], "doc_id long, text string, source string")
+    out = decontaminate.decontaminated(spark, docs, spark.createDataFrame(ITEMS, "item_id long, text string"))
+    assert out.columns == docs.columns
+    assert sorted(r.source for r in out.collect()) == ["c", "d", "e", "g"]
