@@ -31,6 +31,16 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, modulus: int, re
     return rows.sort_values(["doc_id", "text"], kind="stable").drop_duplicates(["doc_id", "text"]).reset_index(drop=True)
 
 
+def share(sizes: np.ndarray, budget: int) -> int:
+    """The largest bound on each size at which they sum to the budget at most, and 1 at least."""
+    left, rest = budget, np.sort(np.asarray(sizes, np.int64))
+    for i, size in enumerate(rest.tolist()):
+        if size * (len(rest) - i) > left:
+            return max(1, left // (len(rest) - i))
+        left -= size
+    return max(1, int(rest[-1])) if len(rest) else 1
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40) -> np.ndarray:
     """Weights (the last for a constant) of a ridge logistic regression by Newton steps; without both classes, a constant."""
     x = np.column_stack([x, np.ones(len(y))])

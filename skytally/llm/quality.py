@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytally.llm.labelled import held_out, logistic, sample, sigmoid
+from skytally.llm.labelled import held_out, logistic, sample, share, sigmoid
 from skytally.session import ship_package
 
 #: Labelled documents of each class that the model learns from at most, and bytes of each class in dictionary training.
@@ -66,15 +66,19 @@ def features(model_middle: np.ndarray, model_scale: np.ndarray, x: np.ndarray) -
 
 
 def _dictionary(texts: list[str]) -> bytes:
-    """A dictionary from the blocks of these texts, up to the bound on bytes; raw content where there is too little."""
-    blocks, total = [], 0
-    for t in texts:
-        raw = t.encode()
-        for i in range(0, len(raw), BLOCK):
-            blocks.append(raw[i : i + BLOCK])
-        total += len(raw)
-        if total >= TRAIN_BYTES:
-            break
+    """A dictionary from blocks of these texts; raw content where there is too little.
+
+    Every text has an equal share of TRAIN_BYTES, and what short ones leave goes to the others; a longer one gives blocks
+    spread evenly over it.
+    """
+    raws = [t.encode() for t in texts]
+    cap, blocks = share(np.array([len(r) for r in raws], np.int64), TRAIN_BYTES), []
+    for raw in raws:
+        if len(raw) <= cap:
+            blocks += [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
+        else:
+            width = min(BLOCK, cap)
+            blocks += [raw[i : i + width] for i in np.linspace(0, len(raw) - width, cap // width).astype(int).tolist()]
     try:
         return zstandard.train_dictionary(DICTIONARY, blocks, k=200, d=8).as_bytes()
     except zstandard.ZstdError:

@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skytally.llm import columnar as C
-from skytally.llm.labelled import held_out, logistic, sample, sigmoid
+from skytally.llm.labelled import held_out, logistic, sample, share, sigmoid
 from skytally.session import ship_package
 
 #: Labelled documents of each class that the model learns from at most, and the tokens that the CRF is trained on at most.
 SAMPLE_PER_CLASS, TRAIN_TOKENS = 1500, 300_000
+#: Tokens of a window of a text that is longer than its share of TRAIN_TOKENS.
+WINDOW = 50
 #: Hash buckets of the features; lengths in bytes of the prefixes.
 BITS, PREFIXES = 22, (4, 5, 6)
 BUCKETS = 1 << BITS
@@ -161,6 +163,30 @@ def marked_features(features: np.ndarray, row: np.ndarray, toxic: np.ndarray) ->
     return (ratio > bound) & (a / n1 > 8 * (b + 0.5) / n0)
 
 
+def training_tokens(row: np.ndarray, marked: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens the CRF is trained on, and which of them open a sequence.
+
+    Every document has an equal share of TRAIN_TOKENS, and what short ones leave goes to the others. A longer one gives
+    windows of WINDOW tokens, half of them those with marked tokens if it has so many, the rest by a hash.
+    """
+    sizes = np.bincount(row, minlength=rows)
+    cap = share(sizes, TRAIN_TOKENS)
+    width = min(WINDOW, cap)
+    begins = np.cumsum(sizes) - sizes
+    pick, opens = (sizes <= cap)[row], _first(row)
+    for r in np.flatnonzero(sizes > cap):
+        a, windows = int(begins[r]), int(sizes[r]) // width
+        spread = np.argsort(C.mix(np.arange(windows, dtype=np.uint64)), kind="stable")
+        hot = np.unique(np.flatnonzero(marked[a : a + windows * width]) // width)
+        take = cap // width
+        some = spread[np.isin(spread, hot)][: (take + 1) // 2]
+        chosen = np.concatenate([some, spread[~np.isin(spread, some)]])[:take]
+        for w in chosen.tolist():
+            pick[a + w * width : a + (w + 1) * width] = True
+            opens[a + w * width] |= w - 1 not in chosen
+    return pick, opens
+
+
 def train(texts: list[str], labels: np.ndarray, steps: int = 50) -> Model:
     """Fits the model to documents and their labels (1: toxic)."""
     rows, kinds, done = [np.zeros(0, np.int64)], [np.zeros((0, 1 + len(PREFIXES)), np.int32)], 0
@@ -185,13 +211,8 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 50) -> Model:
             known[~shared[known[:, i]], i] = -1
         hot = np.append(marked_features(known, row, toxic), False)
         y_all = hot[known].any(axis=1) & toxic[row]
-        # Documents in turns of both classes, until the bound on tokens.
-        order = np.argsort(np.where(toxic, np.cumsum(toxic) / max(toxic.sum(), 1), np.cumsum(~toxic) / max((~toxic).sum(), 1)), kind="stable")
-        sizes = np.bincount(row, minlength=len(toxic))
-        chosen = np.zeros(len(toxic), bool)
-        chosen[order[: max(1, int(np.searchsorted(np.cumsum(sizes[order]), TRAIN_TOKENS)))]] = True
-        pick = chosen[row]
-        f, y, first = known[pick], y_all[pick], _first(row[pick])
+        pick, opens_window = training_tokens(row, y_all, len(toxic))
+        f, y, first = known[pick], y_all[pick], opens_window[pick]
         n = max(1, len(y))
         valid = f >= 0
         used, flat_f = np.unique(f[valid], return_inverse=True)

@@ -70,3 +70,36 @@ def test_toxic_spans_point_at_the_words(spark):
     rows = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
     assert rows[1].predicted == 1 and rows[2].predicted == 0
     assert any("vile" in "é such a vile wretch today"[s.start : s.end] for s in rows[1].spans) and not rows[2].spans
+
+
+def test_one_long_text_does_not_end_the_training_set(monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_TOKENS", 4000)
+    texts = ["a fine day by the river " * 2000]
+    for i in range(40):
+        texts += [f"near{i} vile wretch they said number {i}", f"the market opens near{i} at nine number {i}"]
+    labels = np.array([float("vile" in t) for t in texts])
+    model = toxicity.train(texts, labels)
+    data = "what a vile wretch today".encode()
+    _, _, row, features = toxicity.tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert toxicity.document_values(model, row, features, 1)[1][0] >= 0.5
+
+
+def test_training_tokens_are_bounded_and_from_all_documents(monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_TOKENS", 2000)
+    sizes = np.array([5000, 30, 0, 700, 10, 900])
+    row = np.repeat(np.arange(6), sizes)
+    marked = np.zeros(len(row), bool)
+    marked[4321] = True
+    pick, opens = toxicity.training_tokens(row, marked, 6)
+    got = np.bincount(row[pick], minlength=6)
+    assert pick.sum() <= 2000 and (got[[1, 4]] == [30, 10]).all() and (got[[0, 3, 5]] >= 600).all()
+    assert pick[4321] and opens[pick][0]
+
+
+def test_one_long_text_does_not_make_the_dictionary(monkeypatch):
+    monkeypatch.setattr(quality, "TRAIN_BYTES", 40_000)
+    rng = np.random.default_rng(3)
+    words = [f"word{i}x" for i in rng.integers(0, 1 << 30, 40)]
+    texts = ["".join(chr(c) for c in rng.integers(97, 123, 100_000))] + [" ".join(rng.permutation(words)) for _ in range(30)]
+    content = quality._dictionary(texts)
+    assert sum(w.encode() in content for w in words) >= 20
