@@ -32,6 +32,21 @@ def rolling(telemetry: DataFrame, span_s: int, capacity: int = 64, min_samples:
     return w.select("time", *SERIES_KEY, "value", "n", F.array_min(values).alias("min"), F.array_max(values).alias("max"), "mean", deviation.alias("stddev"), slope.alias("slope_per_min"))
 
 
+def rolling_whole(telemetry: DataFrame, span_s: int, min_samples: int = 8) -> DataFrame:
+    """As ``rolling``, over all samples of the span, however many; samples of one time are in each other's windows."""
+    t = F.unix_micros(F.col("time").cast("timestamp"))
+    series = Window.partitionBy(*SERIES_KEY)
+    frame = series.orderBy("_t").rangeBetween(-span_s * 1_000_000, 0)
+    w = telemetry.withColumn("_t", t)
+    # Seconds from the series' first sample: small numbers, for the slope's sums.
+    w = w.withColumn("_s", (F.col("_t") - F.min("_t").over(series)) / 1e6)
+    v = F.col("value")
+    stats = {"n": F.count("*"), "min": F.min(v), "max": F.max(v), "mean": F.avg(v), "stddev": F.stddev_pop(v), "_slope": F.regr_slope(v, F.col("_s"))}
+    w = w.select("time", *SERIES_KEY, "value", *(a.over(frame).alias(c) for c, a in stats.items()))
+    slope = F.when(F.col("n") >= max(2, min_samples), F.coalesce(F.nanvl("_slope", F.lit(0.0)), F.lit(0.0)) * 60)
+    return w.select("time", *SERIES_KEY, "value", F.col("n").cast("int").alias("n"), "min", "max", "mean", "stddev", slope.alias("slope_per_min"))
+
+
 def derived_long(rolled: DataFrame) -> DataFrame:
     """Rolling statistics as metrics of their own, named metric#statistic; absent ones give no row."""
     names = ("count", "mean", "stddev", "min", "max", "slope_per_min")

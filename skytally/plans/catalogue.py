@@ -213,7 +213,7 @@ ROLLING = f"""(SELECT time, tenant_id, device_id, metric, value, count(*) OVER w
 
 def _rolling(spark: SparkSession, d: str) -> DataFrame:
     once = _telemetry(spark, d).groupBy("tenant_id", "device_id", "metric", "time").agg(F.min("value").alias("value"))
-    return windows.rolling(once, 86400, capacity=512, min_samples=2)
+    return windows.rolling_whole(once, 86400, min_samples=2)
 
 
 @query("rolling_stats", f"SELECT time, tenant_id, device_id, metric, n::INT AS n, min, max, round(mean, 7) AS mean, round(stddev, 7) AS stddev FROM {ROLLING}")
