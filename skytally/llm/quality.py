@@ -6,7 +6,8 @@ compresses by itself, whatever the dictionary). The difference of the two sizes
 the text compresses at all tells repetition, which both dictionaries miss. A logistic fit on these two and their squares,
 on documents left out of the dictionaries' training, turns them into a probability.
 
-Scoring is a map over partitions without a shuffle; the model is a closure of fixed size. Null and empty texts have no
+Scoring is a map over partitions without a shuffle; the model, fitted in one task on an executor from a sample whose rows and
+bytes are bounded by parameters, is a closure of fixed size. Null and empty texts have no
 difference and get the calibrated score of zero. Repeated rows score alike. Without labels of both kinds the score is the
 base rate of what there is (0.5 without any). Other columns are ignored and kept.
 """
@@ -17,13 +18,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytally.llm.labelled import held_out, logistic, sample, share, sigmoid
+from skytally.llm.labelled import fitted, held_out, logistic, sample, share, sigmoid
 from skytally.session import ship_package
 
 #: Labelled documents of each class that the model learns from at most, and bytes of each class in dictionary training.
@@ -85,14 +85,15 @@ def _dictionary(texts: list[str]) -> bytes:
         return b"".join(blocks)[-DICTIONARY:] or b"\n" * 8
 
 
-def train(rows: pd.DataFrame) -> Model:
-    """Fits dictionaries on half of the sample and the calibration on the other half. rows: text, label (1: good)."""
-    rows = rows.drop_duplicates("text")
-    half = np.arange(len(rows)) % 2 == 0
-    label = rows["label"].to_numpy(float)
-    good, bad = (_dictionary(rows.loc[half & (label == v), "text"].tolist()) for v in (1, 0))
+def train(texts: list[str], label: np.ndarray) -> Model:
+    """Fits dictionaries on half of the different texts and the calibration on the other half. label: 1 is good."""
+    once = {t: i for i, t in reversed(list(enumerate(texts)))}
+    first = np.array(sorted(once.values()), np.int64)
+    texts, label = [texts[i] for i in first], label[first]
+    half = np.arange(len(texts)) % 2 == 0
+    good, bad = (_dictionary([texts[i] for i in np.flatnonzero(half & (label == v))]) for v in (1, 0))
     sizes, rest = Sizes(good, bad), ~half if (~half).any() else half
-    x = np.array([sizes.measure(t) for t in rows.loc[rest, "text"]]).reshape(-1, 2)
+    x = np.array([sizes.measure(texts[i]) for i in np.flatnonzero(rest)]).reshape(-1, 2)
     middle, scale = (np.median(x, axis=0), x.std(axis=0) + 1e-6) if len(x) else (np.zeros(2), np.ones(2))
     return Model(good, bad, logistic(features(middle, scale, x), label[rest]), middle, scale)
 
@@ -100,7 +101,7 @@ def train(rows: pd.DataFrame) -> Model:
 def fit(spark: SparkSession, documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
     """The model, from at most ``per_class`` labelled documents of each class that are not held out."""
     ship_package(spark)
-    return train(sample(documents, labels, "quality", MODULUS, REMAINDER, per_class))
+    return fitted(sample(documents, labels, "quality", MODULUS, REMAINDER, per_class), train)
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:

@@ -6,19 +6,24 @@ earlier start) is removed. A window is one such string. The corpus is dealt by c
 1. Each window has an anchor, its ``K``-byte string of smallest hash (the leftmost, if equal). Neighbouring windows share
    anchors, so a document is a sequence of runs of windows, each run with one anchor. Equal windows have equal anchors at
    equal offsets; anchors that occur once are settled.
-2. Of the rest, runs with the same anchor, offset and bytes are equal as a whole: all but the earliest are repeats.
+2. Of the rest, runs with the same anchor, offset and bytes (by 128 bits of hash) are equal as a whole: all but the earliest
+   are repeats.
 3. Anchors with several different runs need a closer look at the earliest of each. Their bytes go to blocks by anchor; in a
    block a suffix array gives the Burrows-Wheeler transform, and breadth-first backward extension of intervals derives the
    common prefixes of neighbouring suffixes by increasing value. It stops at LENGTH: suffixes whose value was not derived
    by then share LENGTH bytes or more, and are classes of equal windows.
 4. An anchor with more than ``GROUP`` different runs (a common line in many surroundings) is not brought together. Its
-   runs are cut into spans of neighbouring windows, aligned to the anchor, 32 windows wide at first. Equal spans (by 128
-   bits of hash, pre-aggregated) are settled as a whole; a span whose bytes common to all its windows occur once can hold
-   no repeat; of what is left, one span of each kind is halved, down to single windows.
+   windows are dealt anew by longer anchors (``LONGER``), with steps 2 and 3 for each length: runs of windows become
+   shorter, equal ones are merged before the next, and a window whose longer anchor reaches into its own surroundings is
+   alone. At LENGTH bytes a window is its own anchor, and a group is one class.
 
-Matches never cross documents. Null text is empty; texts shorter than LENGTH lose nothing. doc_id identifies a document:
-rows that repeat id and text are one document and get the same result each; a row with a null doc_id is kept as it is and
-takes no part. Empty tables give no rows. Other columns are ignored.
+Rows so grow with the windows, never with the square of a group, no block holds more than BLOCK bytes and a group, and keys
+that many rows share are split in the joins (``counted_join``).
+
+Matches never cross documents. Null text is empty; texts shorter than LENGTH lose nothing. Rows that repeat id and text are
+one document and get the same result each; rows of one id with different texts are documents of their own, in the order of
+a hash of their texts. A row with a null doc_id is kept as it is and takes no part. Empty tables give no rows. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +37,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skytally.llm import columnar as C
-from skytally.session import materialize, ship_package
+from skytally.llm.joins import counted_join
+from skytally.session import discard, materialize, ship_package
 
 #: Bytes of a repeat, of an anchor, and of text in a block; different runs of an anchor that a block takes at most.
-LENGTH, K, BLOCK, GROUP = 100, 32, 128 << 10, 256
+LENGTH, K, BLOCK, GROUP = 100, 32, 128 << 10, 768
+#: Anchors of crowded groups, as shares of LENGTH; the last is the whole window.
+LONGER = (0.48, 0.64, 0.8, 1.0)
+#: Where a run is: the document (rows of one id may have different texts) and the start of its first window.
+PLACE = ["doc_id", "copy", "first"]
 
 
 def runs(data: np.ndarray, at: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
@@ -124,6 +134,11 @@ def equal_windows(strings: list[bytes], length: int = LENGTH) -> tuple[np.ndarra
     return classes, starts
 
 
+def _copy(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """What tells rows of one id with different texts apart."""
+    return (C.ranges_hash(C.prefix_sums(data), at[:-1], at[1:]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _anchors(documents: DataFrame, length: int, k: int, full: bool) -> DataFrame:
     """h for every run of windows; with ``full`` also the run's hash and where it is."""
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -131,20 +146,21 @@ def _anchors(documents: DataFrame, length: int, k: int, full: bool) -> DataFrame
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in C.pieces(batch, "text"):
-                row, first, offset, count, h, content = runs(*C.flat(part.column("text")), length, k)
+                data, at = C.flat(part.column("text"))
+                row, first, offset, count, h, content = runs(data, at, length, k)
                 columns = {"h": pa.array(h.view(np.int64))}
                 if full:
-                    columns |= {"run": pa.array(content.view(np.int64)), "doc_id": part.column("doc_id").take(pa.array(row)), "first": pa.array(first.astype(np.int32)), "offset": pa.array(offset.astype(np.int16)), "windows": pa.array(count.astype(np.int16))}
+                    columns |= {"run": pa.array(content.view(np.int64)), "doc_id": part.column("doc_id").take(pa.array(row)), "copy": pa.array(_copy(data, at)[row]), "first": pa.array(first.astype(np.int32)), "windows": pa.array(count.astype(np.int16))}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    schema = "h bigint" + (f", run bigint, doc_id {kind}, first int, offset smallint, windows smallint" if full else "")
+    schema = "h bigint" + (f", run bigint, doc_id {kind}, copy int, first int, windows smallint" if full else "")
     return documents.select("doc_id", "text").mapInArrow(scan, schema)
 
 
 def _contexts(documents: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of the wanted runs: h, large, doc_id, first, offset, windows, bytes."""
+    """The wanted runs (h, large, place, windows) with their bytes."""
     kind = documents.schema["doc_id"].dataType.simpleString()
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h", "large", "first", "offset", "windows")).alias("runs")).withColumnRenamed("doc_id", "_id")
+    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h", "large", "copy", "first", "windows")).alias("runs")).withColumnRenamed("doc_id", "_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,23 +168,45 @@ def _contexts(documents: DataFrame, wanted: DataFrame, length: int) -> DataFrame
                 data, at = C.flat(part.column("text"))
                 raw, lists = data.tobytes(), part.column("runs")
                 inner, owner = lists.flatten(), np.repeat(np.arange(part.num_rows), np.asarray(lists.value_lengths()))
+                own = np.asarray(inner.field("copy")) == _copy(data, at)[owner]
+                inner, owner = inner.filter(pa.array(own)), owner[own]
                 first, windows = np.asarray(inner.field("first")).astype(np.int64), np.asarray(inner.field("windows")).astype(np.int64)
                 start = at[owner] + first
                 cuts = [raw[a:b] for a, b in zip(start.tolist(), (start + windows + length - 1).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([inner.field("h"), inner.field("large"), part.column("doc_id").take(pa.array(owner)), inner.field("first"), inner.field("offset"), inner.field("windows"), pa.array(cuts, pa.binary())], ["h", "large", "doc_id", "first", "offset", "windows", "bytes"])
+                yield pa.RecordBatch.from_arrays([inner.field("h"), inner.field("large"), part.column("doc_id").take(pa.array(owner)), *(inner.field(c) for c in ("copy", "first", "windows")), pa.array(cuts, pa.binary())], ["h", "large", *PLACE, "windows", "bytes"])
 
-    # Rows that repeat an id and text would give their windows twice.
     found = documents.join(per_doc, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "runs")
-    return found.mapInArrow(cut, f"h bigint, large boolean, doc_id {kind}, first int, offset smallint, windows smallint, bytes binary")
+    return found.mapInArrow(cut, f"h bigint, large boolean, doc_id {kind}, copy int, first int, windows smallint, bytes binary")
+
+
+def _finer(runs_: DataFrame, length: int, k: int) -> DataFrame:
+    """Cuts runs (place, bytes) into runs by anchors of k bytes: h, run, place, windows, bytes."""
+    kind = runs_.schema["doc_id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in C.pieces(batch, "bytes"):
+                data, at = C.flat(part.column("bytes"))
+                row, inside, _, count, h, content = runs(data, at, length, k)
+                raw, start, rows = data.tobytes(), at[row] + inside, pa.array(row)
+                cuts = [raw[a:b] for a, b in zip(start.tolist(), (start + count + length - 1).tolist(), strict=True)]
+                first = np.asarray(part.column("first"))[row] + inside
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(content.view(np.int64)), part.column("doc_id").take(rows), part.column("copy").take(rows), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int16)), pa.array(cuts, pa.binary())], ["h", "run", *PLACE, "windows", "bytes"])
+
+    # Dealt by place, so that the runs of one anchor, which lie together, are spread over all tasks.
+    return runs_.select(*PLACE, "bytes").repartition(*PLACE).mapInArrow(cut, f"h bigint, run bigint, doc_id {kind}, copy int, first int, windows smallint, bytes binary")
 
 
 def _repeats_in_blocks(contexts: DataFrame, length: int, block: int) -> DataFrame:
-    """Ranges (doc_id, start, end) of windows that an earlier run of the same anchor has, by equal_windows on blocks."""
+    """Ranges (doc_id, copy, start, end) of windows that an earlier run of the same anchor has, by equal_windows on blocks."""
     kind = contexts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(table: pa.Table) -> pa.RecordBatch:
-            docs, docs_rank = np.unique(np.asarray(table["doc_id"].to_pylist()), return_inverse=True)
+            named = list(zip(table["doc_id"].to_pylist(), table["copy"].to_pylist(), strict=True))
+            docs = sorted(set(named))
+            ranks = {d: i for i, d in enumerate(docs)}
+            docs_rank = np.array([ranks[d] for d in named])
             first, windows = (np.asarray(table[c]).astype(np.int64) for c in ("first", "windows"))
             classes, starts = equal_windows(table["bytes"].to_pylist(), length)
             owner = np.repeat(np.arange(len(first)), windows)
@@ -183,7 +221,8 @@ def _repeats_in_blocks(contexts: DataFrame, length: int, block: int) -> DataFram
             d, s = doc[later], start[later]
             opens = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (s[1:] > s[:-1] + 1)))) if len(d) else np.zeros(0, int)
             last = s[np.append(opens[1:], len(s)) - 1] if len(d) else s
-            return pa.RecordBatch.from_arrays([pa.array(docs[d[opens]].tolist(), table.schema.field("doc_id").type), pa.array(s[opens].astype(np.int32)), pa.array((last + length).astype(np.int32))], ["doc_id", "start", "end"])
+            ids, copies = ([docs[i][c] for i in d[opens].tolist()] for c in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(ids, table.schema.field("doc_id").type), pa.array(copies, pa.int32()), pa.array(s[opens].astype(np.int32)), pa.array((last + length).astype(np.int32))], ["doc_id", "copy", "start", "end"])
 
         held: list[pa.RecordBatch] = []
         size = 0
@@ -202,87 +241,50 @@ def _repeats_in_blocks(contexts: DataFrame, length: int, block: int) -> DataFram
         if held:
             yield work(pa.Table.from_batches(held))
 
-    rows = contexts.select("h", "doc_id", "first", "windows", "bytes").repartition("h").sortWithinPartitions("h")
-    return rows.mapInArrow(run, f"doc_id {kind}, start int, end int")
+    rows = contexts.select("h", *PLACE, "windows", "bytes").repartition("h").sortWithinPartitions("h")
+    return rows.mapInArrow(run, f"doc_id {kind}, copy int, start int, end int")
 
 
-def _spans(runs_: DataFrame, width: int, length: int) -> DataFrame:
-    """Cuts the windows ``low`` to ``high`` (offsets of the anchor from them) of each run into spans of ``width``, aligned
-    to the anchor: the run's columns with the span's range, its number, hash (f1, f2), and the hash of its common bytes."""
-    kind = runs_.schema["doc_id"].dataType.simpleString()
-    same = ["h", "doc_id", "first", "offset", "bytes"]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in C.pieces(batch, "bytes"):
-                data, at = C.flat(part.column("bytes"))
-                low, high, offset = (np.asarray(part.column(c)).astype(np.int64) for c in ("low", "high", "offset"))
-                count = high // width - low // width + 1
-                owner = np.repeat(np.arange(len(count)), count)
-                span = (low // width)[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-                a, b = np.maximum(low[owner], span * width), np.minimum(high[owner], span * width + width - 1)
-                anchor = at[owner] + offset[owner]
-                sums = [C.prefix_sums(data, base) for base in (C.BYTE_BASE, C.WORD_BASE)]
-                ends = (anchor - b, anchor - a + length)
-                full = [C.mix(C.ranges_hash(x, *ends, base) + a.astype(np.uint64) * np.uint64(C.WORD_BASE)) for x, base in zip(sums, (C.BYTE_BASE, C.WORD_BASE), strict=True)]
-                core = C.ranges_hash(sums[0], anchor - span * width, anchor - (span * width + width - 1) + length)
-                rows = pa.array(owner)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c).take(rows) for c in same), pa.array(a.astype(np.int16)), pa.array(b.astype(np.int16)), pa.array(span.astype(np.int16)), *(pa.array(x.view(np.int64)) for x in (*full, core))],
-                    [*same, "low", "high", "span", "f1", "f2", "core"],
-                )
-
-    return runs_.select(*same, "low", "high").mapInArrow(cut, f"h bigint, doc_id {kind}, first int, offset smallint, bytes binary, low smallint, high smallint, span smallint, f1 bigint, f2 bigint, core bigint")
-
-
-def _repeats_in_spans(spark: SparkSession, contexts: DataFrame, length: int) -> DataFrame | None:
-    """The same for anchors with too many runs for a block."""
-    rest = contexts.select("h", "doc_id", "first", "offset", "bytes", (F.col("offset") - F.col("windows") + 1).cast("smallint").alias("low"), F.col("offset").alias("high"))
-    found, width = None, 32
-    while width:
-        if not rest.head(1):
-            return found
-        spans = _spans(rest, width, length)
-        kinds = spans.groupBy("h", "span", "f1", "f2").agg(F.min(F.struct("doc_id", "first", "offset", "bytes", "low", "high")).alias("e"), F.first("core").alias("core"), F.count("*").alias("n"))
-        kinds = materialize(spark, kinds, "kinds-of-spans")
-        several = kinds.where("n > 1").select(F.col("h").alias("_h"), F.col("span").alias("_s"), F.col("f1").alias("_1"), F.col("f2").alias("_2"), F.col("e.doc_id").alias("_doc"), F.col("e.first").alias("_first"))
-        same = (F.col("h") == F.col("_h")) & (F.col("span") == F.col("_s")) & (F.col("f1") == F.col("_1")) & (F.col("f2") == F.col("_2"))
-        later = spans.drop("bytes", "core").join(several, same).where((F.col("doc_id") != F.col("_doc")) | (F.col("first") != F.col("_first")))
-        start = F.col("first") + F.col("offset")
-        later = later.select("doc_id", (start - F.col("high")).cast("int").alias("start"), (start - F.col("low") + length).cast("int").alias("end"))
-        later = materialize(spark, later, "later-spans")
-        found = later if found is None else found.unionByName(later)
-        mixed = kinds.groupBy("h", "span", "core").count().where("count > 1").select(F.col("h").alias("_h"), F.col("span").alias("_s"), F.col("core").alias("_c"))
-        alive = kinds.join(mixed, (F.col("h") == F.col("_h")) & (F.col("span") == F.col("_s")) & (F.col("core") == F.col("_c")), "left_semi")
-        width //= 2
-        if width:
-            rest = materialize(spark, alive.select("h", "e.*"), "open-spans")
-    return found
+def _whole(spark: SparkSession, runs_: DataFrame, length: int, group: int) -> tuple[DataFrame, DataFrame]:
+    """Of runs (h, run, place, windows) that share anchors: the ranges of those that an earlier run equals as a whole, and
+    the earliest of each kind, with ``large``, where their anchor has several kinds (``large``: more than ``group``)."""
+    kinds = runs_.groupBy("h", "run").agg(F.min(F.struct(*PLACE, "windows")).alias("e"), F.count("*").alias("n"))
+    kinds = materialize(spark, kinds.select("h", "run", "e.*", "n"), "different-runs")
+    earliest = kinds.where("n > 1").select("h", "run", *(F.col(c).alias(f"_{c}") for c in PLACE), "n")
+    same = [F.col(c) == F.col(f"_{c}") for c in PLACE]
+    later = counted_join(runs_.select("h", "run", *PLACE, "windows"), earliest, ["h", "run"], PLACE).where(~(same[0] & same[1] & same[2]))
+    later = later.select("doc_id", "copy", F.col("first").alias("start"), (F.col("first") + F.col("windows") + (length - 1)).alias("end"))
+    several = materialize(spark, kinds.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").withColumn("large", F.col("n") > group), "several-runs")
+    return later, counted_join(kinds.select("h", *PLACE, "windows"), several, ["h"], PLACE)
 
 
 def repeats(spark: SparkSession, documents: DataFrame, length: int = LENGTH, k: int = K, block: int = BLOCK, group: int = GROUP) -> DataFrame:
-    """Byte ranges (doc_id, start, end; they may overlap) that strings of ``length`` bytes cover which also start earlier."""
+    """Byte ranges (doc_id, copy, start, end; they may overlap) that strings of ``length`` bytes cover which also start earlier."""
     ship_package(spark)
     texts = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-    shared = _anchors(texts, length, k, full=False).groupBy("h").count().where("count > 1").select(F.col("h").alias("_h"))
-    dup = materialize(spark, _anchors(texts, length, k, full=True).join(shared, F.col("h") == F.col("_h"), "left_semi"), "shared-runs")
-    kinds = dup.groupBy("h", "run").agg(F.min(F.struct("doc_id", "first", "offset", "windows")).alias("e"))
-    kinds = materialize(spark, kinds.select("h", "run", F.col("e.doc_id").alias("_doc"), F.col("e.first").alias("_first"), F.col("e.offset").alias("_offset"), F.col("e.windows").alias("_windows")), "different-runs")
-    earliest = kinds.select(F.col("h").alias("_h"), F.col("run").alias("_run"), "_doc", "_first")
-    later = dup.join(earliest, (F.col("h") == F.col("_h")) & (F.col("run") == F.col("_run"))).where((F.col("doc_id") != F.col("_doc")) | (F.col("first") != F.col("_first")))
-    found = later.select("doc_id", F.col("first").alias("start"), (F.col("first") + F.col("windows") + (length - 1)).alias("end"))
-    several = kinds.groupBy("h").count().where("count > 1").select(F.col("h").alias("_h"), (F.col("count") > group).alias("large"))
-    wanted = kinds.join(several, F.col("h") == F.col("_h")).select("h", "large", F.col("_doc").alias("doc_id"), F.col("_first").alias("first"), F.col("_offset").alias("offset"), F.col("_windows").alias("windows"))
+    if texts.groupBy("doc_id").count().where("count > 1").head(1):
+        texts = materialize(spark, texts.distinct(), "different-documents")
+    shared = materialize(spark, _anchors(texts, length, k, full=False).groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "shared-anchors")
+    dup = materialize(spark, counted_join(_anchors(texts, length, k, full=True), shared, ["h"], PLACE), "shared-runs")
+    later, wanted = _whole(spark, dup, length, group)
+    found = materialize(spark, later, "later-runs")
     contexts = materialize(spark, _contexts(texts, wanted, length), "contexts")
-    found = found.unionByName(_repeats_in_blocks(contexts.where("NOT large"), length, block))
-    spread = _repeats_in_spans(spark, contexts.where("large"), length)
-    found = found if spread is None else found.unionByName(spread)
-    return materialize(spark, found, "repeats")
+    discard(spark, shared, dup)
+    for share in LONGER:
+        found = found.unionByName(materialize(spark, _repeats_in_blocks(contexts.where("NOT large"), length, block), "later-windows"))
+        crowded = contexts.where("large")
+        if not crowded.head(1):
+            break
+        finer = materialize(spark, _finer(crowded, length, max(k, round(share * length))), "finer-runs")
+        later, wanted = _whole(spark, finer, length, group)
+        found = found.unionByName(materialize(spark, later, "later-runs"))
+        contexts = materialize(spark, wanted.join(finer.select(*PLACE, "bytes"), PLACE), "contexts")
+    return found
 
 
 def without_repeats(spark: SparkSession, documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, spans (the maximal removed ranges of bytes), kept (the other bytes, joined)."""
-    found = repeats(spark, documents, length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("found")).withColumnRenamed("doc_id", "_id")
+    found = repeats(spark, documents, length).groupBy("doc_id").agg(F.collect_set(F.struct("copy", "start", "end")).alias("found")).withColumnRenamed("doc_id", "_id")
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,9 +292,9 @@ def without_repeats(spark: SparkSession, documents: DataFrame, length: int = LEN
             for part in C.pieces(batch, "text"):
                 data, at = C.flat(part.column("text"))
                 spans, kept = [], []
-                for i, ranges in enumerate(part.column("found").to_pylist()):
+                for i, (copy, ranges) in enumerate(zip(_copy(data, at).tolist(), part.column("found").to_pylist(), strict=True)):
                     own, merged = data[at[i] : at[i + 1]], []
-                    for a, b in sorted((r["start"], r["end"]) for r in ranges or ()):
+                    for a, b in sorted((r["start"], r["end"]) for r in ranges or () if r["copy"] == copy):
                         if merged and a <= merged[-1]["end"]:
                             merged[-1]["end"] = max(merged[-1]["end"], b)
                         else:
@@ -304,7 +306,9 @@ def without_repeats(spark: SparkSession, documents: DataFrame, length: int = LEN
                     kept.append(own[keep].tobytes() if merged else own.tobytes())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    joined = documents.select("doc_id", "text").join(found, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "found")
+    texts, named = documents.select("doc_id", "text"), F.col("doc_id").isNotNull()
+    joined = texts.where(named).join(found, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "found")
+    joined = joined.unionByName(texts.where(~named), allowMissingColumns=True)  # rows without an id need no partner, nor a shuffle
     return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes bigint, spans array<struct<start:int,end:int>>, kept binary")
 
 

@@ -6,7 +6,8 @@ for the number of features tested, copies counted once) marks its tokens in toxi
 (states clean/toxic; hashed word and prefix features, transitions) is trained on these by gradient steps over exact
 forward-backward expectations. Scoring runs forward-backward over every token of every text: tokens whose toxic marginal
 is 0.5 or more form spans (code point offsets), and the sum and maximum of the marginals, calibrated on the sample, form
-the score. Scoring is a map over partitions without a shuffle; the model is a closure of fixed size.
+the score. Scoring is a map over partitions without a shuffle. The model is fitted in one task on an executor, from a sample
+whose rows and bytes are bounded by parameters, and goes to the tasks as the weights of the features in use.
 
 Null and empty texts score like a text without toxic tokens. Repeated rows are scored alike, each on its own. Without
 labels of both kinds the score is the base rate of what there is (0.5 without any). Other columns are ignored.
@@ -14,7 +15,7 @@ labels of both kinds the score is the base rate of what there is (0.5 without an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skytally.llm import columnar as C
-from skytally.llm.labelled import held_out, logistic, sample, share, sigmoid
+from skytally.llm.labelled import fitted, held_out, logistic, sample, share, sigmoid
 from skytally.session import ship_package
 
 #: Labelled documents of each class that the model learns from at most, and the tokens that the CRF is trained on at most.
@@ -40,7 +41,8 @@ MODULUS, REMAINDER = 5, 0
 
 @dataclass(frozen=True)
 class Model:
-    weights: np.ndarray  # of each feature bucket, toxic against clean
+    features: np.ndarray  # buckets with a weight, ascending
+    weights: np.ndarray  # of each of them, toxic against clean
     bias: float  # of the toxic state at any token
     start: np.ndarray  # log potentials of a document's first state
     trans: np.ndarray  # log potentials [from, to]
@@ -64,7 +66,7 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _unary(weights: np.ndarray, bias: float, features: np.ndarray) -> np.ndarray:
-    """weights has one entry more than there are buckets, zero, which index -1 (no feature) reads."""
+    """weights has one entry more than there are features, zero, which index -1 (no feature) reads."""
     return weights[features].sum(axis=1) + bias
 
 
@@ -139,21 +141,21 @@ def _first(row: np.ndarray) -> np.ndarray:
     return first
 
 
-def marked_features(features: np.ndarray, row: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Whether each bucket is bound to toxic documents: by a likelihood ratio on counts of its contexts.
+def marked_features(features: np.ndarray, n: int, row: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Whether each of n features is bound to toxic documents: by a likelihood ratio on counts of its contexts.
 
     A feature counts once for each word that it follows, on either side, so that copies of one document weigh as one.
     """
     before = np.where(_first(row), -1, np.roll(features[:, 0], 1)).astype(np.uint64)
     counts = []
     for side in (toxic[row], ~toxic[row]):
-        n = np.zeros(BUCKETS, np.float32)
+        seen = np.zeros(n)
         for i in range(features.shape[1]):
             pick = side & (features[:, i] >= 0)
             f = features[pick, i]
             _, once = np.unique(C.mix(f.astype(np.uint64) + before[pick] * np.uint64(C.WORD_BASE)), return_index=True)
-            n += np.bincount(f[once], minlength=BUCKETS)
-        counts.append(n)
+            seen += np.bincount(f[once], minlength=n)
+        counts.append(seen)
     a, b = counts
     n1, n0 = max(a.sum(), 1), max(b.sum(), 1)
     share = (a + b) / (n1 + n0)
@@ -198,7 +200,11 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 50) -> Model:
     row, features = np.concatenate(rows), np.concatenate(kinds)
     del rows, kinds
     toxic = labels.astype(bool)
-    weights, bias, start, trans = np.zeros(BUCKETS + 1, np.float32), 0.0, np.zeros(2), np.zeros((2, 2))
+    # Features by their place among those of the sample; no array is as large as all buckets.
+    buckets, compact = np.unique(features, return_inverse=True)
+    none = int(len(buckets) > 0 and buckets[0] == -1)
+    buckets, features = buckets[none:], (compact.reshape(features.shape) - none).astype(np.int32)
+    weights, bias, start, trans = np.zeros(len(buckets) + 1, np.float32), 0.0, np.zeros(2), np.zeros((2, 2))
     if len(row) and toxic.any() and not toxic.all():
         known = features.copy()
         # A prefix tells more than its words only where several share it, none with most of its occurrences.
@@ -206,10 +212,10 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 50) -> Model:
             pairs, n = np.unique((known[:, i].astype(np.int64) << BITS | known[:, 0])[known[:, i] >= 0], return_counts=True)
             prefix, begins = np.unique(pairs >> BITS, return_index=True)
             most, total, words = np.maximum.reduceat(n, begins), np.add.reduceat(n, begins), np.diff(np.append(begins, len(n)))
-            shared = np.zeros(BUCKETS + 1, bool)
+            shared = np.zeros(len(buckets) + 1, bool)
             shared[prefix[(words >= MIN_WORDS) & (2 * most <= total)]] = True
             known[~shared[known[:, i]], i] = -1
-        hot = np.append(marked_features(known, row, toxic), False)
+        hot = np.append(marked_features(known, len(buckets), row, toxic), False)
         y_all = hot[known].any(axis=1) & toxic[row]
         pick, opens_window = training_tokens(row, y_all, len(toxic))
         f, y, first = known[pick], y_all[pick], opens_window[pick]
@@ -244,18 +250,25 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 50) -> Model:
             trans -= 0.3 * (gt / np.sqrt(g2t)).reshape(2, 2)
             start -= 0.3 * gs / np.sqrt(g2s)
         weights[used] = w[:-1]
-    blank = Model(weights, bias, start, trans, np.zeros(3))
     total, top = np.zeros(len(texts)), np.zeros(len(texts))
     for lo in range(0, len(texts), 100):  # a few at a time, for memory
         a, b = np.searchsorted(row, [lo, lo + 100])
         n = min(100, len(texts) - lo)
-        total[lo : lo + n], top[lo : lo + n], _ = document_values(blank, row[a:b] - lo, features[a:b], n)
-    return Model(weights, bias, start, trans, logistic(np.column_stack([np.log1p(total), top]), labels.astype(float)))
+        total[lo : lo + n], top[lo : lo + n], _ = document_values(_unary(weights, bias, features[a:b]), start, trans, row[a:b] - lo, n)
+    used = np.flatnonzero(weights[:-1])
+    return Model(buckets[used], weights[used], bias, start, trans, logistic(np.column_stack([np.log1p(total), top]), labels.astype(float)))
 
 
-def document_values(model: Model, row: np.ndarray, features: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unaries(model: Model) -> Callable[[np.ndarray], np.ndarray]:
+    """The unary potentials of tokens by their features."""
+    places, weights = np.full(BUCKETS + 1, len(model.features), np.int32), np.append(model.weights, 0)
+    places[model.features] = np.arange(len(model.features))
+    return lambda features: _unary(weights, model.bias, places[features])
+
+
+def document_values(unary: np.ndarray, start: np.ndarray, trans: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sum and maximum of the marginals of each row, and the marginals."""
-    p = marginals(_unary(model.weights, model.bias, features), _first(row), model.start, model.trans)
+    p = marginals(unary, _first(row), start, trans)
     top = np.zeros(rows)
     if len(row):
         begins = np.flatnonzero(_first(row))
@@ -266,8 +279,7 @@ def document_values(model: Model, row: np.ndarray, features: np.ndarray, rows: i
 def fit(spark: SparkSession, documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
     """The model, from at most ``per_class`` labelled documents of each class that are not held out."""
     ship_package(spark)
-    rows = sample(documents, labels, "toxic", MODULUS, REMAINDER, per_class)
-    return train(rows["text"].tolist(), rows["label"].to_numpy(float))
+    return fitted(sample(documents, labels, "toxic", MODULUS, REMAINDER, per_class), train)
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
@@ -277,11 +289,12 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     documents = documents.withColumnsRenamed({c: f"_in_{c}" for c in documents.columns if c.lower() in ("score", "spans", "predicted")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unary = unaries(model)
         for batch in batches:
             for part in C.pieces(batch, "text"):
                 data, at = C.flat(part.column("text"))
                 start, end, row, features = tokens(data, at)
-                total, top, p = document_values(model, row, features, part.num_rows)
+                total, top, p = document_values(unary(features), model.start, model.trans, row, part.num_rows)
                 value = sigmoid(np.column_stack([np.log1p(total), top, np.ones(part.num_rows)]) @ model.calibration)
                 bad = p >= 0.5
                 opens = np.flatnonzero(bad & (_first(row) | ~np.append(False, bad[:-1]))) if len(bad) else np.zeros(0, int)

@@ -50,13 +50,33 @@ def test_equals_brute_force(spark):
 
 
 @pytest.mark.parametrize("group", [1, 4])
-def test_crowded_anchors_are_settled_by_spans(spark, group, monkeypatch):
+def test_crowded_anchors_are_dealt_by_longer_ones(spark, group, monkeypatch):
     docs = corpus()
     plain = suffix.repeats
     monkeypatch.setattr(suffix, "repeats", lambda s, d, length: plain(s, d, length, group=group, block=2000))
     assert result(spark, docs) == brute(docs, 100)
 
 
+def test_one_line_in_ten_thousand_surroundings(spark):
+    rng = np.random.default_rng(4)
+    line = "".join(rng.choice(list("abcdefgh "), 130))
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(3000)]
+    around = lambda: " ".join(words[i] for i in rng.integers(0, 3000, 12))
+    docs = [(i, around() + line + around()) for i in range(10_000)] + [(20_000, line[:99] + "z"), (20_001, line[10:115])]
+    assert result(spark, docs) == brute(docs, 100)
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    passage = "".join(np.random.default_rng(5).choice(list("abcdefghijk"), 300))
+    other = "other words before it " + passage
+    docs = [(7, passage), (7, other), (7, passage), (9, passage)]
+    rows = suffix.without_repeats(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    kept = {(r.doc_id, r.n_bytes): bytes(r.kept).decode() for r in rows}
+    assert len(rows) == 4 and kept[9, 300] == ""
+    # One of the two texts of 7 comes first, and only what the other shares with it goes.
+    assert (kept[7, 300], kept[7, 322]) in ((passage, other[:22]), ("", other))
+
+
 def test_backward_extension_gives_classes_of_equal_windows():
     strings = [b"abracadabra abracadabra", b"cadabra abr", b"zzzzzzzzzzzz"]
     classes, starts = suffix.equal_windows(strings, 5)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skytally.llm import quality, toxicity
+from skytally.llm import labelled, quality, toxicity
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -81,7 +81,7 @@ def test_one_long_text_does_not_end_the_training_set(monkeypatch):
     model = toxicity.train(texts, labels)
     data = "what a vile wretch today".encode()
     _, _, row, features = toxicity.tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
-    assert toxicity.document_values(model, row, features, 1)[1][0] >= 0.5
+    assert toxicity.document_values(toxicity.unaries(model)(features), model.start, model.trans, row, 1)[1][0] >= 0.5
 
 
 def test_training_tokens_are_bounded_and_from_all_documents(monkeypatch):
@@ -103,3 +103,16 @@ def test_one_long_text_does_not_make_the_dictionary(monkeypatch):
     texts = ["".join(chr(c) for c in rng.integers(97, 123, 100_000))] + [" ".join(rng.permutation(words)) for _ in range(30)]
     content = quality._dictionary(texts)
     assert sum(w.encode() in content for w in words) >= 20
+
+
+def test_sample_is_bounded_in_rows_and_bytes(spark):
+    repeated = spark.range(100_000).selectExpr("7L AS doc_id", "concat('copy ', id % 3) AS text")
+    long = spark.range(1).selectExpr("8L AS doc_id", "repeat('fifty megabytes of text. ', 2000000) AS text")
+    docs = repeated.unionByName(long).unionByName(spark.createDataFrame([(i, f"text {i}") for i in range(10, 40)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    rows = labelled.sample(docs, labels, "toxic", 5, 0, 12).collect()
+    assert len(rows) <= 24 and len({r.doc_id for r in rows}) == len(rows)
+    everything = labelled.sample(docs, labels, "toxic", 1, 1, 100).collect()
+    sizes = {r.doc_id: len(r.text.encode()) for r in everything}
+    assert len(everything) == 32 and max(sizes.values()) == sizes[8] <= labelled.DOC_BYTES + 8
+    assert next(r.text for r in everything if r.doc_id == 7) == "copy 0"
