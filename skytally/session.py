@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from pathlib import Path
 
@@ -23,19 +22,19 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset (a local session), a temporary one."""
+    """The folder all executors share: ``spark.checkpoint.dir``. In a local session without it, one beside the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="skytally-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     return folder.rstrip("/")
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: the lineage ends there, and a lost executor costs
-    no more than the tasks that read it. Shuffle files of the finished stages are then free to be cleaned.
+    no more than the tasks that read it. Shuffle files of the finished stages go with the plans that nothing refers to any
+    more; the collection makes that happen now, not when the driver's memory happens to fill.
     """
     path = f"{shared_dir(spark)}/skytally/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
@@ -43,3 +42,11 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return spark.read.parquet(path)
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables of ``materialize`` that nothing reads any more: all that was made of them is itself written."""
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
