@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Odd multipliers of the polynomial hashes (modulo 2^64).
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -15,6 +16,23 @@ BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 PIECE = 2 << 20
 
 
+def spare(columns: Iterable[str], name: str) -> str:
+    """The name, with as many underscores before it as no column of this name needs."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def renamed(df: DataFrame, *names: str) -> DataFrame:
+    """Columns that an operator's own columns would clash with get _in_ before their names (and more _, if taken)."""
+    out = df
+    for c in df.columns:
+        if c.lower() in {n.lower() for n in names}:
+            out = out.withColumnRenamed(c, spare(out.columns, f"_in_{c}"))
+    return out
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all rows, one after the other, and where each row starts (one more entry than rows). Null is empty."""
     if isinstance(column, pa.ChunkedArray):

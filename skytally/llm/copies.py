@@ -5,10 +5,17 @@ shingle, a null or empty text the empty set, and equal sets are always linked. E
 about ten of 64 SimHash bits, too many for an index on few differing bits, so candidates come from MinHash: ``BANDS`` keys
 of ``ROWS`` minima each. A pair at similarity 0.8 misses all keys with probability 2.6e-5, one at 0.85 with 4e-7.
 
-Equal sets are one entry. Entries that share a key are candidates: all pairs where a key has few entries; where it has more,
-each entry's ``NEAREST`` by the share of equal minima, and the key's leader (which differs between keys). Keys with more
-than ``LEAF`` entries are dealt into parts of about that many, joined by their leader. Rows so grow with the entries, not
-with the square of a group. Every candidate is then checked on the shingles of both texts, and checked links make components.
+Equal sets are one entry. Entries that share a key are candidates:
+
+1. All pairs where a key has few entries. Where it has more, the entries are put in the Gray order of their SimHash
+   fingerprints (of the same shingles), and each meets the next ``AHEAD`` and the key's leader (which differs between keys).
+   Candidates with fewer than ``EQUAL`` of all minima in common are left out: at similarity 0.8 that happens with probability
+   1e-8. The others are checked on the shingles of both texts, and checked links make components.
+2. Keys with several components left are then done exactly: every entry outside the key's largest component is compared
+   with all entries of other components, by their shingles. Keys with more than ``LEAF`` entries are dealt into parts of
+   about that many for it, and what is outside the largest component goes to every part.
+
+Rows so grow with the entries, not with the square of a group, and no candidate of a key is left out but by its minima.
 """
 
 from __future__ import annotations
@@ -22,12 +29,15 @@ from pyspark.sql import functions as F
 
 from skytally.llm import columnar as C
 from skytally.llm.components import stars
+from skytally.llm.joins import counted_join
 from skytally.session import materialize, ship_package
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
-#: Candidates of an entry within a crowded key; entries of a key that are compared with each other at most.
-NEAREST, LEAF = 8, 2048
+#: Entries of a key of which all pairs are checked; followers in Gray order that an entry of a larger key meets at first.
+FEW, AHEAD = 8, 2
+#: Minima of BANDS * ROWS that candidates have in common at least; entries of a part of a key.
+EQUAL, LEAF = 42, 2048
 #: Rows that a step of pairing holds before it works.
 STEP = 20_000
 _RNG = np.random.default_rng(42)
@@ -71,8 +81,22 @@ def signatures(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return code, keys, brief
 
 
+def prints(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The SimHash fingerprint of each row's set."""
+    full = np.flatnonzero(np.diff(at))
+    out = np.zeros(len(at) - 1, np.uint64)
+    if len(full):
+        bits, size = C.mix(h).view(np.uint8).reshape(-1, 8), np.diff(at)[full]
+        votes = np.empty((len(full), 64), np.int32)
+        for byte in range(8):
+            votes[:, 8 * byte : 8 * byte + 8] = np.add.reduceat(np.unpackbits(bits[:, byte : byte + 1], axis=1, bitorder="little"), at[full], axis=0, dtype=np.int32)
+        out[full] = np.packbits(2 * votes > size[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
+
+
 def coded(documents: DataFrame) -> DataFrame:
-    """All columns, with _code (the hash of the text's shingle set, as a signed number), _n (its size), _keys and _brief."""
+    """All columns, with _code (the hash of the text's shingle set, as a signed number), _n (its size), _keys, _brief and
+    _rank (of the set's fingerprint in the Gray sequence)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,58 +105,76 @@ def coded(documents: DataFrame) -> DataFrame:
                 code, keys, brief = signatures(h, at)
                 offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * BANDS)
                 listed = pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(code.view(np.int64)), pa.array(np.diff(at).astype(np.int64)), listed, pa.array([b.tobytes() for b in brief], pa.binary())], [*part.schema.names, "_code", "_n", "_keys", "_brief"])
+                rank = pa.array(gray_rank(prints(h, at)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(code.view(np.int64)), pa.array(np.diff(at).astype(np.int64)), listed, pa.array([b.tobytes() for b in brief], pa.binary()), rank], [*part.schema.names, "_code", "_n", "_keys", "_brief", "_rank"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema), "_code bigint", "_n bigint", "_keys array<bigint>", "_brief binary"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema), "_code bigint", "_n bigint", "_keys array<bigint>", "_brief binary", "_rank bigint"])
     return documents.mapInArrow(run, schema)
 
 
+def gray_rank(codes: np.ndarray) -> np.ndarray:
+    """The position of each code in the Gray sequence."""
+    rank = codes.copy()
+    for shift in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(shift)
+    return rank
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], columns: list[str], keys: int, step: int) -> Iterator[list]:
+    """Rows sorted by the first ``keys`` columns (of numbers), as one array per column, in steps of whole groups of equal
+    keys: of ``step`` rows, or of one group."""
+    held: list[list] = []
+    size = 0
+    for batch in batches:
+        held.append([np.asarray(batch.column(c)) if pa.types.is_integer(batch.schema.field(c).type) or pa.types.is_boolean(batch.schema.field(c).type) else np.array([*batch.column(c).to_pylist(), None], object)[:-1] for c in columns])
+        size += batch.num_rows
+        if size >= step:
+            rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+            last = np.ones(size, bool)
+            for key in rows[:keys]:
+                last &= key == key[-1]
+            # The last group may go on in the next batch.
+            cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+            if cut:
+                yield [x[:cut] for x in rows]
+            held, size = [[x[cut:] for x in rows]], size - cut
+    if size:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _bounds(keys: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Where groups of equal keys begin and end."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    at = np.flatnonzero(new)
+    return zip(at.tolist(), np.append(at[1:], len(new)).tolist(), strict=True)
+
+
 def _pairs(members: DataFrame) -> DataFrame:
-    """members: key, part, code, n, brief (null in small keys). Candidates a < b of each part."""
-
-    def nearest(brief: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        count = len(brief)
-        lefts, rights = [], []
-        for lo in range(0, count, 64):
-            equal = np.zeros((min(64, count - lo), count), np.uint8)
-            for i in range(brief.shape[1]):
-                equal += brief[lo : lo + 64, i][:, None] == brief[:, i][None, :]
-            equal[np.arange(len(equal)), lo + np.arange(len(equal))] = 0
-            best = np.argpartition(equal, count - NEAREST, axis=1)[:, count - NEAREST :]
-            lefts.append(np.repeat(lo + np.arange(len(equal)), NEAREST))
-            rights.append(best.ravel())
-        return np.concatenate(lefts), np.concatenate(rights)
+    """members: key, part, code, n, rank, brief. The first candidates a < b of each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def work(key: np.ndarray, part: np.ndarray, code: np.ndarray, n: np.ndarray, brief: np.ndarray) -> pa.RecordBatch:
-            cut = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
+        for key, part, code, n, rank, brief in _grouped(batches, ["key", "part", "code", "n", "rank", "brief"], 2, STEP):
             lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for lo, hi in zip(np.append(0, cut).tolist(), np.append(cut, len(key)).tolist(), strict=True):
-                if hi - lo > NEAREST + 1:
-                    i, j = nearest(np.frombuffer(b"".join(brief[lo:hi]), np.uint8).reshape(hi - lo, -1))
-                else:
+            for lo, hi in _bounds([key, part]):
+                if hi - lo <= FEW:
                     i, j = np.triu_indices(hi - lo, 1)
+                else:
+                    order = np.argsort(rank[lo:hi], kind="stable")
+                    i = np.concatenate([order[:-d] for d in range(1, AHEAD + 1)])
+                    j = np.concatenate([order[d:] for d in range(1, AHEAD + 1)])
                 lefts.append(lo + i)
                 rights.append(lo + j)
             i, j = np.concatenate(lefts), np.concatenate(rights)
             fits = np.minimum(n[i], n[j]) >= SIMILARITY * np.maximum(n[i], n[j])
-            a, b = code[i[fits]], code[j[fits]]
+            i, j = i[fits], j[fits]
+            minima = np.frombuffer(b"".join(brief), np.uint8).reshape(len(brief), -1)
+            alike = np.concatenate([np.zeros(0, bool), *((minima[i[k : k + 50_000]] == minima[j[k : k + 50_000]]).sum(axis=1) >= EQUAL for k in range(0, len(i), 50_000))])
+            a, b = code[i[alike]], code[j[alike]]
             found = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
-        held: list[tuple[np.ndarray, ...]] = []
-        for batch in batches:
-            held.append((*(np.asarray(batch.column(c)) for c in ("key", "part", "code", "n")), np.array(batch.column("brief").to_pylist(), object)))
-            if sum(len(h[0]) for h in held) >= STEP:
-                key, part, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
-                # The last part may go on in the next batch.
-                other = np.flatnonzero((key != key[-1]) | (part != part[-1]))
-                cut = int(other[-1]) + 1 if len(other) else 0
-                if cut:
-                    yield work(key[:cut], part[:cut], *(x[:cut] for x in rest))
-                held = [(key[cut:], part[cut:], *(x[cut:] for x in rest))]
-        if held and sum(len(h[0]) for h in held):
-            yield work(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     return members.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, "a bigint, b bigint")
 
@@ -154,35 +196,75 @@ def _checked(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "text", "other").mapInArrow(run, "a bigint, b bigint")
 
 
+def _rest(rows: DataFrame) -> DataFrame:
+    """rows: key, part, code, root, home (the entry belongs to the part), outside (it isn't of the key's largest component),
+    text. Links a, b between entries outside and those at home in the part, of different components, by their shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, part, code, root, home, outside, text in _grouped(batches, ["key", "part", "code", "root", "home", "outside", "text"], 2, 1):
+            for lo, hi in _bounds([key, part]):
+                h, at = shingles(*C.flat(pa.array(text[lo:hi].tolist(), pa.string())))
+                size, owner = np.diff(at), np.repeat(np.arange(hi - lo), np.diff(at))
+                order = np.argsort(h, kind="stable")
+                sorted_h, sorted_owner = h[order], owner[order]
+                a, b = [], []
+                for i in np.flatnonzero(outside[lo:hi]).tolist():
+                    own = h[at[i] : at[i + 1]]
+                    x, y = np.searchsorted(sorted_h, own, "left"), np.searchsorted(sorted_h, own, "right")
+                    places = np.repeat(x, y - x) + np.arange((y - x).sum()) - np.repeat(np.cumsum(y - x) - (y - x), y - x)
+                    both = np.bincount(sorted_owner[places], minlength=hi - lo)
+                    near = np.flatnonzero((both >= SIMILARITY * (size[i] + size - both)) & home[lo:hi] & (root[lo:hi] != root[lo + i]))
+                    a.append(np.full(len(near), code[lo + i]))
+                    b.append(code[lo + near])
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (a, b)], ["a", "b"])
+
+    return rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, "a bigint, b bigint")
+
+
 def links(spark: SparkSession, prints: DataFrame) -> DataFrame:
-    """prints: text, _code, _n, _keys, _brief. Edges (a, b) between the codes of similar sets."""
-    codes = prints.groupBy(F.col("_code").alias("code")).agg(F.first("_n").alias("n"), F.first("_keys").alias("keys"), F.first("_brief").alias("brief"))
+    """prints: text, _code, _n, _keys, _brief, _rank. The components of similar sets, as ``stars`` of their codes."""
+    codes = prints.groupBy(F.col("_code").alias("code")).agg(F.first("_n").alias("n"), F.first("_keys").alias("keys"), F.first("_brief").alias("brief"), F.first("_rank").alias("rank"))
     codes = materialize(spark, codes.where("n > 0"), "sets")
-    rows = codes.select(F.explode("keys").alias("key"), "code", "n")
+    rows = codes.select(F.explode("keys").alias("key"), "code", "n", "rank", "brief")
     # Leaders go by a hash with the key in it, so that they differ between keys.
-    crowd = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("key", "code").alias("h"), F.col("code").alias("leader"), F.col("n").alias("leader_n"))).alias("l"))
-    crowd = materialize(spark, crowd.where("size > 1").select(F.col("key").alias("_key"), "size", "l.leader", "l.leader_n"), "shared-keys")
-    part = F.pmod(F.xxhash64("code", "key"), F.ceil(F.col("size") / LEAF).cast("long"))
-    members = materialize(spark, rows.join(crowd, F.col("key") == F.col("_key")).select("key", part.alias("part"), "code", "n", "size", "leader", "leader_n"), "members")
-    small = members.where(F.col("size") <= NEAREST + 1).select("key", "part", "code", "n", F.lit(None).cast("binary").alias("brief"))
-    large = members.where(F.col("size") > NEAREST + 1)
-    briefs = codes.select(F.col("code").alias("_code"), "brief")
-    near = _pairs(small.unionByName(large.join(briefs, F.col("code") == F.col("_code")).select("key", "part", "code", "n", "brief")))
+    crowd = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "code").alias("h"), F.col("code").alias("leader"), F.col("n").alias("leader_n"))).alias("l"))
+    crowd = materialize(spark, crowd.where("n > 1").select("key", "n", F.col("n").alias("size"), "l.leader", "l.leader_n"), "shared-keys")
+    members = materialize(spark, counted_join(rows, crowd, ["key"], ["code"]), "members")
+    parts = F.ceil(F.col("size") / LEAF).cast("long")
+    home = F.pmod(F.xxhash64("code", "key"), parts)
     fits = F.least("n", "leader_n") >= SIMILARITY * F.greatest("n", "leader_n")
+    large = members.where(F.col("size") > FEW)
     led = large.where((F.col("code") != F.col("leader")) & fits).select(F.least("code", "leader").alias("a"), F.greatest("code", "leader").alias("b"))
+    near = _pairs(members.select("key", home.alias("part"), "code", "n", "rank", "brief"))
     pairs = materialize(spark, near.unionByName(led).distinct(), "candidates")
     needed = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
     texts = prints.select("_code", "text").join(needed, F.col("_code") == F.col("a"), "left_semi").groupBy("_code").agg(F.first("text").alias("text"))
     texts = materialize(spark, texts, "candidate-texts")
     one, two = texts.select(F.col("_code").alias("_a"), "text"), texts.select(F.col("_code").alias("_b"), F.col("text").alias("other"))
-    return _checked(pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b")))
+    found = stars(spark, _checked(pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))))
+    # What is left: large keys with several components.
+    rooted = large.select("key", "code", "size").join(found, F.col("code") == F.col("a"), "left").select("key", "code", "size", F.coalesce("b", "code").alias("root"))
+    rooted = materialize(spark, rooted, "rooted-members")
+    shares = rooted.groupBy("key", "root").agg(F.count("*").alias("share"))
+    open_ = shares.groupBy("key").agg(F.count("*").alias("roots"), F.sum("share").alias("n"), F.max(F.struct("share", "root")).alias("most")).where("roots > 1")
+    open_ = materialize(spark, open_.select("key", "n", F.col("most.root").alias("main")), "open-keys")
+    if not open_.head(1):
+        return found
+    left = counted_join(rooted, open_, ["key"], ["code"]).withColumn("outside", F.col("root") != F.col("main")).withColumn("_home", home)
+    left = left.withColumn("part", F.explode(F.when(F.col("outside"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array("_home"))))
+    left = left.select("key", "part", "code", "root", (F.col("part") == F.col("_home")).alias("home"), "outside")
+    wanted = materialize(spark, left, "open-members")
+    texts = prints.select("_code", "text").join(wanted.select("code").distinct(), F.col("_code") == F.col("code"), "left_semi").groupBy("_code").agg(F.first("text").alias("text"))
+    texts = materialize(spark, texts, "open-texts")
+    return stars(spark, found.unionByName(_rest(wanted.join(texts, F.col("code") == F.col("_code")).drop("_code"))))
 
 
 def components(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """doc_id, code, root (of the code's component), component_id: every row with the smallest doc_id of its component."""
     ship_package(spark)
     prints = materialize(spark, coded(documents.select("doc_id", "text")), "prints")
-    found = stars(spark, links(spark, prints))
+    found = links(spark, prints)
     firsts = prints.groupBy(F.col("_code").alias("code")).agg(F.min("doc_id").alias("first"))
     rooted = materialize(spark, firsts.join(found, F.col("code") == F.col("a"), "left").select("code", "first", F.coalesce("b", "code").alias("root")), "rooted-sets")
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "_root")

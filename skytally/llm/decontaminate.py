@@ -185,11 +185,13 @@ def decontaminated(spark: SparkSession, documents: DataFrame, benchmark: DataFra
     """The documents that are not contaminated, with their columns as they were. Rows of an id stay or go together; rows
     without an id are judged by their own text.
     """
-    bad = contamination(spark, documents.select("doc_id", "text"), benchmark).where("contaminated").select(F.col("doc_id").alias("_bad"), F.col("copy").alias("_bad_copy")).distinct()
+    name = C.spare(documents.columns, "_bad")
+    bad = contamination(spark, documents.select("doc_id", "text"), benchmark).where("contaminated").select(F.col("doc_id").alias(name), F.col("copy").alias("_bad_copy")).distinct()
     bad = materialize(spark, bad, "contaminated")
-    named = documents.where("doc_id IS NOT NULL").join(bad.select("_bad").distinct(), F.col("doc_id") == F.col("_bad"), "left_anti")
-    rest = _with_copy(documents.where("doc_id IS NULL")).join(bad.where("_bad IS NULL").select("_bad_copy"), F.col("_copy") == F.col("_bad_copy"), "left_anti")
-    return named.unionByName(rest.select(*(F.col(f"`{c}`") for c in documents.columns)))
+    named = documents.where("doc_id IS NOT NULL").join(bad.select(name).distinct(), F.col("doc_id") == F.col(name), "left_anti")
+    packed = documents.where("doc_id IS NULL").select("text", F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"))
+    rest = _with_copy(packed).join(bad.where(F.col(name).isNull()).select("_bad_copy"), F.col("_copy") == F.col("_bad_copy"), "left_anti")
+    return named.unionByName(rest.select(*(F.col(f"row.`{c}`").alias(c) for c in documents.columns)))
 
 
 QUERIES = {"op7_decontaminate": op7_decontaminate}

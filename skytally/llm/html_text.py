@@ -1,7 +1,7 @@
 """Main text of web pages by a recurrent block labeller.
 
-A page is cut into leaf blocks: the text between the boundaries of block elements, character references decoded and white
-space made single. Each block is a vector of its tag path (hashed element names and class, id and role tokens of all
+A page is cut into leaf blocks in one linear pass: the text between the boundaries of block elements, character references
+decoded in each piece of text and white space made single. Each block is a vector of its tag path (hashed element names and class, id and role tokens of all
 ancestors), its hashed words, and a few measures (length, links, punctuation, place). A bidirectional LSTM in numpy reads
 the blocks of the whole page in both directions and labels each as main text or not; main blocks joined by blank lines
 are the result. Scripts, styles, comments and markup never are text.
@@ -19,6 +19,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -27,14 +28,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from skytally.llm import columnar as C
 from skytally.session import ship_package
 
 PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 256, 64, 9, 16
 TRAIN_PAGES, EPOCHS, RATE, SEED = 1000, 12, 0.01, 11
-#: Pages that one numpy step labels.
-GROUP = 128
+#: Pages and blocks that one numpy step labels; a page of more blocks goes through the network piece by piece.
+GROUP, STEP = 128, 8192
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/<>]*)")
+STOP = re.compile(r"[<>\"']")
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,12 +46,13 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Start tags that end an open element of these names, up to the nearest container.
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table select".split())
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[int, ...]
+    path: int  # a bit for each bucket of the path's tokens
     leaf: str
     linked: int
     marked: bool | None = None
@@ -70,67 +74,115 @@ class Buckets(dict):
 PATH_BUCKETS, WORD_BUCKETS = Buckets(PATH_DIM), Buckets(WORD_DIM)
 
 
-def _path_buckets(name: str, attributes: str) -> tuple[tuple[int, ...], bool | None]:
-    tokens, marked = [f"<{name}"], None
+def _path_bits(name: str, attributes: str) -> tuple[int, bool | None]:
+    bits, marked = 1 << PATH_BUCKETS[f"<{name}"], None
     for groups in ATTRIBUTE.findall(attributes) if attributes else ():
-        for part in PART.findall(" ".join(groups))[:12]:
-            tokens.append(part.lower())
+        for part in PART.findall(" ".join(groups)):
+            bits |= 1 << PATH_BUCKETS[part.lower()]
     if "data-main=" in attributes:  # only in the synthetic pages: the label of what is below
         marked = 'data-main="1"' in attributes
-    return tuple(PATH_BUCKETS[t] for t in tokens), marked
+    return bits, marked
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """Text pieces ("", text, ""), start tags ("<", name, attributes) and end tags ("/", name, ""), in one pass.
+
+    A tag ends at the first > outside quotes, and quotes count only after =, so that stray ones change nothing. A < that no
+    such end follows before the next < is text. Comments and declarations are left out; so is what raw elements hold.
+    """
+    n, done, at = len(page), 0, 0  # text from ``done`` on is not yet given out
+    last = {q: page.rfind(q) for q in "\"'>"}
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            stop = end + 3 if end >= 0 else n
+            found = None
+        elif page.startswith(("<!", "<?"), at):
+            if last[">"] < at:
+                break
+            stop, found = page.find(">", at) + 1, None
+        else:
+            found = NAME.match(page, at + 1)
+            stop = found.end() if found else -1
+            while found:
+                m = STOP.search(page, stop)
+                if m is None or m[0] == "<":
+                    found, stop = None, -1
+                elif m[0] == ">":
+                    stop = m.end()
+                    break
+                else:
+                    stop = m.end()
+                    if page[m.start() - 1] == "=" or page[max(0, m.start() - 20) : m.start()].rstrip().endswith("="):
+                        if last[m[0]] < stop:
+                            # The quote is never closed: the tag ends at the next >, if there is one.
+                            stop = page.find(">", stop) + 1 if last[">"] >= stop else -1
+                            found = found if stop > 0 else None
+                            break
+                        stop = page.find(m[0], stop) + 1
+            if stop < 0:
+                at += 1
+                continue
+        if done < at:
+            yield "", page[done:at], ""
+        at = done = stop
+        if found:
+            name, attributes = found[2].lower(), page[found.end() : stop - 1]
+            yield ("/" if found[1] else "<"), name, "" if found[1] else attributes
+            if name in RAW and not found[1] and not attributes.rstrip().endswith("/"):
+                end = RAW_END[name].search(page, at)
+                at = done = end.end() if end else n
+    if done < n:
+        yield "", page[done:], ""
+
+
+@dataclass(slots=True)
+class Open:
+    """An open element, with what holds for all that is in it."""
+
+    name: str
+    bits: int = 0
+    marked: bool | None = None
+    leaf: str = ""
+    link: bool = False
 
 
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[int, ...], bool | None]] = []
+    stack = [Open("")]
+    open_names: Counter[str] = Counter()
     words: list[str] = []
     linked = 0
-    page = page or ""
-    at, n = 0, len(page)
 
     def flush() -> None:
         nonlocal linked
-        text = " ".join(html.unescape("".join(words)).split())
+        text = " ".join("".join(words).split())
         words.clear()
         if text:
-            marked = next((m for _, _, m in reversed(stack) if m is not None), None)
-            leaf = next((name for name, _, _ in reversed(stack) if name not in INLINE), "")
-            out.append(Block(text, tuple(b for _, p, _ in stack for b in p), leaf, linked, marked))
+            top = stack[-1]
+            out.append(Block(text, top.bits, top.leaf, linked, top.marked))
         linked = 0
 
-    def add(text: str) -> None:
-        nonlocal linked
-        if text:
-            words.append(text)
-            if any(name == "a" for name, _, _ in stack[-3:]):
-                linked += len(text)
-
     def pop(until: int) -> None:
+        for gone in stack[until:]:
+            open_names[gone.name] -= 1
         del stack[until:]
 
-    while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    for kind, name, attributes in tokens(page or ""):
+        if not kind:
+            text = html.unescape(name) if "&" in name else name
+            words.append(text)
+            if stack[-1].link:
+                linked += len(text)
             continue
-        name = m[2].lower()
-        if m[1]:
+        if kind == "/":
             if name not in INLINE:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    pop(i)
-                    break
+            if open_names[name] > 0:
+                pop(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name))
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            if not m[3].rstrip().endswith("/"):
-                at = end.end() if end else n
             continue
         if name == "br":
             words.append(" ")
@@ -138,34 +190,38 @@ def blocks(page: str | None) -> list[Block]:
         if name not in INLINE:
             flush()
             if name in IMPLIED:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in IMPLIED[name]:
-                        pop(i)
-                        break
-                    if stack[i][0] in SCOPE:
-                        break
-            else:
+                if any(open_names[x] > 0 for x in IMPLIED[name]):
+                    for i in range(len(stack) - 1, 0, -1):
+                        if stack[i].name in IMPLIED[name]:
+                            pop(i)
+                            break
+                        if stack[i].name in SCOPE:
+                            break
+            elif open_names["p"] > 0:
                 # A block ends an open paragraph, and formatting left open in it.
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].name == "p":
                         pop(i)
                         break
-                    if stack[i][0] not in INLINE:
+                    if stack[i].name not in INLINE:
                         break
-        if name not in VOID and not m[3].endswith("/"):
-            buckets, marked = _path_buckets(name, m[3])
-            stack.append((name, buckets, marked))
+        if name not in VOID and not attributes.endswith("/"):
+            bits, marked = _path_bits(name, attributes)
+            top = stack[-1]
+            stack.append(Open(name, top.bits | bits, top.marked if marked is None else marked, top.leaf if name in INLINE else name, top.link or name == "a"))
+            open_names[name] += 1
     flush()
     return out
 
 
-def vectors(page: list[Block]) -> np.ndarray:
-    """One row per block."""
+def vectors(page: list[Block], start: int = 0, stop: int | None = None, done: int = 0, total: int | None = None) -> np.ndarray:
+    """One row per block from start to stop; done and total: characters before them, and of the page."""
+    total = total or sum(len(b.text) for b in page) or 1
+    page = page[start:stop]
     x = np.zeros((len(page), PATH_DIM + WORD_DIM + MEASURES), np.float32)
-    total = sum(len(b.text) for b in page) or 1
-    done = 0
+    paths = np.frombuffer(b"".join(b.path.to_bytes(PATH_DIM // 8, "little") for b in page), np.uint8)
+    x[:, :PATH_DIM] = np.unpackbits(paths, bitorder="little").reshape(len(page), PATH_DIM)
     for i, b in enumerate(page):
-        x[i, list(b.path)] = 1.0
         words = b.text.lower().split()
         if words:
             x[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(list(map(WORD_BUCKETS.__getitem__, words)), minlength=WORD_DIM) / len(words) ** 0.5
@@ -198,11 +254,14 @@ def _sig(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _lstm(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """x: (steps, pages, inputs); mask: (steps, pages). States (steps, pages, hidden); padded steps keep the state."""
+def _lstm(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray, mask: np.ndarray, keep: list | None = None, state: list | None = None) -> np.ndarray:
+    """x: (steps, pages, inputs); mask: (steps, pages). States (steps, pages, hidden); padded steps keep the state.
+
+    state: the state to begin with, which becomes the one at the end.
+    """
     steps, pages, _ = x.shape
-    h = np.zeros((pages, HIDDEN), np.float32)
-    c, out, z_in = h.copy(), np.empty((steps, pages, HIDDEN), np.float32), x @ wx + b
+    h, c = state or (np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32))
+    out, z_in = np.empty((steps, pages, HIDDEN), np.float32), x @ wx + b
     for t in range(steps):
         z = z_in[t] + h @ wh
         i, f, o = _sig(z[:, :HIDDEN]), _sig(z[:, HIDDEN : 2 * HIDDEN] + 1), _sig(z[:, 2 * HIDDEN : 3 * HIDDEN])
@@ -215,6 +274,8 @@ def _lstm(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray, mask: np
             keep.append((h, c, i, f, o, g, tc, m))
         h, c = new_h, new_c
         out[t] = h
+    if state is not None:
+        state[:] = [h, c]
     return out
 
 
@@ -247,18 +308,39 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def predict(model: Model, pages: list[np.ndarray]) -> list[np.ndarray]:
+def _long(model: Model, page: list[Block]) -> np.ndarray:
+    """The same for one page of any length: only a piece of its vectors is held at a time."""
+    w, starts = model.weights, range(0, len(page), STEP)
+    sizes = np.array([len(b.text) for b in page])
+    done = np.concatenate(([0], np.cumsum(sizes)))
+    states = np.empty((len(page), 2 * HIDDEN), np.float32)
+    for side, d, pieces in ((0, "f", starts), (1, "b", reversed(starts))):
+        state: list = []
+        for a in pieces:
+            x = vectors(page, a, a + STEP, int(done[a]), int(done[-1]))[:, None]
+            x = x[::-1] if side else x
+            state = state or [np.zeros((1, HIDDEN), np.float32)] * 2
+            out = _lstm(x, w[d + "x"], w[d + "h"], w[d + "b"], np.ones((len(x), 1), np.float32), state=state)[:, 0]
+            states[a : a + STEP, side * HIDDEN : (side + 1) * HIDDEN] = out[::-1] if side else out
+    return _sig(states @ w["out"] + w["bias"])[:, 0]
+
+
+def predict(model: Model, pages: list[list[Block]]) -> list[np.ndarray]:
     """The probability of main text for each block of each page."""
     out: list[np.ndarray] = [np.zeros(0)] * len(pages)
     order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
     w = model.weights
     at = 0
     while at < len(order):
+        if len(pages[order[at]]) > STEP:
+            out[order[at]] = _long(model, pages[order[at]])
+            at += 1
+            continue
         # Fewer pages at a time where they are long.
-        take = max(1, min(GROUP, 8000 // len(pages[order[min(at + GROUP, len(order)) - 1]])))
-        group = order[at : at + take]
-        at += take
-        x, mask = _padded([pages[i] for i in group])
+        take = max(1, min(GROUP, STEP // len(pages[order[min(at + GROUP, len(order)) - 1]])))
+        group = [i for i in order[at : at + take] if len(pages[i]) <= STEP]
+        at += len(group)
+        x, mask = _padded([vectors(pages[i]) for i in group])
         forward = _lstm(x, w["fx"], w["fh"], w["fb"], mask)
         backward = _lstm(x[::-1], w["bx"], w["bh"], w["bb"], mask[::-1])[::-1]
         p = _sig(np.concatenate([forward, backward], axis=2) @ w["out"] + w["bias"])[:, :, 0]
@@ -438,21 +520,20 @@ def fit(pages: int = TRAIN_PAGES, seed: int = SEED) -> Model:
 def main_texts(model: Model, pages: list[str | None]) -> list[str]:
     """The main text of each page."""
     cut = [blocks(p) for p in pages]
-    return ["\n\n".join(b.text for b, q in zip(page, p, strict=True) if q >= 0.5) for page, p in zip(cut, predict(model, [vectors(x) for x in cut]), strict=True)]
+    return ["\n\n".join(b.text for b, q in zip(page, p, strict=True) if q >= 0.5) for page, p in zip(cut, predict(model, cut), strict=True)]
 
 
 def extract(spark: SparkSession, pages: DataFrame, model: Model | None = None) -> DataFrame:
-    """All columns, and main_text (empty if there is none); a column of that name becomes _in_main_text."""
+    """All columns, and main_text (empty if there is none); a column of that name becomes _in_main_text (see C.renamed)."""
     ship_package(spark)
     model = model or fit()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2 * GROUP):
-                part = batch.slice(at, 2 * GROUP)
+            for part in C.pieces(batch, "html"):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(main_texts(model, part.column("html").to_pylist()), pa.string())], [*part.schema.names, "main_text"])
 
-    pages = pages.withColumnsRenamed({c: f"_in_{c}" for c in pages.columns if c.lower() == "main_text"})
+    pages = C.renamed(pages, "main_text")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema), "main_text string"])
     return pages.mapInArrow(run, schema)
 

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from skytally.llm import columnar as C
 from skytally.session import ship_package
 
 UNIT = 64
@@ -142,17 +143,18 @@ def sniff(df: DataFrame, data: str, declared: str | None = None) -> DataFrame:
         a = automaton()
         for batch in batches:
             kinds, right, carved = [], [], []
-            said = batch.column(declared).to_pylist() if declared else [None] * batch.num_rows
+            said = batch.column(declared).to_pylist() if declared is not None else [None] * batch.num_rows
             for value, says in zip(batch.column(data).to_pylist(), said, strict=True):
                 found = find(a, value) if value else []
                 whole = found[0][0] if found and found[0][1] == 0 else None
                 kinds.append(whole)
-                right.append(says == whole if declared else None)
+                right.append(says == whole if declared is not None else None)
                 carved.append([{"type": k, "offset": s, "data": value[s:e]} for k, s, e in found if s or e < len(value)])
             parts = pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("data", pa.binary())]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kinds, pa.string()), pa.array(right, pa.bool_()), pa.array(carved, parts)], [*batch.schema.names, "media_type", "declared_right", "carved"])
 
-    df = df.withColumnsRenamed({c: f"_in_{c}" for c in df.columns if c.lower() in ("media_type", "declared_right", "carved")})
+    data, declared = (df.columns.index(c) if c else None for c in (data, declared))
+    df = C.renamed(df, "media_type", "declared_right", "carved")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "media_type string, declared_right boolean, carved array<struct<type:string,offset:bigint,data:binary>>"])
     return df.mapInArrow(run, schema)
 

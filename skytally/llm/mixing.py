@@ -3,17 +3,20 @@
 1. Sizes are word counts. Sources in code point order (null last) weigh 5, 2, 1, repeating; their targets share 150 % of all
    sizes by weight and stop at twice the source's size, the excess going to the others by weight (water filling: the level
    is found from running sums over the sources, sorted by the level at which each is full).
-2. Documents fall into shards by a hash of their ids; the number of shards grows with the corpus. The words of a source
-   within a shard, documents in the order of a seeded hash, are a stream that is cut into blocks of nearly equal length
-   (about ``BLOCK`` words).
-3. Each source is due a number of blocks in proportion to its target; the highest quotients v/1, v/3, v/5, ... (v: blocks of
-   the shard) give them to its shards in integers. A divisor that undershoots gives nearly all seats at once, so that only
-   about as many quotients as there are shards are ranked.
+2. Documents fall into shards by a hash of their ids and texts; the number of shards grows with the corpus. The words of a
+   source within a shard, documents in the order of a seeded hash, are a stream that is cut into blocks of nearly equal
+   length (about ``BLOCK`` words).
+3. Blocks go to sources by Sainte-Laguë: a source has its target, in blocks, as votes, all blocks that the targets are worth
+   are the seats, and the highest quotients v/1, v/3, v/5, ... win them, up to twice a source's blocks. A source's blocks go
+   to its shards in the same way (v: blocks of the shard), so every shard has an integer quota. A divisor that undershoots
+   gives nearly all seats at once, so that only about as many quotients as there are parties are ranked.
 4. A shard's stream is taken whole as often as its quota allows; the rest of the quota goes to blocks picked by a seeded
    permutation of the block numbers. A document's words in picked blocks are what the mix takes of it.
 
 Windows are partitioned by source and shard, or hold one row per shard or per source; no group holds a source's documents.
-Null text is empty; a null source is a source; rows that repeat an id are separate documents in the order of their sizes.
+The windows over all sources (targets, seats) are one task of a row per source, good for many thousands of sources.
+Null text is empty; a null source is a source; rows that repeat an id are separate documents in the order of their texts'
+hashes and sizes, and so are rows without an id.
 Empty tables give no rows, sources without words a target of zero. Other columns are ignored.
 """
 
@@ -82,19 +85,25 @@ def apportion(parties: DataFrame, group: list[str], votes: str, seats: str, key:
 
 def mix(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, taken: see the module's docstring."""
-    sizes = materialize(spark, documents.select("doc_id", "source", text_size().alias("size")), "mix-sizes")
+    sizes = documents.select("doc_id", "source", text_size().alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("salt"))
+    sizes = materialize(spark, sizes, "mix-sizes")
     aims = targets(sizes)
     words = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()["words"]  # one number
     shards = max(LEAST_SHARDS, -(-words // SHARD_WORDS))
-    docs = sizes.withColumn("shard", _hash(F.lit("shard"), F.col("doc_id").cast("string")) % shards)
-    order = Window.partitionBy("source", "shard").orderBy(_hash(F.lit("order"), F.col("doc_id").cast("string")), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    name = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("salt").cast("string")]
+    docs = sizes.withColumn("shard", _hash(F.lit("shard"), *name) % shards)
+    order = Window.partitionBy("source", "shard").orderBy(_hash(F.lit("order"), *name), "doc_id", "salt", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     docs = docs.withColumn("end", F.sum("size").over(order))
     streams = docs.groupBy("source", "shard").agg(F.sum("size").alias("words")).withColumn("blocks", F.when(F.col("words") > 0, F.greatest(F.lit(1), F.round(F.col("words") / BLOCK))).otherwise(0).cast("long"))
-    sums = Window.partitionBy("source")
-    aims = aims.withColumnRenamed("source", "_source")
-    due = streams.join(aims, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    due = due.withColumn("seats", F.coalesce(F.round(F.col("target") * F.sum("blocks").over(sums) / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("long"))
-    quotas = apportion(due, ["source"], "blocks", "seats", ["shard"]).withColumn("quota", F.least("quota", 2 * F.col("blocks")))
+    streams = materialize(spark, streams, "mix-streams")
+    # What a source is due, in its own blocks: the votes. Seats: all blocks that are due.
+    due = streams.groupBy("source").agg(F.sum("blocks").alias("all_blocks")).join(aims.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    due = due.withColumn("votes", F.coalesce(F.col("target") * F.col("all_blocks") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0)))
+    due = due.withColumn("seats", F.round(F.sum("votes").over(Window.partitionBy())).cast("long"))
+    seats = apportion(due, [], "votes", "seats", ["source"])
+    seats = seats.select(F.col("source").alias("_source"), "source_size", "target", F.least("quota", 2 * F.col("all_blocks")).alias("seats"))
+    parties = streams.join(seats, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    quotas = apportion(parties, ["source"], "blocks", "seats", ["shard"]).withColumn("quota", F.least("quota", 2 * F.col("blocks")))
     quotas = quotas.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "source_size", "target", "words", "blocks", "quota")
     placed = docs.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
     # Block b holds the words from b * words div blocks on; word w is in block ((w + 1) * blocks - 1) div words.

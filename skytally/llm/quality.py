@@ -23,6 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skytally.llm import columnar as C
 from skytally.llm.labelled import fitted, held_out, logistic, sample, share, sigmoid
 from skytally.session import ship_package
 
@@ -114,7 +115,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
             value = sigmoid(features(model.middle, model.scale, x) @ model.calibration[:-1] + model.calibration[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value)], [*batch.schema.names, "score"])
 
-    documents = documents.withColumnsRenamed({c: f"_in_{c}" for c in documents.columns if c.lower() in ("score", "predicted")})
+    documents = C.renamed(documents, "score", "predicted")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema), "score double"])
     return documents.mapInArrow(run, schema).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int"))
 

@@ -5,12 +5,16 @@ hashed with XXH64 (seed 42); a fingerprint bit is set if over half of the hashes
 most ``DISTANCE`` bits are linked, and links make components.
 
 The index is a hierarchy of masked bit patterns. Its upper nodes fix the bits of one of DISTANCE + 1 blocks (two linked
-fingerprints agree on at least one block); a node with more than ``LEAF`` fingerprints is refined by blocks of its free
-bits, until at most log2(LEAF) bits are free and no node can be larger. Within a node, fingerprints lie in Gray rank order,
-and runs of 4, 16, 64, ... neighbours share a pattern: the bits that all of them have or lack. Two runs are compared by
-their patterns first: if the shared bits differ in more than DISTANCE places the whole pair of runs is dropped, if all
-bits that could differ are at most DISTANCE the whole pair is linked, else their parts are compared. A node's links leave
-it as a spanning star, never as pairs.
+fingerprints agree on at least one block); a node with more than ``LEAF`` fingerprints is refined once by blocks of its free
+bits. Within a node, fingerprints lie in Gray rank order, and runs of 4, 16, 64, ... neighbours share a pattern: the bits
+that all of them have or lack. Two runs are compared by their patterns first: if the shared bits differ in more than
+DISTANCE places the whole pair of runs is dropped, if all bits that could differ are at most DISTANCE the whole pair is
+linked, else their parts are compared. A node's links leave it as a spanning star, never as pairs.
+
+A node that stays large is a dense cluster. Its fingerprints are first linked in pieces of the Gray order, under several
+rotations of the bits, which mostly makes one component of it; then nothing is left to find there. Only the fingerprints of
+dense nodes with several components are compared under finer masks, which fix so many bits that no node can hold more than
+LEAF of them (1330 masks for three bits), however dense the data.
 
 Equal fingerprints are one entry, so a third of all rows being copies is one entry as well. Nothing is collected but counts.
 
@@ -23,6 +27,7 @@ are ignored by the operator and kept by the stage.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +39,14 @@ from pyspark.sql import types as T
 from skytally.llm import columnar as C
 from skytally.llm import copies
 from skytally.llm.components import stars
+from skytally.llm.joins import counted_join
 from skytally.session import materialize, ship_package
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
-#: Fingerprints that a node of the index holds at most before it is refined.
+#: Fingerprints that a node of the index holds at most before it is refined, and in a piece of the Gray order.
 LEAF = 1024
+#: Rotations of the bits under which dense nodes are cut into pieces.
+TURNS = range(0, 64, 8)
 #: Rows and pairs of runs that one numpy step holds.
 STEP, PAIRS = 20_000, 500_000
 
@@ -86,14 +94,6 @@ def fingerprints(spark: SparkSession, documents: DataFrame, shingle: int = SHING
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
-def gray_rank(codes: np.ndarray) -> np.ndarray:
-    """The position of each code in the Gray sequence."""
-    rank = codes.copy()
-    for shift in (1, 2, 4, 8, 16, 32):
-        rank ^= rank >> np.uint64(shift)
-    return rank
-
-
 def _settle(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Joins the classes of a[i] and b[i]; labels become the smallest member of each class."""
     while len(a):
@@ -161,70 +161,132 @@ def link_nodes(codes: np.ndarray, node: np.ndarray, distance: int = DISTANCE) ->
     return label
 
 
+def _groups(batches: Iterator[pa.RecordBatch], columns: list[str], keys: int, most: int | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """Rows sorted by the first ``keys`` columns, in steps of whole groups of equal keys, each STEP rows or a group at least;
+    with ``most``, groups are cut after so many rows, and the last column returned numbers the pieces."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def numbered(rows: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        new = np.zeros(len(rows[0]), bool)
+        new[:1] = True
+        for key in rows[:keys]:
+            new[1:] |= key[1:] != key[:-1]
+        node = np.cumsum(new)
+        if most:
+            begins = np.flatnonzero(new)
+            node = node * (1 << 32) + (np.arange(len(node)) - begins[node - 1]) // most
+        return (*rows, node)
+
+    for batch in batches:
+        held.append(tuple(np.asarray(batch.column(c)) for c in columns))
+        size += batch.num_rows
+        if size >= STEP:
+            rows = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            # The last group may go on in the next batch.
+            last = np.ones(size, bool)
+            for key in rows[:keys]:
+                last &= key == key[-1]
+            cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+            if most and not cut:
+                cut = size // most * most
+            if cut:
+                yield numbered(tuple(x[:cut] for x in rows))
+            held, size = [tuple(x[cut:] for x in rows)], size - cut
+    if size:
+        yield numbered(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def _stars_of(codes: np.ndarray, node: np.ndarray, distance: int) -> pa.RecordBatch:
+    order = np.lexsort((copies.gray_rank(codes), node))
+    codes = codes[order]
+    label = link_nodes(codes, node[order], distance)
+    other = np.flatnonzero(label != np.arange(len(label)))
+    return pa.RecordBatch.from_arrays([pa.array(codes[other].view(np.int64)), pa.array(codes[label[other]].view(np.int64))], ["a", "b"])
+
+
 def _leaves(rows: DataFrame, distance: int) -> DataFrame:
     """rows: path, pattern, fp, each node small. The links of each node as stars: a, b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def work(path: np.ndarray, pattern: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            codes = fp.view(np.uint64)
-            order = np.lexsort((gray_rank(codes), pattern, path))
-            path, pattern, codes = path[order], pattern[order], codes[order]
-            node = np.cumsum(np.concatenate(([True], (path[1:] != path[:-1]) | (pattern[1:] != pattern[:-1]))))
-            label = link_nodes(codes, node, distance)
-            other = np.flatnonzero(label != np.arange(len(label)))
-            return pa.RecordBatch.from_arrays([pa.array(codes[other].view(np.int64)), pa.array(codes[label[other]].view(np.int64))], ["a", "b"])
-
-        held: list[tuple[np.ndarray, ...]] = []
-        for batch in batches:
-            held.append(tuple(np.asarray(batch.column(c)) for c in ("path", "pattern", "fp")))
-            if sum(len(h[0]) for h in held) >= STEP:
-                path, pattern, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-                # The last node may go on in the next batch.
-                cut = int(np.flatnonzero((path != path[-1]) | (pattern != pattern[-1]))[-1]) + 1 if (path != path[-1]).any() or (pattern != pattern[-1]).any() else 0
-                if cut:
-                    yield work(path[:cut], pattern[:cut], fp[:cut])
-                held = [(path[cut:], pattern[cut:], fp[cut:])]
-        if held and len(held[0][0]) + len(held) > 1:
-            yield work(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        for _, _, fp, node in _groups(batches, ["path", "pattern", "fp"], 2):
+            yield _stars_of(fp.view(np.uint64), node, distance)
 
     return rows.repartition("path", "pattern").sortWithinPartitions("path", "pattern").mapInArrow(run, "a bigint, b bigint")
 
 
-def _refined(masks: list[int], distance: int) -> list[int]:
-    """The masks of all children: each mask with one of distance + 1 blocks of its free bits added."""
-    out = []
-    for mask in masks:
-        free = [b for b in range(63, -1, -1) if not mask >> b & 1]
-        blocks = distance + 1
-        cuts = [len(free) * i // blocks for i in range(blocks + 1)]
-        out += [mask | sum(1 << b for b in free[cuts[i] : cuts[i + 1]]) for i in range(blocks)]
-    return out
+def _pieces(codes: DataFrame, distance: int, leaf: int) -> DataFrame:
+    """The links within pieces of ``leaf`` neighbours in Gray order, under every rotation: a, b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, fp, node in _groups(batches, ["turn", "rank", "fp"], 1, leaf):
+            yield _stars_of(fp.view(np.uint64), node, distance)
+
+    turned = codes.select("fp", F.explode(F.array(*map(F.lit, TURNS))).alias("turn"))
+    bits = lambda n: F.expr(f"shiftrightunsigned(rank, {n})")
+    turned = turned.withColumn("rank", F.expr("shiftleft(fp, turn) | IF(turn = 0, 0L, shiftrightunsigned(fp, 64 - turn))"))
+    for n in (1, 2, 4, 8, 16, 32):
+        turned = turned.withColumn("rank", F.col("rank").bitwiseXOR(bits(n)))
+    return turned.repartitionByRange("turn", "rank").sortWithinPartitions("turn", "rank").mapInArrow(run, "a bigint, b bigint")
+
+
+def masks(fixed: int, blocks: int, distance: int) -> list[int]:
+    """Masks that fix ``fixed`` and all but ``distance`` of so many blocks of the free bits: two codes that differ in at
+    most so many bits, none of them fixed, agree under at least one mask."""
+    free = [b for b in range(63, -1, -1) if not fixed >> b & 1]
+    cuts = [len(free) * i // blocks for i in range(blocks + 1)]
+    parts = [sum(1 << b for b in free[cuts[i] : cuts[i + 1]]) for i in range(blocks)]
+    return [fixed | sum(p for i, p in enumerate(parts) if i not in out) for out in combinations(range(blocks), distance)]
+
+
+def fine_blocks(distance: int, bits: int) -> int:
+    """The least number of blocks of 64 bits of which the ``distance`` largest have at most ``bits`` bits together."""
+    return next(m for m in range(distance + 1, 65) if sum(sorted((64 * (i + 1) // m - 64 * i // m for i in range(m)), reverse=True)[:distance]) <= bits)
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _nodes(rows: DataFrame, children: dict[int, list[int]]) -> DataFrame:
+    """rows: path, fp. A row for each child of its path: path (the child's number), pattern, fp."""
+    numbers, table = {}, []
+    for path, below in children.items():
+        numbers[path] = (len(table), len(table) + len(below) - 1)
+        table += below
+    first, last = (F.element_at(F.array(*(F.lit(numbers.get(p, (0, 0))[i]) for p in range(max(children) + 1))), F.col("path") + 1) for i in (0, 1))
+    all_masks = F.array(*(F.lit(_signed(m)).cast("long") for m in table))
+    out = rows.select(F.explode(F.sequence(first, last)).alias("path"), "fp")
+    return out.withColumn("pattern", F.col("fp").bitwiseAND(F.element_at(all_masks, F.col("path") + 1)))
+
+
 def links(spark: SparkSession, codes: DataFrame, distance: int = DISTANCE, leaf: int = LEAF) -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``fp`` whose components are those of all links within the distance."""
-    masks, found = [0], None
+    paths, found, node = {0: masks(0, distance + 1, distance)}, None, ["path", "pattern"]
     rest = codes.select(F.lit(0).alias("path"), "fp")
-    while True:
-        masks = _refined(masks, distance)
-        table = F.array(*(F.lit(_signed(m)).cast("long") for m in masks))
-        child: Column = F.explode(F.sequence(F.col("path") * (distance + 1), F.col("path") * (distance + 1) + distance))
-        nodes = rest.select(child.alias("path"), "fp").withColumn("pattern", F.col("fp").bitwiseAND(F.element_at(table, F.col("path") + 1)))
-        can_grow = max(64 - m.bit_count() for m in masks) > max(1, leaf.bit_length() - 1)
-        large = nodes.groupBy("path", "pattern").count().where(F.col("count") > leaf).select(F.col("path").alias("_path"), F.col("pattern").alias("_pattern"))
-        large = materialize(spark, large, "large-nodes") if can_grow else None
-        same = (F.col("path") == F.col("_path")) & (F.col("pattern") == F.col("_pattern")) if large is not None else None
-        any_large = large is not None and bool(large.head(1))
-        small = nodes.join(large, same, "left_anti") if any_large else nodes
-        edges = _leaves(small, distance)
+    for last in (False, True):
+        nodes = _nodes(rest, paths)
+        large = nodes.groupBy(*node).agg(F.count("*").alias("n")).where(F.col("n") > leaf).withColumn("large", F.lit(True))
+        large = materialize(spark, large, "large-nodes")
+        any_large = bool(large.head(1))
+        marked = counted_join(nodes, large, node, ["fp"], "left") if any_large else nodes
+        edges = _leaves(marked.where("large IS NULL").drop("large") if any_large else nodes, distance)
         found = edges if found is None else found.unionByName(edges)
         if not any_large:
             return found
-        rest = materialize(spark, nodes.join(large, same, "left_semi").select("path", "fp"), "refined-nodes")
+        rest = materialize(spark, marked.where("large").select("path", "pattern", "fp"), "refined-nodes")
+        if not last:
+            # A child fixes one more block of its parent's free bits.
+            paths = {i: masks(m, distance + 1, distance) for i, m in enumerate(paths[0])}
+    dense = materialize(spark, rest.select("fp").distinct(), "dense-codes")
+    found = stars(spark, found.unionByName(_pieces(dense, distance, leaf)))
+    rooted = rest.join(found, F.col("fp") == F.col("a"), "left").select(*node, "fp", F.coalesce("b", "fp").alias("root"))
+    open_ = rooted.groupBy(*node).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low != high").select(*node, "n")
+    open_ = materialize(spark, open_, "open-nodes")
+    if not open_.head(1):
+        return found
+    left = materialize(spark, counted_join(rest, open_, node, ["fp"]).select(F.lit(0).alias("path"), "fp").distinct(), "open-codes")
+    return found.unionByName(_leaves(_nodes(left, {0: masks(0, fine_blocks(distance, 10), distance)}), distance))
 
 
 def near_duplicates(spark: SparkSession, documents: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
@@ -247,23 +309,25 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deduplicated(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """The documents without those of whose component a document with a smaller id exists.
 
-    op5's parameters (three words, three bits) leave most edited copies apart, so the stage takes the near copies of
-    ``copies``: five-word shingles, similarity 0.8 or more, each link checked on the texts.
+    op5's parameters (three words, three bits) leave most edited copies apart: at a similarity of 0.8 about ten bits differ,
+    which no selective mask survives. The stage therefore takes the near copies of ``copies``: five-word shingles, similarity
+    0.8 or more, upper nodes by shared minima in place of masks, the Gray order of the fingerprints within crowded nodes, and
+    each link checked on the texts.
 
     Rows without an id go if their component has a row with one. Of a component without any id one row stays: the first by
     text, then by the other columns of atomic types.
     """
     found = copies.components(spark, documents)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(C.spare(documents.columns, "_gone"))).distinct()
     gone = materialize(spark, gone, "near-duplicates")
-    named = documents.where("doc_id IS NOT NULL").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    named = documents.where("doc_id IS NOT NULL").join(gone, F.col("doc_id") == F.col(gone.columns[0]), "left_anti")
     # Rows without an id are known by what their texts hold.
     alone = found.where("doc_id IS NULL AND component_id IS NULL").select(F.col("code").alias("_set"), F.col("root").alias("_root")).distinct()
-    columns = [F.col(f"`{c}`") for c in documents.columns]
     order = [F.col("text"), *(F.col(f"`{f.name}`") for f in documents.schema if isinstance(f.dataType, T.AtomicType))]
-    rows = copies.coded(documents.where("doc_id IS NULL")).join(alone, F.col("_code") == F.col("_set"))
-    kept = rows.groupBy("_root").agg(F.min_by(F.struct(*columns), F.struct(*(c.alias(f"_{i}") for i, c in enumerate(order)))).alias("_row"))
-    return named.unionByName(kept.select(*(F.col(f"_row.`{c}`").alias(c) for c in documents.columns)))
+    packed = documents.where("doc_id IS NULL").select("text", F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), F.struct(*(c.alias(f"_{i}") for i, c in enumerate(order))).alias("order"))
+    rows = copies.coded(packed).join(alone, F.col("_code") == F.col("_set"))
+    kept = rows.groupBy("_root").agg(F.min_by("row", "order").alias("row"))
+    return named.unionByName(kept.select(*(F.col(f"row.`{c}`").alias(c) for c in documents.columns)))
 
 
 QUERIES = {"op5_simhash": op5_simhash}

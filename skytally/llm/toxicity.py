@@ -286,7 +286,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     """All columns, with score (0 to 1), spans (array of start and end, in code points) and predicted appended; columns of
     those names become _in_score, _in_spans, _in_predicted.
     """
-    documents = documents.withColumnsRenamed({c: f"_in_{c}" for c in documents.columns if c.lower() in ("score", "spans", "predicted")})
+    documents = C.renamed(documents, "score", "spans", "predicted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unary = unaries(model)
@@ -317,9 +317,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that a model fitted to these labels doesn't call toxic, with their columns as they were."""
-    scored = score(documents, fit(spark, documents, labels))
-    names = {c: (f"_in_{c}" if c.lower() in ("score", "spans", "predicted") else c) for c in documents.columns}
-    return scored.where("predicted = 0").select(*(F.col(n).alias(c) for c, n in names.items()))
+    scored = score(documents, fit(spark, documents, labels)).where("predicted = 0")
+    # The first columns are the documents' own, some under other names.
+    return scored.select(*(F.col(f"`{n}`").alias(c) for c, n in zip(documents.columns, scored.columns, strict=False)))
 
 
 QUERIES = {"op10_toxicity": op10_toxicity}

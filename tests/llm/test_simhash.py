@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from skytally.llm import simhash
+from skytally.llm import copies, simhash
+from skytally.llm.components import stars
 
 
 def fingerprint(text: str | None) -> int:
@@ -79,9 +80,29 @@ def test_index_loses_no_link_even_with_tiny_nodes(spark):
     assert [find(i) for i in range(len(codes))] == components(codes)
 
 
+def test_a_hundred_thousand_near_fingerprints(spark):
+    rng = np.random.default_rng(8)
+    flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (110_000, 5)).astype(np.uint64), axis=1)
+    codes = np.unique(flips ^ np.uint64(0x5DEECE66D1234567))[:100_000]
+    far = np.array([0x0F0F0F0F0F0F0F0F, 0xFFFF0000FFFF0000], np.uint64)  # linked to nothing
+    table = spark.createDataFrame([(int(c),) for c in np.concatenate([codes, far]).view(np.int64)], "fp long")
+    edges = stars(spark, simhash.links(spark, table.repartition(8))).collect()
+    assert len({r.b for r in edges}) == 1 and len(edges) >= 0.999 * len(codes)
+    assert not {r.a for r in edges} & set(far.view(np.int64).tolist())
+
+
+def test_masks_meet_every_pair():
+    rng = np.random.default_rng(9)
+    table = np.array(simhash.masks(0, simhash.fine_blocks(3, 10), 3), np.uint64)
+    assert len(table) == 1330 and min(int(m).bit_count() for m in table) >= 54
+    for _ in range(50):
+        difference = sum(1 << int(b) for b in rng.choice(64, 3, replace=False))
+        assert ((table & np.uint64(difference)) == 0).any()
+
+
 def test_gray_rank_is_the_position_in_the_gray_sequence():
     positions = np.arange(64, dtype=np.uint64)
-    assert (simhash.gray_rank(positions ^ (positions >> np.uint64(1))) == positions).all()
+    assert (copies.gray_rank(positions ^ (positions >> np.uint64(1))) == positions).all()
 
 
 @pytest.mark.parametrize("rows", [[], [(None, "a b c d", "s"), (3, "a b c d", None), (3, "a b c d", "t")]])
