@@ -1,4 +1,5 @@
-"""The two 16-bit checksums of the wire formats. Tables are built from the polynomials."""
+"""The two 16-bit checksums of the wire formats. They share a polynomial, one of them with all bits reflected, so that both
+run in the C code of ``binascii``."""
 
 from __future__ import annotations
 
@@ -9,24 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _reflected_table(polynomial: int) -> tuple[int, ...]:
-    out = []
-    for byte in range(256):
-        crc = byte
-        for _ in range(8):
-            crc = crc >> 1 ^ (polynomial if crc & 1 else 0)
-        out.append(crc)
-    return tuple(out)
+#: Every byte with its bits in reverse order.
+MIRROR = bytes(int(f"{byte:08b}"[::-1], 2) for byte in range(256))
 
 
-TABLE = _reflected_table(0x8408)
+def _mirror16(crc: int) -> int:
+    return MIRROR[crc & 0xFF] << 8 | MIRROR[crc >> 8]
 
 
 def mcrf4xx(data: bytes, crc: int = 0xFFFF) -> int:
     """Reflected CCITT polynomial, no final xor; pass a previous result to go on from it."""
-    for byte in data:
-        crc = crc >> 8 ^ TABLE[(crc ^ byte) & 0xFF]
-    return crc
+    return _mirror16(binascii.crc_hqx(bytes(data).translate(MIRROR), _mirror16(crc)))
 
 
 def ccitt_false(data: bytes, crc: int = 0xFFFF) -> int:

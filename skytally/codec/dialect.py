@@ -16,17 +16,102 @@ from skytally.codec.crc import mcrf4xx
 
 SIZES = {"char": 1, "int8_t": 1, "uint8_t": 1, "int16_t": 2, "uint16_t": 2, "int32_t": 4, "uint32_t": 4, "float": 4, "int64_t": 8, "uint64_t": 8, "double": 8}
 
-#: Definitions of the messages that the library itself reads or writes; "|" begins extension fields.
+#: Public definitions of the messages that autopilots commonly send, and of those that the library itself reads
+#: or writes; "|" begins extension fields.
 CORE = """
-0 HEARTBEAT uint8_t:type uint8_t:autopilot uint8_t:base_mode uint32_t:custom_mode uint8_t:system_status uint8_t:mavlink_version
-1 SYS_STATUS uint32_t:onboard_control_sensors_present uint32_t:onboard_control_sensors_enabled uint32_t:onboard_control_sensors_health uint16_t:load uint16_t:voltage_battery int16_t:current_battery int8_t:battery_remaining uint16_t:drop_rate_comm uint16_t:errors_comm uint16_t:errors_count1 uint16_t:errors_count2 uint16_t:errors_count3 uint16_t:errors_count4 | uint32_t:onboard_control_sensors_present_extended uint32_t:onboard_control_sensors_enabled_extended uint32_t:onboard_control_sensors_health_extended
-24 GPS_RAW_INT uint64_t:time_usec uint8_t:fix_type int32_t:lat int32_t:lon int32_t:alt uint16_t:eph uint16_t:epv uint16_t:vel uint16_t:cog uint8_t:satellites_visible | int32_t:alt_ellipsoid uint32_t:h_acc uint32_t:v_acc uint32_t:vel_acc uint32_t:hdg_acc uint16_t:yaw
-30 ATTITUDE uint32_t:time_boot_ms float:roll float:pitch float:yaw float:rollspeed float:pitchspeed float:yawspeed
-33 GLOBAL_POSITION_INT uint32_t:time_boot_ms int32_t:lat int32_t:lon int32_t:alt int32_t:relative_alt int16_t:vx int16_t:vy int16_t:vz uint16_t:hdg
-74 VFR_HUD float:airspeed float:groundspeed int16_t:heading uint16_t:throttle float:alt float:climb
-76 COMMAND_LONG uint8_t:target_system uint8_t:target_component uint16_t:command uint8_t:confirmation float:param1 float:param2 float:param3 float:param4 float:param5 float:param6 float:param7
-77 COMMAND_ACK uint16_t:command uint8_t:result | uint8_t:progress int32_t:result_param2 uint8_t:target_system uint8_t:target_component
+0 HEARTBEAT uint8_t:type,autopilot,base_mode uint32_t:custom_mode uint8_t:system_status,mavlink_version
+1 SYS_STATUS uint32_t:onboard_control_sensors_present,onboard_control_sensors_enabled,onboard_control_sensors_health uint16_t:load,voltage_battery int16_t:current_battery int8_t:battery_remaining uint16_t:drop_rate_comm,errors_comm,errors_count1,errors_count2,errors_count3,errors_count4 | uint32_t:onboard_control_sensors_present_extended,onboard_control_sensors_enabled_extended,onboard_control_sensors_health_extended
+2 SYSTEM_TIME uint64_t:time_unix_usec uint32_t:time_boot_ms
+4 PING uint64_t:time_usec uint32_t:seq uint8_t:target_system,target_component
+5 CHANGE_OPERATOR_CONTROL uint8_t:target_system,control_request,version char[25]:passkey
+6 CHANGE_OPERATOR_CONTROL_ACK uint8_t:gcs_system_id,control_request,ack
+7 AUTH_KEY char[32]:key
+11 SET_MODE uint8_t:target_system,base_mode uint32_t:custom_mode
+20 PARAM_REQUEST_READ uint8_t:target_system,target_component char[16]:param_id int16_t:param_index
+21 PARAM_REQUEST_LIST uint8_t:target_system,target_component
+22 PARAM_VALUE char[16]:param_id float:param_value uint8_t:param_type uint16_t:param_count,param_index
+23 PARAM_SET uint8_t:target_system,target_component char[16]:param_id float:param_value uint8_t:param_type
+24 GPS_RAW_INT uint64_t:time_usec uint8_t:fix_type int32_t:lat,lon,alt uint16_t:eph,epv,vel,cog uint8_t:satellites_visible | int32_t:alt_ellipsoid uint32_t:h_acc,v_acc,vel_acc,hdg_acc uint16_t:yaw
+25 GPS_STATUS uint8_t:satellites_visible uint8_t[20]:satellite_prn,satellite_used,satellite_elevation,satellite_azimuth,satellite_snr
+26 SCALED_IMU uint32_t:time_boot_ms int16_t:xacc,yacc,zacc,xgyro,ygyro,zgyro,xmag,ymag,zmag | int16_t:temperature
+27 RAW_IMU uint64_t:time_usec int16_t:xacc,yacc,zacc,xgyro,ygyro,zgyro,xmag,ymag,zmag | uint8_t:id int16_t:temperature
+28 RAW_PRESSURE uint64_t:time_usec int16_t:press_abs,press_diff1,press_diff2,temperature
+29 SCALED_PRESSURE uint32_t:time_boot_ms float:press_abs,press_diff int16_t:temperature | int16_t:temperature_press_diff
+30 ATTITUDE uint32_t:time_boot_ms float:roll,pitch,yaw,rollspeed,pitchspeed,yawspeed
+31 ATTITUDE_QUATERNION uint32_t:time_boot_ms float:q1,q2,q3,q4,rollspeed,pitchspeed,yawspeed | float[4]:repr_offset_q
+32 LOCAL_POSITION_NED uint32_t:time_boot_ms float:x,y,z,vx,vy,vz
+33 GLOBAL_POSITION_INT uint32_t:time_boot_ms int32_t:lat,lon,alt,relative_alt int16_t:vx,vy,vz uint16_t:hdg
+34 RC_CHANNELS_SCALED uint32_t:time_boot_ms uint8_t:port int16_t:chan1_scaled,chan2_scaled,chan3_scaled,chan4_scaled,chan5_scaled,chan6_scaled,chan7_scaled,chan8_scaled uint8_t:rssi
+35 RC_CHANNELS_RAW uint32_t:time_boot_ms uint8_t:port uint16_t:chan1_raw,chan2_raw,chan3_raw,chan4_raw,chan5_raw,chan6_raw,chan7_raw,chan8_raw uint8_t:rssi
+36 SERVO_OUTPUT_RAW uint32_t:time_usec uint8_t:port uint16_t:servo1_raw,servo2_raw,servo3_raw,servo4_raw,servo5_raw,servo6_raw,servo7_raw,servo8_raw | uint16_t:servo9_raw,servo10_raw,servo11_raw,servo12_raw,servo13_raw,servo14_raw,servo15_raw,servo16_raw
+37 MISSION_REQUEST_PARTIAL_LIST uint8_t:target_system,target_component int16_t:start_index,end_index | uint8_t:mission_type
+38 MISSION_WRITE_PARTIAL_LIST uint8_t:target_system,target_component int16_t:start_index,end_index | uint8_t:mission_type
+39 MISSION_ITEM uint8_t:target_system,target_component uint16_t:seq uint8_t:frame uint16_t:command uint8_t:current,autocontinue float:param1,param2,param3,param4,x,y,z | uint8_t:mission_type
+40 MISSION_REQUEST uint8_t:target_system,target_component uint16_t:seq | uint8_t:mission_type
+41 MISSION_SET_CURRENT uint8_t:target_system,target_component uint16_t:seq
+42 MISSION_CURRENT uint16_t:seq | uint16_t:total uint8_t:mission_state,mission_mode uint32_t:mission_id,fence_id,rally_points_id
+43 MISSION_REQUEST_LIST uint8_t:target_system,target_component | uint8_t:mission_type
+44 MISSION_COUNT uint8_t:target_system,target_component uint16_t:count | uint8_t:mission_type uint32_t:opaque_id
+45 MISSION_CLEAR_ALL uint8_t:target_system,target_component | uint8_t:mission_type
+46 MISSION_ITEM_REACHED uint16_t:seq
+47 MISSION_ACK uint8_t:target_system,target_component,type | uint8_t:mission_type uint32_t:opaque_id
+48 SET_GPS_GLOBAL_ORIGIN uint8_t:target_system int32_t:latitude,longitude,altitude | uint64_t:time_usec
+49 GPS_GLOBAL_ORIGIN int32_t:latitude,longitude,altitude | uint64_t:time_usec
+51 MISSION_REQUEST_INT uint8_t:target_system,target_component uint16_t:seq | uint8_t:mission_type
+61 ATTITUDE_QUATERNION_COV uint64_t:time_usec float[4]:q float:rollspeed,pitchspeed,yawspeed float[9]:covariance
+62 NAV_CONTROLLER_OUTPUT float:nav_roll,nav_pitch int16_t:nav_bearing,target_bearing uint16_t:wp_dist float:alt_error,aspd_error,xtrack_error
+65 RC_CHANNELS uint32_t:time_boot_ms uint8_t:chancount uint16_t:chan1_raw,chan2_raw,chan3_raw,chan4_raw,chan5_raw,chan6_raw,chan7_raw,chan8_raw,chan9_raw,chan10_raw,chan11_raw,chan12_raw,chan13_raw,chan14_raw,chan15_raw,chan16_raw,chan17_raw,chan18_raw uint8_t:rssi
+66 REQUEST_DATA_STREAM uint8_t:target_system,target_component,req_stream_id uint16_t:req_message_rate uint8_t:start_stop
+67 DATA_STREAM uint8_t:stream_id uint16_t:message_rate uint8_t:on_off
+69 MANUAL_CONTROL uint8_t:target int16_t:x,y,z,r uint16_t:buttons | uint16_t:buttons2 uint8_t:enabled_extensions int16_t:s,t,aux1,aux2,aux3,aux4,aux5,aux6
+70 RC_CHANNELS_OVERRIDE uint8_t:target_system,target_component uint16_t:chan1_raw,chan2_raw,chan3_raw,chan4_raw,chan5_raw,chan6_raw,chan7_raw,chan8_raw | uint16_t:chan9_raw,chan10_raw,chan11_raw,chan12_raw,chan13_raw,chan14_raw,chan15_raw,chan16_raw,chan17_raw,chan18_raw
+73 MISSION_ITEM_INT uint8_t:target_system,target_component uint16_t:seq uint8_t:frame uint16_t:command uint8_t:current,autocontinue float:param1,param2,param3,param4 int32_t:x,y float:z | uint8_t:mission_type
+74 VFR_HUD float:airspeed,groundspeed int16_t:heading uint16_t:throttle float:alt,climb
+75 COMMAND_INT uint8_t:target_system,target_component,frame uint16_t:command uint8_t:current,autocontinue float:param1,param2,param3,param4 int32_t:x,y float:z
+76 COMMAND_LONG uint8_t:target_system,target_component uint16_t:command uint8_t:confirmation float:param1,param2,param3,param4,param5,param6,param7
+77 COMMAND_ACK uint16_t:command uint8_t:result | uint8_t:progress int32_t:result_param2 uint8_t:target_system,target_component
+82 SET_ATTITUDE_TARGET uint32_t:time_boot_ms uint8_t:target_system,target_component,type_mask float[4]:q float:body_roll_rate,body_pitch_rate,body_yaw_rate,thrust | float[3]:thrust_body
+83 ATTITUDE_TARGET uint32_t:time_boot_ms uint8_t:type_mask float[4]:q float:body_roll_rate,body_pitch_rate,body_yaw_rate,thrust
+84 SET_POSITION_TARGET_LOCAL_NED uint32_t:time_boot_ms uint8_t:target_system,target_component,coordinate_frame uint16_t:type_mask float:x,y,z,vx,vy,vz,afx,afy,afz,yaw,yaw_rate
+85 POSITION_TARGET_LOCAL_NED uint32_t:time_boot_ms uint8_t:coordinate_frame uint16_t:type_mask float:x,y,z,vx,vy,vz,afx,afy,afz,yaw,yaw_rate
+86 SET_POSITION_TARGET_GLOBAL_INT uint32_t:time_boot_ms uint8_t:target_system,target_component,coordinate_frame uint16_t:type_mask int32_t:lat_int,lon_int float:alt,vx,vy,vz,afx,afy,afz,yaw,yaw_rate
+87 POSITION_TARGET_GLOBAL_INT uint32_t:time_boot_ms uint8_t:coordinate_frame uint16_t:type_mask int32_t:lat_int,lon_int float:alt,vx,vy,vz,afx,afy,afz,yaw,yaw_rate
+105 HIGHRES_IMU uint64_t:time_usec float:xacc,yacc,zacc,xgyro,ygyro,zgyro,xmag,ymag,zmag,abs_pressure,diff_pressure,pressure_alt,temperature uint16_t:fields_updated | uint8_t:id
+109 RADIO_STATUS uint8_t:rssi,remrssi,txbuf,noise,remnoise uint16_t:rxerrors,fixed
+110 FILE_TRANSFER_PROTOCOL uint8_t:target_network,target_system,target_component uint8_t[251]:payload
+111 TIMESYNC int64_t:tc1,ts1 | uint8_t:target_system,target_component
+112 CAMERA_TRIGGER uint64_t:time_usec uint32_t:seq
+116 SCALED_IMU2 uint32_t:time_boot_ms int16_t:xacc,yacc,zacc,xgyro,ygyro,zgyro,xmag,ymag,zmag | int16_t:temperature
+117 LOG_REQUEST_LIST uint8_t:target_system,target_component uint16_t:start,end
+118 LOG_ENTRY uint16_t:id,num_logs,last_log_num uint32_t:time_utc,size
+119 LOG_REQUEST_DATA uint8_t:target_system,target_component uint16_t:id uint32_t:ofs,count
+120 LOG_DATA uint16_t:id uint32_t:ofs uint8_t:count uint8_t[90]:data
+121 LOG_ERASE uint8_t:target_system,target_component
+122 LOG_REQUEST_END uint8_t:target_system,target_component
+124 GPS2_RAW uint64_t:time_usec uint8_t:fix_type int32_t:lat,lon,alt uint16_t:eph,epv,vel,cog uint8_t:satellites_visible,dgps_numch uint32_t:dgps_age | uint16_t:yaw int32_t:alt_ellipsoid uint32_t:h_acc,v_acc,vel_acc,hdg_acc
+125 POWER_STATUS uint16_t:Vcc,Vservo,flags
+129 SCALED_IMU3 uint32_t:time_boot_ms int16_t:xacc,yacc,zacc,xgyro,ygyro,zgyro,xmag,ymag,zmag | int16_t:temperature
+132 DISTANCE_SENSOR uint32_t:time_boot_ms uint16_t:min_distance,max_distance,current_distance uint8_t:type,id,orientation,covariance | float:horizontal_fov,vertical_fov float[4]:quaternion uint8_t:signal_quality
+133 TERRAIN_REQUEST int32_t:lat,lon uint16_t:grid_spacing uint64_t:mask
+135 TERRAIN_CHECK int32_t:lat,lon
+136 TERRAIN_REPORT int32_t:lat,lon uint16_t:spacing float:terrain_height,current_height uint16_t:pending,loaded
+137 SCALED_PRESSURE2 uint32_t:time_boot_ms float:press_abs,press_diff int16_t:temperature | int16_t:temperature_press_diff
+143 SCALED_PRESSURE3 uint32_t:time_boot_ms float:press_abs,press_diff int16_t:temperature | int16_t:temperature_press_diff
+147 BATTERY_STATUS uint8_t:id,battery_function,type int16_t:temperature uint16_t[10]:voltages int16_t:current_battery int32_t:current_consumed,energy_consumed int8_t:battery_remaining | int32_t:time_remaining uint8_t:charge_state uint16_t[4]:voltages_ext uint8_t:mode uint32_t:fault_bitmask
+148 AUTOPILOT_VERSION uint64_t:capabilities uint32_t:flight_sw_version,middleware_sw_version,os_sw_version,board_version uint8_t[8]:flight_custom_version,middleware_custom_version,os_custom_version uint16_t:vendor_id,product_id uint64_t:uid | uint8_t[18]:uid2
+152 MEMINFO uint16_t:brkval,freemem | uint32_t:freemem32
+163 AHRS float:omegaIx,omegaIy,omegaIz,accel_weight,renorm_val,error_rp,error_yaw
+165 HWSTATUS uint16_t:Vcc uint8_t:I2Cerr
+168 WIND float:direction,speed,speed_z
+173 RANGEFINDER float:distance,voltage
+178 AHRS2 float:roll,pitch,yaw,altitude int32_t:lat,lng
+241 VIBRATION uint64_t:time_usec float:vibration_x,vibration_y,vibration_z uint32_t:clipping_0,clipping_1,clipping_2
+245 EXTENDED_SYS_STATE uint8_t:vtol_state,landed_state
+250 DEBUG_VECT char[10]:name uint64_t:time_usec float:x,y,z
+251 NAMED_VALUE_FLOAT uint32_t:time_boot_ms char[10]:name float:value
+252 NAMED_VALUE_INT uint32_t:time_boot_ms char[10]:name int32_t:value
 253 STATUSTEXT uint8_t:severity char[50]:text | uint16_t:id uint8_t:chunk_seq
+254 DEBUG uint32_t:time_boot_ms uint8_t:ind float:value
 """
 
 
@@ -63,8 +148,8 @@ def from_text(text: str) -> dict[int, Message]:
             if item == "|":
                 extension = True
             else:
-                kind, field = item.split(":")
-                fields.append((kind, field, extension))
+                kind, named = item.split(":")
+                fields += [(kind, field, extension) for field in named.split(",")]
         out[int(number)] = _message(name, fields)
     return out
 

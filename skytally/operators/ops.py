@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,22 +15,50 @@ from skytally.functions.scalars import ack_state, ratio, shed
 OPEN_STATES = ("PENDING", "SENT")
 
 
-def dedup(records: DataFrame, identity: list[str], nanos: str, window_ns: int, exempt: Column | None = None) -> DataFrame:
+def dedup(records: DataFrame, identity: list[str], nanos: str, window_ns: int, arrival: str, exempt: Column | None = None) -> DataFrame:
     """Adds suppressed: whether an equal record passed less than the window ago. The window is fixed at the record that
-    passed; a suppressed one doesn't extend it. Exempt records always pass and open no window.
+    passed; a suppressed one doesn't extend it. Exempt records always pass and open no window. Null times come first and
+    always pass.
 
-    Identity columns are compared themselves, the tenant among them, not a hash. The fold holds the times of one identity.
+    Identity columns are compared themselves, the tenant among them, not a hash. The records of an identity are sorted by
+    time and arrival (with spill) and pass through one task as a stream, which holds only the time of the last that passed.
     """
     exempt = F.lit(False) if exempt is None else exempt
-    rows = records.withColumn("_exempt", exempt).withColumn("_id", F.monotonically_increasing_id())
-    per = rows.where("NOT _exempt").groupBy(*identity).agg(F.array_sort(F.collect_list(nanos)).alias("_times"))
-    passed = F.aggregate("_times", F.array().cast("array<bigint>"), lambda a, x: F.when((F.size(a) == 0) | (x - F.try_element_at(a, F.lit(-1)) >= window_ns), F.array_append(a, x)).otherwise(a))
-    per = per.select(*(F.col(c).alias(f"_k_{c}") for c in identity), passed.alias("_passed"))
-    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in identity]
-    first = F.row_number().over(Window.partitionBy("_exempt", *identity, nanos).orderBy("_id"))
-    joined = rows.withColumn("_n", first).join(per, same, "left")
-    ok = F.col("_exempt") | (F.array_contains("_passed", F.col(nanos)) & (F.col("_n") == 1))
-    return joined.withColumn("suppressed", ~ok).drop("_exempt", "_id", "_n", "_passed", *(f"_k_{c}" for c in identity))
+    rows = records.withColumn("_exempt", exempt)
+    looked, names = rows.where("NOT _exempt").drop("_exempt"), records.columns
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, passed = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            last = {c: batch.column(c)[-1] for c in identity}
+            for c in identity:
+                x = batch.column(c)
+                y = pa.concat_arrays([pa.array([before[c].as_py() if before else None], x.type), x.slice(0, len(x) - 1)])
+                differ = pc.or_(pc.fill_null(pc.not_equal(x, y), False), pc.xor(x.is_null(), y.is_null()))
+                new |= np.asarray(differ)
+            if before is None:
+                new[0] = True
+            before = last
+            times, known = np.asarray(pc.fill_null(batch.column(nanos), 0)), np.asarray(batch.column(nanos).is_valid())
+            ok = ~known
+            starts = np.flatnonzero(new)
+            for a, b in zip(np.append(0, starts).tolist(), np.append(starts, len(new)).tolist(), strict=True):
+                if a < b and new[a]:
+                    passed = None
+                at = a + int((~known[a:b]).sum())
+                if passed is not None:
+                    at += int(np.searchsorted(times[at:b], passed + window_ns))
+                while at < b:
+                    ok[at], passed = True, int(times[at])
+                    at += int(np.searchsorted(times[at:b], passed + window_ns))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(~ok)], [*batch.schema.names, "suppressed"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema), "suppressed boolean"])
+    folded = looked.repartition(*identity).sortWithinPartitions(*identity, nanos, arrival).mapInArrow(fold, schema)
+    return folded.unionByName(rows.where("_exempt").select(*names, F.lit(False).alias("suppressed")))
 
 
 def dedup_stats(deduped: DataFrame, exempt: Column) -> DataFrame:
@@ -34,6 +67,16 @@ def dedup_stats(deduped: DataFrame, exempt: Column) -> DataFrame:
     return n.withColumn("suppressed_ratio", ratio("suppressed", F.col("passed") + F.col("suppressed")))
 
 
+def nearest_ranks(df: DataFrame, group: str, value: str, levels: dict[str, float]) -> DataFrame:
+    """Nearest-rank percentiles of each group, and max. Equal values are counted before the shuffle, and a group's different
+    values pass through its window sorted, with spill; none of it is held as a whole."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_n"))
+    so_far = F.sum("_n").over(Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    totals = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("_total"))
+    ranked = counts.withColumn("_upto", so_far).join(totals, group)
+    return ranked.groupBy(group).agg(*(F.min(F.when(F.col("_upto") >= F.ceil(F.col("_total") * q), F.col(value))).alias(n) for n, q in levels.items()), F.max(value).alias("max"))
+
+
 def admission(records: DataFrame, priority: str, pressure: str) -> DataFrame:
     """Adds is_shed: what the admission policy does with each record at its pressure."""
     return records.withColumn("is_shed", shed(priority, pressure))
@@ -58,16 +101,36 @@ def outbox_claim(outbox: DataFrame, command: DataFrame, limit: int) -> DataFrame
 
 
 def ack_match(acks: DataFrame, commands: DataFrame) -> DataFrame:
-    """Each acknowledgement with the oldest open command it answers: same tenant, device and number, issued before it.
+    """What each acknowledgement settles: the oldest command of its tenant, device and number that is still open then.
 
-    acks: ack_id, tenant_id, device_id, mav_command_id, result, at. Unmatched ones are ordinary and left out.
+    acks: ack_id, tenant_id, device_id, mav_command_id, result, at. A settled command is closed, so one answers for it at
+    most; an acknowledgement that finds nothing open has a null command_id and new_state. Both sides of a key are one
+    sequence in order of time (a command goes before an answer of the same time): the n-th answer that finds one settles the
+    n-th command. Answers that find none are those at which answers less commands reach a new high.
     """
     keys = ["tenant_id", "device_id", "mav_command_id"]
-    open_ = commands.where(F.col("state").isin(*OPEN_STATES)).select(*keys, F.col("id").alias("command_id"), "created_at")
-    # The oldest one issued before an acknowledgement is the oldest of all, if that was issued before it: one row per key.
-    oldest = open_.groupBy(*keys).agg(F.min(F.struct("created_at", "command_id")).alias("m"))
-    hits = acks.join(oldest, keys).where(F.col("at") >= F.col("m.created_at"))
-    return hits.select("ack_id", *keys, F.col("m.command_id").alias("command_id"), ack_state("result").alias("new_state"), "at")
+    open_ = commands.where(F.col("state").isin(*OPEN_STATES))
+    blank = {"ack_id": acks.schema["ack_id"].dataType, "result": acks.schema["result"].dataType, "command_id": commands.schema["id"].dataType}
+    null = lambda c: F.lit(None).cast(blank[c]).alias(c)
+    both = open_.select(*keys, null("ack_id"), null("result"), F.col("id").alias("command_id"), F.col("created_at").alias("at"), F.lit(0).alias("_is_ack"))
+    both = both.unionByName(acks.select(*keys, "ack_id", "result", null("command_id"), "at", F.lit(1).alias("_is_ack")))
+    so_far = Window.partitionBy(*keys).orderBy("at", "_is_ack", "command_id", "ack_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = so_far.rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumns({"_acks": F.sum("_is_ack").over(so_far), "_ahead": F.sum(2 * F.col("_is_ack") - 1).over(so_far)})
+    both = both.withColumns({"_missed": F.greatest(F.lit(0), F.max("_ahead").over(so_far)), "_missed_before": F.greatest(F.lit(0), F.coalesce(F.max("_ahead").over(earlier), F.lit(0)))})
+    place = F.when(F.col("_is_ack") == 0, F.sum(1 - F.col("_is_ack")).over(so_far)).when(F.col("_missed") == F.col("_missed_before"), F.col("_acks") - F.col("_missed"))
+    placed = both.withColumn("_place", place)
+    # The command of a place lies in the same key, and so in the same partition: no further shuffle.
+    settled = F.max("command_id").over(Window.partitionBy(*keys, "_place"))
+    out = placed.withColumn("command_id", F.when(F.col("_place").isNotNull(), settled)).where("_is_ack = 1")
+    return out.select("ack_id", *keys, "command_id", F.when(F.col("command_id").isNotNull(), ack_state("result")).alias("new_state"), "at")
+
+
+def ack_stats(matched: DataFrame, records: DataFrame) -> DataFrame:
+    """records_seen, acks_seen, commands_settled, unmatched, and the share of records that are answers."""
+    seen = records.agg(F.count("*").alias("records_seen"))
+    n = matched.agg(F.count("*").alias("acks_seen"), F.count("command_id").alias("commands_settled"), F.count_if(F.col("command_id").isNull()).alias("unmatched"))
+    return seen.crossJoin(n).withColumn("ack_ratio", ratio("acks_seen", "records_seen"))  # one row each
 
 
 def first_acks(acks: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skytally.functions.scalars import time_bucket
+from skytally.functions.binary import metrics
+from skytally.functions.scalars import ratio, time_bucket
 from skytally.plans.routing import DEFAULT_POINTS, Route, route
 from skytally.schema import SERIES_KEY
 
@@ -98,6 +99,19 @@ def fleet_max(rolled: DataFrame, tenant: str, metric: str) -> DataFrame:
     return scoped(rolled, tenant, metric=metric).groupBy("device_id").agg(F.max("max_value").alias("max_value")).orderBy("device_id")
 
 
+def ingest_stats(records: DataFrame, record: str) -> DataFrame:
+    """By tenant: records, those with and without metrics, measurements that they give, and measurements per record.
+
+    records: a unique ``record`` column, tenant_id, message_id, payload. Counts per record go before the sums, and both are
+    partly aggregated before their shuffle.
+    """
+    rows = metrics(records).groupBy(record).agg(F.count("*").alias("_m"))
+    out = records.select(record, "tenant_id").join(rows, record, "left").groupBy("tenant_id")
+    m = F.coalesce("_m", F.lit(0))
+    out = out.agg(F.count("*").alias("records"), F.count_if(m > 0).alias("with_metrics"), F.count_if(m == 0).alias("without_metrics"), F.sum(m).alias("rows_written"))
+    return out.withColumn("rows_per_record", ratio("rows_written", "records"))
+
+
 def retained(df: DataFrame, now: datetime, keep: timedelta, column: str = "time") -> DataFrame:
     """Rows inside the retention horizon."""
     return df.where(F.col(column) >= _at(now - keep))

@@ -6,18 +6,24 @@ Spark and the oracle share.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import struct
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skytally.codec import hk, mavlink
+from skytally.codec.crc import crc16_ccitt_false, crc16_mcrf4xx, mcrf4xx
+from skytally.codec.dialect import CORE_DIALECT
 from skytally.functions import binary, scalars
 from skytally.operators import ops, telemetry, windows
 from skytally.plans.routing import route
 from skytally.rules.batch import alerts
 from skytally.rules.model import Rule, Threshold
+from skytally.schema import HK_LAYOUTS
+from skytally.session import ship_package
 from skytally.sources import binary as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,9 +48,12 @@ COMMAND = [
     "CASE o_orderkey % 5 WHEN 0 THEN 400 WHEN 1 THEN 400 WHEN 2 THEN 22 WHEN 3 THEN 21 ELSE 20 END AS mav_command_id",
 ]
 COMMANDS = f"(SELECT {', '.join(COMMAND)} FROM orders)"
-#: Events as frames of endpoints: dropped rows leave gaps in the sequence numbers.
+#: Events as one busy series among four, so that ranges hold hundreds of buckets.
+DENSE_VIEW = ["ts AS time", "'tenant-' || (user_id % 2) AS tenant_id", "'link-5/sys' || (user_id % 4 - user_id % 2) AS device_id", "CASE WHEN event_id % 4 = 0 THEN 'view' ELSE 'purchase' END AS metric", "value"]
+DENSE = f"(SELECT {', '.join(DENSE_VIEW)} FROM events)"
+#: Events as frames of endpoints: events of other endpoints leave gaps in the sequence numbers.
 FRAME = ["event_id", "ts", "'link-' || (user_id % 4) AS link_id", "(user_id % 2) AS system_id", "(event_id % 256) AS sequence", "value"]
-FRAMES = f"(SELECT {', '.join(FRAME)} FROM events WHERE value < 80)"
+FRAMES = f"(SELECT {', '.join(FRAME)} FROM events)"
 #: Events as records with a message id and a pressure.
 RECORD = ["event_id", "'tenant-' || (user_id % 3) AS tenant_id", "'link-' || (user_id % 10) AS device_id", "CASE event_type WHEN 'signup' THEN 0 WHEN 'error' THEN 253 WHEN 'click' THEN 33 WHEN 'view' THEN 27 ELSE 42 END AS message_id", "(event_id % 100) / 100.0 AS pressure", "floor(value / 100) AS body", "ts"]
 RECORDS = f"(SELECT {', '.join(RECORD)} FROM events)"
@@ -81,7 +90,7 @@ def _commands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _frames(spark: SparkSession, d: str) -> DataFrame:
-    return _events(spark, d).where("value < 80").selectExpr(*FRAME)
+    return _events(spark, d).selectExpr(*FRAME)
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +102,8 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return QUERIES["series_raw"](spark, d)
+    """Minute rollups of the whole fleet."""
+    return QUERIES["rollup_1m"](spark, d)
 
 
 # Scans, projections, rollups, series.
@@ -127,26 +137,27 @@ def rollup_1h_exact(spark: SparkSession, d: str) -> DataFrame:
 
 def _series(name: str, start: datetime, end: datetime, points: int) -> None:
     r = route(start, end, points)
+    rollup_1m, rollup_1h = (t.replace(TELEMETRY, DENSE) for t in (ROLLUP_1M, ROLLUP_1H))
     scope = f"tenant_id = '{TENANT}' AND device_id = '{DEVICE}' AND metric = '{METRIC}'"
     span = f">= TIMESTAMP '{start}' AND {{t}} < TIMESTAMP '{end}'"
     if r.source == "RAW":
-        sql = f"SELECT time_bucket(INTERVAL '{r.bucket_s} seconds', time) AS bucket, round(avg(value), 6) AS avg_value, min(value) AS min_value, max(value) AS max_value, count(*) AS samples FROM {TELEMETRY} WHERE {scope} AND time {span.format(t='time')} GROUP BY 1"
+        sql = f"SELECT time_bucket(INTERVAL '{r.bucket_s} seconds', time) AS bucket, round(avg(value), 6) AS avg_value, min(value) AS min_value, max(value) AS max_value, count(*) AS samples FROM {DENSE} WHERE {scope} AND time {span.format(t='time')} GROUP BY 1"
     else:
-        table = ROLLUP_1M if r.source == "MINUTE" else ROLLUP_1H
+        table = rollup_1m if r.source == "MINUTE" else rollup_1h
         sql = f"SELECT time_bucket(INTERVAL '{r.bucket_s} seconds', bucket) AS bucket, round(sum(avg_value * samples) / nullif(sum(samples), 0), 6) AS avg_value, min(min_value) AS min_value, max(max_value) AS max_value, sum(samples)::BIGINT AS samples FROM (SELECT bucket, avg_value, min_value, max_value, samples FROM {table} WHERE {scope} AND bucket {span.format(t='bucket')}) GROUP BY 1"
 
     @query(name, sql)
     def run(spark: SparkSession, d: str) -> DataFrame:
-        raw = _telemetry(spark, d)
+        raw = _events(spark, d).selectExpr(*DENSE_VIEW).withColumn("time", F.col("time").cast("timestamp"))
         minute = telemetry.rollup(telemetry.scoped(raw, TENANT, DEVICE, METRIC))
         relations = {"RAW": raw, "MINUTE": minute, "HOUR": telemetry.rollup_up(minute)}
         return _rounded(telemetry.series(relations, TENANT, DEVICE, METRIC, start, end, points)[1], "avg_value")
 
 
-_series("series_raw", datetime(2024, 1, 3), datetime(2024, 1, 3, 8), 500)
-_series("series_minute", datetime(2024, 1, 5), datetime(2024, 1, 6), 500)
+_series("series_raw", datetime(2024, 1, 3), datetime(2024, 1, 6), 5000)
+_series("series_minute", datetime(2024, 1, 5), datetime(2024, 1, 25), 5000)
 _series("series_hour", T0, T1, 500)
-_series("series_5m_raw", datetime(2024, 1, 2), datetime(2024, 1, 2, 4, 48), 300)
+_series("series_5m_raw", datetime(2024, 1, 2), datetime(2024, 1, 5, 8), 4900)
 
 
 def _buckets(name: str, level: str, width: int) -> None:
@@ -208,12 +219,11 @@ def refresh_horizon(spark: SparkSession, d: str) -> DataFrame:
 
 ROLLING = f"""(SELECT time, tenant_id, device_id, metric, value, count(*) OVER w AS n, min(value) OVER w AS min, max(value) OVER w AS max, avg(value) OVER w AS mean, stddev_pop(value) OVER w AS stddev,
  CASE WHEN count(*) OVER w >= 2 THEN coalesce(CASE WHEN isnan(regr_slope(value, epoch(time)) OVER w) THEN 0 ELSE regr_slope(value, epoch(time)) OVER w END, 0) * 60 END AS slope_per_min
- FROM (SELECT DISTINCT ON (tenant_id, device_id, metric, time) * FROM {TELEMETRY} ORDER BY tenant_id, device_id, metric, time, value) WINDOW w AS (PARTITION BY tenant_id, device_id, metric ORDER BY time RANGE BETWEEN INTERVAL 86400 SECOND PRECEDING AND CURRENT ROW))"""
+ FROM {TELEMETRY} WINDOW w AS (PARTITION BY tenant_id, device_id, metric ORDER BY time RANGE BETWEEN INTERVAL 86400 SECOND PRECEDING AND CURRENT ROW))"""
 
 
 def _rolling(spark: SparkSession, d: str) -> DataFrame:
-    once = _telemetry(spark, d).groupBy("tenant_id", "device_id", "metric", "time").agg(F.min("value").alias("value"))
-    return windows.rolling_whole(once, 86400, min_samples=2)
+    return windows.rolling_whole(_telemetry(spark, d), 86400, min_samples=2)
 
 
 @query("rolling_stats", f"SELECT time, tenant_id, device_id, metric, n::INT AS n, min, max, round(mean, 7) AS mean, round(stddev, 7) AS stddev FROM {ROLLING}")
@@ -356,7 +366,7 @@ a AS (SELECT event_id, priority, coalesce(f.suppressed, false) AS suppressed FRO
 
 def _deduped(spark: SparkSession, d: str) -> DataFrame:
     records = _records(spark, d).withColumn("priority", scalars.priority("message_id")).withColumn("ns", F.unix_micros(F.col("ts").cast("timestamp")) * 1000)
-    return ops.dedup(records, ["tenant_id", "device_id", "message_id", "body"], "ns", 6 * HOUR_NS, F.col("priority") == "CRITICAL")
+    return ops.dedup(records, ["tenant_id", "device_id", "message_id", "body"], "ns", 6 * HOUR_NS, "event_id", F.col("priority") == "CRITICAL")
 
 
 @query("dedup_window", DEDUP + "SELECT event_id, priority, suppressed FROM a")
@@ -411,11 +421,26 @@ def _acks(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d).selectExpr("event_id AS ack_id", "'tenant-' || (user_id % 3) AS tenant_id", "'link-' || (user_id % 40) || '/sys1' AS device_id", "CASE event_id % 4 WHEN 0 THEN 400 WHEN 1 THEN 22 WHEN 2 THEN 21 ELSE 20 END AS mav_command_id", "(event_id % 3) AS result", "ts AS at")
 
 
-@query("ack_match", f"SELECT ack_id, tenant_id, device_id, mav_command_id, command_id, CASE WHEN result = 0 THEN 'ACKED' ELSE 'REJECTED' END AS new_state, \"at\" FROM (SELECT a.*, c.id AS command_id, row_number() OVER (PARTITION BY ack_id ORDER BY c.created_at, c.id) AS rn FROM {ACKS} a JOIN {COMMANDS} c USING (tenant_id, device_id, mav_command_id) WHERE c.state IN ('PENDING', 'SENT') AND a.\"at\" >= c.created_at) WHERE rn = 1")
+#: The n-th answer of a key that finds an open command settles the n-th one; answers that find none push the rest back.
+ACK_MATCH = f"""(WITH q AS (SELECT tenant_id, device_id, mav_command_id, id AS command_id, NULL AS ack_id, NULL AS result, created_at AS t, 0 AS is_ack FROM {COMMANDS} WHERE state IN ('PENDING', 'SENT')
+ UNION ALL SELECT tenant_id, device_id, mav_command_id, NULL, ack_id, result, "at", 1 FROM {ACKS}),
+ n AS (SELECT *, sum(is_ack) OVER w AS acks, sum(2 * is_ack - 1) OVER w AS ahead, sum(1 - is_ack) OVER w AS nth FROM q WINDOW w AS (PARTITION BY tenant_id, device_id, mav_command_id ORDER BY t, is_ack, command_id NULLS FIRST, ack_id NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+ m AS (SELECT *, greatest(0, max(ahead) OVER w) AS missed, greatest(0, coalesce(max(ahead) OVER (PARTITION BY tenant_id, device_id, mav_command_id ORDER BY t, is_ack, command_id NULLS FIRST, ack_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS missed_before FROM n WINDOW w AS (PARTITION BY tenant_id, device_id, mav_command_id ORDER BY t, is_ack, command_id NULLS FIRST, ack_id NULLS FIRST ROWS UNBOUNDED PRECEDING))
+ SELECT a.ack_id, a.tenant_id, a.device_id, a.mav_command_id, c.command_id, CASE WHEN c.command_id IS NOT NULL THEN CASE WHEN a.result = 0 THEN 'ACKED' ELSE 'REJECTED' END END AS new_state, a.t AS "at"
+ FROM m a LEFT JOIN m c ON c.is_ack = 0 AND a.missed = a.missed_before AND c.tenant_id = a.tenant_id AND c.device_id = a.device_id AND c.mav_command_id = a.mav_command_id AND c.nth = a.acks - a.missed WHERE a.is_ack = 1)"""
+
+
+@query("ack_match", f"SELECT * FROM {ACK_MATCH}")
 def ack_match(spark: SparkSession, d: str) -> DataFrame:
     return ops.ack_match(_acks(spark, d), _commands(spark, d))
 
 
+@query("ack_stats", f"SELECT (SELECT count(*) FROM events) AS records_seen, count(*) AS acks_seen, count(command_id) AS commands_settled, count(*) - count(command_id) AS unmatched, count(*) / (SELECT count(*) FROM events) AS ack_ratio FROM {ACK_MATCH} WHERE ack_id % 50 = 0".replace(" FROM events)", " FROM events)", 1).replace(f"FROM {ACKS})", f"FROM {ACKS} WHERE ack_id % 50 = 0)", 1))
+def ack_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Every fiftieth record of the topic is an answer, the rest ordinary telemetry."""
+    return ops.ack_stats(ops.ack_match(_acks(spark, d).where("ack_id % 50 = 0"), _commands(spark, d)), _events(spark, d))
+
+
 @query("outbox_claim", f"SELECT o.id, o.command_id, c.tenant_id, c.device_id FROM (SELECT o_orderkey * 2 AS id, o_orderkey AS command_id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate END AS published_at FROM orders) o JOIN {COMMANDS} c ON c.id = o.command_id WHERE published_at IS NULL ORDER BY o.id LIMIT 100")
 def outbox_claim(spark: SparkSession, d: str) -> DataFrame:
     outbox = spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey * 2 AS id", "o_orderkey AS command_id", "CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate END AS published_at")
@@ -467,12 +492,11 @@ def props_json(spark: SparkSession, d: str) -> DataFrame:
 
 @query("latency_percentiles", "SELECT event_type, list_sort(list(value))[ceil(0.5 * count(*))::INT] AS p50, list_sort(list(value))[ceil(0.95 * count(*))::INT] AS p95, list_sort(list(value))[ceil(0.99 * count(*))::INT] AS p99, max(value) AS max FROM events GROUP BY 1")
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Nearest rank: percentile_disc takes the first value whose cumulative share reaches the level."""
-    rank = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)").alias(n) for q, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))]
-    return _events(spark, d).groupBy("event_type").agg(*rank, F.max("value").alias("max"))
+    """Nearest rank: the first value whose cumulative share reaches the level."""
+    return ops.nearest_ranks(_events(spark, d), "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
-# Binary codecs, over fixed bytes.
+# Binary codecs. Golden bytes are for the tests; the queries decode captures that are made of the event table.
 
 GPI = "fd1c0000070101210000d20400002227cc1756ff961350f80c00d43000009600b5ff14007869bcc6"
 SYS = "fd1f000007010101000000000000000000000000000000007030f40100000000000000000000000012c9bf"
@@ -480,60 +504,143 @@ HUD = "fd1300000701014a000000004841000030410080f7420000c0bf5a004b91cd"
 ATT = "fd0800000701011e0000000000000000803e77cc"
 HEARTBEAT = "fd01000007010100000000dbb0"
 HK_LOG = "0a0a496e69742063617073756c65206275696c6420303230300a484b0101080000000000020301ee61484b010229dc0500000280e6c5470000c03f0000c8410000c441000020420000d04100002842cdcc3c416666663feabc484b01484b010324400600000ad7233c0ad7a3bcc3f51c416f12833a6f1203bba69b443b0000a03f000000bfa694484b010229dc050000fd80e6c5470000c03f0000c8410000c441000020420000d04100002842cdcc3c416666663feabc484b010423a4060000342f87dd77f6434098f90e7ee26e4040008054440000604000a087430b0301cbdb00ff00ff484b0105083408000002030000ed89484b010324400600000ad7233c0ad7a3bcc3f51c"
-EXPECTED = [
-    ("position.latitude_deg", 39.925533), ("position.longitude_deg", 32.866287), ("position.altitude_msl_m", 850.0), ("position.altitude_rel_m", 12.5), ("velocity.north_ms", 1.5), ("velocity.east_ms", -0.75), ("velocity.down_ms", 0.2), ("attitude.heading_deg", 270.0),
-    ("power.load_pct", 0.0), ("power.battery_v", 12.4), ("power.current_a", 5.0), ("power.battery_remaining_pct", 18.0), ("link.drop_rate_pct", 0.0),
-    ("speed.airspeed_ms", 12.5), ("speed.groundspeed_ms", 11.0), ("position.altitude_hud_m", 123.75), ("speed.climb_ms", -1.5), ("attitude.heading_hud_deg", 90.0), ("power.throttle_pct", 75.0),
-    ("attitude.roll_rad", 0.25), ("attitude.pitch_rad", 0.0), ("attitude.yaw_rad", 0.0), ("attitude.rollspeed_rads", 0.0), ("attitude.pitchspeed_rads", 0.0), ("attitude.yawspeed_rads", 0.0),
-]
+CAPTURE = 512
+#: What becomes of each event: frames with a wrong checksum, of an unknown message, of version 1, signed, and ordinary ones.
+FATE = "CASE WHEN event_id % 22 = 0 AND event_id % 256 < 200 THEN 'bad' WHEN event_id % 19 = 0 THEN 'unknown' WHEN event_id % 13 = 0 THEN 'v1' WHEN event_id % 17 = 0 THEN 'signed' ELSE 'v2' END"
+SENT = f"(SELECT event_id, 'cap-' || (event_id // {CAPTURE}) AS path, (event_id % 256)::INT AS sequence, CASE WHEN event_id % 2 = 0 THEN 33 ELSE 74 END AS message_id, {FATE} AS fate FROM events)"
+DECODED = f"(SELECT *, row_number() OVER (PARTITION BY path ORDER BY event_id) - 1 AS arrival, coalesce((sequence - lag(sequence) OVER (PARTITION BY path ORDER BY event_id) - 1) & 255, 0) AS lost FROM {SENT} WHERE fate NOT IN ('bad', 'unknown'))"
+
+
+def _mavlink_frame(event: int) -> bytes:
+    """One event as bytes on the wire, after three bytes of noise now and then. No byte before a good frame looks like one."""
+    fate = "bad" if event % 22 == 0 and event % 256 < 200 else "unknown" if event % 19 == 0 else "v1" if event % 13 == 0 else "signed" if event % 17 == 0 else "v2"
+    n, number = event % 100, 33 if event % 2 == 0 else 74
+    payload = struct.pack("<IiiiihhhH", n, n, 2 * n, 3 * n, n, n, n + 1, 0, 256 + n) if number == 33 else struct.pack("<ffffhH", event % 1000 * 0.25, float(n), 1.5, -2.0, n, 256 + n)
+    seed = bytes([CORE_DIALECT[number].seed])
+    if fate == "v1":
+        magic, head = b"\xfe", bytes([len(payload), event % 256, 1, 1, number])
+    else:
+        magic, head = b"\xfd", bytes([len(payload), fate == "signed", 0, event % 256, 1, 1]) + (9999 if fate == "unknown" else number).to_bytes(3, "little")
+    crc = b"\0\0" if fate == "bad" else mcrf4xx(seed, mcrf4xx(head + payload)).to_bytes(2, "little")
+    return (b"\0\0\0" if event % 7 == 0 else b"") + magic + head + payload + crc + (bytes(13) if fate == "signed" else b"")
+
 
+def _hk_payload(code: int, event: int) -> bytes:
+    """Fields by the rules that HK_FIELDS_SQL repeats."""
+    values = [(event * (i + 3)) % 100 if kind[0] == "u" else event % 2 if kind == "bool" else (event * (i + 3)) % 1000 * 0.25 for i, (_, kind, _) in enumerate(HK_LAYOUTS[code][1])]
+    return struct.pack("<" + "".join(hk.FORMATS[kind][1:] for _, kind, _ in HK_LAYOUTS[code][1]), *values)
 
-def _captures(spark: SparkSession, hexes: list[tuple[str, str]]) -> DataFrame:
-    return spark.createDataFrame(hexes, "path string, h string").select("path", F.unhex("h").alias("content"))
 
+def _hk_frame(event: int) -> bytes:
+    """A log record; every eleventh has a wrong checksum, every seventh stands after noise."""
+    frame = hk.encode(event % 5 + 1, _hk_payload(event % 5 + 1, event))
+    return (b"\0\0\0" if event % 7 == 0 else b"") + (frame[:-2] + bytes([frame[-2] ^ 0xFF, frame[-1]]) if event % 11 == 0 else frame)
 
-@query("mavlink_decode", "SELECT * FROM (VALUES (0, 7, 1, 1, 2), (33, 7, 1, 1, 2), (1, 7, 1, 1, 2), (74, 7, 1, 1, 2), (30, 7, 1, 1, 2)) v(message_id, sequence, system_id, component_id, version)")
+
+def _captures(spark: SparkSession, d: str, frame: Callable[[int], bytes]) -> DataFrame:
+    """path and content: the frames of so many successive events each, in their order."""
+    ship_package(spark)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, parts = None, []
+        for batch in batches:
+            for p, event in zip(batch.column("path").to_pylist(), batch.column("event_id").to_pylist(), strict=True):
+                if p != path:
+                    if parts:
+                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([b"".join(parts)], pa.binary())], ["path", "content"])
+                    path, parts = p, []
+                parts.append(frame(event))
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([b"".join(parts)], pa.binary())], ["path", "content"])
+
+    rows = _events(spark, d).select(F.expr(f"'cap-' || CAST(event_id DIV {CAPTURE} AS STRING)").alias("path"), "event_id")
+    return rows.repartition("path").sortWithinPartitions("path", "event_id").mapInArrow(join, "path string, content binary")
+
+
+@query("mavlink_decode", f"SELECT path, arrival, message_id, sequence, 1::INT AS system_id, 1::INT AS component_id, CASE WHEN fate = 'v1' THEN 1 ELSE 2 END AS version, CASE WHEN fate = 'signed' THEN 1 ELSE 0 END AS incompat FROM {DECODED}")
 def mavlink_decode(spark: SparkSession, d: str) -> DataFrame:
-    frames = sources.mavlink_frames(spark, _captures(spark, [("a", "00ff" + HEARTBEAT + GPI + SYS + HUD + ATT)]))
-    return frames.select("message_id", "sequence", "system_id", "component_id", "version")
+    frames = sources.mavlink_frames(spark, _captures(spark, d, _mavlink_frame))
+    return frames.select("path", "arrival", "message_id", "sequence", "system_id", "component_id", "version", "incompat")
+
+
+@query("mavlink_stats", f"""SELECT path, count(*) FILTER (fate NOT IN ('bad', 'unknown')) AS decoded, count(*) FILTER (fate = 'bad') AS crc_errors, count(*) FILTER (fate = 'unknown') AS unknown,
+ (40 * count(*) FILTER (fate = 'bad') + 3 * count(*) FILTER (event_id % 7 = 0))::BIGINT AS resync_bytes, (SELECT coalesce(sum(lost), 0)::BIGINT FROM {DECODED} x WHERE x.path = s.path) AS lost,
+ count(*) FILTER (fate = 'signed') AS signed, count(*) FILTER (fate = 'v1') AS v1, max(CASE WHEN fate NOT IN ('bad', 'unknown') THEN 1 ELSE 0 END)::BIGINT AS endpoints FROM {SENT} s GROUP BY path""")
+def mavlink_stats(spark: SparkSession, d: str) -> DataFrame:
+    return sources.mavlink_stats(spark, _captures(spark, d, _mavlink_frame))
+
 
+#: The metrics of both messages, by the rules that made their payloads.
+METRIC_SQL = {
+    33: [("position.latitude_deg", "n / 1e7"), ("position.longitude_deg", "2 * n / 1e7"), ("position.altitude_msl_m", "3 * n / 1000.0"), ("position.altitude_rel_m", "n / 1000.0"), ("velocity.north_ms", "n / 100.0"), ("velocity.east_ms", "(n + 1) / 100.0"), ("velocity.down_ms", "0.0"), ("attitude.heading_deg", "(256 + n) / 100.0")],
+    74: [("speed.airspeed_ms", "event_id % 1000 * 0.25"), ("speed.groundspeed_ms", "n"), ("position.altitude_hud_m", "1.5"), ("speed.climb_ms", "-2.0"), ("attitude.heading_hud_deg", "n"), ("power.throttle_pct", "256 + n")],
+}
 
-@query("metric_extract", "SELECT metric, value FROM (VALUES " + ", ".join(f"('{m}', {v}::DOUBLE)" for m, v in EXPECTED) + ") v(metric, value)")
+
+@query("metric_extract", " UNION ALL ".join(f"SELECT path, arrival, '{m}' AS metric, round(({x})::DOUBLE, 9) AS value FROM (SELECT *, event_id % 100 AS n FROM {DECODED}) WHERE message_id = {i}" for i, fields in METRIC_SQL.items() for m, x in fields))
 def metric_extract(spark: SparkSession, d: str) -> DataFrame:
-    frames = sources.mavlink_frames(spark, _captures(spark, [("a", HEARTBEAT + GPI + SYS + HUD + ATT)]))
-    return _rounded(binary.metrics(frames), "value").select("metric", "value")
+    frames = sources.mavlink_frames(spark, _captures(spark, d, _mavlink_frame))
+    return _rounded(binary.metrics(frames), "value", digits=9).select("path", "arrival", "metric", "value")
+
 
+HK_GOOD = f"(SELECT event_id, 'cap-' || (event_id // {CAPTURE}) AS path, (event_id % 5 + 1)::INT AS record_type, (row_number() OVER (PARTITION BY event_id // {CAPTURE} ORDER BY event_id) - 1)::INT AS seq FROM events WHERE event_id % 11 <> 0)"
 
-@query("hk_decode", "SELECT * FROM (VALUES (0, 1, 8), (1, 2, 41), (2, 3, 36), (3, 4, 35), (4, 5, 8)) v(seq, record_type, size)")
+
+@query("hk_decode", f"SELECT path, seq, record_type, CASE record_type {' '.join(f'WHEN {c} THEN {size}' for c, (_, _, size) in HK_LAYOUTS.items())} END::INT AS size FROM {HK_GOOD}")
 def hk_decode(spark: SparkSession, d: str) -> DataFrame:
-    return sources.hk_records(spark, _captures(spark, [("a", HK_LOG)])).select("seq", "record_type", F.octet_length("payload").alias("size"))
+    return sources.hk_records(spark, _captures(spark, d, _hk_frame)).select("path", "seq", "record_type", F.octet_length("payload").alias("size"))
+
 
+HK_SIZE = f"CASE event_id % 5 + 1 {' '.join(f'WHEN {c} THEN {size + hk.FRAME}' for c, (_, _, size) in HK_LAYOUTS.items())} END"
 
-@query("hk_stats", "SELECT 5::BIGINT AS frames, 2::BIGINT AS crc_errors, 93::BIGINT AS resync_bytes, 6::BIGINT AS tail_bytes")
+
+@query("hk_stats", f"SELECT path, count(*) FILTER (good) AS frames, count(*) FILTER (NOT good) AS crc_errors, sum(noise + CASE WHEN good THEN 0 ELSE size END)::BIGINT - max(tail)::BIGINT AS resync_bytes, max(tail)::BIGINT AS tail_bytes FROM (SELECT 'cap-' || (event_id // {CAPTURE}) AS path, event_id % 11 <> 0 AS good, CASE WHEN event_id % 7 = 0 THEN 3 ELSE 0 END AS noise, {HK_SIZE} AS size, CASE WHEN event_id % 11 = 0 AND event_id = max(event_id) OVER (PARTITION BY event_id // {CAPTURE}) THEN 6 ELSE 0 END AS tail FROM events) GROUP BY path")
 def hk_stats(spark: SparkSession, d: str) -> DataFrame:
-    return sources.hk_stats(spark, _captures(spark, [("a", HK_LOG)])).drop("path")
+    return sources.hk_stats(spark, _captures(spark, d, _hk_frame))
+
 
+def _hk_fields(code: int) -> None:
+    name, layout, _ = HK_LAYOUTS[code]
+    rule = lambda i, kind: f"((event_id * {i + 3}) % 100)::BIGINT" if kind[0] == "u" else "event_id % 2 = 1" if kind == "bool" else f"((event_id * {i + 3}) % 1000 * 0.25)::DOUBLE"
+    sql = ", ".join(f"{rule(i, kind)} AS {field}" for i, (field, kind, _) in enumerate(layout))
+
+    @query(f"hk_{name.lower()}", f"SELECT path, seq, {sql} FROM {HK_GOOD} WHERE record_type = {code}")
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return binary.hk_fields(sources.hk_records(spark, _captures(spark, d, _hk_frame)), code)
 
-@query("hk_gps", "SELECT 1700::BIGINT AS time_ms, 39.925533::DOUBLE AS latitude, 32.866287::DOUBLE AS longitude, 850.0::DOUBLE AS altitude_m, 11::BIGINT AS satellites, true AS valid")
-def hk_gps(spark: SparkSession, d: str) -> DataFrame:
-    gps = binary.hk_fields(sources.hk_records(spark, _captures(spark, [("a", HK_LOG)])), 4)
-    return gps.select("time_ms", F.round("latitude", 9).alias("latitude"), F.round("longitude", 9).alias("longitude"), "altitude_m", "satellites", "valid")
 
+for _code in HK_LAYOUTS:
+    _hk_fields(_code)
 
-@query("f32_fields", "SELECT * FROM (VALUES ('0000803e', 0.25::DOUBLE), ('0000c0bf', -1.5), ('00000000', 0.0), ('01000000', 1.401298464324817e-45), ('ffff7f7f', 3.4028234663852886e38)) v(h, value)")
+#: 32 bits of a float: an exponent and a mantissa that every event gives.
+F32_BITS = "(CAST(event_id % 250 + 1 AS BIGINT) * 8388608 + (event_id * 7919) % 8388608)"
+
+
+@query("f32_fields", "SELECT event_id, (1 + ((event_id * 7919) % 8388608) / 8388608.0::DOUBLE) * pow(2.0::DOUBLE, (event_id % 250 + 1) - 127) AS value FROM events")
 def f32_fields(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(h,) for h in ("0000803e", "0000c0bf", "00000000", "01000000", "ffff7f7f")], "h string")
-    return rows.select("h", binary.read(F.unhex("h"), "f32", 0).cast("double").alias("value"))
+    big = F.lpad(F.hex(F.expr(F32_BITS)), 8, "0")
+    little = F.unhex(F.concat(*(F.substring(big, i, 2) for i in (7, 5, 3, 1))))
+    return _events(spark, d).select("event_id", binary.read(little, "f32", 0).cast("double").alias("value"))
 
 
-@query("crc_check", "SELECT 28561::INT AS mcrf4xx, 10673::INT AS ccitt_false")
-def crc_check(spark: SparkSession, d: str) -> DataFrame:
-    from skytally.codec.crc import crc16_ccitt_false, crc16_mcrf4xx
-    from skytally.session import ship_package
+#: Both checksums a byte at a time, without tables.
+CRC_SQL = """SELECT event_id,
+ list_reduce(list_prepend(65535, b), (c, x) -> xor(xor(xor(c >> 8, (xor(xor(x, c & 255), (xor(x, c & 255) << 4) & 255) << 8)), (xor(xor(x, c & 255), (xor(x, c & 255) << 4) & 255) << 3)), (xor(xor(x, c & 255), (xor(x, c & 255) << 4) & 255) >> 4)) & 65535)::INT AS mcrf4xx,
+ list_reduce(list_prepend(65535, b), (c, x) -> xor(xor(xor((c << 8) & 65535, (xor(xor(c >> 8, x), xor(c >> 8, x) >> 4) << 12) & 65535), (xor(xor(c >> 8, x), xor(c >> 8, x) >> 4) << 5) & 65535), xor(xor(c >> 8, x), xor(c >> 8, x) >> 4)))::INT AS ccitt_false
+ FROM (SELECT event_id, list_transform(string_split(event_id || event_type || (user_id % 1000), ''), x -> ascii(x)) AS b FROM events)"""
+
 
+@query("crc_check", CRC_SQL)
+def crc_check(spark: SparkSession, d: str) -> DataFrame:
     ship_package(spark)
-    row = spark.range(1).select(F.lit("123456789").cast("binary").alias("b"))
-    return row.select(crc16_mcrf4xx("b").alias("mcrf4xx"), crc16_ccitt_false("b").alias("ccitt_false"))
+    text = F.concat(F.col("event_id").cast("string"), "event_type", (F.col("user_id") % 1000).cast("string")).cast("binary")
+    return _events(spark, d).select("event_id", crc16_mcrf4xx(text).alias("mcrf4xx"), crc16_ccitt_false(text).alias("ccitt_false"))
+
+
+@query("ingest_stats", f"SELECT tenant_id, count(*) AS records, count(*) FILTER (m > 0) AS with_metrics, count(*) FILTER (m = 0) AS without_metrics, sum(m)::BIGINT AS rows_written, sum(m) / count(*) AS rows_per_record FROM (SELECT tenant_id, CASE message_id WHEN 33 THEN 8 WHEN 1 THEN 5 ELSE 0 END AS m FROM {RECORDS}) GROUP BY 1")
+def ingest_stats(spark: SparkSession, d: str) -> DataFrame:
+    payload = F.unhex(F.lit("01" * 31))
+    return telemetry.ingest_stats(_records(spark, d).select("event_id", "tenant_id", "message_id", payload.alias("payload")), "event_id")
 
 
 def queries() -> dict[str, Query]:

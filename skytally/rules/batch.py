@@ -7,6 +7,7 @@ from dataclasses import astuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skytally.rules import fsm, window
 from skytally.rules.model import Observation, Rule
@@ -50,9 +51,14 @@ def alerts(spark: SparkSession, telemetry: DataFrame, rules: list[Rule], arrival
     """All alerts of all rules. telemetry: tenant_id, device_id, metric, value, time_ns and the arrival order.
 
     The fold depends on its own past, so a device's rows meet in one partition, sorted; they pass through it row by row and
-    only the device's current state is held.
+    only the device's current state is held. Devices that no rule applies to are left out before the shuffle.
     """
     ship_package(spark)
+    applies = F.lit(False)
+    for tenant, device in sorted({(r.tenant_id, r.device_id) for r in rules}):
+        one = F.col("tenant_id") == tenant
+        applies = applies | (one if device == "*" else one & (F.col("device_id") == device))
+    telemetry = telemetry.where(applies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold = None

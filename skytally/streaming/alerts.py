@@ -1,11 +1,13 @@
 """Alert rules over a stream: the batch fold with its state kept per device by Structured Streaming.
 
-A group is one device of one tenant. Its state is one row of bytes: the observation, the windows of watched metrics and the
-states of its rules. Records of a micro-batch are folded in order of arrival. A processing-time timeout wakes silent devices
-every ``tick_s`` seconds, also in batches without data, so that telemetry loss is noticed; the moved clock is not kept.
+A group is a shard of the fleet. Its state is one row of bytes: of each of its devices the observation, the windows of
+watched metrics and the states of its rules, and the shard's newest record, how many it consumed and when it last ticked.
+Records of a micro-batch are folded in order of arrival. Every ``tick_s`` seconds a shard's devices are judged by the clock,
+in batches with data as well as, by a processing-time timeout, without, so that telemetry loss is noticed; the moved clock is
+not kept.
 
-A catching-up stream must not raise silence alerts for records that only wait in the backlog: while a device's newest record
-is older than ``catch_up_s`` and it has just consumed records, its tick is left out.
+A catching-up stream must not raise silence alerts for records that only wait in the backlog: where a shard has consumed
+records since its last tick and its newest one is older than ``catch_up_s``, the tick is left out, for all its devices.
 """
 
 from __future__ import annotations
@@ -38,6 +40,42 @@ def fold_group(fold: Fold, rows: pd.DataFrame) -> list:
     return out
 
 
+class Shard:
+    """The devices of a shard and what its ticks go by."""
+
+    def __init__(self, rules: list[Rule], span_ns: int, capacity: int, min_samples: int, now: int) -> None:
+        self.make = lambda device: Fold(rules, *device, span_ns, capacity, min_samples)
+        self.devices: dict[tuple[str, str], Fold] = {}
+        self.newest, self.consumed, self.ticked = 0, 0, now
+
+    @classmethod
+    def load(cls, data: bytes, rules: list[Rule], span_ns: int, capacity: int, min_samples: int) -> Shard:
+        devices, newest, consumed, ticked = pickle.loads(data)
+        shard = cls(rules, span_ns, capacity, min_samples, ticked)
+        shard.newest, shard.consumed = newest, consumed
+        for device, (observation, windows, states) in devices.items():
+            fold = shard.devices[device] = shard.make(device)
+            fold.observation, fold.windows, fold.states = observation, windows, states
+        return shard
+
+    def dump(self) -> bytes:
+        devices = {d: (f.observation, f.windows, f.states) for d, f in self.devices.items()}
+        return pickle.dumps((devices, self.newest, self.consumed, self.ticked))
+
+    def records(self, device: tuple[str, str], rows: pd.DataFrame) -> list:
+        if device not in self.devices:
+            self.devices[device] = self.make(device)
+        self.consumed += len(rows)
+        self.newest = max(self.newest, int(rows["time_ns"].max()))
+        return fold_group(self.devices[device], rows)
+
+    def tick(self, now: int, catch_up_s: float) -> list:
+        consumed, self.consumed, self.ticked = self.consumed, 0, now
+        if consumed and now - self.newest > catch_up_s * SECOND:
+            return []
+        return [a for fold in self.devices.values() for a in fold.tick(now)]
+
+
 def live_alerts(
     spark: SparkSession,
     telemetry: DataFrame,
@@ -48,34 +86,32 @@ def live_alerts(
     capacity: int = window.CAPACITY,
     min_samples: int = window.MIN_SAMPLES,
     clock: Callable[[], int] = time.time_ns,
+    shards: int = 64,
 ) -> DataFrame:
     """Alerts of a stream of measurements (tenant_id, device_id, metric, value, time_ns, arrival), in update mode.
 
-    A null metric is a record without measurements: the device is alive. Rows with a null tenant or device are dropped.
+    A null metric is a record without measurements: the device is alive. Rows with a null tenant or device are dropped. A
+    shard's state is read and written whole in every batch that touches it: take so many shards that each has some hundreds
+    of devices. The number must not change between runs from one checkpoint.
     """
     ship_package(spark)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tenant, device = key
-        fold = Fold(rules, tenant, device, span_ns, capacity, min_samples)
-        if state.exists:
-            fold.observation, fold.windows, fold.states, fresh = pickle.loads(state.get[0])
-        else:
-            fresh = False
-        if state.hasTimedOut:
-            now, out = clock(), []
-            behind = fresh and fold.observation is not None and now - fold.observation.at > catch_up_s * SECOND
-            if not behind:
-                out = fold.tick(now)
-            fresh = False
-        else:
-            out = fold_group(fold, pd.concat(list(batches)).sort_values("arrival", kind="stable"))
-            fresh = True
-        state.update((pickle.dumps((fold.observation, fold.windows, fold.states, fresh)),))
+    def step(_key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        shard = Shard.load(state.get[0], rules, span_ns, capacity, min_samples) if state.exists else Shard(rules, span_ns, capacity, min_samples, clock())
+        out = []
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values("arrival", kind="stable")
+            for device, own in rows.groupby(["tenant_id", "device_id"], sort=False):
+                out += shard.records(device, own)
+        now = clock()
+        if now - shard.ticked >= tick_s * SECOND or state.hasTimedOut:
+            out += shard.tick(now, catch_up_s)
+        state.update((shard.dump(),))
         state.setTimeoutDuration(max(1, int(tick_s * 1000)))
         if out:
             yield pd.DataFrame([astuple(a) for a in out], columns=NAMES)
 
     rows = telemetry.where(F.col("tenant_id").isNotNull() & F.col("device_id").isNotNull())
-    rows = rows.select("tenant_id", "device_id", "metric", "value", "time_ns", "arrival")
-    return rows.groupBy("tenant_id", "device_id").applyInPandasWithState(step, ALERT, "fold binary", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    shard = F.pmod(F.xxhash64("tenant_id", "device_id"), F.lit(shards)).alias("shard")
+    rows = rows.select(shard, "tenant_id", "device_id", "metric", "value", "time_ns", "arrival")
+    return rows.groupBy("shard").applyInPandasWithState(step, ALERT, "devices binary", "update", GroupStateTimeout.ProcessingTimeTimeout)

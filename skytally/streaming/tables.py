@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skytally.functions import binary, scalars
 from skytally.operators import telemetry as T
@@ -41,16 +44,39 @@ def envelopes(records: DataFrame) -> DataFrame:
     ).withColumn("undecodable", F.col("tenant_id").isNull() | F.col("device_id").isNull() | F.col("message_id").isNull())
 
 
-def deduplicated(envelope: DataFrame, window: str = "2 seconds") -> DataFrame:
-    """Drops repeats of one record within the window; critical messages always pass.
+IDENTITY = ["tenant_id", "device_id", "message_id", "sequence", "system_id", "component_id", "payload"]
 
-    Identity is compared by its columns, the tenant among them, not by a hash of them.
+
+def deduplicated(envelope: DataFrame, window_ns: int = 2_000_000_000, keep_s: float = 60.0) -> DataFrame:
+    """Drops repeats of one record within the window; critical messages always pass, and so does everything else however late.
+
+    A record is a repeat if an equal one passed less than the window before it, or was received less than the window after
+    it but came first. The state of an identity is the time of the record that passed; it goes ``keep_s`` seconds after the
+    last record of the identity, so nothing is lost to a watermark. Identity is compared by its columns, the tenant among
+    them, not by a hash of them.
     """
-    timed = envelope.withColumn("received_at", F.timestamp_micros(F.floor(F.col("received_at_nanos") / 1000).cast("long")))
-    marked = timed.withColumn("_critical", scalars.priority("message_id") == "CRITICAL").withWatermark("received_at", window)
-    identity = ["tenant_id", "device_id", "message_id", "sequence", "system_id", "component_id", "payload"]
-    once = marked.where("NOT _critical").dropDuplicatesWithinWatermark(identity)
-    return once.unionByName(marked.where("_critical")).drop("_critical")
+    marked = envelope.withColumn("_critical", scalars.priority("message_id") == "CRITICAL")
+    names = envelope.columns
+
+    def step(_key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        passed = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values("received_at_nanos", kind="stable")
+        keep = []
+        for at in rows["received_at_nanos"].tolist():
+            late = passed is not None and at <= passed - window_ns
+            keep.append(passed is None or late or at - passed >= window_ns)
+            passed = at if keep[-1] and not late else passed
+        state.update((passed,))
+        state.setTimeoutDuration(max(1, int(keep_s * 1000)))
+        yield rows[keep][names]
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in envelope.schema)
+    looked = marked.where("NOT _critical").drop("_critical")
+    once = looked.groupBy(*IDENTITY).applyInPandasWithState(step, kinds, "passed bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return once.unionByName(marked.where("_critical").drop("_critical"))
 
 
 def measurements(envelope: DataFrame) -> DataFrame:
@@ -61,15 +87,17 @@ def measurements(envelope: DataFrame) -> DataFrame:
 
 
 def append_batches(stream: DataFrame, path: str, checkpoint: str, **options: str) -> StreamingQuery:
-    """Appends a stream of measurements to a table. A batch has a folder of its own, so that a batch that is run again
-    after a failure replaces what it wrote before: every record is in the table once.
+    """Appends a stream of measurements to a table by day. Within a day a batch has a folder of its own, so that a batch that
+    is run again after a failure replaces what it wrote before: every record is in the table once. Range queries prune days,
+    and retention deletes them.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        out = batch.withColumn("event_date", F.to_date("time"))
-        out.sortWithinPartitions(*SERIES_KEY, F.col("time").desc()).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        out = batch.withColumns({"event_date": F.to_date("time"), "batch": F.lit(batch_id)})
+        out = out.repartition("event_date", *SERIES_KEY).sortWithinPartitions("event_date", *SERIES_KEY, F.col("time").desc())
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "batch").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).options(**options).start()
 
@@ -103,8 +131,10 @@ def refresh(spark: SparkSession, source: DataFrame, path: str, level: str, now:
     # Read days are written over: the new ones are complete in a folder beside them first.
     staged = f"{path.rstrip('/')}_staged"
     fresh.write.mode("overwrite").parquet(staged)
-    out = spark.read.parquet(staged).repartition("event_date").sortWithinPartitions(*SERIES_KEY, "bucket")
+    out = spark.read.parquet(staged).repartition("event_date", *SERIES_KEY).sortWithinPartitions("event_date", *SERIES_KEY, "bucket")
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def drop_expired(spark: SparkSession, path: str, level: str, now: datetime) -> list[str]:

@@ -8,6 +8,7 @@ import threading
 from collections import Counter
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from skytally.rules.batch import alerts
 from skytally.rules.model import SECOND, Rule, Staleness, Threshold
 from skytally.sources import notify
 from skytally.streaming import tables
-from skytally.streaming.alerts import live_alerts
+from skytally.streaming.alerts import Shard, live_alerts
 
 SCHEMA = "tenant_id string, device_id string, metric string, value double, time_ns long, arrival long"
 RULES = [Rule("low", "Low", "t", "*", "WARNING", Threshold("battery", "BELOW", 20.0, 30.0), 2 * SECOND, 2 * SECOND)]
@@ -137,3 +138,110 @@ def test_webhook_posts_and_judges_answers():
             send("k", json.dumps({"answer": answer}))
     server.shutdown()
     assert len(seen) == 6
+
+
+def fleet(now: list[int]) -> Shard:
+    rules = [Rule("gone", "Silent", "t", "*", "CRITICAL", Staleness(10 * SECOND))]
+    return Shard(rules, 300 * SECOND, 64, 8, now[0])
+
+
+def heard(shard: Shard, device: str, at: int) -> list:
+    return shard.records(("t", device), pd.DataFrame({"metric": [None], "value": [None], "time_ns": [at]}))
+
+
+NOW, TWO_HOURS = 1_700_000_000 * SECOND, 7200 * SECOND
+
+
+def test_a_backlog_suppresses_ticks_of_all_its_devices():
+    now = [NOW]
+    shard, found = fleet(now), []
+    for i in range(20):  # five devices in turn: four of them have no record between two ticks
+        heard(shard, f"d{i % 5}", NOW - TWO_HOURS + i * SECOND)
+        now[0] += SECOND
+        found += shard.tick(now[0], 60)
+    assert found == []
+    # The backlog runs out, and the devices really are silent.
+    for _ in range(2):
+        now[0] += SECOND
+        found += shard.tick(now[0], 60)
+    assert sorted(a.device_id for a in found) == [f"d{i}" for i in range(5)]
+
+
+def test_current_traffic_and_lag_without_traffic_suppress_nothing():
+    now = [NOW]
+    shard = fleet(now)
+    heard(shard, "old", NOW - TWO_HOURS)
+    assert shard.tick(NOW, 60) == []  # consumed just now: this may be a backlog
+    assert [a.device_id for a in shard.tick(NOW + SECOND, 60)] == ["old"]
+    found = []
+    for i in range(15):
+        heard(shard, "alive", NOW + i * SECOND)
+        found += shard.tick(NOW + i * SECOND, 60)
+    for i in range(15, 27):
+        found += shard.tick(NOW + i * SECOND, 60)
+    assert [a.device_id for a in found] == ["alive"]
+
+
+def test_a_shard_is_the_same_after_a_restart():
+    shard = fleet([NOW])
+    heard(shard, "d", NOW)
+    again = Shard.load(shard.dump(), [Rule("gone", "Silent", "t", "*", "CRITICAL", Staleness(10 * SECOND))], 300 * SECOND, 64, 8)
+    assert again.consumed == 1 and again.newest == NOW
+    assert [a.kind for a in again.tick(NOW + 11 * SECOND, 60)] == ["FIRED"]
+
+
+def test_live_alerts_go_on_from_their_checkpoint(spark, tmp_path):
+    rows = samples("d/1", 0)
+    for i, part in enumerate((rows[:3], rows[3:])):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in/*")
+        found = live_alerts(spark, stream, RULES, tick_s=3600, shards=2)
+        found.writeStream.foreachBatch(lambda b, n: b.write.mode("append").parquet(f"{tmp_path}/out")).outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(120)
+    live = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))
+    assert live == sorted(map(tuple, alerts(spark, spark.createDataFrame(rows, SCHEMA), RULES, "arrival").collect()))
+
+
+def test_duplicates_go_and_late_records_stay(spark, tmp_path):
+    schema = "tenant_id string, device_id string, source string, message_id int, sequence int, system_id int, component_id int, received_at_nanos bigint, payload binary"
+    record = lambda seq, at_s, number=27, tenant="t": (tenant, "d", "MAVLINK", number, seq, 1, 1, int(at_s * SECOND), b"p")
+    first = [record(1, 100), record(2, 101), record(1, 101.5), record(4, 160), record(1, 100, tenant="u"), record(0, 100, 0), record(0, 100, 0)]
+    second = [record(3, 102), record(4, 161.9), record(4, 162), record(2, 99.5), record(1, 90), record(0, 100, 0)]
+    for i, part in enumerate((first, second)):  # the second run goes on from the checkpoint of the first
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+        tables.deduplicated(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(120)
+    got = sorted((r.tenant_id, r.sequence, r.received_at_nanos / SECOND) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [("t", 0, 100.0)] * 3 + [("t", 1, 90.0), ("t", 1, 100.0), ("t", 2, 101.0), ("t", 3, 102.0), ("t", 4, 160.0), ("t", 4, 162.0), ("u", 1, 100.0)]
+
+
+def test_streamed_tables_are_pruned_and_retained_by_day(spark, tmp_path):
+    schema = "time timestamp, tenant_id string, device_id string, metric string, value double"
+    rows = [(datetime(2024, 1, 1 + i % 3, 12), "t", f"d{i}", "m", float(i)) for i in range(30)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    q = tables.append_batches(stream, f"{tmp_path}/table", f"{tmp_path}/cp")
+    q.processAllAvailable()
+    q.stop()
+    back = spark.read.parquet(f"{tmp_path}/table")
+    assert back.where("event_date = DATE'2024-01-02'").count() == 10
+    assert len({f.rsplit("/", 3)[1] for f in back.where("event_date = DATE'2024-01-02'").inputFiles()}) >= 1
+    assert tables.drop_expired(spark, f"{tmp_path}/table", "RAW", datetime(2024, 1, 9)) == ["2024-01-01"]
+    assert spark.read.parquet(f"{tmp_path}/table").count() == 20
+
+
+def test_delivery_from_the_executors(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def write(key: str, value: str) -> None:
+        with open(f"{folder}/{key.replace('/', '_')}", "a") as f:
+            f.write(json.loads(value)["kind"] + "\n")
+
+    def refuse(_key: str, _value: str) -> None:
+        raise notify.Permanent("answered 400")
+
+    rows = [(f"r/d{i % 5}", json.dumps({"kind": kind, "at_ns": at})) for i in range(10) for kind, at in (("RESOLVED", 2), ("FIRED", 1))]
+    df = spark.createDataFrame(rows, "key string, value string")
+    counts = {r.outcome: r.n for r in notify.delivered(df, {"file": write, "no": refuse}).groupBy("outcome").agg(F.sum("n").alias("n")).collect()}
+    assert counts == {"delivered": 20, "rejected": 20}
+    for i in range(5):
+        assert (tmp_path / f"r_d{i}").read_text().split() == ["FIRED"] * 2 + ["RESOLVED"] * 2
