@@ -594,7 +594,7 @@ def hk_decode(spark: SparkSession, d: str) -> DataFrame:
 HK_SIZE = f"CASE event_id % 5 + 1 {' '.join(f'WHEN {c} THEN {size + hk.FRAME}' for c, (_, _, size) in HK_LAYOUTS.items())} END"
 
 
-@query("hk_stats", f"SELECT path, count(*) FILTER (good) AS frames, count(*) FILTER (NOT good) AS crc_errors, sum(noise + CASE WHEN good THEN 0 ELSE size END)::BIGINT - max(tail)::BIGINT AS resync_bytes, max(tail)::BIGINT AS tail_bytes FROM (SELECT 'cap-' || (event_id // {CAPTURE}) AS path, event_id % 11 <> 0 AS good, CASE WHEN event_id % 7 = 0 THEN 3 ELSE 0 END AS noise, {HK_SIZE} AS size, CASE WHEN event_id % 11 = 0 AND event_id = max(event_id) OVER (PARTITION BY event_id // {CAPTURE}) THEN 6 ELSE 0 END AS tail FROM events) GROUP BY path")
+@query("hk_stats", f"SELECT path, count(*) FILTER (good) AS frames, count(*) FILTER (NOT good) AS crc_errors, sum(noise + CASE WHEN good THEN 0 ELSE size - 1 END)::BIGINT - max(tail)::BIGINT AS resync_bytes, max(tail)::BIGINT AS tail_bytes FROM (SELECT 'cap-' || (event_id // {CAPTURE}) AS path, event_id % 11 <> 0 AS good, CASE WHEN event_id % 7 = 0 THEN 3 ELSE 0 END AS noise, {HK_SIZE} AS size, CASE WHEN event_id % 11 = 0 AND event_id = max(event_id) OVER (PARTITION BY event_id // {CAPTURE}) THEN 6 ELSE 0 END AS tail FROM events) GROUP BY path")
 def hk_stats(spark: SparkSession, d: str) -> DataFrame:
     return sources.hk_stats(spark, _captures(spark, d, _hk_frame))
 
@@ -625,9 +625,9 @@ def f32_fields(spark: SparkSession, d: str) -> DataFrame:
 
 #: Both checksums a byte at a time, without tables.
 CRC_SQL = """SELECT event_id,
- list_reduce(list_prepend(65535, b), (c, x) -> xor(xor(xor(c >> 8, (xor(xor(x, c & 255), (xor(x, c & 255) << 4) & 255) << 8)), (xor(xor(x, c & 255), (xor(x, c & 255) << 4) & 255) << 3)), (xor(xor(x, c & 255), (xor(x, c & 255) << 4) & 255) >> 4)) & 65535)::INT AS mcrf4xx,
- list_reduce(list_prepend(65535, b), (c, x) -> xor(xor(xor((c << 8) & 65535, (xor(xor(c >> 8, x), xor(c >> 8, x) >> 4) << 12) & 65535), (xor(xor(c >> 8, x), xor(c >> 8, x) >> 4) << 5) & 65535), xor(xor(c >> 8, x), xor(c >> 8, x) >> 4)))::INT AS ccitt_false
- FROM (SELECT event_id, list_transform(string_split(event_id || event_type || (user_id % 1000), ''), x -> ascii(x)) AS b FROM events)"""
+ list_reduce(list_prepend(65535, b), lambda c, x: xor(xor(xor(c >> 8, (xor(xor(x, c & 255), (xor(x, c & 255) << 4) & 255) << 8)), (xor(xor(x, c & 255), (xor(x, c & 255) << 4) & 255) << 3)), (xor(xor(x, c & 255), (xor(x, c & 255) << 4) & 255) >> 4)) & 65535)::INT AS mcrf4xx,
+ list_reduce(list_prepend(65535, b), lambda c, x: xor(xor(xor((c << 8) & 65535, (xor(xor(c >> 8, x), xor(c >> 8, x) >> 4) << 12) & 65535), (xor(xor(c >> 8, x), xor(c >> 8, x) >> 4) << 5) & 65535), xor(xor(c >> 8, x), xor(c >> 8, x) >> 4)))::INT AS ccitt_false
+ FROM (SELECT event_id, list_transform(string_split(event_id || event_type || (user_id % 1000), ''), lambda x: ascii(x)) AS b FROM events)"""
 
 
 @query("crc_check", CRC_SQL)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import http.server
 import json
 import threading
+import time
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -22,6 +23,17 @@ SCHEMA = "tenant_id string, device_id string, metric string, value double, time_
 RULES = [Rule("low", "Low", "t", "*", "WARNING", Threshold("battery", "BELOW", 20.0, 30.0), 2 * SECOND, 2 * SECOND)]
 
 
+def drain(writer, rows: int) -> None:
+    """Runs a stream until so many rows are read and written. (Processing-time timeouts make it run on without data, so that
+    neither an available-now run nor processAllAvailable would end.)"""
+    query, seen, end = writer.start(), {}, time.time() + 100
+    while sum(seen.values()) < rows and time.time() < end:
+        time.sleep(0.2)
+        seen |= {p["batchId"]: p["numInputRows"] for p in query.recentProgress}
+    query.stop()
+    assert sum(seen.values()) == rows
+
+
 def samples(device: str, start: int) -> list[tuple]:
     values = [50, 10, 10, 10, 10, 40, 40, 40, 40, 10]
     return [("t", device, "battery", float(v), (start + i) * SECOND, start + i) for i, v in enumerate(values)]
@@ -33,9 +45,7 @@ def test_live_alerts_equal_the_batch_fold(spark, tmp_path):
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
     found = live_alerts(spark, stream, RULES, tick_s=3600)
-    query = found.writeStream.format("memory").queryName("live").outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    query.stop()
+    drain(found.writeStream.format("memory").queryName("live").outputMode("update").option("checkpointLocation", f"{tmp_path}/cp"), len(rows))
     live = sorted(map(tuple, spark.table("live").collect()))
     batch = sorted(map(tuple, alerts(spark, spark.createDataFrame(rows, SCHEMA), RULES, "arrival").collect()))
     assert live == batch and len(live) == 4
@@ -196,7 +206,7 @@ def test_live_alerts_go_on_from_their_checkpoint(spark, tmp_path):
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
         stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in/*")
         found = live_alerts(spark, stream, RULES, tick_s=3600, shards=2)
-        found.writeStream.foreachBatch(lambda b, n: b.write.mode("append").parquet(f"{tmp_path}/out")).outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(120)
+        drain(found.writeStream.foreachBatch(lambda b, n: b.write.mode("append").parquet(f"{tmp_path}/out")).outputMode("update").option("checkpointLocation", f"{tmp_path}/cp"), len(part))
     live = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))
     assert live == sorted(map(tuple, alerts(spark, spark.createDataFrame(rows, SCHEMA), RULES, "arrival").collect()))
 
@@ -209,7 +219,7 @@ def test_duplicates_go_and_late_records_stay(spark, tmp_path):
     for i, part in enumerate((first, second)):  # the second run goes on from the checkpoint of the first
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
         stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
-        tables.deduplicated(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(120)
+        drain(tables.deduplicated(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp"), 2 * len(part))  # both branches read it
     got = sorted((r.tenant_id, r.sequence, r.received_at_nanos / SECOND) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == [("t", 0, 100.0)] * 3 + [("t", 1, 90.0), ("t", 1, 100.0), ("t", 2, 101.0), ("t", 3, 102.0), ("t", 4, 160.0), ("t", 4, 162.0), ("u", 1, 100.0)]
 
