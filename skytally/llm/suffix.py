@@ -319,4 +319,18 @@ def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op6_suffix": op6_suffix}
 
-ORACLE_SQL: dict[str, str] = {}
+#: Every window as hex text; all but the first of each are repeats.
+ORACLE_SQL = {
+    "op6_suffix": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 99, 0), 512)) AS lo FROM d),
+p AS (SELECT doc_id, lo, least(512, length(h) // 2 - 99 - lo) AS n, substr(h, 2 * lo + 1, 1222) AS part FROM c),
+w AS (SELECT doc_id, lo + i AS i, substr(part, (2 * i + 1)::INT, 200) AS s FROM (SELECT *, unnest(range(0, n)) AS i FROM p)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM w) WHERE n > 1),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM r)),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, span),
+t AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+k AS (SELECT t.doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, (2 * before + 1)::INT, (2 * (a - before))::INT), '' ORDER BY a) AS kept FROM t JOIN d USING (doc_id) GROUP BY t.doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+ sha256(unhex(coalesce(kept, '') || substr(h, (2 * coalesce(last, 0) + 1)::INT))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+}
