@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytally.session import materialize
+from skytally.session import materialize, scratch
 
 
 def stars(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -15,6 +15,11 @@ def stars(spark: SparkSession, edges: DataFrame) -> DataFrame:
     component sizes. Minima are pre-aggregated before the shuffle, so that the hub of a large star is no hot key there.
     Every round is written to the shared folder, so lineage stays short.
     """
+    with scratch(spark):
+        return materialize(spark, _rounds(spark, edges), "stars", keep=True)
+
+
+def _rounds(spark: SparkSession, edges: DataFrame) -> DataFrame:
     edges = materialize(spark, edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:

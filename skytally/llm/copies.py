@@ -7,13 +7,16 @@ of ``ROWS`` minima each. A pair at similarity 0.8 misses all keys with probabili
 
 Equal sets are one entry. Entries that share a key are candidates:
 
-1. All pairs where a key has few entries. Where it has more, the entries are put in the Gray order of their SimHash
-   fingerprints (of the same shingles), and each meets the next ``AHEAD`` and the key's leader (which differs between keys).
-   Candidates with fewer than ``EQUAL`` of all minima in common are left out: at similarity 0.8 that happens with probability
-   1e-8. The others are checked on the shingles of both texts, and checked links make components.
-2. Keys with several components left are then done exactly: every entry outside the key's largest component is compared
-   with all entries of other components, by their shingles. Keys with more than ``LEAF`` entries are dealt into parts of
-   about that many for it, and what is outside the largest component goes to every part.
+1. The entries of a key are put in the Gray order of their SimHash fingerprints (of the same shingles). Each meets the next
+   ``AHEAD`` and the key's leader, the entry of smallest hash. Of all whom it meets, the one with most minima in common and
+   the leaders are checked on the shingles of both texts. Checked links make components; that settles nearly all.
+2. Keys with several components left are done exactly: every entry outside the key's largest component meets all entries of
+   other components, first the one of each with most minima in common, then, where components are still apart, all of them.
+   Keys with more than ``LEAF`` entries are dealt into parts of about that many for it, and what is outside the largest
+   component goes to every part. Texts of the last step go to the tasks once for each component that they are checked with.
+
+Candidates with fewer than ``EQUAL`` of all minima in common are left out: at similarity 0.8 that happens with probability
+1e-5.
 
 Rows so grow with the entries, not with the square of a group, and no candidate of a key is left out but by its minima.
 """
@@ -30,14 +33,14 @@ from pyspark.sql import functions as F
 from skytally.llm import columnar as C
 from skytally.llm.components import stars
 from skytally.llm.joins import counted_join
-from skytally.session import materialize, ship_package
+from skytally.session import materialize, scratch, ship_package
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
-#: Entries of a key of which all pairs are checked; followers in Gray order that an entry of a larger key meets at first.
-FEW, AHEAD = 8, 2
-#: Minima of BANDS * ROWS that candidates have in common at least; entries of a part of a key.
-EQUAL, LEAF = 42, 2048
+#: Followers in Gray order that an entry meets in each of its keys at first.
+AHEAD = 2
+#: Minima of BANDS * ROWS that candidates have in common at least; entries of a part of a key or component.
+EQUAL, LEAF = 48, 2048
 #: Rows that a step of pairing holds before it works.
 STEP = 20_000
 _RNG = np.random.default_rng(42)
@@ -153,30 +156,30 @@ def _bounds(keys: list[np.ndarray]) -> Iterator[tuple[int, int]]:
 
 
 def _pairs(members: DataFrame) -> DataFrame:
-    """members: key, part, code, n, rank, brief. The first candidates a < b of each part."""
+    """members: key, part, code, n, rank, brief. The first candidates of each part: a, b, both ways: alike (how many minima
+    they have in common), led (b is the leader of a's part)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, part, code, n, rank, brief in _grouped(batches, ["key", "part", "code", "n", "rank", "brief"], 2, STEP):
-            lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            lefts, rights, ways = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+            order_of = C.mix(code.view(np.uint64))
             for lo, hi in _bounds([key, part]):
-                if hi - lo <= FEW:
-                    i, j = np.triu_indices(hi - lo, 1)
-                else:
-                    order = np.argsort(rank[lo:hi], kind="stable")
-                    i = np.concatenate([order[:-d] for d in range(1, AHEAD + 1)])
-                    j = np.concatenate([order[d:] for d in range(1, AHEAD + 1)])
-                lefts.append(lo + i)
-                rights.append(lo + j)
-            i, j = np.concatenate(lefts), np.concatenate(rights)
+                order = lo + np.argsort(rank[lo:hi], kind="stable")
+                i, j = (np.concatenate([order[s] for s in cuts]) for cuts in zip(*((slice(None, -d), slice(d, None)) for d in range(1, AHEAD + 1)), strict=True))
+                leader = lo + int(np.argmin(order_of[lo:hi]))
+                others = np.delete(np.arange(lo, hi), leader - lo)
+                lefts += [i, j, others]
+                rights += [j, i, np.full(len(others), leader)]
+                ways += [np.zeros(2 * len(i), bool), np.ones(len(others), bool)]
+            i, j, led = np.concatenate(lefts), np.concatenate(rights), np.concatenate(ways)
             fits = np.minimum(n[i], n[j]) >= SIMILARITY * np.maximum(n[i], n[j])
-            i, j = i[fits], j[fits]
+            i, j, led = i[fits], j[fits], led[fits]
             minima = np.frombuffer(b"".join(brief), np.uint8).reshape(len(brief), -1)
-            alike = np.concatenate([np.zeros(0, bool), *((minima[i[k : k + 50_000]] == minima[j[k : k + 50_000]]).sum(axis=1) >= EQUAL for k in range(0, len(i), 50_000))])
-            a, b = code[i[alike]], code[j[alike]]
-            found = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            alike = np.concatenate([np.zeros(0, np.int64), *((minima[i[k : k + 50_000]] == minima[j[k : k + 50_000]]).sum(axis=1) for k in range(0, len(i), 50_000))])
+            keep = alike >= EQUAL
+            yield pa.RecordBatch.from_arrays([pa.array(code[i[keep]]), pa.array(code[j[keep]]), pa.array(alike[keep].astype(np.int16)), pa.array(led[keep])], ["a", "b", "alike", "led"])
 
-    return members.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, "a bigint, b bigint")
+    return members.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, "a bigint, b bigint, alike smallint, led boolean")
 
 
 def _checked(pairs: DataFrame) -> DataFrame:
@@ -196,73 +199,123 @@ def _checked(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "text", "other").mapInArrow(run, "a bigint, b bigint")
 
 
-def _rest(rows: DataFrame) -> DataFrame:
-    """rows: key, part, code, root, home (the entry belongs to the part), outside (it isn't of the key's largest component),
-    text. Links a, b between entries outside and those at home in the part, of different components, by their shingles."""
+def _across(rows: DataFrame, best: bool) -> DataFrame:
+    """rows: key, part, code, n, root, home (the entry belongs to the part), outside (it isn't of the key's largest component),
+    brief. Candidates a (outside), b (at home in the part, of the other component root); ``best``: one of each component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, part, code, root, home, outside, text in _grouped(batches, ["key", "part", "code", "root", "home", "outside", "text"], 2, 1):
+        for key, part, code, n, root, home, outside, brief in _grouped(batches, ["key", "part", "code", "n", "root", "home", "outside", "brief"], 2, STEP):
+            minima = np.frombuffer(b"".join(brief), np.uint8).reshape(len(brief), -1)
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for lo, hi in _bounds([key, part]):
+                at_home = lo + np.flatnonzero(home[lo:hi])
+                for i in (lo + np.flatnonzero(outside[lo:hi])).tolist():
+                    alike = (minima[at_home] == minima[i]).sum(axis=1)
+                    fits = (alike >= EQUAL) & (root[at_home] != root[i]) & (np.minimum(n[at_home], n[i]) >= SIMILARITY * np.maximum(n[at_home], n[i]))
+                    near, alike = at_home[fits], alike[fits]
+                    if best:
+                        near = near[np.argsort(-alike, kind="stable")]
+                        near = near[np.unique(root[near], return_index=True)[1]]
+                    a.append(np.full(len(near), i))
+                    b.append(near)
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield pa.RecordBatch.from_arrays([pa.array(code[a]), pa.array(root[a]), pa.array(code[b]), pa.array(root[b])], ["a", "a_root", "b", "root"])
+
+    rows = rows.repartition("key", "part").sortWithinPartitions("key", "part")
+    return rows.mapInArrow(run, "a bigint, a_root bigint, b bigint, root bigint").distinct()
+
+
+def _similar(rows: DataFrame) -> DataFrame:
+    """rows: root, part, code, own (its component), home, text. Links a, b between the entries at home in the part and the
+    others, by their shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for root, part, code, own_root, home, text in _grouped(batches, ["root", "part", "code", "own", "home", "text"], 2, 1):
+            for lo, hi in _bounds([root, part]):
                 h, at = shingles(*C.flat(pa.array(text[lo:hi].tolist(), pa.string())))
                 size, owner = np.diff(at), np.repeat(np.arange(hi - lo), np.diff(at))
                 order = np.argsort(h, kind="stable")
                 sorted_h, sorted_owner = h[order], owner[order]
-                a, b = [], []
-                for i in np.flatnonzero(outside[lo:hi]).tolist():
+                a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for i in np.flatnonzero(~home[lo:hi]).tolist():
                     own = h[at[i] : at[i + 1]]
                     x, y = np.searchsorted(sorted_h, own, "left"), np.searchsorted(sorted_h, own, "right")
                     places = np.repeat(x, y - x) + np.arange((y - x).sum()) - np.repeat(np.cumsum(y - x) - (y - x), y - x)
                     both = np.bincount(sorted_owner[places], minlength=hi - lo)
-                    near = np.flatnonzero((both >= SIMILARITY * (size[i] + size - both)) & home[lo:hi] & (root[lo:hi] != root[lo + i]))
-                    a.append(np.full(len(near), code[lo + i]))
-                    b.append(code[lo + near])
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (a, b)], ["a", "b"])
+                    near = lo + np.flatnonzero((both >= SIMILARITY * (size[i] + size - both)) & home[lo:hi])
+                    a.append(np.full(len(near[:1]), code[lo + i]))  # all at home are of one component: one link does
+                    b.append(code[near[:1]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (a, b)], ["a", "b"])
 
-    return rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, "a bigint, b bigint")
+    return rows.repartition("root", "part").sortWithinPartitions("root", "part").mapInArrow(run, "a bigint, b bigint")
 
 
-def links(spark: SparkSession, prints: DataFrame) -> DataFrame:
-    """prints: text, _code, _n, _keys, _brief, _rank. The components of similar sets, as ``stars`` of their codes."""
-    codes = prints.groupBy(F.col("_code").alias("code")).agg(F.first("_n").alias("n"), F.first("_keys").alias("keys"), F.first("_brief").alias("brief"), F.first("_rank").alias("rank"))
-    codes = materialize(spark, codes.where("n > 0"), "sets")
-    rows = codes.select(F.explode("keys").alias("key"), "code", "n", "rank", "brief")
-    # Leaders go by a hash with the key in it, so that they differ between keys.
-    crowd = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "code").alias("h"), F.col("code").alias("leader"), F.col("n").alias("leader_n"))).alias("l"))
-    crowd = materialize(spark, crowd.where("n > 1").select("key", "n", F.col("n").alias("size"), "l.leader", "l.leader_n"), "shared-keys")
-    members = materialize(spark, counted_join(rows, crowd, ["key"], ["code"]), "members")
-    parts = F.ceil(F.col("size") / LEAF).cast("long")
-    home = F.pmod(F.xxhash64("code", "key"), parts)
-    fits = F.least("n", "leader_n") >= SIMILARITY * F.greatest("n", "leader_n")
-    large = members.where(F.col("size") > FEW)
-    led = large.where((F.col("code") != F.col("leader")) & fits).select(F.least("code", "leader").alias("a"), F.greatest("code", "leader").alias("b"))
-    near = _pairs(members.select("key", home.alias("part"), "code", "n", "rank", "brief"))
-    pairs = materialize(spark, near.unionByName(led).distinct(), "candidates")
-    needed = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
-    texts = prints.select("_code", "text").join(needed, F.col("_code") == F.col("a"), "left_semi").groupBy("_code").agg(F.first("text").alias("text"))
-    texts = materialize(spark, texts, "candidate-texts")
+def _texts(spark: SparkSession, prints: DataFrame, codes: DataFrame) -> DataFrame:
+    """One text of each of the codes (column a): _code, text."""
+    rows = prints.select("_code", "text").join(codes.select("a").distinct(), F.col("_code") == F.col("a"), "left_semi")
+    return materialize(spark, rows.groupBy("_code").agg(F.first("text").alias("text")), "texts")
+
+
+def _links_of(spark: SparkSession, prints: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that are similar, by their texts."""
+    pairs = materialize(spark, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    texts = _texts(spark, prints, pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))))
     one, two = texts.select(F.col("_code").alias("_a"), "text"), texts.select(F.col("_code").alias("_b"), F.col("text").alias("other"))
-    found = stars(spark, _checked(pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))))
-    # What is left: large keys with several components.
-    rooted = large.select("key", "code", "size").join(found, F.col("code") == F.col("a"), "left").select("key", "code", "size", F.coalesce("b", "code").alias("root"))
-    rooted = materialize(spark, rooted, "rooted-members")
+    return _checked(pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b")))
+
+
+def _open(spark: SparkSession, members: DataFrame, found: DataFrame) -> DataFrame | None:
+    """The members of keys with several components, dealt for ``_across``; None if there are none."""
+    rooted = members.join(found, F.col("code") == F.col("a"), "left").select("key", "code", "n", "size", "brief", F.coalesce("b", "code").alias("root"))
     shares = rooted.groupBy("key", "root").agg(F.count("*").alias("share"))
     open_ = shares.groupBy("key").agg(F.count("*").alias("roots"), F.sum("share").alias("n"), F.max(F.struct("share", "root")).alias("most")).where("roots > 1")
     open_ = materialize(spark, open_.select("key", "n", F.col("most.root").alias("main")), "open-keys")
     if not open_.head(1):
-        return found
-    left = counted_join(rooted, open_, ["key"], ["code"]).withColumn("outside", F.col("root") != F.col("main")).withColumn("_home", home)
+        return None
+    parts = F.ceil(F.col("size") / LEAF).cast("long")
+    left = counted_join(rooted, open_, ["key"], ["code"]).withColumns({"outside": F.col("root") != F.col("main"), "_home": F.pmod(F.xxhash64("code", "key"), parts)})
     left = left.withColumn("part", F.explode(F.when(F.col("outside"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array("_home"))))
-    left = left.select("key", "part", "code", "root", (F.col("part") == F.col("_home")).alias("home"), "outside")
-    wanted = materialize(spark, left, "open-members")
-    texts = prints.select("_code", "text").join(wanted.select("code").distinct(), F.col("_code") == F.col("code"), "left_semi").groupBy("_code").agg(F.first("text").alias("text"))
-    texts = materialize(spark, texts, "open-texts")
-    return stars(spark, found.unionByName(_rest(wanted.join(texts, F.col("code") == F.col("_code")).drop("_code"))))
+    return left.select("key", "part", "code", "n", "root", (F.col("part") == F.col("_home")).alias("home"), "outside", "brief")
+
+
+def links(spark: SparkSession, prints: DataFrame) -> DataFrame:
+    """prints: text, _code, _n, _keys, _brief, _rank. The components of similar sets, as ``stars`` of their codes."""
+    codes = prints.groupBy(F.col("_code").alias("code")).agg(F.first("_n").alias("n"), F.first("_keys").alias("keys"), F.first("_brief").alias("brief"), F.first("_rank").alias("rank"))
+    codes = materialize(spark, codes.where("n > 0"), "sets")
+    rows = codes.select(F.explode("keys").alias("key"), "code", F.col("n").alias("n_code"), "rank", "brief")
+    crowd = materialize(spark, rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("size", F.col("n")), "shared-keys")
+    members = counted_join(rows, crowd, ["key"], ["code"]).withColumnRenamed("n_code", "n")
+    members = materialize(spark, members, "members")
+    part = F.pmod(F.xxhash64("code", "key"), F.ceil(F.col("size") / LEAF).cast("long"))
+    met = materialize(spark, _pairs(members.select("key", part.alias("part"), "code", "n", "rank", "brief")).distinct(), "met")
+    nearest = met.groupBy("a").agg(F.max(F.struct("alike", "b")).alias("m")).select("a", "m.b")
+    found = stars(spark, _links_of(spark, prints, met.where("led").select("a", "b").unionByName(nearest)))
+    open_ = _open(spark, members, found)
+    if open_ is None:
+        return found
+    found = stars(spark, found.unionByName(_links_of(spark, prints, _across(open_, best=True).select("a", "b"))))
+    open_ = _open(spark, members, found)
+    if open_ is None:
+        return found
+    # Every candidate that is left, of components that are still apart.
+    pairs = materialize(spark, _across(open_, best=False), "open-pairs")
+    parts = pairs.select("root", "b").distinct().groupBy("root").agg(F.count("*").alias("n"))
+    parts = materialize(spark, parts.select("root", "n", F.ceil(F.col("n") / LEAF).cast("long").alias("parts")), "open-roots")
+    dealt = counted_join(pairs, parts, ["root"], ["a", "b"]).withColumn("part", F.pmod(F.xxhash64("b", "root"), F.col("parts")))
+    left = dealt.select("root", "part", F.col("b").alias("code"), F.col("root").alias("own"), F.lit(True).alias("home"))
+    left = materialize(spark, left.unionByName(dealt.select("root", "part", F.col("a").alias("code"), F.col("a_root").alias("own"), F.lit(False).alias("home"))).distinct(), "open-entries")
+    texts = _texts(spark, prints, left.select(F.col("code").alias("a")))
+    return stars(spark, found.unionByName(_similar(left.join(texts, F.col("code") == F.col("_code")).drop("_code"))))
 
 
 def components(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """doc_id, code, root (of the code's component), component_id: every row with the smallest doc_id of its component."""
     ship_package(spark)
+    with scratch(spark):
+        return materialize(spark, _components(spark, documents), "near-copies", keep=True)
+
+
+def _components(spark: SparkSession, documents: DataFrame) -> DataFrame:
     prints = materialize(spark, coded(documents.select("doc_id", "text")), "prints")
     found = links(spark, prints)
     firsts = prints.groupBy(F.col("_code").alias("code")).agg(F.min("doc_id").alias("first"))

@@ -443,7 +443,7 @@ def layouts(n: int, seed: int = SEED) -> list[str]:
         if r.random() < 0.5:
             tag, attr = r.choice(names[0]), noise() if r.random() < 0.5 else f' class="{r.choice(names[1])}"'
         else:
-            tag, attr = r.choice(["div", "div", "div", "section", "ul" if kind in ("nav", "side") else "div"]), f' {r.choice(["class", "class", "id"])}="{r.choice(names[1])}"'
+            tag, attr = r.choice(["div", "div", "div", "section", "ul" if kind in ("nav", "side") else "div", "td" if kind in ("nav", "side", "ad") else "div"]), f' {r.choice(["class", "class", "id"])}="{r.choice(names[1])}"'
         if tag in ("section", "aside") and "=" not in attr:
             attr = f' class="{r.choice(names[1])}"'
         return f'<{tag}{attr} data-main="0">{inner}</{tag}>'

@@ -40,7 +40,7 @@ from skytally.llm import columnar as C
 from skytally.llm import copies
 from skytally.llm.components import stars
 from skytally.llm.joins import counted_join
-from skytally.session import materialize, ship_package
+from skytally.session import materialize, scratch, ship_package
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Fingerprints that a node of the index holds at most before it is refined, and in a piece of the Gray order.
@@ -293,7 +293,8 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, shingle: int = SH
     """doc_id, fp, component_id: every row of the documents with the smallest doc_id of its component."""
     prints = materialize(spark, fingerprints(spark, documents, shingle), "fingerprints")
     codes = materialize(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "codes")
-    found = stars(spark, links(spark, codes, distance))
+    with scratch(spark):
+        found = materialize(spark, stars(spark, links(spark, codes, distance)), "linked", keep=True)
     rooted = codes.join(found, F.col("fp") == F.col("a"), "left").select("fp", "first", F.coalesce("b", "fp").alias("root"))
     rooted = materialize(spark, rooted, "rooted")
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "_root")

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from skytally.llm import columnar as C
 from skytally.llm.joins import counted_join
-from skytally.session import discard, materialize, ship_package
+from skytally.session import materialize, scratch, ship_package
 
 #: Bytes of a repeat, of an anchor, and of text in a block; different runs of an anchor that a block takes at most.
 LENGTH, K, BLOCK, GROUP = 100, 32, 128 << 10, 768
@@ -261,15 +261,20 @@ def _whole(spark: SparkSession, runs_: DataFrame, length: int, group: int) -> tu
 def repeats(spark: SparkSession, documents: DataFrame, length: int = LENGTH, k: int = K, block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """Byte ranges (doc_id, copy, start, end; they may overlap) that strings of ``length`` bytes cover which also start earlier."""
     ship_package(spark)
+    with scratch(spark):
+        return materialize(spark, _repeats(spark, documents, length, k, block, group), "repeats", keep=True)
+
+
+def _repeats(spark: SparkSession, documents: DataFrame, length: int, k: int, block: int, group: int) -> DataFrame:
     texts = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     if texts.groupBy("doc_id").count().where("count > 1").head(1):
         texts = materialize(spark, texts.distinct(), "different-documents")
-    shared = materialize(spark, _anchors(texts, length, k, full=False).groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "shared-anchors")
-    dup = materialize(spark, counted_join(_anchors(texts, length, k, full=True), shared, ["h"], PLACE), "shared-runs")
-    later, wanted = _whole(spark, dup, length, group)
-    found = materialize(spark, later, "later-runs")
-    contexts = materialize(spark, _contexts(texts, wanted, length), "contexts")
-    discard(spark, shared, dup)
+    with scratch(spark):
+        shared = materialize(spark, _anchors(texts, length, k, full=False).groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "shared-anchors")
+        dup = materialize(spark, counted_join(_anchors(texts, length, k, full=True), shared, ["h"], PLACE), "shared-runs")
+        later, wanted = _whole(spark, dup, length, group)
+        found = materialize(spark, later, "later-runs", keep=True)
+        contexts = materialize(spark, _contexts(texts, wanted, length), "contexts", keep=True)
     for share in LONGER:
         found = found.unionByName(materialize(spark, _repeats_in_blocks(contexts.where("NOT large"), length, block), "later-windows"))
         crowded = contexts.where("large")
