@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,12 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+#: Folders that ``materialize`` wrote within each open ``scratch``.
+_WRITTEN: list[list[str]] = []
+
+
+def materialize(spark: SparkSession, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: the lineage ends there, and a lost executor costs
     no more than the tasks that read it. Shuffle files of the finished stages go with the plans that nothing refers to any
     more; the collection makes that happen now, not when the driver's memory happens to fill.
+
+    Within ``scratch`` the table goes at its end; with ``keep``, at the end of the one around it, if there is one.
     """
     path = f"{shared_dir(spark)}/skytally/{name}-{uuid.uuid4().hex}"
+    for made in _WRITTEN[: -1 if keep else None][-1:]:
+        made.append(path)
     df.write.mode("error").parquet(path)
     del df
     gc.collect()
@@ -44,9 +54,14 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def discard(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes tables of ``materialize`` that nothing reads any more: all that was made of them is itself written."""
-    for table in tables:
-        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that ``materialize`` writes within it, when nothing needs them any more: what is made of them and
+    goes on must itself be written, with ``keep``."""
+    _WRITTEN.append([])
+    try:
+        yield
+    finally:
+        for folder in _WRITTEN.pop():
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
