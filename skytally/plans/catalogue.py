@@ -7,6 +7,7 @@ Spark and the oracle share.
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
@@ -21,10 +22,11 @@ from skytally.functions import binary, scalars
 from skytally.operators import ops, telemetry, windows
 from skytally.plans.routing import route
 from skytally.rules.batch import alerts
-from skytally.rules.model import Rule, Threshold
+from skytally.rules.model import Geofence, Rule, Threshold
 from skytally.schema import HK_LAYOUTS
-from skytally.session import ship_package
+from skytally.session import shared_dir, ship_package
 from skytally.sources import binary as sources
+from skytally.streaming import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -160,6 +162,20 @@ _series("series_hour", T0, T1, 500)
 _series("series_5m_raw", datetime(2024, 1, 2), datetime(2024, 1, 5, 8), 4900)
 
 
+@query("series_stored", ORACLE["series_hour"])
+def series_stored(spark: SparkSession, d: str) -> DataFrame:
+    """As series_hour, from rollups that are stored: minutes from the measurements, hours from the stored minutes. The range
+    query prunes days and reads hours only."""
+    raw = _events(spark, d).selectExpr(*DENSE_VIEW).withColumn("time", F.col("time").cast("timestamp"))
+    stored, levels = {"RAW": raw}, {"MINUTE": telemetry.rollup, "HOUR": telemetry.rollup_up}
+    source = raw
+    for level, roll in levels.items():
+        path = f"{shared_dir(spark)}/skytally/{level.lower()}-{uuid.uuid4().hex}"
+        tables.write_rollup(roll(source), path)
+        source = stored[level] = spark.read.parquet(path)
+    return _rounded(telemetry.series(stored, TENANT, DEVICE, METRIC, T0, T1, 500)[1], "avg_value")
+
+
 def _buckets(name: str, level: str, width: int) -> None:
     table, column = {"RAW": (TELEMETRY, "time"), "MINUTE": (ROLLUP_1M, "bucket"), "HOUR": (ROLLUP_1H, "bucket")}[level]
 
@@ -318,6 +334,45 @@ def geofence_breach(spark: SparkSession, d: str) -> DataFrame:
     return _places(spark, d).where(scalars.breaches("distance_m", "ABOVE", 500)).groupBy("tenant_id", "device_id").agg(F.count("*").alias("breaches"))
 
 
+#: Positions that come a coordinate at a time, as records of a link do; a fence with hysteresis, without debounce.
+FENCE = [Rule("fence", "Left the area", f"tenant-{i}", "*", "CRITICAL", Geofence(39.8917, 32.7833, 500.0, 300.0)) for i in range(3)]
+POSITION = [*VIEW[:3], "event_id", "CASE WHEN event_id % 2 = 0 THEN 'position.latitude_deg' ELSE 'position.longitude_deg' END AS metric", "CASE WHEN event_id % 2 = 0 THEN CAST(39.8917 AS DOUBLE) + value / 100000 ELSE CAST(32.7833 AS DOUBLE) + (event_id % 97) / CAST(10000 AS DOUBLE) END AS value"]
+IN_ORDER = "PARTITION BY tenant_id, device_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+
+
+def _edges_sql(source: str, fires: str, clears: str, detail: str) -> str:
+    """Alerts without debounce: where the last decisive value changes sides. at: the newest time so far."""
+    return f"""SELECT tenant_id, device_id, CASE WHEN active = 1 THEN 'FIRED' ELSE 'RESOLVED' END AS kind, at_ns, {detail} AS detail FROM (
+ SELECT *, lag(active, 1, 0) OVER (PARTITION BY tenant_id, device_id ORDER BY event_id) AS was FROM (
+ SELECT *, coalesce(last_value(CASE WHEN {fires} THEN 1 WHEN {clears} THEN 0 END IGNORE NULLS) OVER ({IN_ORDER}), 0) AS active FROM {source})) WHERE active <> was"""
+
+
+@query(
+    "alerts_geofence",
+    _edges_sql(f"(SELECT *, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN {DISTANCE} END AS d FROM (SELECT tenant_id, device_id, event_id, max(epoch_us(time) * 1000) OVER ({IN_ORDER}) AS at_ns, last_value(CASE WHEN metric = 'position.latitude_deg' THEN value END IGNORE NULLS) OVER ({IN_ORDER}) AS lat, last_value(CASE WHEN metric = 'position.longitude_deg' THEN value END IGNORE NULLS) OVER ({IN_ORDER}) AS lon FROM (SELECT {', '.join(POSITION)} FROM events)))", "d > 500", "d <= 300", "printf('%.0f m from fence centre (radius 500 m)', d)"),
+)
+def alerts_geofence(spark: SparkSession, d: str) -> DataFrame:
+    rows = _events(spark, d).selectExpr(*POSITION).withColumn("time_ns", F.unix_micros(F.col("time").cast("timestamp")) * 1000)
+    return alerts(spark, rows, FENCE, "event_id").select("tenant_id", "device_id", "kind", "at_ns", "detail")
+
+
+#: A rule on the slope of a day's samples: events in order of time, made unique by their ids.
+TREND = [Rule("rising", "Rising fast", f"tenant-{i}", "*", "WARNING", Threshold("click#slope_per_min", "ABOVE", 0.02, 0.0)) for i in range(3)]
+DAY_NS = 86400 * 10**9
+
+
+@query(
+    "alerts_trend",
+    _edges_sql(f"""(SELECT tenant_id, device_id, t AS event_id, t * 1000 AS at_ns, last_value(slope IGNORE NULLS) OVER (PARTITION BY tenant_id, device_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM (
+ SELECT *, CASE WHEN metric = 'click' AND count(*) OVER w >= 8 THEN 60 * regr_slope(value, (t - first) / 1e6) OVER w END AS slope FROM (
+ SELECT *, min(t) OVER () AS first FROM (SELECT tenant_id, device_id, metric, value, epoch_us(time) + event_id AS t FROM {TELEMETRY})) WINDOW w AS (PARTITION BY tenant_id, device_id, metric ORDER BY t RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)))""", "v > 0.02", "v <= 0", "printf('click#slope_per_min %.3f (threshold > 0.020)', v)"),
+)
+def alerts_trend(spark: SparkSession, d: str) -> DataFrame:
+    rows = _telemetry(spark, d).withColumn("time_ns", (F.unix_micros("time") + F.col("event_id")) * 1000).withColumn("place", F.col("time_ns"))
+    found = alerts(spark, rows, TREND, "place", span_ns=DAY_NS, capacity=1_000_000)
+    return found.select("tenant_id", "device_id", "kind", "at_ns", "detail")
+
+
 SILENCES = f"(SELECT tenant_id, device_id, time AS last_seen, resumed, (epoch_us(resumed) - epoch_us(time)) / 1e6 AS silence_s FROM (SELECT tenant_id, device_id, time, lead(time) OVER (PARTITION BY tenant_id, device_id ORDER BY time) AS resumed FROM (SELECT DISTINCT tenant_id, device_id, time FROM {TELEMETRY})) WHERE (epoch_us(resumed) - epoch_us(time)) / 1e6 > 21600)"
 
 

@@ -44,6 +44,29 @@ def envelopes(records: DataFrame) -> DataFrame:
     ).withColumn("undecodable", F.col("tenant_id").isNull() | F.col("device_id").isNull() | F.col("message_id").isNull())
 
 
+#: Header names of telemetry records, and the columns they carry.
+HEADERS = {"tenant": "tenant_id", "device": "device_id", "source": "source", "msgId": "message_id", "seq": "sequence", "sysId": "system_id", "compId": "component_id", "receivedAtNanos": "received_at_nanos"}
+
+
+def keyed_records(envelope: DataFrame) -> DataFrame:
+    """Envelopes as records for a topic: key (tenant/device, so that a device keeps its order), value (the payload) and
+    headers, which let a reader discard a record without decoding it. Null columns give no header."""
+    headers = F.filter(F.array(*(F.struct(F.lit(h).alias("key"), F.encode(F.col(c).cast("string"), "UTF-8").alias("value")) for h, c in HEADERS.items())), lambda h: h["value"].isNotNull())
+    return envelope.select(scalars.routing_key("tenant_id", "device_id").cast("binary").alias("key"), F.col("payload").alias("value"), headers.alias("headers"))
+
+
+#: Fixed value: the message that answers a command.
+COMMAND_ACK = 77
+
+
+def acks(envelope: DataFrame) -> DataFrame:
+    """The answers to commands among envelopes: tenant_id, device_id, mav_command_id, result, at. All other records go by
+    their message id, before a payload is looked at; bytes that a sender cut off at the end are zero."""
+    rows = envelope.where(f"NOT undecodable AND source = 'MAVLINK' AND message_id = {COMMAND_ACK}")
+    at = F.timestamp_micros(F.floor(F.col("received_at_nanos") / 1000).cast("long"))
+    return rows.select("tenant_id", "device_id", binary.read("payload", "u16", 0).cast("int").alias("mav_command_id"), binary.read("payload", "u8", 2).cast("int").alias("result"), at.alias("at"))
+
+
 IDENTITY = ["tenant_id", "device_id", "message_id", "sequence", "system_id", "component_id", "payload"]
 
 
@@ -109,6 +132,12 @@ def write_measurements(rows: DataFrame, path: str) -> None:
     out.repartition("event_date", *SERIES_KEY).sortWithinPartitions(*SERIES_KEY, F.col("time").desc()).write.mode("append").partitionBy("event_date").parquet(path)
 
 
+def write_rollup(rolled: DataFrame, path: str) -> None:
+    """A rollup by day, clustered by series, as range queries read it."""
+    out = rolled.withColumn("event_date", F.to_date("bucket")).repartition("event_date", *SERIES_KEY)
+    out.sortWithinPartitions("event_date", *SERIES_KEY, "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path)
+
+
 def refresh(spark: SparkSession, source: DataFrame, path: str, level: str, now: datetime) -> None:
     """Recomputes the buckets of a rollup that lie within its refresh horizon, and only those.
 
@@ -131,8 +160,7 @@ def refresh(spark: SparkSession, source: DataFrame, path: str, level: str, now:
     # Read days are written over: the new ones are complete in a folder beside them first.
     staged = f"{path.rstrip('/')}_staged"
     fresh.write.mode("overwrite").parquet(staged)
-    out = spark.read.parquet(staged).repartition("event_date", *SERIES_KEY).sortWithinPartitions("event_date", *SERIES_KEY, "bucket")
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path)
+    write_rollup(spark.read.parquet(staged).drop("event_date"), path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(staged)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 

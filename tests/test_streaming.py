@@ -255,3 +255,26 @@ def test_delivery_from_the_executors(spark, tmp_path):
     assert counts == {"delivered": 20, "rejected": 20}
     for i in range(5):
         assert (tmp_path / f"r_d{i}").read_text().split() == ["FIRED"] * 2 + ["RESOLVED"] * 2
+
+
+def test_keyed_records_read_back_as_envelopes(spark):
+    ack = (400).to_bytes(2, "little") + bytes([4])
+    rows = [("t", "d/1", "MAVLINK", 77, 3, 1, 1, 1500, ack), ("t", "d/1", "MAVLINK", 77, 4, 1, 1, 2500, ack[:2]), ("t", "d/2", "HK", 77, -1, -1, -1, 5, b"x"), ("t", "d/2", "MAVLINK", 33, 9, 1, 1, 6, bytes(28))]
+    schema = "tenant_id string, device_id string, source string, message_id int, sequence int, system_id int, component_id int, received_at_nanos bigint, payload binary"
+    df = spark.createDataFrame(rows, schema)
+    sent = tables.keyed_records(df)
+    assert {bytes(r.key) for r in sent.collect()} == {b"t/d/1", b"t/d/2"}
+    back = tables.envelopes(sent.withColumn("timestamp", F.lit(datetime(2024, 1, 1))))
+    assert sorted(map(tuple, back.drop("undecodable").collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
+    assert [tuple(r)[:4] for r in tables.acks(back).orderBy("at").collect()] == [("t", "d/1", 400, 4), ("t", "d/1", 400, 0)]
+
+
+def test_capture_files(spark, tmp_path):
+    from skytally.plans.catalogue import _mavlink_frame
+    from skytally.sources import binary as sources
+
+    for i in range(3):
+        (tmp_path / f"link-{i}.bin").write_bytes(b"".join(_mavlink_frame(e) for e in range(100 * i, 100 * i + 100)))
+    frames = sources.mavlink_frames(spark, sources.captures(spark, str(tmp_path)))
+    assert frames.select("path").distinct().count() == 3
+    assert frames.count() == sum(1 for e in range(300) if not (e % 22 == 0 and e % 256 < 200) and e % 19)
