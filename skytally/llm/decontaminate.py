@@ -5,7 +5,8 @@ word shingles, and a document contains it only if it contains all of them, so at
 window is a sufficient prefix. All shingles of the benchmark are counted over all documents; each window's prefix is its
 rarest one. Documents offer only occurrences of prefix shingles, with the words around them; these meet the windows in an
 equi-join on the shingle, the window's place in the document follows from the shingle's offset (positional bound) and must
-lie inside the document (length bound), and the words are compared one by one.
+lie inside the document (length bound), and the words are compared one by one. Shingles with many occurrences are split in the
+join by their counts.
 
 The benchmark goes to the tasks in blocks of at most ``block_shingles`` shingle hashes (8 bytes each), whatever its size;
 each block is one pass over the documents. Document text is never shuffled, only the neighbourhood of prefix occurrences.
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skytally.llm import columnar as C
+from skytally.llm.joins import counted_join
 from skytally.session import materialize, ship_package
 
 WINDOW, SHINGLE = 13, 5
@@ -144,10 +146,14 @@ def contamination(spark: SparkSession, documents: DataFrame, benchmark: DataFram
         mine = tokens.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b)
         counts = frequencies(documents, _vocabulary(mine))
         rank = Window.partitionBy("window").orderBy(F.coalesce("n", F.lit(0)), "token", "offset")
-        prefix = mine.join(counts, ["k", "token"], "left").withColumn("rank", F.row_number().over(rank)).where("rank = 1").select("window", "k", "token", "offset")
+        prefix = mine.join(counts, ["k", "token"], "left").withColumn("rank", F.row_number().over(rank)).where("rank = 1")
+        # One row per prefix shingle, with the windows of the benchmark that it stands for and how often it occurs.
+        prefix = prefix.join(wins, "window").groupBy("k", "token").agg(F.coalesce(F.first("n"), F.lit(0)).alias("n"), F.collect_list(F.struct("window", "item_id", "w_len", "offset")).alias("at"))
         prefix = materialize(spark, prefix, "benchmark-prefixes")
         seen = _occurrences(documents, _vocabulary(prefix), window)
-        placed = seen.join(prefix.join(wins, "window"), ["k", "token"], "left").withColumn("start", F.col("pos") - F.col("offset"))
+        # A shingle that many documents hold is split by its count.
+        placed = counted_join(seen, prefix, ["k", "token"], ["doc_id", "copy", "pos"], "left").select(*seen.columns, F.explode_outer("at").alias("at"))
+        placed = placed.select(*seen.columns, "at.*").withColumn("start", F.col("pos") - F.col("offset"))
         fits = (F.col("start") >= F.col("from")) & (F.col("start") + F.col("w_len") <= F.col("n_words"))
         same = F.array_join(F.slice(F.split("around", " "), F.greatest(F.col("start") - F.col("from") + 1, F.lit(1)), F.col("w_len")), " ") == F.col("window")
         hit = F.coalesce(fits & same, F.lit(False))
