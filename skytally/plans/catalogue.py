@@ -356,20 +356,20 @@ def alerts_geofence(spark: SparkSession, d: str) -> DataFrame:
     return alerts(spark, rows, FENCE, "event_id").select("tenant_id", "device_id", "kind", "at_ns", "detail")
 
 
-#: A rule on the slope of a day's samples: events in order of time, made unique by their ids.
-TREND = [Rule("rising", "Rising fast", f"tenant-{i}", "*", "WARNING", Threshold("click#slope_per_min", "ABOVE", 0.02, 0.0)) for i in range(3)]
-DAY_NS = 86400 * 10**9
+#: A rule on the slope of ten days' samples: events in order of time, made unique by their ids.
+TREND = [Rule("rising", "Rising fast", f"tenant-{i}", "*", "WARNING", Threshold("click#slope_per_min", "ABOVE", 0.004, 0.0)) for i in range(3)]
+TEN_DAYS_NS = 864_000 * 10**9
 
 
 @query(
     "alerts_trend",
     _edges_sql(f"""(SELECT tenant_id, device_id, t AS event_id, t * 1000 AS at_ns, last_value(slope IGNORE NULLS) OVER (PARTITION BY tenant_id, device_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM (
  SELECT *, CASE WHEN metric = 'click' AND count(*) OVER w >= 8 THEN 60 * regr_slope(value, (t - first) / 1e6) OVER w END AS slope FROM (
- SELECT *, min(t) OVER () AS first FROM (SELECT tenant_id, device_id, metric, value, epoch_us(time) + event_id AS t FROM {TELEMETRY})) WINDOW w AS (PARTITION BY tenant_id, device_id, metric ORDER BY t RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)))""", "v > 0.02", "v <= 0", "printf('click#slope_per_min %.3f (threshold > 0.020)', v)"),
+ SELECT *, min(t) OVER () AS first FROM (SELECT tenant_id, device_id, metric, value, epoch_us(time) + event_id AS t FROM {TELEMETRY})) WINDOW w AS (PARTITION BY tenant_id, device_id, metric ORDER BY t RANGE BETWEEN 864000000000 PRECEDING AND CURRENT ROW)))""", "v > 0.004", "v <= 0", "printf('click#slope_per_min %.3f (threshold > 0.004)', v)"),
 )
 def alerts_trend(spark: SparkSession, d: str) -> DataFrame:
     rows = _telemetry(spark, d).withColumn("time_ns", (F.unix_micros("time") + F.col("event_id")) * 1000).withColumn("place", F.col("time_ns"))
-    found = alerts(spark, rows, TREND, "place", span_ns=DAY_NS, capacity=1_000_000)
+    found = alerts(spark, rows, TREND, "place", span_ns=TEN_DAYS_NS, capacity=1_000_000)
     return found.select("tenant_id", "device_id", "kind", "at_ns", "detail")
 
 

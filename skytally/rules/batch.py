@@ -29,6 +29,7 @@ class Fold:
         self.tenant, self.device = tenant, device
         self.windows: dict[str, list[tuple[int, float]]] = {}
         self.states: dict[str, fsm.State] = {}
+        self.derived: dict[str, dict[str, float]] = {}
 
     def record(self, at: int, metrics: dict[str, float]) -> list:
         """One record; a record without metrics still tells that the device is alive."""
@@ -36,8 +37,11 @@ class Fold:
         for name in self.watched:
             if name in metrics:
                 self.windows[name] = window.add(self.windows.get(name, []), at, metrics[name], *self.limits)
+                self.derived.pop(name, None)
         for name, samples in self.windows.items():
-            updates |= window.derived(name, window.stats(samples), self.min_samples)
+            if name not in self.derived:  # only where the window has changed
+                self.derived[name] = window.derived(name, window.stats(samples), self.min_samples)
+            updates |= self.derived[name]
         before = self.observation or Observation(self.tenant, self.device, {}, at, at)
         self.observation = before.with_all(updates, at)
         return fsm.observe(self.rules, self.states, self.observation)
