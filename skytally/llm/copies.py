@@ -10,10 +10,11 @@ Equal sets are one entry. Entries that share a key are candidates:
 1. The entries of a key are put in the Gray order of their SimHash fingerprints (of the same shingles). Each meets the next
    ``AHEAD`` and the key's leader, the entry of smallest hash. Of all whom it meets, the one with most minima in common and
    the leaders are checked on the shingles of both texts. Checked links make components; that settles nearly all.
-2. Keys with several components left are done exactly: every entry outside the key's largest component meets all entries of
-   other components, first the one of each with most minima in common, then, where components are still apart, all of them.
-   Keys with more than ``LEAF`` entries are dealt into parts of about that many for it, and what is outside the largest
-   component goes to every part. Texts of the last step go to the tasks once for each component that they are checked with.
+2. Keys with several components left are done exactly. Every entry outside the key's largest component meets all entries of
+   other components, and the one with most minima in common is checked. Where components are still apart after that, it is
+   checked with all entries of the largest component that it has enough minima in common with, and with all others outside.
+   Keys and components with more than ``LEAF`` entries are dealt into parts of about that many for it, and what is outside
+   goes to every part. Texts of this step go to the tasks once for each component or key that they are checked in.
 
 Candidates with fewer than ``EQUAL`` of all minima in common are left out: at similarity 0.8 that happens with probability
 1e-5.
@@ -201,67 +202,59 @@ def _checked(pairs: DataFrame) -> DataFrame:
 
 def _across(rows: DataFrame, best: bool) -> DataFrame:
     """rows: key, part, code, n, root, home (the entry belongs to the part), outside (it isn't of the key's largest component),
-    brief. Candidates a (outside), b (at home in the part, of the other component root); ``best``: one of each component."""
+    brief. For each entry outside: a, a_root, b, root. With ``best``, b is the candidate at home in the part, of any other
+    component root, with most minima in common; else, any candidate of the largest component at home in the part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, part, code, n, root, home, outside, brief in _grouped(batches, ["key", "part", "code", "n", "root", "home", "outside", "brief"], 2, STEP):
             minima = np.frombuffer(b"".join(brief), np.uint8).reshape(len(brief), -1)
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            a, b = [], []
             for lo, hi in _bounds([key, part]):
-                at_home = lo + np.flatnonzero(home[lo:hi])
+                at_home = lo + np.flatnonzero(home[lo:hi] if best else home[lo:hi] & ~outside[lo:hi])
                 for i in (lo + np.flatnonzero(outside[lo:hi])).tolist():
                     alike = (minima[at_home] == minima[i]).sum(axis=1)
-                    fits = (alike >= EQUAL) & (root[at_home] != root[i]) & (np.minimum(n[at_home], n[i]) >= SIMILARITY * np.maximum(n[at_home], n[i]))
-                    near, alike = at_home[fits], alike[fits]
-                    if best:
-                        near = near[np.argsort(-alike, kind="stable")]
-                        near = near[np.unique(root[near], return_index=True)[1]]
-                    a.append(np.full(len(near), i))
-                    b.append(near)
-            a, b = np.concatenate(a), np.concatenate(b)
+                    alike[(root[at_home] == root[i]) | (np.minimum(n[at_home], n[i]) < SIMILARITY * np.maximum(n[at_home], n[i]))] = 0
+                    if len(alike) and alike.max() >= EQUAL:
+                        a.append(i)
+                        b.append(int(at_home[np.argmax(alike)]))
+            a, b = np.array(a, np.int64), np.array(b, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(code[a]), pa.array(root[a]), pa.array(code[b]), pa.array(root[b])], ["a", "a_root", "b", "root"])
 
     rows = rows.repartition("key", "part").sortWithinPartitions("key", "part")
-    return rows.mapInArrow(run, "a bigint, a_root bigint, b bigint, root bigint").distinct()
+    return rows.mapInArrow(run, "a bigint, a_root bigint, b bigint, root bigint")
 
 
 def _similar(rows: DataFrame) -> DataFrame:
-    """rows: root, part, code, own (its component), home, text. Links a, b between the entries at home in the part and the
-    others, by their shingles."""
+    """rows: grp, part, code, root (its component), home, asks, text. Links a, b between the entries that ask and those at home
+    in the part, of other components, by their shingles: one of each component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for root, part, code, own_root, home, text in _grouped(batches, ["root", "part", "code", "own", "home", "text"], 2, 1):
-            for lo, hi in _bounds([root, part]):
+        for grp, part, code, root, home, asks, text in _grouped(batches, ["grp", "part", "code", "root", "home", "asks", "text"], 2, 1):
+            for lo, hi in _bounds([grp, part]):
                 h, at = shingles(*C.flat(pa.array(text[lo:hi].tolist(), pa.string())))
                 size, owner = np.diff(at), np.repeat(np.arange(hi - lo), np.diff(at))
                 order = np.argsort(h, kind="stable")
                 sorted_h, sorted_owner = h[order], owner[order]
                 a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for i in np.flatnonzero(~home[lo:hi]).tolist():
+                for i in np.flatnonzero(asks[lo:hi]).tolist():
                     own = h[at[i] : at[i + 1]]
                     x, y = np.searchsorted(sorted_h, own, "left"), np.searchsorted(sorted_h, own, "right")
                     places = np.repeat(x, y - x) + np.arange((y - x).sum()) - np.repeat(np.cumsum(y - x) - (y - x), y - x)
                     both = np.bincount(sorted_owner[places], minlength=hi - lo)
-                    near = lo + np.flatnonzero((both >= SIMILARITY * (size[i] + size - both)) & home[lo:hi])
-                    a.append(np.full(len(near[:1]), code[lo + i]))  # all at home are of one component: one link does
-                    b.append(code[near[:1]])
+                    near = lo + np.flatnonzero((both >= SIMILARITY * (size[i] + size - both)) & home[lo:hi] & (root[lo:hi] != root[lo + i]))
+                    near = near[np.unique(root[near], return_index=True)[1]]
+                    a.append(np.full(len(near), code[lo + i]))
+                    b.append(code[near])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (a, b)], ["a", "b"])
 
-    return rows.repartition("root", "part").sortWithinPartitions("root", "part").mapInArrow(run, "a bigint, b bigint")
+    return rows.repartition("grp", "part").sortWithinPartitions("grp", "part").mapInArrow(run, "a bigint, b bigint")
 
 
-def _texts(spark: SparkSession, prints: DataFrame, codes: DataFrame) -> DataFrame:
-    """One text of each of the codes (column a): _code, text."""
-    rows = prints.select("_code", "text").join(codes.select("a").distinct(), F.col("_code") == F.col("a"), "left_semi")
-    return materialize(spark, rows.groupBy("_code").agg(F.first("text").alias("text")), "texts")
-
-
-def _links_of(spark: SparkSession, prints: DataFrame, pairs: DataFrame) -> DataFrame:
+def _links_of(spark: SparkSession, texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that are similar, by their texts."""
     pairs = materialize(spark, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    texts = _texts(spark, prints, pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))))
-    one, two = texts.select(F.col("_code").alias("_a"), "text"), texts.select(F.col("_code").alias("_b"), F.col("text").alias("other"))
-    return _checked(pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b")))
+    one, two = texts.select(F.col("code").alias("_a"), "text"), texts.select(F.col("code").alias("_b"), F.col("text").alias("other"))
+    return _checked(pairs.join(one.hint("merge"), F.col("a") == F.col("_a")).join(two.hint("merge"), F.col("b") == F.col("_b")))
 
 
 def _open(spark: SparkSession, members: DataFrame, found: DataFrame) -> DataFrame | None:
@@ -275,7 +268,8 @@ def _open(spark: SparkSession, members: DataFrame, found: DataFrame) -> DataFram
     parts = F.ceil(F.col("size") / LEAF).cast("long")
     left = counted_join(rooted, open_, ["key"], ["code"]).withColumns({"outside": F.col("root") != F.col("main"), "_home": F.pmod(F.xxhash64("code", "key"), parts)})
     left = left.withColumn("part", F.explode(F.when(F.col("outside"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array("_home"))))
-    return left.select("key", "part", "code", "n", "root", (F.col("part") == F.col("_home")).alias("home"), "outside", "brief")
+    left = left.select("key", "part", "code", "n", "root", (F.col("part") == F.col("_home")).alias("home"), "outside", "brief", "main")
+    return materialize(spark, left, "open-members")
 
 
 def links(spark: SparkSession, prints: DataFrame) -> DataFrame:
@@ -286,26 +280,32 @@ def links(spark: SparkSession, prints: DataFrame) -> DataFrame:
     crowd = materialize(spark, rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("size", F.col("n")), "shared-keys")
     members = counted_join(rows, crowd, ["key"], ["code"]).withColumnRenamed("n_code", "n")
     members = materialize(spark, members, "members")
+    # One text of each entry that shares a key. Texts meet the entries by a shuffle at any size, and go no further here.
+    needed = members.select("code").distinct()
+    texts = prints.select("_code", "text").join(needed.hint("merge"), F.col("_code") == F.col("code")).groupBy("code").agg(F.first("text").alias("text"))
+    texts = materialize(spark, texts, "texts")
     part = F.pmod(F.xxhash64("code", "key"), F.ceil(F.col("size") / LEAF).cast("long"))
     met = materialize(spark, _pairs(members.select("key", part.alias("part"), "code", "n", "rank", "brief")).distinct(), "met")
     nearest = met.groupBy("a").agg(F.max(F.struct("alike", "b")).alias("m")).select("a", "m.b")
-    found = stars(spark, _links_of(spark, prints, met.where("led").select("a", "b").unionByName(nearest)))
+    found = stars(spark, _links_of(spark, texts, met.where("led").select("a", "b").unionByName(nearest)))
     open_ = _open(spark, members, found)
     if open_ is None:
         return found
-    found = stars(spark, found.unionByName(_links_of(spark, prints, _across(open_, best=True).select("a", "b"))))
+    found = stars(spark, found.unionByName(_links_of(spark, texts, _across(open_, best=True).select("a", "b"))))
     open_ = _open(spark, members, found)
     if open_ is None:
         return found
-    # Every candidate that is left, of components that are still apart.
-    pairs = materialize(spark, _across(open_, best=False), "open-pairs")
-    parts = pairs.select("root", "b").distinct().groupBy("root").agg(F.count("*").alias("n"))
-    parts = materialize(spark, parts.select("root", "n", F.ceil(F.col("n") / LEAF).cast("long").alias("parts")), "open-roots")
-    dealt = counted_join(pairs, parts, ["root"], ["a", "b"]).withColumn("part", F.pmod(F.xxhash64("b", "root"), F.col("parts")))
-    left = dealt.select("root", "part", F.col("b").alias("code"), F.col("root").alias("own"), F.lit(True).alias("home"))
-    left = materialize(spark, left.unionByName(dealt.select("root", "part", F.col("a").alias("code"), F.col("a_root").alias("own"), F.lit(False).alias("home"))).distinct(), "open-entries")
-    texts = _texts(spark, prints, left.select(F.col("code").alias("a")))
-    return stars(spark, found.unionByName(_similar(left.join(texts, F.col("code") == F.col("_code")).drop("_code"))))
+    # Entries outside against the largest components, dealt by these ...
+    asked = materialize(spark, _across(open_, best=False).select("a", "a_root", "root").distinct(), "asked")
+    roots = members.select("code").distinct().join(found, F.col("code") == F.col("a"), "left").select("code", F.coalesce("b", "code").alias("root"))
+    inside = roots.join(asked.select("root").distinct(), "root", "left_semi")
+    sizes = materialize(spark, inside.groupBy("root").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / LEAF).cast("long")), "open-roots")
+    here = counted_join(inside, sizes, ["root"], ["code"]).select(F.col("root").alias("grp"), F.pmod(F.xxhash64("code"), F.col("parts")).alias("part"), "code", "root", F.lit(True).alias("home"), F.lit(False).alias("asks"))
+    there = asked.join(sizes.drop("n"), "root").select(F.col("root").alias("grp"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("a").alias("code"), F.col("a_root").alias("root"), F.lit(False).alias("home"), F.lit(True).alias("asks"))
+    # ... and against each other, dealt by keys.
+    apart = open_.where("outside").select(F.col("key").alias("grp"), "part", "code", "root", "home", F.lit(True).alias("asks"))
+    rest = [_similar(x.join(texts.hint("merge"), "code")) for x in (here.unionByName(there), apart)]
+    return stars(spark, found.unionByName(rest[0]).unionByName(rest[1]))
 
 
 def components(spark: SparkSession, documents: DataFrame) -> DataFrame:
