@@ -257,9 +257,9 @@ def _links_of(spark: SparkSession, texts: DataFrame, pairs: DataFrame) -> DataFr
     return _checked(pairs.join(one.hint("merge"), F.col("a") == F.col("_a")).join(two.hint("merge"), F.col("b") == F.col("_b")))
 
 
-def _open(spark: SparkSession, members: DataFrame, found: DataFrame) -> DataFrame | None:
-    """The members of keys with several components, dealt for ``_across``; None if there are none."""
-    rooted = members.join(found, F.col("code") == F.col("a"), "left").select("key", "code", "n", "size", "brief", F.coalesce("b", "code").alias("root"))
+def _open(spark: SparkSession, members: DataFrame, found: DataFrame, codes: DataFrame) -> DataFrame | None:
+    """The members of keys with several components, dealt for ``_across``; None if there are none. Only they get their minima."""
+    rooted = members.select("key", "code", "n", "size").join(found, F.col("code") == F.col("a"), "left").select("key", "code", "n", "size", F.coalesce("b", "code").alias("root"))
     shares = rooted.groupBy("key", "root").agg(F.count("*").alias("share"))
     open_ = shares.groupBy("key").agg(F.count("*").alias("roots"), F.sum("share").alias("n"), F.max(F.struct("share", "root")).alias("most")).where("roots > 1")
     open_ = materialize(spark, open_.select("key", "n", F.col("most.root").alias("main")), "open-keys")
@@ -268,8 +268,8 @@ def _open(spark: SparkSession, members: DataFrame, found: DataFrame) -> DataFram
     parts = F.ceil(F.col("size") / LEAF).cast("long")
     left = counted_join(rooted, open_, ["key"], ["code"]).withColumns({"outside": F.col("root") != F.col("main"), "_home": F.pmod(F.xxhash64("code", "key"), parts)})
     left = left.withColumn("part", F.explode(F.when(F.col("outside"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array("_home"))))
-    left = left.select("key", "part", "code", "n", "root", (F.col("part") == F.col("_home")).alias("home"), "outside", "brief", "main")
-    return materialize(spark, left, "open-members")
+    left = left.select("key", "part", "code", "n", "root", (F.col("part") == F.col("_home")).alias("home"), "outside")
+    return materialize(spark, left.join(codes.select("code", "brief"), "code"), "open-members")
 
 
 def links(spark: SparkSession, prints: DataFrame) -> DataFrame:
@@ -288,11 +288,11 @@ def links(spark: SparkSession, prints: DataFrame) -> DataFrame:
     met = materialize(spark, _pairs(members.select("key", part.alias("part"), "code", "n", "rank", "brief")).distinct(), "met")
     nearest = met.groupBy("a").agg(F.max(F.struct("alike", "b")).alias("m")).select("a", "m.b")
     found = stars(spark, _links_of(spark, texts, met.where("led").select("a", "b").unionByName(nearest)))
-    open_ = _open(spark, members, found)
+    open_ = _open(spark, members, found, codes)
     if open_ is None:
         return found
     found = stars(spark, found.unionByName(_links_of(spark, texts, _across(open_, best=True).select("a", "b"))))
-    open_ = _open(spark, members, found)
+    open_ = _open(spark, members, found, codes)
     if open_ is None:
         return found
     # Entries outside against the largest components, dealt by these ...
