@@ -13,8 +13,11 @@ MODULES = (
     "chat",
     "media",
     "mixing",
+    "packing",
+    "periodic",
     "pii",
     "quality",
+    "resample",
     "simhash",
     "suffix",
     "toxicity",
