@@ -4,34 +4,13 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field
+
+import numpy as np
 
 from skytally.codec.crc import mcrf4xx
 from skytally.codec.dialect import CORE_DIALECT, Message
-
-V1, V2, SIGNED, SIGNATURE = 0xFE, 0xFD, 1, 13
-#: Endpoints of a link whose sequence numbers are followed at most.
-ENDPOINTS = 32
-
-
-@dataclass
-class Stats:
-    decoded: int = 0
-    crc_errors: int = 0
-    unknown: int = 0
-    resync_bytes: int = 0
-    lost: int = 0
-    signed: int = 0
-    v1: int = 0
-    endpoints: int = 0
-
-    @property
-    def loss_ratio(self) -> float:
-        total = self.decoded + self.lost
-        return self.lost / total if total else 0.0
-
-    def row(self) -> tuple[int, ...]:
-        return tuple(getattr(self, f.name) for f in fields(self))
+from skytally.codec.framing import V1, V2, Stats, Tracker, known, scan
 
 
 @dataclass
@@ -40,58 +19,16 @@ class Decoder:
 
     dialect: dict[int, Message] = field(default_factory=lambda: CORE_DIALECT)
     rest: bytes = b""
-    last: dict[tuple[int, int], int] = field(default_factory=dict)
+    tracker: Tracker = field(default_factory=Tracker)
     stats: Stats = field(default_factory=Stats)
 
     def feed(self, chunk: bytes, end: bool = False) -> Iterator[tuple]:
         """(version, sequence, system, component, message id, incompat, compat, payload) of each whole frame."""
-        data, at, n = self.rest + chunk, 0, len(self.rest) + len(chunk)
-        while at < n:
-            version = {V2: 2, V1: 1}.get(data[at])
-            size = self._size(data, at, version) if version else 0
-            if version and (size is None or at + size > n):
-                if not end:
-                    break
-            elif version:
-                head = data[at : at + 10]
-                number = int.from_bytes(head[7:10], "little") if version == 2 else head[5]
-                known = self.dialect.get(number)
-                if known is None:  # can't be checked: its claimed length is skipped
-                    self.stats.unknown += 1
-                    at += size
-                    continue
-                start = at + (10 if version == 2 else 6)
-                stop = start + data[at + 1]
-                if mcrf4xx(bytes([known.seed]), mcrf4xx(data[at + 1 : stop])) == int.from_bytes(data[stop : stop + 2], "little"):
-                    yield self._accept(data, at, version, number, data[start:stop])
-                    at += size
-                    continue
-                self.stats.crc_errors += 1
-            at += 1
-            self.stats.resync_bytes += 1
-        self.rest = data[at:]
-
-    @staticmethod
-    def _size(data: bytes, at: int, version: int) -> int | None:
-        if version == 1:
-            return 8 + data[at + 1] if at + 6 <= len(data) else None
-        return 12 + data[at + 1] + SIGNATURE * (data[at + 2] & SIGNED) if at + 10 <= len(data) else None
-
-    def _accept(self, data: bytes, at: int, version: int, number: int, payload: bytes) -> tuple:
-        s = self.stats
-        s.decoded += 1
-        s.v1 += version == 1
-        incompat, compat = (data[at + 2], data[at + 3]) if version == 2 else (0, 0)
-        s.signed += bool(incompat & SIGNED)
-        sequence, system, component = data[at + 4 : at + 7] if version == 2 else data[at + 2 : at + 5]
-        key = (system, component)
-        if key in self.last:
-            s.lost += (sequence - self.last[key] - 1) & 0xFF
-            self.last[key] = sequence
-        elif len(self.last) < ENDPOINTS:
-            self.last[key] = sequence
-            s.endpoints = len(self.last)
-        return version, sequence, system, component, number, incompat, compat, bytes(payload)
+        data = self.rest + chunk
+        frames, done = scan(np.frombuffer(data, np.uint8), known(self.dialect), end, self.stats)
+        self.tracker.follow(frames, self.stats)
+        self.rest = data[done:]
+        yield from ((*row[:-2], data[row[-2] : row[-1]]) for row in zip(*(c.tolist() for c in frames[1:]), strict=True))
 
 
 def decode(data: bytes, dialect: dict[int, Message] | None = None) -> tuple[list[tuple], Stats]:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from skytally.codec import hk, mavlink
+from skytally.codec import framing, hk
 from skytally.codec.dialect import CORE_DIALECT, Message
 from skytally.session import ship_package
 
@@ -33,37 +34,47 @@ def _batches(rows: Iterator[tuple], names: list[str], types: list[pa.DataType])
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], t) for i, t in enumerate(types)], names)
 
 
+FRAME = "version int, sequence int, system_id int, component_id int, message_id int, incompat int, compat int, payload binary"
+FRAME_NAMES = [c.split()[0] for c in FRAME.split(", ")]
+
+
+def frame_columns(frames: framing.Frames, data: np.ndarray) -> list[pa.Array]:
+    """The columns of FRAME."""
+    payload, at = frames.payloads(data)
+    whole = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(payload.tobytes())])
+    return [*(pa.array(c, pa.int32()) for c in frames[1:8]), whole]
+
+
 def mavlink_frames(spark: SparkSession, df: DataFrame, dialect: dict[int, Message] | None = None) -> DataFrame:
     """path, arrival (place in the capture) and the fields of every valid frame."""
     ship_package(spark)
-    known = dialect or CORE_DIALECT
-    names = ["path", "arrival", "version", "sequence", "system_id", "component_id", "message_id", "incompat", "compat", "payload"]
+    known = framing.known(dialect or CORE_DIALECT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                    for i, frame in enumerate(mavlink.Decoder(known).feed(content.as_py() or b"", end=True)):
-                        yield path, i, *frame
-
-        yield from _batches(rows(), names, [pa.string(), pa.int64(), *[pa.int32()] * 7, pa.binary()])
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                arrival = 0
+                for _, data, frames in framing.stretches(content.as_buffer() if content.is_valid else b"", known, framing.Stats()):
+                    n = len(frames.at)
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array(np.arange(arrival, arrival + n)), *frame_columns(frames, data)], ["path", "arrival", *FRAME_NAMES])
+                    arrival += n
 
-    return df.select("path", "content").mapInArrow(run, "path string, arrival bigint, version int, sequence int, system_id int, component_id int, message_id int, incompat int, compat int, payload binary")
+    return df.select("path", "content").mapInArrow(run, f"path string, arrival bigint, {FRAME}")
 
 
 def mavlink_stats(spark: SparkSession, df: DataFrame, dialect: dict[int, Message] | None = None) -> DataFrame:
     """The decoder's counters for each capture."""
     ship_package(spark)
-    known = dialect or CORE_DIALECT
+    known = framing.known(dialect or CORE_DIALECT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                    decoder = mavlink.Decoder(known)
-                    for _ in decoder.feed(content.as_py() or b"", end=True):
+                    stats = framing.Stats()
+                    for _ in framing.stretches(content.as_buffer() if content.is_valid else b"", known, stats):
                         pass
-                    yield path, *decoder.stats.row()
+                    yield path, *stats.row()
 
         yield from _batches(rows(), ["path", *STATS], [pa.string(), *[pa.int64()] * len(STATS)])
 
