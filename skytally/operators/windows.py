@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skytally.schema import SERIES_KEY
+from skytally.session import ship_package
 
 DEVICE = ("tenant_id", "device_id")
 
@@ -13,27 +18,76 @@ DEVICE = ("tenant_id", "device_id")
 def rolling(telemetry: DataFrame, span_s: int, capacity: int = 64, min_samples: int = 8) -> DataFrame:
     """For each sample: count, min, max, mean, population deviation and slope per minute of the window that it ends.
 
-    The frame holds at most ``capacity`` rows, and of these only those within the span (its edge included) count. Slopes
-    need ``min_samples``; without spread in time they are 0.
+    A window is bounded twice: the last ``capacity`` samples of the series, in order of time (equal times: of value), and of
+    these only those within the span, its edge included. Slopes need ``min_samples``; without spread in time they are 0. Null
+    times come first and see each other only.
+
+    A series' samples pass sorted (with spill) through one task that holds a batch and the ``capacity`` samples before it; the
+    windows of a whole batch go forward together, one step back in time after the other.
     """
-    t = F.unix_micros(F.col("time").cast("timestamp"))
-    frame = Window.partitionBy(*SERIES_KEY).orderBy("time", "value").rowsBetween(1 - capacity, 0)
-    held = F.filter(F.collect_list(F.struct(t.alias("t"), F.col("value").alias("v"))).over(frame), lambda x: x["t"] >= t - span_s * 1_000_000)
-    w = telemetry.withColumn("_w", held)
-    n = F.size("_w")
-    values = F.transform("_w", lambda x: x["v"])
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    w = w.withColumns({"n": n, "mean": total(values) / n, "_t": F.transform("_w", lambda x: (x["t"] - F.element_at("_w", 1)["t"]) / 1e6)})
-    w = w.withColumn("_mt", total(F.col("_t")) / F.col("n"))
-    cov = F.aggregate(F.arrays_zip(F.col("_t"), values.alias("v")), F.struct(F.lit(0.0).alias("xy"), F.lit(0.0).alias("xx")), lambda s, x: F.struct((s["xy"] + (x["_t"] - F.col("_mt")) * (x["v"] - F.col("mean"))).alias("xy"), (s["xx"] + F.pow(x["_t"] - F.col("_mt"), 2)).alias("xx")))
-    w = w.withColumn("_c", cov)
-    slope = F.when(F.col("n") >= max(2, min_samples), F.coalesce(F.try_divide(F.col("_c.xy"), F.col("_c.xx")), F.lit(0.0)) * 60)
-    deviation = F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, x: s + F.pow(x - F.col("mean"), 2)) / F.col("n"))
-    return w.select("time", *SERIES_KEY, "value", "n", F.array_min(values).alias("min"), F.array_max(values).alias("max"), "mean", deviation.alias("stddev"), slope.alias("slope_per_min"))
+    if span_s <= 0 or capacity < 2:
+        raise ValueError("a window needs a positive span and room for two samples")
+    names = ["time", *SERIES_KEY, "value"]
+    stats = "n int, min double, max double, mean double, stddev double, slope_per_min double"
+    rows = telemetry.select(*names, F.unix_micros(F.col("time").cast("timestamp")).alias("_t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: pa.RecordBatch | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = pa.Table.from_batches([before, batch] if before else [batch]).combine_chunks()
+            old = len(held) - batch.num_rows
+            new = np.zeros(len(held), bool)
+            for c in SERIES_KEY:
+                codes = held.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+                new[1:] |= codes[1:] != codes[:-1]
+            new[0] = True
+            t = held.column("_t").fill_null(-(1 << 62)).to_numpy()
+            v = held.column("value").fill_null(float("nan")).cast(pa.float64()).to_numpy()
+            at = np.arange(old, len(held))
+            first = np.maximum.accumulate(np.where(new, np.arange(len(held)), 0))[at]
+            yield pa.RecordBatch.from_arrays([*batch.select(names).columns, *_frame_stats(t, v, at, first, span_s * 1_000_000, capacity, max(2, min_samples))], [*names, *(c.split()[0] for c in stats.split(", "))])
+            before = held.slice(max(0, len(held) - capacity + 1)).combine_chunks().to_batches()[0] if capacity > 1 else None
+
+    ship_package(telemetry.sparkSession)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in telemetry.select(*names).schema)
+    return rows.repartition(*SERIES_KEY).sortWithinPartitions(*SERIES_KEY, "time", "value").mapInArrow(run, f"{schema}, {stats}")
+
+
+def _frame_stats(t: np.ndarray, v: np.ndarray, at: np.ndarray, first: np.ndarray, span: int, capacity: int, min_samples: int) -> list[pa.Array]:
+    """Statistics of the windows that end at places ``at`` of sorted samples and begin at ``first`` at the earliest."""
+    n, low, high = np.ones(len(at), np.int64), v[at].copy(), v[at].copy()
+    value, age = v[at].copy(), np.zeros(len(at))
+    steps: list[tuple[np.ndarray, np.ndarray]] = []  # places of those whose window goes so far back, and how old it is there
+    inside = np.arange(len(at))
+    for k in range(1, capacity):
+        back = at[inside] - k
+        inside = inside[back >= first[inside]]
+        back = at[inside] - k
+        inside = inside[t[back] >= t[at[inside]] - span]
+        if not len(inside):
+            break
+        back = at[inside] - k
+        seconds = (t[back] - t[at[inside]]) / 1e6
+        steps.append((inside, seconds))
+        n[inside] += 1
+        low[inside], high[inside] = np.minimum(low[inside], v[back]), np.maximum(high[inside], v[back])
+        value[inside] += v[back]
+        age[inside] += seconds
+    mean, middle = value / n, age / n
+    vv, tt, tv = (v[at] - mean) ** 2, middle**2, -middle * (v[at] - mean)
+    for k, (some, seconds) in enumerate(steps, 1):
+        dv, dt = v[at[some] - k] - mean[some], seconds - middle[some]
+        vv[some] += dv * dv
+        tt[some] += dt * dt
+        tv[some] += dt * dv
+    slope = np.where(tt > 0, tv / np.where(tt > 0, tt, 1), 0.0) * 60
+    return [pa.array(n, pa.int32()), *(pa.array(x) for x in (low, high, mean, np.sqrt(vv / n))), pa.array(slope, mask=n < min_samples)]
 
 
 def rolling_whole(telemetry: DataFrame, span_s: int, min_samples: int = 8) -> DataFrame:
-    """As ``rolling``, over all samples of the span, however many; samples of one time are in each other's windows."""
+    """As ``rolling``, over all samples of the span, however many, by Spark's own frames; samples of one time are in each other's windows."""
     t = F.unix_micros(F.col("time").cast("timestamp"))
     series = Window.partitionBy(*SERIES_KEY)
     frame = series.orderBy("_t").rangeBetween(-span_s * 1_000_000, 0)

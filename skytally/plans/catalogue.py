@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytally.codec import hk, mavlink
+from skytally.codec import hk
 from skytally.codec.crc import crc16_ccitt_false, crc16_mcrf4xx, mcrf4xx
 from skytally.codec.dialect import CORE_DIALECT
 from skytally.functions import binary, scalars
@@ -131,6 +131,13 @@ def rollup_1h(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(telemetry.rollup_up(telemetry.rollup(_telemetry(spark, d))), "avg_value", "sum_value")
 
 
+@query("rollup_replayed", f"SELECT bucket, tenant_id, device_id, metric, round(avg_value, 6) AS avg_value, min_value, max_value, 2 * samples AS samples, round(2 * sum_value, 5) AS sum_value FROM {ROLLUP_1M}")
+def rollup_replayed(spark: SparkSession, d: str) -> DataFrame:
+    """What a batch that was delivered twice does to a rollup: means and bounds stay, counts and sums double."""
+    rows = _telemetry(spark, d)
+    return _rounded(_rounded(telemetry.rollup(rows.unionByName(rows)), "avg_value"), "sum_value", digits=5)
+
+
 @query("rollup_1h_exact", f"SELECT time_bucket(INTERVAL '3600 seconds', time) AS bucket, tenant_id, device_id, metric, round(sum(value) / count(*), 6) AS mean, count(*) AS samples FROM {TELEMETRY} GROUP BY ALL")
 def rollup_1h_exact(spark: SparkSession, d: str) -> DataFrame:
     rolled = telemetry.rollup_up(telemetry.rollup(_telemetry(spark, d)))
@@ -262,6 +269,21 @@ def derived_metrics_long(spark: SparkSession, d: str) -> DataFrame:
     return long.withColumn("value", F.when(F.col("metric").endswith("#slope_per_min"), F.round("value", 4) + F.lit(0.0)).otherwise(F.round("value", 7)))
 
 
+#: Of a busy series both bounds take effect: 64 samples, and a day. Slopes are over seconds since the window's newest sample.
+CAPPED = f"""(WITH s AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, device_id, metric ORDER BY time, value) AS rn FROM {DENSE})
+ SELECT a.time, a.tenant_id, a.device_id, a.metric, a.value, count(*) AS n, min(b.value) AS min, max(b.value) AS max, avg(b.value) AS mean, stddev_pop(b.value) AS stddev,
+ CASE WHEN count(*) >= 8 THEN coalesce(CASE WHEN min(b.time) <> max(b.time) THEN regr_slope(b.value, epoch(b.time) - epoch(a.time)) END, 0) * 60 END AS slope_per_min
+ FROM s a JOIN s b ON a.tenant_id = b.tenant_id AND a.device_id = b.device_id AND a.metric = b.metric AND b.rn BETWEEN a.rn - 63 AND a.rn AND b.time >= a.time - INTERVAL 86400 SECOND GROUP BY a.time, a.tenant_id, a.device_id, a.metric, a.value, a.rn)"""
+
+
+@query("rolling_capped", f"SELECT time, tenant_id, device_id, metric, value, n::INT AS n, min, max, round(mean, 9) AS mean, round(stddev, 7) AS stddev, round(slope_per_min, 6) + 0 AS slope_per_min FROM {CAPPED}")
+def rolling_capped(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of at most 64 samples within a day."""
+    raw = _events(spark, d).selectExpr(*DENSE_VIEW).withColumn("time", F.col("time").cast("timestamp"))
+    found = _rounded(_rounded(windows.rolling(raw, 86400), "stddev", digits=7), "mean", digits=9)
+    return found.withColumn("slope_per_min", F.round("slope_per_min", 6) + F.lit(0.0))
+
+
 KINDS = ["signup", "error", "click", "view", "purchase"]
 
 
@@ -356,20 +378,24 @@ def alerts_geofence(spark: SparkSession, d: str) -> DataFrame:
     return alerts(spark, rows, FENCE, "event_id").select("tenant_id", "device_id", "kind", "at_ns", "detail")
 
 
-#: A rule on the slope of ten days' samples: events in order of time, made unique by their ids.
+#: A rule on the slope of at most 64 samples of ten days. Events arrive in order of time, ten minutes of them at one time.
 TREND = [Rule("rising", "Rising fast", f"tenant-{i}", "*", "WARNING", Threshold("click#slope_per_min", "ABOVE", 0.004, 0.0)) for i in range(3)]
 TEN_DAYS_NS = 864_000 * 10**9
+TIED = "epoch_us(time) // 600000000 * 600000000"
 
 
 @query(
     "alerts_trend",
-    _edges_sql(f"""(SELECT tenant_id, device_id, t AS event_id, t * 1000 AS at_ns, last_value(slope IGNORE NULLS) OVER (PARTITION BY tenant_id, device_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM (
- SELECT *, CASE WHEN metric = 'click' AND count(*) OVER w >= 8 THEN 60 * regr_slope(value, (t - first) / 1e6) OVER w END AS slope FROM (
- SELECT *, min(t) OVER () AS first FROM (SELECT tenant_id, device_id, metric, value, epoch_us(time) + event_id AS t FROM {TELEMETRY})) WINDOW w AS (PARTITION BY tenant_id, device_id, metric ORDER BY t RANGE BETWEEN 864000000000 PRECEDING AND CURRENT ROW)))""", "v > 0.004", "v <= 0", "printf('click#slope_per_min %.3f (threshold > 0.004)', v)"),
+    _edges_sql(f"""(SELECT tenant_id, device_id, place AS event_id, max(t * 1000) OVER w AS at_ns, last_value(slope IGNORE NULLS) OVER w AS v FROM (
+ WITH s AS (SELECT *, row_number() OVER (ORDER BY t, event_id) AS place, row_number() OVER (PARTITION BY tenant_id, device_id, metric ORDER BY t, event_id) AS rn FROM (SELECT tenant_id, device_id, metric, value, event_id, {TIED} AS t FROM {TELEMETRY}))
+ SELECT a.tenant_id, a.device_id, a.place, a.t, CASE WHEN a.metric = 'click' AND count(*) >= 8 THEN 60 * CASE WHEN min(b.t) = max(b.t) THEN 0 ELSE regr_slope(b.value, (b.t - a.t) / 1e6) END END AS slope
+ FROM s a JOIN s b ON a.tenant_id = b.tenant_id AND a.device_id = b.device_id AND a.metric = b.metric AND b.rn BETWEEN a.rn - 63 AND a.rn AND b.t >= a.t - 864000000000 GROUP BY a.tenant_id, a.device_id, a.place, a.t, a.metric)
+ WINDOW w AS (PARTITION BY tenant_id, device_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""", "v > 0.004", "v <= 0", "printf('click#slope_per_min %.3f (threshold > 0.004)', v)"),
 )
 def alerts_trend(spark: SparkSession, d: str) -> DataFrame:
-    rows = _telemetry(spark, d).withColumn("time_ns", (F.unix_micros("time") + F.col("event_id")) * 1000).withColumn("place", F.col("time_ns"))
-    found = alerts(spark, rows, TREND, "place", span_ns=TEN_DAYS_NS, capacity=1_000_000)
+    tied = F.floor(F.unix_micros("time") / 600_000_000) * 600_000_000
+    rows = _telemetry(spark, d).withColumn("time_ns", tied * 1000).withColumn("place", F.struct("time_ns", "event_id"))
+    found = alerts(spark, rows, TREND, "place", span_ns=TEN_DAYS_NS)
     return found.select("tenant_id", "device_id", "kind", "at_ns", "detail")
 
 
@@ -551,33 +577,47 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return ops.nearest_ranks(_events(spark, d), "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
-# Binary codecs. Golden bytes are for the tests; the queries decode captures that are made of the event table.
+# Binary codecs. The queries decode captures that are made of the event table.
 
-GPI = "fd1c0000070101210000d20400002227cc1756ff961350f80c00d43000009600b5ff14007869bcc6"
-SYS = "fd1f000007010101000000000000000000000000000000007030f40100000000000000000000000012c9bf"
-HUD = "fd1300000701014a000000004841000030410080f7420000c0bf5a004b91cd"
-ATT = "fd0800000701011e0000000000000000803e77cc"
-HEARTBEAT = "fd01000007010100000000dbb0"
-HK_LOG = "0a0a496e69742063617073756c65206275696c6420303230300a484b0101080000000000020301ee61484b010229dc0500000280e6c5470000c03f0000c8410000c441000020420000d04100002842cdcc3c416666663feabc484b01484b010324400600000ad7233c0ad7a3bcc3f51c416f12833a6f1203bba69b443b0000a03f000000bfa694484b010229dc050000fd80e6c5470000c03f0000c8410000c441000020420000d04100002842cdcc3c416666663feabc484b010423a4060000342f87dd77f6434098f90e7ee26e4040008054440000604000a087430b0301cbdb00ff00ff484b0105083408000002030000ed89484b010324400600000ad7233c0ad7a3bcc3f51c"
 CAPTURE = 512
 #: What becomes of each event: frames with a wrong checksum, of an unknown message, of version 1, signed, and ordinary ones.
 FATE = "CASE WHEN event_id % 22 = 0 AND event_id % 256 < 200 THEN 'bad' WHEN event_id % 19 = 0 THEN 'unknown' WHEN event_id % 13 = 0 THEN 'v1' WHEN event_id % 17 = 0 THEN 'signed' ELSE 'v2' END"
-SENT = f"(SELECT event_id, 'cap-' || (event_id // {CAPTURE}) AS path, (event_id % 256)::INT AS sequence, CASE WHEN event_id % 2 = 0 THEN 33 ELSE 74 END AS message_id, {FATE} AS fate FROM events)"
+#: Before some frames stand three bytes of noise, before others a false start: a header that claims the bytes after it.
+NOISE, FALSE_START = "event_id % 7 = 0", "event_id % 16 = 9"
+SENT = f"(SELECT *, CASE WHEN fate = 'bad' OR event_id % 5 = 0 THEN 33 WHEN event_id % 5 = 1 THEN 74 WHEN event_id % 5 = 2 THEN 1 WHEN event_id % 5 = 3 THEN 24 ELSE 30 END AS message_id FROM (SELECT event_id, value, 'cap-' || (event_id // {CAPTURE}) AS path, (event_id % 256)::INT AS sequence, {FATE} AS fate FROM events))"
 DECODED = f"(SELECT *, row_number() OVER (PARTITION BY path ORDER BY event_id) - 1 AS arrival, coalesce((sequence - lag(sequence) OVER (PARTITION BY path ORDER BY event_id) - 1) & 255, 0) AS lost FROM {SENT} WHERE fate NOT IN ('bad', 'unknown'))"
 
 
-def _mavlink_frame(event: int) -> bytes:
-    """One event as bytes on the wire, after three bytes of noise now and then. No byte before a good frame looks like one."""
+def _mavlink_payload(number: int, event: int, value: float) -> bytes:
+    """Fields by the rules that METRIC_SQL repeats."""
+    n = event % 100
+    if number == 33:
+        return struct.pack("<IiiiihhhH", n, n, 2 * n, 3 * n, n, n, n + 1, 0, 256 + n)
+    if number == 74:
+        return struct.pack("<ffffhH", value, float(n), 1.5, -2.0, n, 256 + n)
+    if number == 1:
+        return struct.pack("<IIIHHhHHHHHHb", 0, 0, 0, 10 * n, 12000 + n if n % 10 else 65535, n if n % 9 else -1, n, 0, 0, 0, 0, 0, n if n % 8 else -1)
+    if number == 24:
+        return struct.pack("<QiiiHHHHBB", event, n, 2 * n, 3 * n, 100 + n if n % 11 else 65535, 0, 0, 0, n % 7, n % 30)
+    return struct.pack("<Iffffff", n, value, n * 0.5, -1.25, n * 0.25, 0.0, -3.5)
+
+
+def _mavlink_frame(event: int, value: float) -> bytes:
+    """One event as bytes on the wire. A false start claims five bytes of payload, which its message has, and a checksum, and
+    takes them from the frame behind it: reading gives up its ten bytes one by one, and loses nothing."""
     fate = "bad" if event % 22 == 0 and event % 256 < 200 else "unknown" if event % 19 == 0 else "v1" if event % 13 == 0 else "signed" if event % 17 == 0 else "v2"
-    n, number = event % 100, 33 if event % 2 == 0 else 74
-    payload = struct.pack("<IiiiihhhH", n, n, 2 * n, 3 * n, n, n, n + 1, 0, 256 + n) if number == 33 else struct.pack("<ffffhH", event % 1000 * 0.25, float(n), 1.5, -2.0, n, 256 + n)
+    number = 33 if fate == "bad" else (33, 74, 1, 24, 30)[event % 5]
+    payload = _mavlink_payload(number, event, value)
     seed = bytes([CORE_DIALECT[number].seed])
     if fate == "v1":
         magic, head = b"\xfe", bytes([len(payload), event % 256, 1, 1, number])
     else:
+        # Version 2 leaves out zeros at the end; the damaged frames are whole.
+        payload = payload if fate == "bad" else payload.rstrip(b"\0") or b"\0"
         magic, head = b"\xfd", bytes([len(payload), fate == "signed", 0, event % 256, 1, 1]) + (9999 if fate == "unknown" else number).to_bytes(3, "little")
     crc = b"\0\0" if fate == "bad" else mcrf4xx(seed, mcrf4xx(head + payload)).to_bytes(2, "little")
-    return (b"\0\0\0" if event % 7 == 0 else b"") + magic + head + payload + crc + (bytes(13) if fate == "signed" else b"")
+    noise = (b"\0\0\0" if event % 7 == 0 else b"") + (bytes([0xFD, 5, 0, 0, 0, 1, 1, 0, 0, 0]) if event % 16 == 9 else b"")
+    return noise + magic + head + payload + crc + (bytes(13) if fate == "signed" else b"")
 
 
 def _hk_payload(code: int, event: int) -> bytes:
@@ -586,29 +626,29 @@ def _hk_payload(code: int, event: int) -> bytes:
     return struct.pack("<" + "".join(hk.FORMATS[kind][1:] for _, kind, _ in HK_LAYOUTS[code][1]), *values)
 
 
-def _hk_frame(event: int) -> bytes:
+def _hk_frame(event: int, value: float) -> bytes:
     """A log record; every eleventh has a wrong checksum, every seventh stands after noise."""
     frame = hk.encode(event % 5 + 1, _hk_payload(event % 5 + 1, event))
     return (b"\0\0\0" if event % 7 == 0 else b"") + (frame[:-2] + bytes([frame[-2] ^ 0xFF, frame[-1]]) if event % 11 == 0 else frame)
 
 
-def _captures(spark: SparkSession, d: str, frame: Callable[[int], bytes]) -> DataFrame:
+def _captures(spark: SparkSession, d: str, frame: Callable[[int, float], bytes]) -> DataFrame:
     """path and content: the frames of so many successive events each, in their order."""
     ship_package(spark)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, parts = None, []
         for batch in batches:
-            for p, event in zip(batch.column("path").to_pylist(), batch.column("event_id").to_pylist(), strict=True):
+            for p, event, value in zip(*(batch.column(c).to_pylist() for c in ("path", "event_id", "value")), strict=True):
                 if p != path:
                     if parts:
                         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([b"".join(parts)], pa.binary())], ["path", "content"])
                     path, parts = p, []
-                parts.append(frame(event))
+                parts.append(frame(event, value))
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([b"".join(parts)], pa.binary())], ["path", "content"])
 
-    rows = _events(spark, d).select(F.expr(f"'cap-' || CAST(event_id DIV {CAPTURE} AS STRING)").alias("path"), "event_id")
+    rows = _events(spark, d).select(F.expr(f"'cap-' || CAST(event_id DIV {CAPTURE} AS STRING)").alias("path"), "event_id", "value")
     return rows.repartition("path").sortWithinPartitions("path", "event_id").mapInArrow(join, "path string, content binary")
 
 
@@ -618,21 +658,24 @@ def mavlink_decode(spark: SparkSession, d: str) -> DataFrame:
     return frames.select("path", "arrival", "message_id", "sequence", "system_id", "component_id", "version", "incompat")
 
 
-@query("mavlink_stats", f"""SELECT path, count(*) FILTER (fate NOT IN ('bad', 'unknown')) AS decoded, count(*) FILTER (fate = 'bad') AS crc_errors, count(*) FILTER (fate = 'unknown') AS unknown,
- (40 * count(*) FILTER (fate = 'bad') + 3 * count(*) FILTER (event_id % 7 = 0))::BIGINT AS resync_bytes, (SELECT coalesce(sum(lost), 0)::BIGINT FROM {DECODED} x WHERE x.path = s.path) AS lost,
+@query("mavlink_stats", f"""SELECT path, count(*) FILTER (fate NOT IN ('bad', 'unknown')) AS decoded, (count(*) FILTER (fate = 'bad') + count(*) FILTER ({FALSE_START}))::BIGINT AS crc_errors, count(*) FILTER (fate = 'unknown') AS unknown,
+ (40 * count(*) FILTER (fate = 'bad') + 3 * count(*) FILTER ({NOISE}) + 10 * count(*) FILTER ({FALSE_START}))::BIGINT AS resync_bytes, (SELECT coalesce(sum(lost), 0)::BIGINT FROM {DECODED} x WHERE x.path = s.path) AS lost,
  count(*) FILTER (fate = 'signed') AS signed, count(*) FILTER (fate = 'v1') AS v1, max(CASE WHEN fate NOT IN ('bad', 'unknown') THEN 1 ELSE 0 END)::BIGINT AS endpoints FROM {SENT} s GROUP BY path""")
 def mavlink_stats(spark: SparkSession, d: str) -> DataFrame:
     return sources.mavlink_stats(spark, _captures(spark, d, _mavlink_frame))
 
 
-#: The metrics of both messages, by the rules that made their payloads.
+#: The metrics of the messages, by the rules that made their payloads; null: the sender does not know.
 METRIC_SQL = {
     33: [("position.latitude_deg", "n / 1e7"), ("position.longitude_deg", "2 * n / 1e7"), ("position.altitude_msl_m", "3 * n / 1000.0"), ("position.altitude_rel_m", "n / 1000.0"), ("velocity.north_ms", "n / 100.0"), ("velocity.east_ms", "(n + 1) / 100.0"), ("velocity.down_ms", "0.0"), ("attitude.heading_deg", "(256 + n) / 100.0")],
-    74: [("speed.airspeed_ms", "event_id % 1000 * 0.25"), ("speed.groundspeed_ms", "n"), ("position.altitude_hud_m", "1.5"), ("speed.climb_ms", "-2.0"), ("attitude.heading_hud_deg", "n"), ("power.throttle_pct", "256 + n")],
-}
+    74: [("speed.airspeed_ms", "value::FLOAT"), ("speed.groundspeed_ms", "n"), ("position.altitude_hud_m", "1.5"), ("speed.climb_ms", "-2.0"), ("attitude.heading_hud_deg", "n"), ("power.throttle_pct", "256 + n")],
+    1: [("power.load_pct", "n"), ("power.battery_v", "CASE WHEN n % 10 <> 0 THEN (12000 + n) / 1000.0 END"), ("power.current_a", "CASE WHEN n % 9 <> 0 THEN n / 100.0 END"), ("power.battery_remaining_pct", "CASE WHEN n % 8 <> 0 THEN n END"), ("link.drop_rate_pct", "n / 100.0")],
+    24: [("gps.fix_type", "n % 7"), ("gps.satellites", "n % 30"), ("gps.hdop", "CASE WHEN n % 11 <> 0 THEN (100 + n) / 100.0 END")],
+    30: [("attitude.roll_rad", "value::FLOAT"), ("attitude.pitch_rad", "n * 0.5"), ("attitude.yaw_rad", "-1.25"), ("attitude.rollspeed_rads", "n * 0.25"), ("attitude.pitchspeed_rads", "0.0"), ("attitude.yawspeed_rads", "-3.5")],
+}
 
 
-@query("metric_extract", " UNION ALL ".join(f"SELECT path, arrival, '{m}' AS metric, round(({x})::DOUBLE, 9) AS value FROM (SELECT *, event_id % 100 AS n FROM {DECODED}) WHERE message_id = {i}" for i, fields in METRIC_SQL.items() for m, x in fields))
+@query("metric_extract", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT path, arrival, '{m}' AS metric, round(({x})::DOUBLE, 9) AS value FROM (SELECT *, event_id % 100 AS n FROM {DECODED}) WHERE message_id = {i}" for i, fields in METRIC_SQL.items() for m, x in fields) + ") WHERE value IS NOT NULL")
 def metric_extract(spark: SparkSession, d: str) -> DataFrame:
     frames = sources.mavlink_frames(spark, _captures(spark, d, _mavlink_frame))
     return _rounded(binary.metrics(frames), "value", digits=9).select("path", "arrival", "metric", "value")
@@ -692,10 +735,16 @@ def crc_check(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d).select("event_id", crc16_mcrf4xx(text).alias("mcrf4xx"), crc16_ccitt_false(text).alias("ccitt_false"))
 
 
-@query("ingest_stats", f"SELECT tenant_id, count(*) AS records, count(*) FILTER (m > 0) AS with_metrics, count(*) FILTER (m = 0) AS without_metrics, sum(m)::BIGINT AS rows_written, sum(m) / count(*) AS rows_per_record FROM (SELECT tenant_id, CASE message_id WHEN 33 THEN 8 WHEN 1 THEN 5 ELSE 0 END AS m FROM {RECORDS}) GROUP BY 1")
+@query("ingest_stats", f"SELECT tenant_id, count(*) AS records, count(*) FILTER (m > 0) AS with_metrics, count(*) FILTER (m = 0) AS without_metrics, sum(m)::BIGINT AS rows_written, sum(m) / count(*) AS rows_per_record FROM (SELECT tenant_id, CASE message_id WHEN 33 THEN CASE WHEN event_id % 4 = 0 THEN 7 ELSE 8 END WHEN 1 THEN CASE WHEN event_id % 3 = 0 THEN 2 WHEN event_id % 3 = 1 THEN 4 ELSE 5 END ELSE 0 END AS m FROM (SELECT event_id, tenant_id, CASE message_id WHEN 42 THEN 1 ELSE message_id END AS message_id FROM {RECORDS})) GROUP BY 1")
 def ingest_stats(spark: SparkSession, d: str) -> DataFrame:
-    payload = F.unhex(F.lit("01" * 31))
-    return telemetry.ingest_stats(_records(spark, d).select("event_id", "tenant_id", "message_id", payload.alias("payload")), "event_id")
+    """Positions of which a quarter has no heading, and system states that lack none, one or three of their values."""
+    unknown = lambda some, bytes_: F.when(some, F.lit("ff" * bytes_)).otherwise(F.lit("01" * bytes_))
+    third = F.col("event_id") % 3
+    position = F.concat(F.lit("01" * 26), unknown(F.col("event_id") % 4 == 0, 2))
+    state = F.concat(F.lit("01" * 14), unknown(third == 0, 2), unknown(third < 2, 2), F.lit("01" * 12), unknown(third == 0, 1))
+    rows = _records(spark, d).withColumn("message_id", F.when(F.col("message_id") == 42, 1).otherwise(F.col("message_id")))
+    payload = F.unhex(F.when(F.col("message_id") == 33, position).otherwise(state))
+    return telemetry.ingest_stats(rows.select("event_id", "tenant_id", "message_id", payload.alias("payload")), "event_id")
 
 
 def queries() -> dict[str, Query]:
@@ -706,4 +755,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
 
 
-__all__ = ["flagship", "hk", "mavlink", "oracle_sql", "queries"]
+__all__ = ["flagship", "oracle_sql", "queries"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 from typing import NamedTuple
 
 from skytally.rules.model import Rule, Threshold
@@ -28,9 +29,9 @@ def add(samples: list[tuple[int, float]], at: int, value: float, span: int = SPA
     """The window with one more sample: in order of time, none older than the span before the newest, at most capacity."""
     if span <= 0 or capacity < 2:
         raise ValueError("a window needs a positive span and room for two samples")
-    kept = sorted([*samples, (at, value)], key=lambda s: s[0])
-    newest = kept[-1][0]
-    return [s for s in kept if s[0] >= newest - span][-capacity:]
+    kept = samples.copy()
+    insort(kept, (at, value), key=lambda s: s[0])
+    return kept[max(0, len(kept) - capacity, bisect_left(kept, kept[-1][0] - span, key=lambda s: s[0])) :]
 
 
 def stats(samples: list[tuple[int, float]]) -> Stats:

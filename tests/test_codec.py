@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from skytally.codec import crc, hk, mavlink
 from skytally.codec.dialect import CORE_DIALECT, from_xml
 from skytally.functions import binary, scalars
-from skytally.plans.catalogue import ATT, GPI, HEARTBEAT, HK_LOG, HUD, SYS
 from skytally.plans.routing import route
 from skytally.sources import binary as sources
 
+from golden import ATT, GPI, HEARTBEAT, HK_LOG, HUD, SYS
+
 FRAMES = bytes.fromhex(HEARTBEAT + GPI + SYS + HUD + ATT)
 
 

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from skytally.codec import framing, mavlink
 from skytally.codec.crc import mcrf4xx
 from skytally.codec.dialect import CORE_DIALECT
-from skytally.plans.catalogue import ATT, GPI, HEARTBEAT, HUD, SYS
 from skytally.sources import binary, captures
 from skytally.streaming import links
 
+from golden import ATT, GPI, HEARTBEAT, HUD, SYS
+
 KNOWN = framing.known(CORE_DIALECT)
 
 

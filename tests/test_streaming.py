@@ -274,7 +274,7 @@ def test_capture_files(spark, tmp_path):
     from skytally.sources import binary as sources
 
     for i in range(3):
-        (tmp_path / f"link-{i}.bin").write_bytes(b"".join(_mavlink_frame(e) for e in range(100 * i, 100 * i + 100)))
+        (tmp_path / f"link-{i}.bin").write_bytes(b"".join(_mavlink_frame(e, e * 0.25) for e in range(100 * i, 100 * i + 100)))
     frames = sources.mavlink_frames(spark, sources.captures(spark, str(tmp_path)))
     assert frames.select("path").distinct().count() == 3
     assert frames.count() == sum(1 for e in range(300) if not (e % 22 == 0 and e % 256 < 200) and e % 19)
