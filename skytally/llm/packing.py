@@ -19,7 +19,7 @@ holds its gaps in memory, of at most ``RANGE_ROWS`` rows or so (more ranges for
 spread over many ranges: a range ends anywhere among them.
 
 White space never is part of a token of this tokenizer, nor joins what is beside it, so a text's ids are the ids of its
-stretches without ASCII white space, one after the other; frequent stretches are remembered by the task.
+stretches without ASCII white space, one after the other; frequent stretches are remembered by the worker process.
 
 A null text is empty, and an empty text one end token. Rows that repeat an id are separate documents, and so are null ids. An
 empty table gives no rows. Other columns are ignored.
@@ -27,10 +27,13 @@ empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +48,13 @@ CAPACITY, END = 2048, 0
 #: Rows of a range; bands by halves before the last one takes all shorter pieces.
 RANGE_ROWS, BANDS = 200_000, 6
 #: Remembered stretches, and the bytes of the longest one that is.
-REMEMBERED, REMEMBERED_BYTES = 200_000, 64
+REMEMBERED, REMEMBERED_BYTES = 600_000, 64
+#: The kind of tokenizer whose texts may be taken stretch by stretch, and how it splits them.
+KIND = [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Stretches of small Latin letters, digits and ASCII marks are split here by the same rule, and only their parts go to the model.
+LATIN = "a-zß-öø-ÿ"
+PLAIN, PLAIN_SPLIT = re.compile(f"[{LATIN}!-@\\[-`{{-~]+"), re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^{LATIN}0-9]+")
 
 PIECE = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 GAP, ITEM, PLACED = 0, 1, 2
@@ -55,17 +64,43 @@ COLUMNS = ["kind", "size", "doc_id", "piece", "start", "length", "ids_crc32", "s
 
 
 class Stretches(dict):
-    """The ids of stretches without white space, as little-endian unsigned 32-bit numbers."""
+    """The ids of stretches without white space, as little-endian unsigned 32-bit numbers.
+
+    A tokenizer of another kind than the one described at ``SPLIT`` takes every text as a whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        kind = json.loads(self.tokenizer.to_str())
+        steps = [(kind["normalizer"] or {}).get("normalizers"), (kind["pre_tokenizer"] or {}).get("pretokenizers")]
+        self.apart = [[x["type"] for x in step or []] for step in steps] == KIND and steps[1][0]["pattern"] == {"Regex": SPLIT} and steps[1][0]["invert"] and not steps[1][1]["add_prefix_space"]
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+        self.codes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        """Of one match of SPLIT."""
+        ids = self.parts.get(part)
+        if ids is None:
+            codes = self.codes
+            ids = b"".join([codes[t.id] for t in self.model.tokenize(part if part.isascii() else part.translate(self.letters))])
+            if len(self.parts) >= REMEMBERED:
+                self.parts.clear()
+            self.parts[part] = ids
+        return ids
 
     def __missing__(self, stretch: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(stretch.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        text = stretch.decode()
+        if PLAIN.fullmatch(text) and "<|" not in text and len(stretch) <= REMEMBERED_BYTES:
+            ids = b"".join(map(self._part, PLAIN_SPLIT.findall(text)))
+        else:
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(stretch) <= REMEMBERED_BYTES:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -73,7 +108,19 @@ class Stretches(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode().split()))
+        if not self.apart:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        data = text.encode()
+        # A-Z may be small before NFC if no combining mark follows one, and special tokens stay as they are.
+        if b"\xcc" not in data and b"\xcd" not in data and b"<|" not in data:
+            data = data.lower()
+        return b"".join(map(self.__getitem__, data.split()))
+
+
+@lru_cache(maxsize=2)
+def stretches_of(path: str) -> Stretches:
+    """One for each worker process, which serves many tasks."""
+    return Stretches(path)
 
 
 def token_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, ids: bool = False) -> DataFrame:
@@ -83,7 +130,7 @@ def token_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY,
     schema = PIECE.format(id=kind) + (", ids array<long>" if ids else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stretches = Stretches(tokenizer)
+        stretches = stretches_of(tokenizer)
         for batch in batches:
             for part in C.pieces(batch, "text"):
                 rows, out, tokens = [], [], []

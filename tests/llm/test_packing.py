@@ -62,8 +62,9 @@ def test_stretches_are_what_the_tokenizer_makes_of_the_whole(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 10)
     stretches, tokenizer = packing.Stretches(PATH), Tokenizer.from_file(PATH)
     rng = random.Random(3)
-    alphabet = [*"aAzZ09 \t\n\r\x0b\x0c'.-<>|éÉſİßΣσς́̈  ‍字\x00\x1f\x85", "'s", "<|endoftext|>", "don't", "ing "]
-    for text in [t or "" for t in HARD] + ["".join(rng.choices(alphabet, k=rng.randint(1, 40))) for _ in range(1500)]:
+    assert stretches.apart and not packing.Stretches(public_tokenizers.path("byte_bpe_50k.json")).apart
+    alphabet = [*"aAzZ09JjÀÐàßÿ÷×ªº \t\n\r\x0b\x0c'.-<>|éÉſİßΣσς́̈  ‍字\x00\x1f\x85", "'s", "<|endoftext|>", "<|ENDOFTEXT|>", "don't", "'S", "J\u030c", "ing "]
+    for text in [t or "" for t in HARD] + ["".join(rng.choices(alphabet, k=rng.randint(1, 40))) for _ in range(6000)]:
         assert np.frombuffer(stretches.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
