@@ -110,15 +110,17 @@ def measurements(envelope: DataFrame) -> DataFrame:
 
 
 def append_batches(stream: DataFrame, path: str, checkpoint: str, **options: str) -> StreamingQuery:
-    """Appends a stream of measurements to a table by day. Within a day a batch has a folder of its own, so that a batch that
-    is run again after a failure replaces what it wrote before: every record is in the table once. Range queries prune days,
-    and retention deletes them.
+    """Appends a stream of measurements to a table by day. Within a day a batch has a folder of its own, named by the stream's
+    id (which the checkpoint keeps) and its number, so that a batch that is run again after a failure replaces what it wrote
+    before, and nothing that another stream wrote: every record is in the table once. Range queries prune days, and retention
+    deletes them. ``store.Store`` has snapshots and compaction besides.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        out = batch.withColumns({"event_date": F.to_date("time"), "batch": F.lit(batch_id)})
+        name = f"{batch.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId')}-{batch_id}"
+        out = batch.withColumns({"event_date": F.to_date("time"), "batch": F.lit(name)})
         out = out.repartition("event_date", *SERIES_KEY).sortWithinPartitions("event_date", *SERIES_KEY, F.col("time").desc())
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "batch").parquet(path)
 
