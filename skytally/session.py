@@ -23,6 +23,13 @@ def ship_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
 
+def on_rocksdb(spark: SparkSession) -> None:
+    """State maps of new streams in RocksDB, unless the session names a state store."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if "HDFSBacked" in spark.conf.get(name):
+        spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``. In a local session without it, one beside the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from skytally.codec import framing
 from skytally.codec.dialect import CORE_DIALECT, Message
-from skytally.session import ship_package
+from skytally.session import on_rocksdb, ship_package
 
 SENDERS, SHARDS = 4096, 16
 COLUMNS = ["link_id", "arrival_seq", "version", "sequence", "system_id", "component_id", "message_id", "incompat", "compat", "payload", "evicted"]
@@ -37,7 +37,7 @@ class Decode(StatefulProcessor):
         self.count = handle.getValueState("count", "links bigint")
         self.known = framing.known(self.dialect)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         chunks = pd.concat(list(rows)).sort_values("arrival_seq", kind="stable")
         n = self.count.get()[0] if self.count.exists() else 0
         links: dict[str, tuple[bytes, int]] = {}  # of this batch; the last one to be heard comes last
@@ -84,9 +84,10 @@ class Decode(StatefulProcessor):
 def decoded(chunks: DataFrame, dialect: dict[int, Message] | None = None, senders: int = SENDERS, shards: int = SHARDS) -> DataFrame:
     """Frames of a stream of chunks (append mode). Rows without a link id are dropped; a null chunk is empty, a null eos false.
 
-    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``). The number of shards must not change
-    between runs from one checkpoint.
+    The number of shards must not change between runs from one checkpoint. Puts the session's new streams on RocksDB, unless
+    it names a state store itself.
     """
     ship_package(chunks.sparkSession)
+    on_rocksdb(chunks.sparkSession)
     rows = chunks.where("link_id IS NOT NULL").select(F.pmod(F.xxhash64("link_id"), F.lit(shards)).alias("shard"), "link_id", "arrival_seq", "chunk", F.coalesce("eos", F.lit(False)).alias("eos"))
     return rows.groupBy("shard").transformWithStateInPandas(Decode(dialect or CORE_DIALECT, senders), FRAMES, "append", "none")

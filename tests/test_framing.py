@@ -154,14 +154,6 @@ def test_a_capture_in_parts_gives_the_rows_of_the_whole(spark, tmp_path):
 CHUNKS = "link_id string, arrival_seq bigint, chunk binary, eos boolean"
 
 
-@pytest.fixture
-def rocks(spark):
-    name = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    yield spark
-    spark.conf.unset(name)
-
-
 def run_links(spark, tmp_path, batches, **options):
     """One run for each batch: every batch begins after a restart."""
     for i, rows in enumerate(batches):
@@ -173,7 +165,7 @@ def run_links(spark, tmp_path, batches, **options):
     return spark.read.parquet(f"{tmp_path}/out")
 
 
-def test_chunks_give_the_frames_of_the_whole_across_restarts(rocks, tmp_path):
+def test_chunks_give_the_frames_of_the_whole_across_restarts(spark, tmp_path):
     rng = random.Random(11)
     whole = {f"link/{i}": hostile(rng, 60) for i in range(5)}
     pending = {k: [d[a : a + 37] for a in range(0, len(d), 37)] for k, d in whole.items()}
@@ -184,7 +176,7 @@ def test_chunks_give_the_frames_of_the_whole_across_restarts(rocks, tmp_path):
         rows.append((link, seq, bytearray(chunk), not pending[link]))
         seq += 1
     third = len(rows) // 3
-    out = run_links(rocks, tmp_path, [rows[:third], rows[third : 2 * third], rows[2 * third :]], shards=2)
+    out = run_links(spark, tmp_path, [rows[:third], rows[third : 2 * third], rows[2 * third :]], shards=2)
     got = {}
     for r in out.orderBy("arrival_seq").collect():
         got.setdefault(r.link_id, []).append((r.message_id, r.sequence, bytes(r.payload)))
@@ -193,13 +185,13 @@ def test_chunks_give_the_frames_of_the_whole_across_restarts(rocks, tmp_path):
     assert out.agg(F.sum("evicted")).first()[0] == 0
 
 
-def test_the_longest_silent_sender_is_pushed_out_and_counted(rocks, tmp_path):
+def test_the_longest_silent_sender_is_pushed_out_and_counted(spark, tmp_path):
     frames = [bytes.fromhex(h) for h in (HEARTBEAT, GPI, SYS, HUD, ATT)]
     half = lambda i: bytearray(frames[i][:7])
     rest = lambda i: bytearray(frames[i][7:])
     # Three places. a and b hold half a frame; a is heard again, so c and d push out b, not a; then b's rest finds nothing.
     first = [("a", 0, half(0), False), ("b", 1, half(1), False), ("a", 2, bytearray(), None), ("c", 3, half(2), False)]
     second = [(None, 4, half(0), False), ("d", 5, half(3), False), ("a", 6, rest(0), False), ("b", 7, rest(1), False), ("d", 8, rest(3), False), ("c", 9, None, True)]
-    out = run_links(rocks, tmp_path, [first, second], senders=3, shards=1).orderBy("arrival_seq").collect()
+    out = run_links(spark, tmp_path, [first, second], senders=3, shards=1).orderBy("arrival_seq").collect()
     assert [(r.link_id, r.arrival_seq) for r in out if r.evicted] == [("b", 5), ("c", 7)]
     assert [(r.link_id, r.message_id) for r in out if not r.evicted] == [("a", 0), ("d", 74)]

@@ -211,6 +211,38 @@ def test_live_alerts_go_on_from_their_checkpoint(spark, tmp_path):
     assert live == sorted(map(tuple, alerts(spark, spark.createDataFrame(rows, SCHEMA), RULES, "arrival").collect()))
 
 
+def test_state_that_a_batch_writes_follows_the_devices_it_brings(spark, tmp_path):
+    """A shard of 3000 devices: a batch of one device updates two rows of state, its entry and the shard's totals."""
+    fleet_rows = [("t", f"d{i}", "battery", 50.0, i, i) for i in range(3000)]
+    written = []
+    for i, part in enumerate((fleet_rows, [("t", "d7", "battery", 10.0, 5000, 5000)])):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in/*")
+        query = live_alerts(spark, stream, RULES, tick_s=3600, shards=1).writeStream.format("noop").outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").start()
+        seen, end = 0, time.time() + 100
+        while not seen and time.time() < end:
+            time.sleep(0.3)
+            for p in query.recentProgress:
+                if p["numInputRows"]:
+                    seen = max(seen, sum(o["numRowsUpdated"] for o in p["stateOperators"]))
+        query.stop()
+        written.append(seen)
+    assert written[0] >= 3000 and 0 < written[1] <= 4
+
+
+def test_silence_is_noticed_by_the_stream_without_records(spark, tmp_path):
+    rules = [Rule("gone", "Silent", "t", "*", "CRITICAL", Staleness(2 * SECOND))]
+    now = time.time_ns()
+    spark.createDataFrame([("t", "d", None, None, now, 0), ("t", "e", None, None, now + 3600 * SECOND, 1)], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
+    query = live_alerts(spark, stream, rules, tick_s=0.5, shards=1).writeStream.format("memory").queryName("gone").outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").start()
+    end = time.time() + 60
+    while not spark.table("gone").count() and time.time() < end:
+        time.sleep(0.5)
+    query.stop()
+    assert {(r.device_id, r.kind) for r in spark.table("gone").collect()} == {("d", "FIRED")}
+
+
 def test_duplicates_go_and_late_records_stay(spark, tmp_path):
     schema = "tenant_id string, device_id string, source string, message_id int, sequence int, system_id int, component_id int, received_at_nanos bigint, payload binary"
     record = lambda seq, at_s, number=27, tenant="t": (tenant, "d", "MAVLINK", number, seq, 1, 1, int(at_s * SECOND), b"p")
