@@ -41,12 +41,15 @@ STOP = re.compile(r"[<>\"']")
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript svg iframe object title textarea".split())
+RAW = frozenset("script style template noscript svg iframe title textarea".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby s samp small span strike strong sub sup time tt u var img wbr".split())
 #: Start tags that end an open element of these names, up to the nearest container.
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table select".split())
-RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
+COMMENT_END = re.compile("--!?>")
+#: The end of a tag lies in an unquoted value, so that a slash there is part of it.
+IN_VALUE = re.compile(r"=\s*[^\s\"'>]+$")
 
 
 @dataclass
@@ -94,8 +97,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     last = {q: page.rfind(q) for q in "\"'>"}
     while (at := page.find("<", at)) >= 0:
         if page.startswith("<!--", at):
-            end = page.find("-->", at + 4)
-            stop = end + 3 if end >= 0 else n
+            # <!--> and <!---> are whole comments; one that never ends takes the rest.
+            end = None if page.startswith((">", "->"), at + 4) else COMMENT_END.search(page, at + 4)
+            stop = page.find(">", at) + 1 if page.startswith((">", "->"), at + 4) else end.end() if end else n
             found = None
         elif page.startswith(("<!", "<?"), at):
             if last[">"] < at:
@@ -129,7 +133,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         if found:
             name, attributes = found[2].lower(), page[found.end() : stop - 1]
             yield ("/" if found[1] else "<"), name, "" if found[1] else attributes
-            if name in RAW and not found[1] and not attributes.rstrip().endswith("/"):
+            # Only a foreign element can end itself.
+            if name in RAW and not found[1] and not (name == "svg" and attributes.endswith("/") and not IN_VALUE.search(attributes)):
                 end = RAW_END[name].search(page, at)
                 at = done = end.end() if end else n
     if done < n:
@@ -205,7 +210,7 @@ def blocks(page: str | None) -> list[Block]:
                         break
                     if stack[i].name not in INLINE:
                         break
-        if name not in VOID and not attributes.endswith("/"):
+        if name not in VOID:  # a slash at its end means nothing to an html element
             bits, marked = _path_bits(name, attributes)
             top = stack[-1]
             stack.append(Open(name, top.bits | bits, top.marked if marked is None else marked, top.leaf if name in INLINE else name, top.link or name == "a"))

@@ -3,7 +3,8 @@
 An Aho-Corasick automaton finds the magic bytes of all known formats in one pass over a value. At each hit the format's
 validator reads the structure that follows (chunk lengths, block chains, checksums) and returns where the media ends, or
 that it isn't one. A value that starts with a valid medium has that type, whatever was declared; media that begin further
-inside, outside any that was accepted before, are carved out. All work is a map over rows.
+inside, outside any that was accepted before, are carved out. Walks through chains of blocks share their failures, so that
+false starts, however many, cost no more steps together than the value has bytes. All work is a map over rows.
 
 Null bytes give no type and no media; empty bytes likewise. Declared types are corrected, never trusted. Repeated rows give
 repeated results; other columns are kept by ``sniff`` and ignored by the query.
@@ -37,18 +38,45 @@ MAGIC = {
 }
 
 
-def _wav(b: bytes, at: int) -> int:
-    if b[at + 8 : at + 12] != b"WAVE" or len(b) < at + 12:
+class Walks:
+    """Where walks through a value's structures failed. What a walk does from a place depends on the place and its state only,
+    so one that comes to such a place fails too: all walks of a format take as many steps together as the value has bytes."""
+
+    def __init__(self, size: int):
+        self.size, self.flags, self.steps = size, {}, []
+
+    def failed(self, kind: str, state: int, at: int) -> bool:
+        """Whether a walk failed from here; if not, the place is kept until this walk ends."""
+        flags = self.flags.get(kind)
+        if flags is not None and flags[at] & state:
+            return True
+        self.steps.append((at, state))
+        return False
+
+    def ended(self, kind: str, end: int) -> int:
+        """The end of a walk, -1 if it failed."""
+        if end < 0 and self.steps:
+            if kind not in self.flags:
+                self.flags[kind] = bytearray(self.size)
+            flags = self.flags[kind]
+            for at, state in self.steps:
+                flags[at] |= state
+        self.steps.clear()
+        return end
+
+
+def _wav(b: bytes, at: int, walks: Walks) -> int:
+    if len(b) < at + 12 or b[at + 8 : at + 12] != b"WAVE":
         return -1
     end, p, seen = at + 8 + struct.unpack_from("<I", b, at + 4)[0], at + 12, set()
-    while p + 8 <= min(end, len(b)):
+    while p + 8 <= end <= len(b):
         seen.add(b[p : p + 4])
         size = struct.unpack_from("<I", b, p + 4)[0]
         p += 8 + size + size % 2
-    return end if {b"fmt ", b"data"} <= seen and p == end <= len(b) else -1
+    return end if {b"fmt ", b"data"} <= seen and p == end else -1
 
 
-def _au(b: bytes, at: int) -> int:
+def _au(b: bytes, at: int, walks: Walks) -> int:
     if len(b) < at + 24:
         return -1
     offset, size, encoding, rate, channels = struct.unpack_from(">5I", b, at + 4)
@@ -56,62 +84,80 @@ def _au(b: bytes, at: int) -> int:
     return end if 24 <= offset <= 4096 and 1 <= encoding <= 27 and rate and 1 <= channels <= 64 and end <= len(b) else -1
 
 
-def _png(b: bytes, at: int) -> int:
-    p, first = at + 8, True
-    while p + 12 <= len(b):
-        size = struct.unpack_from(">I", b, p)[0]
-        kind, end = b[p + 4 : p + 8], p + 12 + size
-        if end > len(b) or first != (kind == b"IHDR") or zlib.crc32(b[p + 4 : p + 8 + size]) != struct.unpack_from(">I", b, p + 8 + size)[0]:
-            return -1
-        if kind == b"IEND":
-            return end
-        p, first = end, False
-    return -1
+def _png(b: bytes, at: int, walks: Walks) -> int:
+    def walk(p: int) -> int:
+        first = True
+        while p + 12 <= len(b):
+            size = struct.unpack_from(">I", b, p)[0]
+            kind, end = b[p + 4 : p + 8], p + 12 + size
+            if end > len(b) or first != (kind == b"IHDR") or first and size != 13:
+                return -1
+            if not first and walks.failed("png", 1, p) or zlib.crc32(b[p + 4 : p + 8 + size]) != struct.unpack_from(">I", b, p + 8 + size)[0]:
+                return -1
+            if kind == b"IEND":
+                return end
+            p, first = end, False
+        return -1
+
+    return walks.ended("png", walk(at + 8))
 
 
-def _gif(b: bytes, at: int) -> int:
+def _gif(b: bytes, at: int, walks: Walks) -> int:
     def blocks(p: int) -> int:
         while p < len(b):
             if not b[p]:
                 return p + 1
+            if walks.failed("gif", 2, p):
+                return -1
             p += 1 + b[p]
         return -1
 
+    def walk(p: int) -> int:
+        while 0 <= p < len(b):
+            if b[p] == 0x3B:
+                return p + 1
+            if walks.failed("gif", 1, p):
+                return -1
+            if b[p] == 0x21:
+                p = blocks(p + 2)
+            elif b[p] == 0x2C and p + 10 <= len(b):
+                p = blocks(p + 11 + (3 << ((b[p + 9] & 7) + 1) if b[p + 9] & 0x80 else 0))
+            else:
+                return -1
+        return -1
+
     if len(b) < at + 13:
         return -1
-    p = at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0)
-    while 0 <= p < len(b):
-        if b[p] == 0x3B:
-            return p + 1
-        if b[p] == 0x21:
-            p = blocks(p + 2)
-        elif b[p] == 0x2C and p + 10 <= len(b):
-            p = blocks(p + 11 + (3 << ((b[p + 9] & 7) + 1) if b[p + 9] & 0x80 else 0))
-        else:
-            return -1
-    return -1
-
-
-def _bmp(b: bytes, at: int) -> int:
+    return walks.ended("gif", walk(at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0)))
+
+
+def _bmp(b: bytes, at: int, walks: Walks) -> int:
     if len(b) < at + 26:
         return -1
     size, zero, offset, header = struct.unpack_from("<IIII", b, at + 2)
     return at + size if not zero and header in (12, 40, 52, 56, 108, 124) and 14 + header <= offset <= size and at + size <= len(b) else -1
 
 
-def _jpeg(b: bytes, at: int) -> int:
-    p = at + 2
-    while p + 4 <= len(b) and b[p] == 0xFF:
-        kind = b[p + 1]
-        if kind == 0xD9:
-            return p + 2
-        p += 2 + struct.unpack_from(">H", b, p + 2)[0]
-        if kind == 0xDA:
-            while 0 <= (p := b.find(b"\xff", p)) and p + 1 < len(b) and (b[p + 1] == 0 or 0xD0 <= b[p + 1] <= 0xD7):
-                p += 2
-            if p < 0:
+def _jpeg(b: bytes, at: int, walks: Walks) -> int:
+    def walk(p: int) -> int:
+        while p + 4 <= len(b) and b[p] == 0xFF:
+            kind = b[p + 1]
+            if kind == 0xD9:
+                return p + 2
+            if walks.failed("jpeg", 1, p):
                 return -1
-    return p + 2 if b[p : p + 2] == b"\xff\xd9" else -1
+            p += 2 + struct.unpack_from(">H", b, p + 2)[0]
+            if kind == 0xDA:
+                # The scan goes on to the next marker; each place where one might begin is a step.
+                while 0 <= (p := b.find(b"\xff", p)) and p + 1 < len(b) and (b[p + 1] == 0 or 0xD0 <= b[p + 1] <= 0xD7):
+                    if walks.failed("jpeg", 2, p):
+                        return -1
+                    p += 2
+                if p < 0:
+                    return -1
+        return p + 2 if b[p : p + 2] == b"\xff\xd9" else -1
+
+    return walks.ended("jpeg", walk(at + 2))
 
 
 VALIDATE = {"audio/wav": _wav, "audio/basic": _au, "image/png": _png, "image/gif": _gif, "image/bmp": _bmp, "image/jpeg": _jpeg}
@@ -127,10 +173,10 @@ def automaton() -> ahocorasick.Automaton:
 
 def find(a: ahocorasick.Automaton, data: bytes) -> list[tuple[str, int, int]]:
     """(type, start, end) of the media in the bytes, none inside another."""
-    found, free = [], 0
+    found, free, walks = [], 0, Walks(len(data))
     for last, (size, kind) in a.iter(data.decode("latin-1")):
         start = last - size + 1
-        if start >= free and (end := VALIDATE[kind](data, start)) > start:
+        if start >= free and (end := VALIDATE[kind](data, start, walks)) > start:
             found.append((kind, start, end))
             free = end
     return found

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import time
 import zlib
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import pytest
+
 from skytally.llm import chat, media
 
 PIECES = ["<|im_start|>", "<|im_end|>", "<|im_escaped|>", "\n", "\\", "\\n", "<|", "|>", "<\\|", "assistant", "user", "x", ""]
@@ -63,3 +66,24 @@ def test_payloads_come_back_exactly(spark):
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     assert got[2][1:] == got[8][1:]
+
+
+@pytest.mark.parametrize("hit", (b"GIF89aaaaaAaa!a", b"GIF87a" + b"\x01" * 9, b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x02", b"\xff\xd8\xff\x00", b"\x89PNG\r\n\x1a\n", png()[:40], b"RIFFaaaaWAVEfmt ", b".snd\0\0\0\x18aaaa", b"BM" * 8))
+def test_false_starts_by_the_hundred_thousand_cost_in_proportion(hit):
+    data = (hit * (4_000_000 // len(hit) + 1))[:4_000_000]
+    a, took = media.automaton(), []
+    for n in (500_000, 4_000_000):
+        began = time.process_time()
+        media.find(a, data[:n])
+        took.append(time.process_time() - began)
+    assert took[1] < 16 * took[0] + 2
+
+
+def test_failed_walks_do_not_hide_a_picture():
+    gif = b"GIF89a\x01\0\x01\0\0\0\0" + b"!\xfe\x03abc\0" + b",\0\0\0\0\x01\0\x01\0\0\x02\x02L\x01\0;"
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x02a\xff\x00b\xff\xd9"
+    for one, kind in ((gif, "image/gif"), (jpeg, "image/jpeg"), (png(), "image/png")):
+        cut = one[:-2]
+        data = b"".join((cut, one, cut * 3, b"x", one))
+        found = media.find(media.automaton(), data)
+        assert (kind, len(data) - len(one), len(data)) in found and all(k == kind for k, _, _ in found)

@@ -131,3 +131,44 @@ def test_columns_and_rows(spark):
     assert [r.main_text for r in out if r.page_id is None] == [""]
     assert len({r.main_text for r in out if r.page_id == 1}) == 1
     assert H.extract(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_raw_elements_never_end_themselves():
+    assert text_of("<p>a</p><script src=https://x.org/lib/>var tracker=1;</script><p>b</p>") == ["a", "b"]
+    assert text_of("<style media=all/>p{color:red}</style><p>b</p>") == ["b"]
+    assert text_of("<script/>var x;</script ><p>b</p><style></style x=y>c") == ["b", "c"]
+    assert text_of("<p>a<svg viewBox=/0/><p>no</p></svg>b<svg/>c</p>") == ["abc"]
+    assert text_of("<object data=x><p>instead</p></object>") == ["instead"]
+
+
+def test_comments_end_where_the_standard_says():
+    assert text_of("<p>a</p><!--><p>b</p>") == ["a", "b"]
+    assert text_of("<p>a</p><!---><p>b</p>") == ["a", "b"]
+    assert text_of("<!-- x --!><p>b</p><!-- y -- > <p>c</p> --><p>d</p>") == ["b", "d"]
+
+
+def test_a_slash_in_an_unquoted_value_is_part_of_it():
+    (block,) = H.blocks("<p><a href=/x/>text</a> more</p>")
+    assert (block.text, block.linked) == ("text more", 4)
+    (block,) = H.blocks("<p><a href=/x/>one</a> and <a href='/y'/>two</a> more</p>")
+    assert block.linked == 6
+
+
+def test_no_byte_of_scripts_gets_out_and_no_paragraph_is_lost():
+    import random
+
+    rng = random.Random(17)
+    opens = ["<script>", "<script src=/a/b/>", "<script async/>", '<script src="x">', "<SCRIPT type=text/x>", "<style media=all/>", "<style>", "<!--", "<noscript>", "<template id=a/>"]
+    for _ in range(400):
+        page, kept = [], []
+        for i in range(rng.randint(1, 12)):
+            if rng.random() < 0.5:
+                kept.append(f"kept{i}")
+                page.append(rng.choice(("<p>{}</p>", "<div class=/x/>{}</div>", "<li>{}", "<p title='a>b'>{}</p>", "<h2 id=a/>{}</h2>")).format(kept[-1]))
+            else:
+                start = rng.choice(opens)
+                name = start[1:].split()[0].rstrip(">/").lower()
+                inside = "".join(rng.choice(("SECRET", " = '<p>SECRET</p>';", "</div>", "<b>", "a < b", "--", "/>", "</ script>")) for _ in range(rng.randint(0, 5)))
+                end = rng.choice(("-->", "--!>")) if start == "<!--" else rng.choice((f"</{name}>", f"</{name} >", f"</{name.upper()}\n x>"))
+                page.append(start + (inside.replace(">", "") if start == "<!--" else inside) + end)
+        assert "".join(text_of("".join(page))) == "".join(kept), page
