@@ -14,12 +14,15 @@ Equal sets are one entry. Entries that share a key are candidates:
    other components, and the one with most minima in common is checked. Where components are still apart after that, it is
    checked with all entries of the largest component that it has enough minima in common with, and with all others outside.
    Keys and components with more than ``LEAF`` entries are dealt into parts of about that many for it, and what is outside
-   goes to every part. Texts of this step go to the tasks once for each component or key that they are checked in.
+   goes to every part. Texts of this step go to the tasks once for each component or key that they are checked in. Texts lie
+   in buckets of their sets' hashes, so that only those which travel with a pair are shuffled.
 
 Candidates with fewer than ``EQUAL`` of all minima in common are left out: at similarity 0.8 that happens with probability
 1e-5.
 
-Rows so grow with the entries, not with the square of a group, and no candidate of a key is left out but by its minima.
+Rows of the first step grow with the entries. Those of the second are, for each open key, its entries outside the largest
+component times its entries / ``LEAF``: one row an entry up to ``LEAF`` of them, but of a key that far more dissimilar texts
+share, the square over ``LEAF``. No candidate of a key is left out but by its minima.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from skytally.llm import columnar as C
 from skytally.llm.components import stars
 from skytally.llm.joins import counted_join
-from skytally.session import materialize, scratch, ship_package
+from skytally.session import bucketed, materialize, scratch, ship_package
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -42,6 +45,8 @@ BANDS, ROWS = 20, 4
 AHEAD = 2
 #: Minima of BANDS * ROWS that candidates have in common at least; entries of a part of a key or component.
 EQUAL, LEAF = 48, 2048
+#: Bits of the filter that texts pass before they are shuffled.
+FILTER = 1 << 24
 #: Rows that a step of pairing holds before it works.
 STEP = 20_000
 _RNG = np.random.default_rng(42)
@@ -272,18 +277,39 @@ def _open(spark: SparkSession, members: DataFrame, found: DataFrame, codes: Data
     return materialize(spark, left.join(codes.select("code", "brief"), "code"), "open-members")
 
 
+def _maybe(spark: SparkSession, rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """Rows whose _code may be among the needed codes: all of these, and of the others about as many as the share of ``FILTER``
+    bits that are set. The bits go to the driver and to every task, 2 MiB whatever the size of the tables; where most are set,
+    nothing is gained, and nothing lost."""
+    bit = needed.select(F.pmod(F.xxhash64("code"), F.lit(FILTER)).alias("_bit"))
+    words = bit.groupBy(F.expr("_bit DIV 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(_bit % 64 AS INT)))").alias("bits")).toPandas()
+    bits = np.zeros(FILTER // 64, np.int64)
+    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    held, names = spark.sparkContext.broadcast(bits), rows.columns
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.asarray(batch.column("_bit"))
+            seen = held.value[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64) & np.uint64(1)
+            yield batch.filter(pa.array(seen.astype(bool))).select(names)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.withColumn("_bit", F.pmod(F.xxhash64("_code"), F.lit(FILTER))).mapInArrow(pick, schema)
+
+
 def links(spark: SparkSession, prints: DataFrame) -> DataFrame:
     """prints: text, _code, _n, _keys, _brief, _rank. The components of similar sets, as ``stars`` of their codes."""
     codes = prints.groupBy(F.col("_code").alias("code")).agg(F.first("_n").alias("n"), F.first("_keys").alias("keys"), F.first("_brief").alias("brief"), F.first("_rank").alias("rank"))
-    codes = materialize(spark, codes.where("n > 0"), "sets")
-    rows = codes.select(F.explode("keys").alias("key"), "code", F.col("n").alias("n_code"), "rank", "brief")
+    codes = bucketed(spark, codes.where("n > 0"), "sets", "code")
+    # Of the keys of all sets only their hashes travel; the rest joins those that share one.
+    rows = codes.select(F.explode("keys").alias("key"), "code")
     crowd = materialize(spark, rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("size", F.col("n")), "shared-keys")
-    members = counted_join(rows, crowd, ["key"], ["code"]).withColumnRenamed("n_code", "n")
-    members = materialize(spark, members, "members")
+    sharing = materialize(spark, counted_join(rows, crowd, ["key"], ["code"]), "sharing")
+    members = materialize(spark, sharing.join(codes.select("code", "n", "rank", "brief").hint("merge"), "code"), "members")
     # One text of each entry that shares a key. Texts meet the entries by a shuffle at any size, and go no further here.
-    needed = members.select("code").distinct()
-    texts = prints.select("_code", "text").join(needed.hint("merge"), F.col("_code") == F.col("code")).groupBy("code").agg(F.first("text").alias("text"))
-    texts = materialize(spark, texts, "texts")
+    needed = materialize(spark, sharing.select("code").distinct(), "needed")
+    texts = _maybe(spark, prints.select("_code", "text"), needed).join(needed.hint("merge"), F.col("_code") == F.col("code")).groupBy("code").agg(F.first("text").alias("text"))
+    texts = bucketed(spark, texts, "texts", "code")
     part = F.pmod(F.xxhash64("code", "key"), F.ceil(F.col("size") / LEAF).cast("long"))
     met = materialize(spark, _pairs(members.select("key", part.alias("part"), "code", "n", "rank", "brief")).distinct(), "met")
     nearest = met.groupBy("a").agg(F.max(F.struct("alike", "b")).alias("m")).select("a", "m.b")
