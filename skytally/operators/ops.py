@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skytally.functions.scalars import ack_state, ratio, shed
+from skytally.session import materialize, scratch
 
 OPEN_STATES = ("PENDING", "SENT")
 
@@ -67,14 +68,30 @@ def dedup_stats(deduped: DataFrame, exempt: Column) -> DataFrame:
     return n.withColumn("suppressed_ratio", ratio("suppressed", F.col("passed") + F.col("suppressed")))
 
 
-def nearest_ranks(df: DataFrame, group: str, value: str, levels: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles of each group, and max. Equal values are counted before the shuffle, and a group's different
-    values pass through its window sorted, with spill; none of it is held as a whole."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_n"))
-    so_far = F.sum("_n").over(Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    totals = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("_total"))
-    ranked = counts.withColumn("_upto", so_far).join(totals, group)
-    return ranked.groupBy(group).agg(*(F.min(F.when(F.col("_upto") >= F.ceil(F.col("_total") * q), F.col(value))).alias(n) for n, q in levels.items()), F.max(value).alias("max"))
+def nearest_ranks(df: DataFrame, group: str, value: str, levels: dict[str, float], range_rows: int = 1_000_000) -> DataFrame:
+    """Nearest-rank percentiles of each group, and max.
+
+    Equal values are counted before the shuffle. The counts are dealt into ranges of (group, value); how many rows of a group
+    lie in the ranges before, one number per range and group, tells in which range a rank falls, and only there it is sought.
+    So a group, however large, is the work of many tasks. Null values don't count; a null group is one.
+    """
+    spark = df.sparkSession
+    with scratch(spark):
+        counts = materialize(spark, df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_n")), "rank-counts")
+        parts = max(1, -(-counts.count() // range_rows))
+        ranges = counts.repartitionByRange(parts, group, value).withColumn("_part", F.spark_partition_id())
+        ranges = materialize(spark, ranges, "rank-ranges")
+        sums = ranges.groupBy(F.col(group).alias("_g"), "_part").agg(F.sum("_n").alias("_here"))
+        by_group = Window.partitionBy("_g")
+        before = F.coalesce(F.sum("_here").over(by_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = sums.select("_g", F.col("_part").alias("_p"), before.alias("_before"), "_here", F.sum("_here").over(by_group).alias("_total"), F.max("_part").over(by_group).alias("_last"))
+        sought = [F.greatest(F.lit(1), F.ceil(F.col("_total") * q)) for q in levels.values()]
+        hit = [(F.col("_before") < rank) & (rank <= F.col("_before") + F.col("_here")) for rank in sought]
+        wanted = placed.where(F.array_contains(F.array(*hit, F.col("_p") == F.col("_last")), True))
+        rows = ranges.join(wanted, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+        upto = F.col("_before") + F.sum("_n").over(Window.partitionBy("_g", "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        found = rows.withColumn("_upto", upto).groupBy(group).agg(*(F.min(F.when((F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank), F.col(value))).alias(n) for n, rank in zip(levels, sought, strict=True)), F.max(value).alias("max"))
+        return materialize(spark, found, "ranks", keep=True)
 
 
 def admission(records: DataFrame, priority: str, pressure: str) -> DataFrame:

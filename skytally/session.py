@@ -40,8 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Folders that ``materialize`` wrote within each open ``scratch``.
+#: Folders that ``materialize`` wrote within each open ``scratch``, and tables in the catalogue.
 _WRITTEN: list[list[str]] = []
+_TABLES: list[list[str]] = []
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -61,14 +62,33 @@ def materialize(spark: SparkSession, df: DataFrame, name: str, keep: bool = Fals
     return spark.read.parquet(path)
 
 
+def bucketed(spark: SparkSession, df: DataFrame, name: str, key: str) -> DataFrame:
+    """As ``materialize``, in as many buckets of a key as a shuffle has partitions: joins on the key don't shuffle the table."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_dir(spark)}/skytally/{name}-{uuid.uuid4().hex}"
+    for made in _WRITTEN[-1:]:
+        made.append(path)
+    table = f"skytally_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    for made in _TABLES[-1:]:
+        made.append(table)
+    return spark.table(table)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes the tables that ``materialize`` writes within it, when nothing needs them any more: what is made of them and
     goes on must itself be written, with ``keep``."""
     _WRITTEN.append([])
+    _TABLES.append([])
     try:
         yield
     finally:
+        for table in _TABLES.pop():
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
         for folder in _WRITTEN.pop():
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
