@@ -5,13 +5,16 @@ their first record. Segments are complete when they get their name and never cha
 timestamp, and partition and offset, as a broker's records do; ``streaming.tables.envelopes`` takes them.
 
 Options: ``startingOffsets`` (earliest or latest, for a query without a checkpoint) and ``maxRecordsPerBatch`` (of all
-partitions together, in equal shares; the first batch after a restart takes all that is there, since only then the reader
-learns where the query stands). Each segment of a batch is a task of its own. Offsets are kept by Spark's checkpoint, so that a
-restart goes on where the last batch ended.
+partitions together, in equal shares). Each segment of a batch is a task of its own. Offsets are kept by Spark's checkpoint, so
+that a restart goes on where the last batch ended. But Spark does not tell a reader where a query stands before it asks how
+far the next batch may go: the first batch after a start takes all that is there, unless ``positions`` names a folder, one for
+each query, in which the reader notes the ends of finished batches. Then it is twice as large as others at most, as the last
+note may be missing.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -76,8 +79,17 @@ class Reader(DataSourceStreamReader):
         self.path, self.start = options["path"], options.get("startingoffsets", "earliest")
         if self.start not in ("earliest", "latest"):
             raise ValueError("startingOffsets must be earliest or latest")
-        self.most = int(options.get("maxrecordsperbatch", 0))
+        self.most, self.positions = int(options.get("maxrecordsperbatch", 0)), options.get("positions")
         self.reached: dict[str, int] | None = None
+        self.shares = 1
+        if self.positions:
+            files, folder = _opened(self.positions)
+            note = f"{folder}/ends.json"
+            if files.get_file_info(note).is_file:
+                with files.open_input_file(note) as f:
+                    self.reached, self.shares = json.loads(f.read()), 2
+            else:
+                self.initialOffset()
 
     def _ends(self) -> dict[str, int]:
         return {str(p): s[-1][0] + _read(self.path, s[-1][1]).num_rows for p, s in _segments(self.path).items()}
@@ -90,11 +102,11 @@ class Reader(DataSourceStreamReader):
         ends = self._ends()
         if self.reached is None or not self.most:
             return ends
-        share = max(1, self.most // max(1, len(ends)))
+        share = max(1, self.most // max(1, len(ends))) * self.shares
         return {p: min(end, self.reached.get(p, 0) + share) for p, end in ends.items()}
 
     def partitions(self, start: dict, end: dict) -> list[Segment]:
-        self.reached, out = dict(end), []
+        self.reached, self.shares, out = dict(end), 1, []
         known = _segments(self.path)
         for p, stop in end.items():
             segments = known.get(int(p), [])
@@ -112,7 +124,13 @@ class Reader(DataSourceStreamReader):
         yield from rows.to_batches()
 
     def commit(self, end: dict) -> None:
-        pass
+        if self.positions:
+            files, folder = _opened(self.positions)
+            files.create_dir(folder)
+            made = f"{folder}/_{uuid.uuid4().hex}"
+            with files.open_output_stream(made) as out:
+                out.write(json.dumps(end).encode())
+            files.move(made, f"{folder}/ends.json")
 
     def stop(self) -> None:
         pass

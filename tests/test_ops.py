@@ -69,3 +69,18 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], "arrival long, k string, ns long")
     assert ops.dedup(df, ["k"], "ns", 500, "arrival").count() == 0
     assert ops.nearest_ranks(df, "k", "ns", {"p50": 0.5}).count() == 0
+
+
+@pytest.mark.parametrize("range_rows", [7, 1_000_000])
+def test_nearest_ranks_equal_sorting_whatever_the_ranges(spark, range_rows):
+    rng = np.random.default_rng(5)
+    rows = [(None if i % 11 == 0 else f"g{i % 3 if i % 2 else 0}", None if i % 13 == 0 else float(rng.integers(0, 60))) for i in range(500)] + [("one", 4.0), ("none", None)]
+    levels = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r.g: r for r in ops.nearest_ranks(spark.createDataFrame(rows, "g string, v double"), "g", "v", levels, range_rows).collect()}
+    groups = {g for g, v in rows if v is not None}
+    assert set(got) == groups
+    for g in groups:
+        values = sorted(v for h, v in rows if h == g and v is not None)
+        for name, q in levels.items():
+            assert got[g][name] == values[max(1, int(np.ceil(len(values) * q))) - 1]
+        assert got[g]["max"] == values[-1]
