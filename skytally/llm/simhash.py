@@ -12,9 +12,11 @@ DISTANCE places the whole pair of runs is dropped, if all bits that could differ
 linked, else their parts are compared. A node's links leave it as a spanning star, never as pairs.
 
 A node that stays large is a dense cluster. Its fingerprints are first linked in pieces of the Gray order, under several
-rotations of the bits, which mostly makes one component of it; then nothing is left to find there. Only the fingerprints of
-dense nodes with several components are compared under finer masks, which fix so many bits that no node can hold more than
-LEAF of them (1330 masks for three bits), however dense the data.
+rotations of the bits, which mostly makes one component of it; then nothing is left to find there. In dense nodes with several
+components, what is missing is a link of a stray, a fingerprint outside its node's largest component. Fingerprints at most
+DISTANCE bits apart have a third one between them: strays name all codes within ``STRAY_BITS`` bits (2081), the node's other
+fingerprints those within the rest (65), and equal names are links. So no code is named by more than so many, however dense
+the data, and rows grow with the fingerprints.
 
 Equal fingerprints are one entry, so a third of all rows being copies is one entry as well. Nothing is collected but counts.
 
@@ -47,6 +49,8 @@ SHINGLE, SEED, DISTANCE = 3, 42, 3
 LEAF = 1024
 #: Rotations of the bits under which dense nodes are cut into pieces.
 TURNS = range(0, 64, 8)
+#: Of the differing bits, how many a stray's names cover.
+STRAY_BITS = 2
 #: Rows and pairs of runs that one numpy step holds.
 STEP, PAIRS = 20_000, 500_000
 
@@ -239,9 +243,19 @@ def masks(fixed: int, blocks: int, distance: int) -> list[int]:
     return [fixed | sum(p for i, p in enumerate(parts) if i not in out) for out in combinations(range(blocks), distance)]
 
 
-def fine_blocks(distance: int, bits: int) -> int:
-    """The least number of blocks of 64 bits of which the ``distance`` largest have at most ``bits`` bits together."""
-    return next(m for m in range(distance + 1, 65) if sum(sorted((64 * (i + 1) // m - 64 * i // m for i in range(m)), reverse=True)[:distance]) <= bits)
+def _ball(rows: DataFrame, radius: int) -> DataFrame:
+    """rows: fp, root. Every code within so many bits of each fingerprint: name, fp, root."""
+    names = np.array([sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(64), r)], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, step := max(1, PAIRS // len(names))):
+                part = batch.slice(k, step)
+                fp, root = (np.asarray(part.column(c)) for c in ("fp", "root"))
+                near = (fp.view(np.uint64)[:, None] ^ names).ravel().view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(near), pa.array(np.repeat(fp, len(names))), pa.array(np.repeat(root, len(names)))], ["name", "fp", "root"])
+
+    return rows.select("fp", "root").mapInArrow(run, "name bigint, fp bigint, root bigint")
 
 
 def _signed(x: int) -> int:
@@ -281,12 +295,17 @@ def links(spark: SparkSession, codes: DataFrame, distance: int = DISTANCE, leaf:
     dense = materialize(spark, rest.select("fp").distinct(), "dense-codes")
     found = stars(spark, found.unionByName(_pieces(dense, distance, leaf)))
     rooted = rest.join(found, F.col("fp") == F.col("a"), "left").select(*node, "fp", F.coalesce("b", "fp").alias("root"))
-    open_ = rooted.groupBy(*node).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low != high").select(*node, "n")
-    open_ = materialize(spark, open_, "open-nodes")
+    shares = rooted.groupBy(*node, "root").agg(F.count("*").alias("share"))
+    open_ = shares.groupBy(*node).agg(F.count("*").alias("roots"), F.sum("share").alias("n"), F.max(F.struct("share", "root")).alias("most")).where("roots > 1")
+    open_ = materialize(spark, open_.select(*node, "n", F.col("most.root").alias("main")), "open-nodes")
     if not open_.head(1):
         return found
-    left = materialize(spark, counted_join(rest, open_, node, ["fp"]).select(F.lit(0).alias("path"), "fp").distinct(), "open-codes")
-    return found.unionByName(_leaves(_nodes(left, {0: masks(0, fine_blocks(distance, 10), distance)}), distance))
+    left = materialize(spark, counted_join(rooted, open_, node, ["fp"]).groupBy("fp", "root").agg(F.max((F.col("root") != F.col("main")).cast("int")).alias("stray")), "open-codes")
+    strays = _ball(left.where("stray = 1"), min(distance, STRAY_BITS)).select("name", F.col("fp").alias("a"), F.col("root").alias("_root"))
+    named = _ball(left, max(0, distance - STRAY_BITS))
+    # Of all links between a stray and a component one is enough.
+    crossing = strays.join(named, "name").where("root != _root").groupBy("a", "root").agg(F.min("fp").alias("b"))
+    return found.unionByName(crossing.select("a", "b"))
 
 
 def near_duplicates(spark: SparkSession, documents: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:

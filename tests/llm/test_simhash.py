@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -93,13 +94,28 @@ def test_a_hundred_thousand_near_fingerprints(spark):
 
 def test_masks_meet_every_pair():
     rng = np.random.default_rng(9)
-    table = np.array(simhash.masks(0, simhash.fine_blocks(3, 10), 3), np.uint64)
+    table = np.array(simhash.masks(0, 21, 3), np.uint64)
     assert len(table) == 1330 and min(int(m).bit_count() for m in table) >= 54
     for _ in range(50):
         difference = sum(1 << int(b) for b in rng.choice(64, 3, replace=False))
         assert ((table & np.uint64(difference)) == 0).any()
 
 
+def test_strays_of_a_dense_node_cost_rows_of_their_own_only(spark, monkeypatch):
+    """A chain-linked cluster in one crowded node, and codes in it that are 3 or 4 bits from the cluster's members only."""
+    rng = np.random.default_rng(4)
+    cluster = {sum(1 << int(b) for b in rng.choice(16, rng.integers(0, 9), replace=False)) for _ in range(3000)}
+    strays = [0b111 << 40 | 0x1, 0b1111 << 44 | 0x3, 0b111 << 50 | 0x155, 0b11111 << 30]
+    codes = sorted(cluster | set(strays))
+    made, ball = [], simhash._ball
+    monkeypatch.setattr(simhash, "_ball", lambda rows, radius: made.append((rows.count(), radius)) or ball(rows, radius))
+    table = spark.createDataFrame([(c,) for c in codes], "fp long")
+    root = {r.a: r.b for r in stars(spark, simhash.links(spark, table, leaf=64)).collect()}
+    got, want = [root.get(c, c) for c in codes], components(codes)
+    assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want)) > 1
+    assert made and sum(n * sum(math.comb(64, r) for r in range(radius + 1)) for n, radius in made) < 1330 * len(codes) / 4
+
+
 def test_gray_rank_is_the_position_in_the_gray_sequence():
     positions = np.arange(64, dtype=np.uint64)
     assert (copies.gray_rank(positions ^ (positions >> np.uint64(1))) == positions).all()
