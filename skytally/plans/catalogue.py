@@ -23,6 +23,7 @@ from skytally.operators import ops, telemetry, windows
 from skytally.plans.routing import route
 from skytally.rules.batch import alerts
 from skytally.rules.model import Geofence, Rule, Threshold
+from skytally.rules.scan import threshold_alerts
 from skytally.schema import HK_LAYOUTS
 from skytally.session import shared_dir, ship_package
 from skytally.sources import binary as sources
@@ -331,6 +332,13 @@ def alerts_debounced(spark: SparkSession, d: str) -> DataFrame:
     return alerts(spark, rows, RULES, "event_id").select("tenant_id", "device_id", "kind", "condition_since_ns", "at_ns", "detail")
 
 
+@query("alerts_scanned", ORACLE["alerts_debounced"])
+def alerts_scanned(spark: SparkSession, d: str) -> DataFrame:
+    """As alerts_debounced, by scans over ranges of all records instead of a fold per device."""
+    rows = _telemetry(spark, d).withColumn("time_ns", F.unix_micros("time") * 1000)
+    return threshold_alerts(spark, rows, RULES, "event_id", ranges=8).select("tenant_id", "device_id", "kind", "condition_since_ns", "at_ns", "detail")
+
+
 @query("alert_latency", "SELECT tenant_id, kind, count(*) AS n, max(at_ns - condition_since_ns) AS worst_ns, max(greatest(0, at_ns - condition_since_ns - CASE kind WHEN 'FIRED' THEN " + f"{6 * HOUR_NS} ELSE {12 * HOUR_NS} END)) AS worst_incidental_ns FROM (" + ORACLE["alerts_debounced"] + ") GROUP BY 1, 2")
 def alert_latency(spark: SparkSession, d: str) -> DataFrame:
     rows = _telemetry(spark, d).withColumn("time_ns", F.unix_micros("time") * 1000)
