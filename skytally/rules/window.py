@@ -34,17 +34,37 @@ def add(samples: list[tuple[int, float]], at: int, value: float, span: int = SPA
     return kept[max(0, len(kept) - capacity, bisect_left(kept, kept[-1][0] - span, key=lambda s: s[0])) :]
 
 
+def _fused(x: float, y: float, z: float) -> float:
+    """x * y + z, rounded once; what has no such value (infinities) as the plain operations give it."""
+    try:
+        return math.fma(x, y, z)
+    except (ValueError, OverflowError):
+        return x * y + z
+
+
+def _slope(samples: list[tuple[int, float]]) -> float:
+    """Least squares, per second: updated sample by sample from the newest back, the covariance by fused multiply-adds. That
+    is the order and the rounding of the rule's SQL, whose slopes often lie exactly between two printed ones."""
+    newest = samples[-1][0]
+    age = value = both = spread = 0.0
+    for n, (t, v) in enumerate(reversed(samples), 1):
+        at = (t - newest) / SECOND
+        d = at - age
+        age += d / n
+        value += (v - value) / n
+        both = _fused(d, v - value, both)
+        spread += (at - age) * d
+    return both / n / (spread / n) if spread else 0.0
+
+
 def stats(samples: list[tuple[int, float]]) -> Stats:
     """Population deviation; a least-squares slope per minute, 0 without spread in time."""
     n = len(samples)
     if not n:
         return EMPTY
-    values, origin = [v for _, v in samples], samples[0][0]
+    values = [v for _, v in samples]
     mean = sum(values) / n
-    times = [(t - origin) / SECOND for t, _ in samples]
-    middle = sum(times) / n
-    spread = sum((t - middle) ** 2 for t in times)
-    slope = sum((t - middle) * (v - mean) for t, v in zip(times, values, strict=True)) / spread * 60 if n > 1 and spread else 0.0
+    slope = 60 * _slope(samples) if samples[0][0] != samples[-1][0] else 0.0
     return Stats(n, min(values), max(values), mean, math.sqrt(sum((v - mean) ** 2 for v in values) / n), slope)
 
 
