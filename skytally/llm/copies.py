@@ -1,15 +1,18 @@
-"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, by MinHash and exact checks.
+"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, by SimHash, MinHash and
+exact checks.
 
 Words are those of ``simhash`` (A-Z lower-cased, runs of anything but white space); a text of fewer than five words is one
-shingle, a null or empty text the empty set, and equal sets are always linked. Edits that leave a similarity of 0.8 change
-about ten of 64 SimHash bits, too many for an index on few differing bits, so candidates come from MinHash: ``BANDS`` keys
-of ``ROWS`` minima each. A pair at similarity 0.8 misses all keys with probability 2.6e-5, one at 0.85 with 4e-7.
+shingle, a null or empty text the empty set, and equal sets are always linked. Candidates come from an index of the sets'
+SimHash fingerprints (``simhash.links``, few differing bits) first. Edits that leave a similarity of 0.8 change about ten of 64
+bits, too many for such an index, so further candidates come from MinHash: ``BANDS`` keys of ``ROWS`` minima each. A pair at
+similarity 0.8 misses all keys with probability 2.6e-5, one at 0.85 with 4e-7.
 
-Equal sets are one entry. Entries that share a key are candidates:
+Equal sets are one entry. Entries that the index links, and entries that share a key, are candidates:
 
-1. The entries of a key are put in the Gray order of their SimHash fingerprints (of the same shingles). Each meets the next
-   ``AHEAD`` and the key's leader, the entry of smallest hash. Of all whom it meets, the one with most minima in common and
-   the leaders are checked on the shingles of both texts. Checked links make components; that settles nearly all.
+1. The index gives stars of fingerprints, and those of one fingerprint make a star. In each key the entries of a key are put in the Gray order of their SimHash fingerprints (of the same shingles). Each meets the next
+   ``AHEAD`` and the key's leader, the entry of smallest hash. Of all whom it meets, the one with most minima in common, the
+   leaders and those of its stars are checked on the shingles of both texts. Checked links make components; that settles
+   nearly all.
 2. Keys with several components left are done exactly. Every entry outside the key's largest component meets all entries of
    other components, and the one with most minima in common is checked. Where components are still apart after that, it is
    checked with all entries of the largest component that it has enough minima in common with, and with all others outside.
@@ -17,7 +20,7 @@ Equal sets are one entry. Entries that share a key are candidates:
    goes to every part. Texts of this step go to the tasks once for each component or key that they are checked in. Texts lie
    in buckets of their sets' hashes, so that only those which travel with a pair are shuffled.
 
-Candidates with fewer than ``EQUAL`` of all minima in common are left out: at similarity 0.8 that happens with probability
+Candidates of a key with fewer than ``EQUAL`` of all minima in common are left out: at similarity 0.8 that happens with probability
 1e-5.
 
 Rows of the first step grow with the entries. Those of the second are, for each open key, its entries outside the largest
@@ -27,7 +30,7 @@ share, the square over ``LEAF``. No candidate of a key is left out but by its mi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,7 @@ from skytally.llm.components import stars
 from skytally.llm.joins import counted_join
 from skytally.session import bucketed, materialize, scratch, ship_package
 
+Index = Callable[[SparkSession, DataFrame], DataFrame]
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
 #: Followers in Gray order that an entry meets in each of its keys at first.
@@ -297,23 +301,37 @@ def _maybe(spark: SparkSession, rows: DataFrame, needed: DataFrame) -> DataFrame
     return rows.withColumn("_bit", F.pmod(F.xxhash64("_code"), F.lit(FILTER))).mapInArrow(pick, schema)
 
 
-def links(spark: SparkSession, prints: DataFrame) -> DataFrame:
+def indexed(spark: SparkSession, codes: DataFrame, index: Index) -> DataFrame:
+    """codes: code, n, rank. Candidates a, b of fitting sizes: along the links that the index finds between fingerprints, the
+    least code of each, and every other code of a fingerprint with the least."""
+    named = materialize(spark, codes.select("code", "n", F.expr("rank ^ shiftrightunsigned(rank, 1)").alias("fp")), "named-prints")
+    least = materialize(spark, named.groupBy("fp").agg(F.min(F.struct("code", "n")).alias("m")).select("fp", "m.code", "m.n"), "distinct-prints")
+    edges = materialize(spark, index(spark, least.select("fp")).select(F.col("a").alias("_a"), F.col("b").alias("_b")).distinct(), "linked-prints")
+    one, two = (least.select(F.col("fp").alias(f"_{c}"), F.col("code").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
+    across = edges.join(one, "_a").join(two, "_b").select("a", "n_a", "b", "n_b")
+    within = named.join(two, F.col("fp") == F.col("_b")).where("code != b").select(F.col("code").alias("a"), F.col("n").alias("n_a"), "b", "n_b")
+    fits = F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")
+    return materialize(spark, across.unionByName(within).where(fits).select("a", "b"), "indexed")
+
+
+def links(spark: SparkSession, prints: DataFrame, index: Index) -> DataFrame:
     """prints: text, _code, _n, _keys, _brief, _rank. The components of similar sets, as ``stars`` of their codes."""
     codes = prints.groupBy(F.col("_code").alias("code")).agg(F.first("_n").alias("n"), F.first("_keys").alias("keys"), F.first("_brief").alias("brief"), F.first("_rank").alias("rank"))
     codes = bucketed(spark, codes.where("n > 0"), "sets", "code")
+    near = indexed(spark, codes, index)
     # Of the keys of all sets only their hashes travel; the rest joins those that share one.
     rows = codes.select(F.explode("keys").alias("key"), "code")
     crowd = materialize(spark, rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("size", F.col("n")), "shared-keys")
     sharing = materialize(spark, counted_join(rows, crowd, ["key"], ["code"]), "sharing")
     members = materialize(spark, sharing.join(codes.select("code", "n", "rank", "brief").hint("merge"), "code"), "members")
-    # One text of each entry that shares a key. Texts meet the entries by a shuffle at any size, and go no further here.
-    needed = materialize(spark, sharing.select("code").distinct(), "needed")
+    # One text of each entry that is a candidate. Texts meet the entries by a shuffle at any size, and go no further here.
+    needed = materialize(spark, sharing.select("code").unionByName(near.select(F.explode(F.array("a", "b")).alias("code"))).distinct(), "needed")
     texts = _maybe(spark, prints.select("_code", "text"), needed).join(needed.hint("merge"), F.col("_code") == F.col("code")).groupBy("code").agg(F.first("text").alias("text"))
     texts = bucketed(spark, texts, "texts", "code")
     part = F.pmod(F.xxhash64("code", "key"), F.ceil(F.col("size") / LEAF).cast("long"))
     met = materialize(spark, _pairs(members.select("key", part.alias("part"), "code", "n", "rank", "brief")).distinct(), "met")
     nearest = met.groupBy("a").agg(F.max(F.struct("alike", "b")).alias("m")).select("a", "m.b")
-    found = stars(spark, _links_of(spark, texts, met.where("led").select("a", "b").unionByName(nearest)))
+    found = stars(spark, _links_of(spark, texts, met.where("led").select("a", "b").unionByName(nearest).unionByName(near)))
     open_ = _open(spark, members, found, codes)
     if open_ is None:
         return found
@@ -334,16 +352,18 @@ def links(spark: SparkSession, prints: DataFrame) -> DataFrame:
     return stars(spark, found.unionByName(rest[0]).unionByName(rest[1]))
 
 
-def components(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """doc_id, code, root (of the code's component), component_id: every row with the smallest doc_id of its component."""
+def components(spark: SparkSession, documents: DataFrame, index: Index) -> DataFrame:
+    """doc_id, code, root (of the code's component), component_id: every row with the smallest doc_id of its component.
+
+    index: finds the links (a, b) between fingerprints ``fp``, as ``simhash.links`` does."""
     ship_package(spark)
     with scratch(spark):
-        return materialize(spark, _components(spark, documents), "near-copies", keep=True)
+        return materialize(spark, _components(spark, documents, index), "near-copies", keep=True)
 
 
-def _components(spark: SparkSession, documents: DataFrame) -> DataFrame:
+def _components(spark: SparkSession, documents: DataFrame, index: Index) -> DataFrame:
     prints = materialize(spark, coded(documents.select("doc_id", "text")), "prints")
-    found = links(spark, prints)
+    found = links(spark, prints, index)
     firsts = prints.groupBy(F.col("_code").alias("code")).agg(F.min("doc_id").alias("first"))
     rooted = materialize(spark, firsts.join(found, F.col("code") == F.col("a"), "left").select("code", "first", F.coalesce("b", "code").alias("root")), "rooted-sets")
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "_root")

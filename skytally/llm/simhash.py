@@ -329,15 +329,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deduplicated(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """The documents without those of whose component a document with a smaller id exists.
 
-    op5's parameters (three words, three bits) leave most edited copies apart: at a similarity of 0.8 about ten bits differ,
-    which no selective mask survives. The stage therefore takes the near copies of ``copies``: five-word shingles, similarity
-    0.8 or more, upper nodes by shared minima in place of masks, the Gray order of the fingerprints within crowded nodes, and
-    each link checked on the texts.
+    SimHash fingerprints of five-word shingles are linked within three bits by the index of ``links``, and the links checked on
+    the texts at a similarity of 0.8. At 0.8 about ten bits differ, which no selective mask survives: what the index can't
+    reach is added by shared minima and the same check (``copies``).
 
     Rows without an id go if their component has a row with one. Of a component without any id one row stays: the first by
     text, then by the other columns of atomic types.
     """
-    found = copies.components(spark, documents)
+    found = copies.components(spark, documents, links)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(C.spare(documents.columns, "_gone"))).distinct()
     gone = materialize(spark, gone, "near-duplicates")
     named = documents.where("doc_id IS NOT NULL").join(gone, F.col("doc_id") == F.col(gone.columns[0]), "left_anti")
