@@ -87,18 +87,55 @@ def _frame_stats(t: np.ndarray, v: np.ndarray, at: np.ndarray, first: np.ndarray
 
 
 def rolling_whole(telemetry: DataFrame, span_s: int, min_samples: int = 8) -> DataFrame:
-    """As ``rolling``, over all samples of the span, however many, by Spark's own frames; samples of one time are in each other's windows."""
-    t = F.unix_micros(F.col("time").cast("timestamp"))
-    series = Window.partitionBy(*SERIES_KEY)
-    frame = series.orderBy("_t").rangeBetween(-span_s * 1_000_000, 0)
-    w = telemetry.withColumn("_t", t)
-    # Seconds from the series' first sample: small numbers, for the slope's sums.
-    w = w.withColumn("_s", (F.col("_t") - F.min("_t").over(series)) / 1e6)
-    v = F.col("value")
-    stats = {"n": F.count("*"), "min": F.min(v), "max": F.max(v), "mean": F.avg(v), "stddev": F.stddev_pop(v), "_slope": F.regr_slope(v, F.col("_s"))}
-    w = w.select("time", *SERIES_KEY, "value", *(a.over(frame).alias(c) for c, a in stats.items()))
-    slope = F.when(F.col("n") >= max(2, min_samples), F.coalesce(F.nanvl("_slope", F.lit(0.0)), F.lit(0.0)) * 60)
-    return w.select("time", *SERIES_KEY, "value", F.col("n").cast("int").alias("n"), "min", "max", "mean", "stddev", slope.alias("slope_per_min"))
+    """As ``rolling``, over all samples of the span, however many; samples of one time are in each other's windows.
+
+    A series is cut into slices as long as the span. A window is then the end of the slice before and the beginning of its
+    own: two running aggregates, each sample entering each once, that are merged without subtracting sums. Samples go to their
+    slice and the next one, so a series is worked on in as many groups as it has slices.
+    """
+    span = span_s * 1_000_000
+    t, v = F.unix_micros(F.col("time").cast("timestamp")), F.col("value")
+    w = telemetry.select("time", *SERIES_KEY, "value", t.alias("_t")).withColumn("_own", F.col("_t") - F.pmod("_t", F.lit(span)))
+    # Null times have no slice before or after them.
+    slices = F.when(F.col("_t").isNull(), F.array("_own")).otherwise(F.array("_own", F.col("_own") + span))
+    w = w.select("time", *SERIES_KEY, "value", "_t", F.posexplode(slices).alias("_late", "_slice"))
+    # Microseconds from the slice's beginning, exact in a double; only samples with a value count for slopes.
+    w = w.withColumn("_x", F.when(v.isNotNull(), (F.col("_t") - F.col("_slice")).cast("double")))
+    group = Window.partitionBy(*SERIES_KEY, "_slice")
+    running = (Window.unboundedPreceding, Window.currentRow)
+    # The slice before from its end on: a window has seen what is no older than its own oldest.
+    w = w.withColumn("_oldest", F.when(F.col("_late") == 0, F.col("_t") - span).otherwise(F.col("_t")))
+    ends = {0: group.orderBy("_t").rangeBetween(*running), 1: group.orderBy(F.desc("_oldest")).rangeBetween(*running)}
+    for late, frame in ends.items():
+        here = F.col("_late") == late
+        y, x = F.when(here, v), F.when(here, F.col("_x"))
+        stats = {"n": F.count_if(here), "m": F.count(y), "min": F.min(y), "max": F.max(y), "y": F.sum(y), "yy": F.var_pop(y), "x": F.sum(x), "xx": F.var_pop(x), "xy": F.covar_pop(y, x)}
+        w = w.select("*", *(a.over(frame).alias(f"_{c}{late}") for c, a in stats.items()))
+    w = w.where("_late = 0")
+    m0, m1 = F.col("_m0"), F.col("_m1")
+    m = F.nullif(m0 + m1, F.lit(0))
+
+    def total(name: str) -> Column:
+        return F.coalesce(f"_{name}0", F.lit(0.0)) + F.coalesce(f"_{name}1", F.lit(0.0))
+
+    def apart(name: str) -> Column:
+        return F.coalesce(F.col(f"_{name}0") / F.nullif(m0, F.lit(0)) - F.col(f"_{name}1") / F.nullif(m1, F.lit(0)), F.lit(0.0))
+
+    def spread(name: str, one: str, two: str) -> Column:
+        """The sum of products of deviations from the means of both parts together."""
+        return F.coalesce(m0 * F.col(f"_{name}0"), F.lit(0.0)) + F.coalesce(m1 * F.col(f"_{name}1"), F.lit(0.0)) + apart(one) * apart(two) * (m0 * m1 / m)
+
+    n = (F.col("_n0") + F.col("_n1")).cast("int")
+    slope = spread("xy", "x", "y") / F.nullif(spread("xx", "x", "x"), F.lit(0.0)) * 60e6
+    stats = {
+        "n": n,
+        "min": F.least("_min0", "_min1"),
+        "max": F.greatest("_max0", "_max1"),
+        "mean": total("y") / m,
+        "stddev": F.sqrt(spread("yy", "y", "y") / m),
+        "slope_per_min": F.when(n >= max(2, min_samples), F.coalesce(F.nanvl(slope, F.lit(0.0)), F.lit(0.0))),
+    }
+    return w.select("time", *SERIES_KEY, "value", *(c.alias(name) for name, c in stats.items()))
 
 
 def derived_long(rolled: DataFrame) -> DataFrame:
