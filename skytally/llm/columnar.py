@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +11,9 @@ from pyspark.sql import DataFrame
 
 #: Odd multipliers of the polynomial hashes (modulo 2^64).
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-#: Bytes of text that one numpy step holds; a longer document makes a step of its own.
-PIECE = 2 << 20
+#: Bytes of text that one numpy step holds; a longer document makes a step of its own. A step has many arrays of a number
+#: per byte or word, and what they took stays with the Python worker: operators that run in a row take small steps.
+PIECE, SMALL = 2 << 20, 512 << 10
 
 
 def spare(columns: Iterable[str], name: str) -> str:
@@ -56,7 +56,9 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE) -> Iterator[p
         row = end
 
 
-@lru_cache(maxsize=4)
+_HELD: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(base, -1, 1 << 64)
     out = []
@@ -68,9 +70,11 @@ def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int, base: int = BYTE_BASE) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i up to n at least."""
-    size = max(PIECE + (1 << 17), 1 << int(n).bit_length())
-    return _powers(size, base)
+    """base^i and base^-i modulo 2^64 for i up to n at least. A worker holds one table of each base, as long as it was needed."""
+    if base not in _HELD or len(_HELD[base][0]) <= n:
+        size = next((s + (1 << 17) for s in (SMALL, PIECE) if n <= s + (1 << 17)), 1 << int(n).bit_length())
+        _HELD[base] = _powers(size, base)
+    return _HELD[base]
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from skytally.llm import columnar as C
 from skytally.llm.components import stars
 from skytally.llm.joins import counted_join
-from skytally.session import bucketed, materialize, scratch, ship_package
+from skytally.session import bucketed, lean_workers, materialize, scratch, ship_package
 
 Index = Callable[[SparkSession, DataFrame], DataFrame]
 SHINGLE, SIMILARITY = 5, 0.8
@@ -113,7 +113,7 @@ def coded(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in C.pieces(batch, "text", 1 << 20):
+            for part in C.pieces(batch, "text", C.SMALL):
                 h, at = shingles(*C.flat(part.column("text")))
                 code, keys, brief = signatures(h, at)
                 offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * BANDS)
@@ -197,7 +197,7 @@ def _checked(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in C.pieces(batch, "text"):
+            for part in C.pieces(batch, "text", C.SMALL):
                 (x, at), (y, to) = (shingles(*C.flat(part.column(c))) for c in ("text", "other"))
                 keep = np.zeros(part.num_rows, bool)
                 for i in range(part.num_rows):
@@ -357,6 +357,7 @@ def components(spark: SparkSession, documents: DataFrame, index: Index) -> DataF
 
     index: finds the links (a, b) between fingerprints ``fp``, as ``simhash.links`` does."""
     ship_package(spark)
+    lean_workers(spark)
     with scratch(spark):
         return materialize(spark, _components(spark, documents, index), "near-copies", keep=True)
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from skytally.llm import columnar as C
 from skytally.llm.joins import counted_join
-from skytally.session import materialize, ship_package
+from skytally.session import lean_workers, materialize, ship_package
 
 WINDOW, SHINGLE = 13, 5
 BLOCK_SHINGLES = 4_000_000
@@ -66,7 +66,7 @@ def _shingles(wins: DataFrame) -> DataFrame:
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in C.pieces(batch, "text"):
+            for part in C.pieces(batch, "text", C.SMALL):
                 *_, per_row, row, h = _hashed(part)
                 out: list[list[int]] = [[] for _ in range(part.num_rows)]
                 ks = np.asarray(part.column("k"))
@@ -95,7 +95,7 @@ def frequencies(documents: DataFrame, vocabulary: dict[int, np.ndarray]) -> Data
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = {k: np.zeros(len(v), np.int64) for k, v in vocabulary.items()}
         for batch in batches:
-            for part in C.pieces(batch, "text"):
+            for part in C.pieces(batch, "text", C.SMALL):
                 *_, row, h = _hashed(part)
                 for k, _, got in _found(vocabulary, h, row):
                     totals[k] += np.bincount(np.searchsorted(vocabulary[k], got), minlength=len(totals[k]))
@@ -112,7 +112,7 @@ def _occurrences(documents: DataFrame, prefixes: dict[int, np.ndarray], window:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in C.pieces(batch, "text"):
+            for part in C.pieces(batch, "text", C.SMALL):
                 low, at, start, end, per_row, row, h = _hashed(part)
                 raw, first = low.tobytes(), np.concatenate(([0], np.cumsum(per_row)))
                 copy = C.ranges_hash(C.prefix_sums(C.flat(part.column("text"))[0]), at[:-1], at[1:]).view(np.int64)
@@ -138,6 +138,7 @@ def _occurrences(documents: DataFrame, prefixes: dict[int, np.ndarray], window:
 def contamination(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted item_ids), contaminated: see the module's docstring."""
     ship_package(spark)
+    lean_workers(spark)
     wins = windows(benchmark, window, shingle).select("item_id", F.concat_ws(" ", "words").alias("window"), F.size("words").alias("w_len"))
     tokens = materialize(spark, _shingles(windows(benchmark, window, shingle)), "benchmark-shingles")
     blocks = max(1, -(-tokens.count() // block_shingles))
@@ -178,7 +179,7 @@ def _with_copy(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in C.pieces(batch, "text"):
+            for part in C.pieces(batch, "text", C.SMALL):
                 data, at = C.flat(part.column("text"))
                 copy = C.ranges_hash(C.prefix_sums(data), at[:-1], at[1:]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(copy)], [*part.schema.names, "_copy"])

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from skytally.llm import columnar as C
 from skytally.llm.labelled import fitted, held_out, logistic, sample, share, sigmoid
-from skytally.session import ship_package
+from skytally.session import lean_workers, ship_package
 
 #: Labelled documents of each class that the model learns from at most, and the tokens that the CRF is trained on at most.
 SAMPLE_PER_CLASS, TRAIN_TOKENS = 1500, 300_000
@@ -192,7 +192,7 @@ def training_tokens(row: np.ndarray, marked: np.ndarray, rows: int) -> tuple[np.
 def train(texts: list[str], labels: np.ndarray, steps: int = 50) -> Model:
     """Fits the model to documents and their labels (1: toxic)."""
     rows, kinds, done = [np.zeros(0, np.int64)], [np.zeros((0, 1 + len(PREFIXES)), np.int32)], 0
-    for part in C.pieces(pa.RecordBatch.from_pydict({"text": pa.array([t or "" for t in texts], pa.string())}), "text"):
+    for part in C.pieces(pa.RecordBatch.from_pydict({"text": pa.array([t or "" for t in texts], pa.string())}), "text", C.SMALL):
         _, _, row, features = tokens(*C.flat(part.column("text")))
         rows.append(row + done)
         kinds.append(features)
@@ -279,6 +279,7 @@ def document_values(unary: np.ndarray, start: np.ndarray, trans: np.ndarray, row
 def fit(spark: SparkSession, documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
     """The model, from at most ``per_class`` labelled documents of each class that are not held out."""
     ship_package(spark)
+    lean_workers(spark)
     return fitted(sample(documents, labels, "toxic", MODULUS, REMAINDER, per_class), train)
 
 
@@ -291,7 +292,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unary = unaries(model)
         for batch in batches:
-            for part in C.pieces(batch, "text"):
+            for part in C.pieces(batch, "text", C.SMALL):
                 data, at = C.flat(part.column("text"))
                 start, end, row, features = tokens(data, at)
                 total, top, p = document_values(unary(features), model.start, model.trans, row, part.num_rows)

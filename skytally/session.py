@@ -10,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes after which an Arrow batch to a Python worker ends.
+BATCH_BYTES = 2 << 20
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -23,6 +25,18 @@ def ship_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
 
+def lean_workers(spark: SparkSession) -> None:
+    """Keeps what Python workers, and the JVM for them, hold beside the heap small, unless the session or its environment says
+    otherwise. Arrow batches end after about ``BATCH_BYTES``: by rows alone (10,000) a batch of documents has 25 MB or more,
+    held outside the JVM's heap and several times in the worker. What a worker frees goes back to the system: as is, glibc
+    keeps arrays of up to 32 MB for as long as the worker lives, and workers outlive the jobs that needed them."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.conf.get(name, None):
+        spark.conf.set(name, str(BATCH_BYTES))
+    for setting, size in (("MALLOC_MMAP_THRESHOLD_", 4 << 20), ("MALLOC_TRIM_THRESHOLD_", 16 << 20)):
+        spark.sparkContext.environment.setdefault(setting, str(size))
+
+
 def on_rocksdb(spark: SparkSession) -> None:
     """State maps of new streams in RocksDB, unless the session names a state store."""
     name = "spark.sql.streaming.stateStore.providerClass"
